@@ -47,25 +47,38 @@ def nearest_percentiles(rows: DataFrame, column: str, key: str, shares) -> DataF
     return numbered.join(F.broadcast(wanted), "_pos").select("p", F.col(column).alias("value"))
 
 
+def percentiles(rows: DataFrame, column: str, key: str, shares, part=()) -> DataFrame:
+    """Interpolated percentiles (part, p, value), exact for any number of rows.
+
+    Rows are numbered in order and only the one or two rows next to each share
+    are kept, so no task holds all values.
+    """
+    part = list(part)
+    known = rows.where(F.col(column).isNotNull()).select(*part, column, key)
+    numbered = row_numbers(known, part, (column, key), "_pos")
+    n = known.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    at = (F.col("_n") - 1) * F.col("p")
+    wanted = n.select(*part, "_n", F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("p"))
+    ends = wanted.select(*part, "p", at.alias("_at"), F.explode(F.array(
+        F.floor(at) + 1, F.ceil(at) + 1)).alias("_pos")).distinct()
+    joined = (numbered.join(ends, [*part, "_pos"]) if part
+              else numbered.join(F.broadcast(ends), "_pos"))
+    low = F.min(F.struct("_pos", column))[column]
+    high = F.max(F.struct("_pos", column))[column]
+    frac = F.first("_at") - F.floor(F.first("_at"))
+    return joined.groupBy(*part, "p").agg((low + (high - low) * frac).alias("value"))
+
+
 def latency_stats(rows: DataFrame, column: str, key: str) -> DataFrame:
     """Median, p90, p99 and the hours 10,000 items would take at the median."""
     marks = nearest_percentiles(rows, column, key, (0.9, 0.99)).agg(
         F.max(F.when(F.col("p") == 0.9, F.col("value"))).alias("p90"),
         F.max(F.when(F.col("p") == 0.99, F.col("value"))).alias("p99"))
-    median = exact_median(rows, column, key)
+    median = percentiles(rows, column, key, (0.5,)).select(F.col("value").alias("median"))
     return median.join(F.broadcast(marks)).select(
         "median", "p90", "p99", (F.col("median") * 10_000 / 3600).alias("hours_10k"))
 
 
-def exact_median(rows: DataFrame, column: str, key: str) -> DataFrame:
-    """Mean of the one or two middle elements."""
-    numbered = row_numbers(rows.select(column, key), (), (column, key), "_pos")
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    middle = ((F.col("_pos") == F.floor((F.col("_n") + 1) / 2))
-              | (F.col("_pos") == F.floor((F.col("_n") + 2) / 2)))
-    return numbered.join(F.broadcast(n)).where(middle).agg(F.avg(column).alias("median"))
-
-
 def weighted_median(rows: DataFrame, part, value: str, weight: str, key: str, *,
                     max_abs: float = 25.0, min_total: Column | float = 0.0) -> DataFrame:
     """First value whose running weight reaches half the total.

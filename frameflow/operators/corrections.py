@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint
 from .ordered import ordered_rows
 
 
@@ -21,8 +22,8 @@ def apply_pins(shots: DataFrame, pins: DataFrame, *, part: str = "shoot_id", tim
     no merge crosses a bracket. Within a zone of p pins only the p + 1 groups
     before a pin can be touched.
     """
-    numbered = ordered_rows(shots.select(part, time, key, group, "is_bracket"),
-                            (part,), (time, key), max_rows)
+    shots = checkpoint(shots.select(part, time, key, group, "is_bracket"))
+    numbered = ordered_rows(shots, (part,), (time, key), max_rows)
     first = F.col(group) == F.col(key)
     numbered = (numbered.row_number("_pos").running_sum("_group_no", first.cast("long"))
                 .running_sum("_zone", (first & F.col("is_bracket")).cast("long")))
@@ -46,6 +47,7 @@ def apply_pins(shots: DataFrame, pins: DataFrame, *, part: str = "shoot_id", tim
         _replay(part, key), f"`{part}` {kind[part]}, `{key}` {kind[key]}, _start boolean")
     flagged = rows.join(changed, [part, key], "left").withColumn(
         "_start", F.coalesce("_start", first))
+    flagged = checkpoint(flagged.select(part, time, key, "is_bracket", "_start"))
     regrouped = ordered_rows(flagged, (part,), (time, key), max_rows).running_last(
         "_named", F.when(F.col("_start"), F.col(key))).result()
     return regrouped.select(part, time, key, F.col("_named").alias(group), "is_bracket")

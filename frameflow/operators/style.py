@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .agreement import percentiles
 from .neighbors import knn
 
 
@@ -63,10 +64,11 @@ def clamp_to_family(predictions: DataFrame, history: DataFrame, family: str, del
     return rows.withColumns(clamped).drop(*[f"_lo_{d}" for d in deltas], *[f"_hi_{d}" for d in deltas])
 
 
-def eval_vs_median(rows: DataFrame, family: str, actual: str, predicted: str) -> DataFrame:
+def eval_vs_median(rows: DataFrame, family: str, key: str, actual: str, predicted: str) -> DataFrame:
     """Per family: error, sign agreement and coverage, and the error of giving
     everything the family's median."""
-    medians = rows.groupBy(family).agg(F.percentile(actual, 0.5).alias("family_median"))
+    medians = percentiles(rows, actual, key, (0.5,), part=[family]).select(
+        family, F.col("value").alias("family_median"))
     joined = rows.join(medians, family)
     covered = F.col(predicted).isNotNull()
     same_sign = (F.signum(predicted) == F.signum(actual)).cast("double")

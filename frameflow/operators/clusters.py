@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..runtime import checkpoint
-from .local import map_groups, stack
+from .local import each, map_groups, stack
 from .neighbors import TILE_ROWS, distances, hashed_tile, tile_pairs
 from .ordered import row_numbers
 
@@ -46,7 +46,7 @@ def spanning_edges(df: DataFrame, key: str, vec: str, limit: float, *, part=(),
                 edges += [(min(ids[at], ids[n]), max(ids[at], ids[n])) for n in new]
                 frontier.extend(new)
         return pd.DataFrame(edges, columns=["src", "dst"])
-    return map_groups(pairs, [*part, "_i", "_j"], [key], forest, f"src {kind}, dst {kind}")
+    return map_groups(pairs, [*part, "_i", "_j"], [key], each(forest), f"src {kind}, dst {kind}")
 
 
 def connected_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def cluster_greedy(df: DataFrame, part, order, key: str, vec: str,
         for column in reversed(part):
             out.insert(0, column, pdf[column].iloc[0])
         return out
-    found = map_groups(pairs, [*part, "_i", "_j"], ["_pos"], nearest_earlier, schema)
+    found = map_groups(pairs, [*part, "_i", "_j"], ["_pos"], each(nearest_earlier), schema)
     parents = found.groupBy(*part, "_pos").agg(
         F.min_by("_parent", F.struct("_dist", (-F.col("_parent")).alias("p"))).alias("_parent"))
     links = rows.select(*part, "_pos").join(parents, [*part, "_pos"], "left").withColumn(

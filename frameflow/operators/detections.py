@@ -44,13 +44,20 @@ def _schema(df: DataFrame, columns) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
 
-def _suppress(pdf: pd.DataFrame, limit: float) -> np.ndarray:
-    boxes = pdf[_BOX].to_numpy(dtype=np.float64)
-    kept: list[int] = []
-    for i in range(len(boxes)):
-        if not kept or overlap(boxes[i:i + 1], boxes[kept]).max() < limit:
-            kept.append(i)
-    return np.array(kept, dtype=int)
+def _suppress(columns, limit: float):
+    """Keep the best boxes of each group; rows come best first."""
+    def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        boxes = pdf[_BOX].to_numpy(dtype=np.float64)
+        keep = np.ones(len(pdf), dtype=bool)
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a == 1:
+                continue
+            hits = overlap(boxes[a:b], boxes[a:b]) >= limit
+            for i in range(b - a):
+                if keep[a + i]:
+                    keep[a + i + 1:b] &= ~hits[i, i + 1:]
+        return pdf.loc[keep, columns]
+    return run
 
 
 def nms(df: DataFrame, part, key: str, *, box: str = "bbox", score: str = "score",
@@ -65,11 +72,8 @@ def nms(df: DataFrame, part, key: str, *, box: str = "bbox", score: str = "score
     hot = not big.isEmpty()
     columns = [*part, "_key", "_neg", *_BOX]
     schema = _schema(rows, columns)
-
-    def local(pdf):
-        return pdf.iloc[_suppress(pdf, limit)][columns]
     kept = map_groups(rows.join(big, part, "left_anti") if hot else rows,
-                      part, ["_neg", "_key"], local, schema)
+                      part, ["_neg", "_key"], _suppress(columns, limit), schema)
     if hot:
         kept = kept.unionByName(
             _nms_rounds(rows.join(big, part, "left_semi"), part, columns, schema, limit, buffer))
@@ -84,13 +88,10 @@ def _nms_rounds(rows, part, columns, schema, limit, buffer):
     left = checkpoint(rows.select(*columns))
     order = W.partitionBy(*part).orderBy("_neg", "_key")
     kept = None
-
-    def local(pdf):
-        return pdf.iloc[_suppress(pdf, limit)][columns]
     while not left.isEmpty():
         head = checkpoint(left.withColumn("_rn", F.row_number().over(order))
                           .where(F.col("_rn") <= buffer).drop("_rn"))
-        won = checkpoint(map_groups(head, part, ["_neg", "_key"], local, schema))
+        won = checkpoint(map_groups(head, part, ["_neg", "_key"], _suppress(columns, limit), schema))
         kept = won if kept is None else kept.unionByName(won)
         rest = left.join(head.select(*part, "_key"), [*part, "_key"], "left_anti")
         left = checkpoint(_drop_overlapping(rest, won, part, columns, schema, limit))
@@ -167,42 +168,52 @@ def match_detections(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "
     kind = dict(rows.dtypes)["_key"]
     schema = _schema(rows, part) + f", key_a {kind}, key_b {kind}"
 
-    def local(pdf):
-        one, two = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        return _pairs_frame(pdf, part, one, two, _first_free(one, two, limit))
     matched = map_groups(rows.join(big, part, "left_anti") if hot else rows, part,
-                         ["_side", "_key"], local, schema)
+                         ["_side", "_key"], _match_groups(part, limit), schema)
     if hot:
         matched = matched.unionByName(_match_rounds(
             rows.join(big, part, "left_semi"), part, schema, limit, buffer))
     return matched
 
 
-def _first_free(one, two, limit):
-    """Index into two for each row of one, -1 for none."""
-    if not len(one) or not len(two):
-        return np.full(len(one), -1)
-    hits = overlap(one[_BOX].to_numpy(dtype=np.float64), two[_BOX].to_numpy(dtype=np.float64)) >= limit
-    free = np.ones(len(two), dtype=bool)
+def _match_groups(part, limit: float, keep_free: bool = True):
+    """First free partner for each a-box; a-boxes come first in each group."""
+    def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        boxes = pdf[_BOX].to_numpy(dtype=np.float64)
+        side, ids = pdf["_side"].to_numpy(), pdf["_key"].to_numpy()
+        rows, key_a, key_b = [], [], []
+        for a, b in zip(bounds, bounds[1:]):
+            cut = a + int((side[a:b] == 0).sum())
+            match = _first_free(boxes[a:cut], boxes[cut:b], limit)
+            free = np.ones(b - cut, dtype=bool)
+            free[match[match >= 0]] = False
+            rows += [a] * (cut - a)
+            key_a += list(ids[a:cut])
+            key_b += [ids[cut + m] if m >= 0 else None for m in match]
+            if keep_free:
+                left = ids[cut:b][free]
+                rows += [a] * len(left)
+                key_a += [None] * len(left)
+                key_b += list(left)
+        out = pdf[part].iloc[rows].reset_index(drop=True)
+        return out.assign(key_a=pd.Series(key_a, dtype=object), key_b=pd.Series(key_b, dtype=object))
+    return run
+
+
+def _first_free(one: np.ndarray, two: np.ndarray, limit: float) -> np.ndarray:
+    """Index into two for each box of one, -1 for none."""
     out = np.full(len(one), -1)
+    if not len(one) or not len(two):
+        return out
+    hits = overlap(one, two) >= limit
     for i in range(len(one)):
-        usable = np.flatnonzero(hits[i] & free)
+        usable = np.flatnonzero(hits[i])
         if len(usable):
             out[i] = usable[0]
-            free[usable[0]] = False
+            hits[:, usable[0]] = False
     return out
 
 
-def _pairs_frame(pdf, part, one, two, match):
-    ids_a, ids_b = one["_key"].to_numpy(), two["_key"].to_numpy()
-    pairs = [(a, ids_b[m] if m >= 0 else None) for a, m in zip(ids_a, match)]
-    pairs += [(None, ids_b[j]) for j in sorted(set(range(len(two))) - set(match[match >= 0]))]
-    out = pd.DataFrame(pairs, columns=["key_a", "key_b"], dtype=object)
-    for column in part:
-        out.insert(0, column, pdf[column].iloc[0])
-    return out[[*part, "key_a", "key_b"]]
-
-
 def _match_rounds(rows, part, schema, limit, buffer):
     """Decide `buffer` a-boxes per round. Each needs only its first `buffer`
     free partners, since the others of the round use at most one each."""
@@ -216,12 +227,8 @@ def _match_rounds(rows, part, schema, limit, buffer):
         options = _first_partners(two, head, part, limit, buffer)
         near = two.join(options, [*part, "_key"], "left_semi")
         both = head.withColumn("_side", F.lit(0)).unionByName(near.withColumn("_side", F.lit(1)))
-
-        def local(pdf):
-            a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-            out = _pairs_frame(pdf, part, a, b, _first_free(a, b, limit))
-            return out[out["key_a"].notna()]
-        pairs = checkpoint(map_groups(both, part, ["_side", "_key"], local, schema))
+        pairs = checkpoint(map_groups(both, part, ["_side", "_key"],
+                                      _match_groups(part, limit, keep_free=False), schema))
         done = pairs if done is None else done.unionByName(pairs)
         one = checkpoint(one.join(head.select(*part, "_key"), [*part, "_key"], "left_anti"))
         used = pairs.where("key_b IS NOT NULL").select(*part, F.col("key_b").alias("_key"))

@@ -19,12 +19,13 @@ def _starts(pdf: pd.DataFrame, keys) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-def map_groups(df: DataFrame, keys, sort, fn: Callable[[pd.DataFrame], pd.DataFrame],
+def map_groups(df: DataFrame, keys, sort, fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
                schema: str) -> DataFrame:
-    """Apply fn to each group, the rows sorted by `sort`.
+    """Apply fn to whole groups, the rows of each sorted by `sort`.
 
-    The groups must be known to be small. They are streamed from sorted
-    partitions, which avoids the per-group cost of a grouped-map job.
+    fn gets many groups at once: a frame and the offsets that bound the groups
+    in it. The groups must be known to be small; only the unfinished last group
+    of a batch is kept for the next one.
     """
     keys = list(keys)
 
@@ -33,25 +34,33 @@ def map_groups(df: DataFrame, keys, sort, fn: Callable[[pd.DataFrame], pd.DataFr
         for batch in batches:
             if batch.empty:
                 continue
+            starts = _starts(batch, keys)
             if tail and any(tail[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys):
-                yield fn(pd.concat(tail, ignore_index=True))
+                yield finish(tail)
                 tail = []
-            starts = _starts(batch, keys)
-            if len(starts) == 1:
-                tail.append(batch)
-                continue
-            done = [pd.concat([*tail, batch.iloc[:starts[1]]], ignore_index=True)]
-            done += [batch.iloc[a:b].reset_index(drop=True)
-                     for a, b in zip(starts[1:-1], starts[2:])]
-            yield pd.concat([fn(g) for g in done], ignore_index=True)
-            tail = [batch.iloc[starts[-1]:]]
+            if len(starts) > 1:
+                yield finish([*tail, batch.iloc[:starts[-1]]])
+                tail = []
+            tail.append(batch.iloc[starts[-1]:])
         if tail:
-            yield fn(pd.concat(tail, ignore_index=True))
+            yield finish(tail)
+
+    def finish(frames):
+        pdf = pd.concat(frames, ignore_index=True)
+        return fn(pdf, np.append(_starts(pdf, keys), len(pdf)))
 
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *sort)
     return placed.mapInPandas(run, schema)
 
 
+def each(fn: Callable[[pd.DataFrame], pd.DataFrame]):
+    """Turn a function of one group into one of many."""
+    def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        parts = [fn(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(bounds, bounds[1:])]
+        return pd.concat(parts, ignore_index=True)
+    return run
+
+
 def stack(vectors, dim: int | None = None) -> np.ndarray:
     """Vectors as rows of unit length; unknown or zero ones become NaN rows."""
     known = [v for v in vectors if v is not None]

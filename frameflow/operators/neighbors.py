@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .local import map_groups, stack
+from .local import each, map_groups, stack
 
 TILE_ROWS = 1024
 
@@ -79,7 +79,7 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int =
             found += [(a, others[n], row[n]) for n in near]
         return found
     order = W.partitionBy(*part, key).orderBy("distance", "neighbor")
-    local = map_groups(pairs, [*part, "_i", "_j"], [key], best, schema)
+    local = map_groups(pairs, [*part, "_i", "_j"], [key], each(best), schema)
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

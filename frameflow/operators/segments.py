@@ -68,12 +68,12 @@ def bracket_stats(runs: OrderedRows, *, part="shoot_id", time="t_ms", key="photo
 
 def mark_brackets(steps: OrderedRows, *, part="shoot_id", time="t_ms", key="photo_id",
                   bias="bias") -> OrderedRows:
-    """Add `bracket`: the run number where the frame belongs to a valid bracket."""
+    """Add `run` and `bracket`, the run number where the run is a valid bracket."""
     runs = bracket_runs(steps, bias=bias)
     valid = (bracket_stats(runs, part=part, time=time, key=key, bias=bias).where("valid")
              .select(F.col(part).alias("_part"), F.col("run").alias("bracket")))
     on = F.col(part).eqNullSafe(F.col("_part")) & (F.col("run") == F.col("bracket"))
-    joined = runs.df.join(valid, on, "left").drop("_part", "run")
+    joined = runs.df.join(valid, on, "left").drop("_part")
     return OrderedRows(joined, runs.part, runs.order, runs.chunks)
 
 

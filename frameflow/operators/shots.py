@@ -53,8 +53,14 @@ def _moved(column: str, limit: float, distance) -> Column:
 def shot_segments(df: DataFrame, *, part="shoot_id", time="t_ms", key="photo_id", vec="vec",
                   bias="bias", faces="face_count", profile: Column | None = None,
                   faceprint=None, pose=None, limits=P.DEFAULT_SHOT,
-                  distance=cosine_distance, max_rows=None) -> OrderedRows:
-    """Neighbour boundaries and bracket edges; adds `bracket` and `boundary`."""
+                  distance=cosine_distance, context: str | None = None,
+                  max_rows=None) -> OrderedRows:
+    """Neighbour boundaries and bracket edges; adds `run`, `bracket`, `boundary`.
+
+    `context` names a column that marks rows known from earlier work: "anchor"
+    starts a shot, "inside" continues it, "sealed" was in a bracket; NULL for
+    all other rows.
+    """
     profile = F.col("profile") if profile is None else profile
     extra = [bias, faces, *[c for c in (faceprint, pose) if c]]
     steps = capture_steps(df, part=part, time=time, key=key, vec=vec, extra=extra,
@@ -62,10 +68,17 @@ def shot_segments(df: DataFrame, *, part="shoot_id", time="t_ms", key="photo_id"
     rule = neighbour_boundary(profile, limits, faces=faces, faceprint=faceprint, pose=pose,
                               distance=distance)
     marked = mark_brackets(steps.with_columns({"_rule": rule}), part=part, time=time,
-                           key=key, bias=bias).lag("_before", "bracket")
+                           key=key, bias=bias)
+    if context:
+        marked = marked.with_columns({"bracket": F.when(F.col(context) == "sealed", F.lit(-1))
+                                      .when(F.col(context).isNull(), F.col("bracket"))})
+    marked = marked.lag("_before", "bracket")
     sealed = F.col("bracket").isNotNull()
     edge = ~F.col("bracket").eqNullSafe(F.col("_before.bracket"))
     boundary = F.col("_before").isNull() | edge | (~sealed & F.col("_rule"))
+    if context:
+        boundary = F.when(F.col(context) == "inside", False).when(
+            F.col(context).isNotNull(), True).otherwise(boundary)
     return marked.with_columns({"boundary": boundary})
 
 

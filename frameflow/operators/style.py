@@ -20,12 +20,15 @@ def delta_targets(rows: DataFrame, parameters, *, value="final_{}", base="base_{
 
 
 def look_families(rows: DataFrame, deltas, families: int, seed: int = 7) -> DataFrame:
-    """Cluster standardized deltas with bisecting k-means; adds `family`."""
+    """Cluster scaled deltas with bisecting k-means; adds `family`.
+
+    Deltas are scaled but not centred: a centre at exactly 0 cannot be split.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     stages = [VectorAssembler(inputCols=list(deltas), outputCol="_raw", handleInvalid="skip"),
-              StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
+              StandardScaler(inputCol="_raw", outputCol="_scaled"),
               BisectingKMeans(featuresCol="_scaled", predictionCol="family", k=families, seed=seed)]
     return Pipeline(stages=stages).fit(rows).transform(rows).drop("_raw", "_scaled")
 

@@ -19,7 +19,7 @@ from .registry import query
 
 
 @query("piecewise", "SELECT event_id, " + ", ".join(
-    f"round({piecewise_sql('x', points)}, 6) AS {name}" for name, points in (
+    f"round({piecewise_sql('x', points)}, 9) AS {name}" for name, points in (
         ("eye", P.EYE_FOCUS_CURVE), ("ear", P.EYES_OPEN_CURVES["ear_landmarks"]),
         ("frame", P.FRAME_SHARPNESS_CURVE))) + """ FROM (SELECT event_id,
  CASE WHEN event_id % 10 <> 0 THEN value / 490 END AS x FROM events)""")
@@ -28,7 +28,7 @@ def piecewise(spark, sf_dir):
         "event_id", "CASE WHEN event_id % 10 <> 0 THEN value / 490 END AS x")
     curves = {"eye": P.EYE_FOCUS_CURVE, "ear": P.EYES_OPEN_CURVES["ear_landmarks"],
               "frame": P.FRAME_SHARPNESS_CURVE}
-    return rows.select("event_id", *[F.round(piecewise_column("x", points), 6).alias(name)
+    return rows.select("event_id", *[F.round(piecewise_column("x", points), 9).alias(name)
                                      for name, points in curves.items()])
 
 
@@ -119,11 +119,11 @@ def flags(spark, sf_dir):
 
 _SCORE_COLUMNS = ["photo_id", "profile", "total", *P.METRICS, "hint", "n_faces", "other_blinking"]
 _SCORE_LIST = "photo_id, profile, total, " + ", ".join(
-    f"round({m}, 6) AS {m}" for m in P.METRICS) + ", hint, n_faces, other_blinking"
+    f"round({m}, 9) AS {m}" for m in P.METRICS) + ", hint, n_faces, other_blinking"
 
 
 def _rounded(scores):
-    return scores.select(*_SCORE_COLUMNS).withColumns({m: F.round(m, 6) for m in P.METRICS})
+    return scores.select(*_SCORE_COLUMNS).withColumns({m: F.round(m, 9) for m in P.METRICS})
 
 
 @query("score", f"WITH {SUBJECT_SQL}, {score_sql()} SELECT {_SCORE_LIST} FROM scores")
@@ -164,11 +164,11 @@ _CORNERS = " + ".join(f"t[{y}][{x}]" for y in (1, 2, 15, 16) for x in (1, 2, 15,
 @query("focus_coverage", f"""WITH {FRAMES_SQL}, {PHOTOS_SQL}, tiled AS ({_TILES_SQL}), stats AS (SELECT *,
  len(list_filter(flatten(t), lambda v: v >= m * 0.25)) / CAST(256 AS DOUBLE) AS coverage,
  ({_CORNERS}) / 16 / m AS corner_ratio FROM tiled)
- SELECT photo_id, round(CASE WHEN m IS NOT NULL THEN coverage END, 6) AS coverage,
- round(CASE WHEN m > 0 THEN corner_ratio END, 6) AS corner_ratio,
+ SELECT photo_id, round(CASE WHEN m IS NOT NULL THEN coverage END, 9) AS coverage,
+ round(CASE WHEN m > 0 THEN corner_ratio END, 9) AS corner_ratio,
  round(CASE WHEN m IS NULL THEN NULL WHEN m < 0.005 THEN 0.0 WHEN corner_ratio < 0.05
  THEN least({piecewise_sql('coverage', P.FOCUS_COVERAGE_CURVE)}, 0.7)
- ELSE {piecewise_sql('coverage', P.FOCUS_COVERAGE_CURVE)} END, 6) AS sharpness FROM stats""")
+ ELSE {piecewise_sql('coverage', P.FOCUS_COVERAGE_CURVE)} END, 9) AS sharpness FROM stats""")
 def focus_coverage(spark, sf_dir):
     tile = _TILE.format(c="cents")
     rows = photos(spark, sf_dir).selectExpr(
@@ -177,9 +177,9 @@ def focus_coverage(spark, sf_dir):
     coverage, corner = scoring.focus_plane(F.col("tiles"), F.col("sharpness_max"))
     value = scoring.landscape_sharpness(F.col("tiles"), F.col("sharpness_max"), F.col("sharpness_mean"))
     return rows.select(
-        "photo_id", F.round(F.when(F.col("sharpness_max").isNotNull(), coverage), 6).alias("coverage"),
-        F.round(F.when(F.col("sharpness_max") > 0, corner), 6).alias("corner_ratio"),
-        F.round(value, 6).alias("sharpness"))
+        "photo_id", F.round(F.when(F.col("sharpness_max").isNotNull(), coverage), 9).alias("coverage"),
+        F.round(F.when(F.col("sharpness_max") > 0, corner), 9).alias("corner_ratio"),
+        F.round(value, 9).alias("sharpness"))
 
 
 PLANE_WIDTH = 48

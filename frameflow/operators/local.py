@@ -61,15 +61,14 @@ def each(fn: Callable[[pd.DataFrame], pd.DataFrame]):
     return run
 
 
-def stack(vectors, dim: int | None = None) -> np.ndarray:
+def stack(vectors) -> np.ndarray:
     """Vectors as rows of unit length; unknown or zero ones become NaN rows."""
-    known = [v for v in vectors if v is not None]
-    dim = dim or max((len(v) for v in known), default=1)
+    lengths = np.array([-1 if v is None else len(v) for v in vectors])
+    dim = max(int(lengths.max(initial=1)), 1)
     out = np.full((len(vectors), dim), np.nan)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            row = np.asarray(v, dtype=np.float64)
-            norm = np.sqrt(row @ row)
-            if norm > 0:
-                out[i] = row / norm
+    full = np.flatnonzero(lengths == dim)
+    if len(full):
+        rows = np.array([vectors[i] for i in full], dtype=np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        out[full] = rows / np.where(norms > 0, norms, np.nan)[:, None]
     return out

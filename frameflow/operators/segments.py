@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -68,13 +69,26 @@ def bracket_stats(runs: OrderedRows, *, part="shoot_id", time="t_ms", key="photo
 
 def mark_brackets(steps: OrderedRows, *, part="shoot_id", time="t_ms", key="photo_id",
                   bias="bias") -> OrderedRows:
-    """Add `run` and `bracket`, the run number where the run is a valid bracket."""
+    """Add `run` and `bracket`, the run number where the run is a valid bracket.
+
+    While a key fits one task its runs do too, and windows over (key, run) need
+    no further shuffle. Split keys get the verdicts by a join.
+    """
     runs = bracket_runs(steps, bias=bias)
-    valid = (bracket_stats(runs, part=part, time=time, key=key, bias=bias).where("valid")
-             .select(F.col(part).alias("_part"), F.col("run").alias("bracket")))
-    on = F.col(part).eqNullSafe(F.col("_part")) & (F.col("run") == F.col("bracket"))
-    joined = runs.df.join(valid, on, "left").drop("_part")
-    return OrderedRows(joined, runs.part, runs.order, runs.chunks)
+    if runs.chunks:
+        valid = (bracket_stats(runs, part=part, time=time, key=key, bias=bias).where("valid")
+                 .select(F.col(part).alias("_part"), F.col("run").alias("bracket")))
+        on = F.col(part).eqNullSafe(F.col("_part")) & (F.col("run") == F.col("bracket"))
+        joined = runs.df.join(valid, on, "left").drop("_part")
+        return OrderedRows(joined, runs.part, runs.order, runs.chunks)
+    run = W.partitionBy(part, "run")
+    same = F.lag(bias).over(run.orderBy(bias)) == F.col(bias)
+    rows = runs.df.withColumn("_same", F.coalesce(same, F.lit(False)))
+    low, high = F.min(bias).over(run), F.max(bias).over(run)
+    valid = ((F.count(F.lit(1)).over(run) >= P.BRACKET_MIN_FRAMES) & ~F.max("_same").over(run)
+             & (low < 0) & (high > 0) & (F.abs(low + high) <= P.BRACKET_SYMMETRY))
+    rows = rows.withColumn("bracket", F.when(valid, F.col("run"))).drop("_same")
+    return OrderedRows(rows, runs.part, runs.order)
 
 
 def segment_sizes(df: DataFrame, part, segment) -> DataFrame:

@@ -213,7 +213,51 @@ def score(photos: DataFrame, faces: DataFrame, *, key: str = "photo_id",
     return score_columns(rows, F.col("profile") if profile is None else profile, key)
 
 
+def _facts(**columns) -> Column:
+    """Non-NULL facts as a map of strings."""
+    pairs = [part for name, value in columns.items() for part in (F.lit(name), value.cast("string"))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+def evidence(rows: DataFrame) -> dict[str, Column]:
+    """What each metric was derived from, or why it abstained."""
+    face, frame_max = F.col("primary"), F.col("sharpness_max")
+    soft = F.when(frame_max < P.MIN_FRAME_SHARPNESS, "motion_blur_or_shake")
+    unmeasured = F.lit("not_measured")
+    better = F.when(F.col("focus_reason").isNull(), F.when(
+        F.coalesce(face["sharp_r"] > face["sharp_l"], face["sharp_l"].isNull()), "right").otherwise("left"))
+    sharp = {"sharpness_max": frame_max, "sharpness_mean": F.col("sharpness_mean"), "diagnosis": soft,
+             "reason": F.when(F.col("sharpness_mean").isNull() | frame_max.isNull(), unmeasured)}
+    if "sharpness_tiles" in rows.columns:
+        coverage, corners = focus_plane(F.col("sharpness_tiles"), frame_max)
+        plane = (F.col("profile") == "landscape") & (frame_max >= P.MIN_FRAME_SHARPNESS)
+        sharp["focus_plane_coverage"] = F.when(plane, F.round(coverage, 3))
+        sharp["corner_ratio"] = F.when(plane, F.round(corners, 3))
+    costly = F.filter("flags", lambda f: F.substring_index(f, ":", 1).isin(*P.FLAG_PENALTIES))
+    return {
+        "eye_focus": _facts(reason=F.col("focus_reason"), eye=better, sharp_l=face["sharp_l"],
+                            sharp_r=face["sharp_r"], yaw=face["yaw"], frame_sharpness_max=frame_max),
+        "eyes_open": _facts(reason=F.col("open_reason"), open_l=face["open_l"], open_r=face["open_r"],
+                            eye_source=face["eye_source"], yaw=face["yaw"]),
+        "sharpness": _facts(**sharp),
+        "composition": _facts(penalties=F.array_join(costly, ",")),
+        "face_quality": _facts(reason=F.when(face["capture_quality"].isNull(), "no_face_or_not_measured"),
+                               capture_quality=face["capture_quality"]),
+        "exposure": _facts(reason=F.when(F.col("in_bracket"), "suppressed_in_bracket").when(
+            F.col("exposure").isNull(), unmeasured), clipped_hi=F.col("clipped_hi"),
+            clipped_lo=F.col("clipped_lo")),
+    }
+
+
+def known_profile(profile: Column) -> Column:
+    """The profile, or an error naming one that has no weights."""
+    message = F.concat(F.lit("unknown profile: "), F.coalesce(profile, F.lit("NULL")))
+    return F.when(profile.isin(*P.PROFILE_WEIGHTS), profile).otherwise(F.raise_error(message).cast("string"))
+
+
 def score_columns(rows: DataFrame, profile: Column, key: str) -> DataFrame:
+    rows = rows.withColumn("profile", known_profile(profile))
+    profile = F.col("profile")
     face, frame_max, n_faces = F.col("primary"), F.col("sharpness_max"), F.col("n_faces")
     focus, focus_reason = eye_focus(face, frame_max)
     opened, open_reason = eyes_open(face)
@@ -229,7 +273,7 @@ def score_columns(rows: DataFrame, profile: Column, key: str) -> DataFrame:
     }
     weights = {m: profile_weight(profile, m, n_faces) for m in P.METRICS}
     rows = rows.withColumns({
-        "profile": profile, "hint": profile_hint(profile, n_faces),
+        "hint": profile_hint(profile, n_faces),
         "focus_reason": focus_reason, "open_reason": open_reason,
         **{f"w_{m}": w for m, w in weights.items()}})
     rows = rows.withColumns({
@@ -244,11 +288,13 @@ def score_columns(rows: DataFrame, profile: Column, key: str) -> DataFrame:
     total = contributions[0]
     for part in contributions[1:]:
         total = total + part
+    proof = evidence(rows)
     components = F.struct(*[
         F.when(F.col(f"w_{m}").isNotNull(), F.struct(
             F.round(m, 4).alias("value"),
             F.round(F.coalesce(shares[m], F.col(f"w_{m}")), 4).alias("weight"),
-            F.round(F.col(m) * shares[m], 4).alias("contrib"))).alias(m) for m in P.METRICS])
+            F.round(F.col(m) * shares[m], 4).alias("contrib"),
+            proof[m].alias("evidence"))).alias(m) for m in P.METRICS])
     flags = F.array_compact(F.concat(F.col("flags"), F.array(
         F.when(F.col("other_blinking") > 0,
                F.concat(F.lit("other_subject_blinking:"), F.col("other_blinking"))),

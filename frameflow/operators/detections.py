@@ -20,6 +20,9 @@ from ..runtime import checkpoint, shuffle_partitions
 from .local import map_groups
 
 LOCAL_BOXES = 2048
+# Boxes decided per round of a crowded image; Spark cuts a group to up to 1000
+# first rows before the shuffle.
+ROUND_BOXES = 512
 _BOX = ["_x", "_y", "_w", "_h"]
 
 
@@ -62,7 +65,7 @@ def _suppress(columns, limit: float):
 
 def nms(df: DataFrame, part, key: str, *, box: str = "bbox", score: str = "score",
         limit: float = P.NMS_IOU, cap: int | None = P.MAX_FACES,
-        max_rows: int | None = None, buffer: int = 512) -> DataFrame:
+        max_rows: int | None = None, buffer: int = ROUND_BOXES) -> DataFrame:
     """Kept boxes (part, key, score): best score first, a box overlapping a kept
     one by `limit` or more is dropped; then the `cap` best of each image."""
     part = list(part)
@@ -156,7 +159,7 @@ def _on_cells(rows: DataFrame, box: str) -> DataFrame:
 
 def match_detections(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "bbox",
                      limit: float = P.MATCH_IOU, max_rows: int | None = None,
-                     buffer: int = 512) -> DataFrame:
+                     buffer: int = ROUND_BOXES) -> DataFrame:
     """(part, key_a, key_b): each a-box in key order takes the first unused
     b-box it overlaps enough. Unmatched boxes come with NULL on the other side."""
     part = list(part)

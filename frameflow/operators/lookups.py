@@ -33,6 +33,24 @@ def cascade_delete(deleted: DataFrame, children: DataFrame, key: str) -> DataFra
     return children.join(deleted.select(key), key, "left_anti")
 
 
+def capture_detail(photos: DataFrame, faces: DataFrame, scores: DataFrame, members: DataFrame,
+                   entries: DataFrame, selections: DataFrame, key: str = "photo_id") -> DataFrame:
+    """One row per photo: face count, score under the photo's current profile,
+    shot size, state in the newest selection; NULL where there is none.
+
+    photos: key, profile. scores: key, profile, total. members: group_id, key,
+    is_bracket. entries: selection_id, key, state. selections: selection_id,
+    created_at.
+    """
+    sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("shot_size"))
+    groups = members.select(key, "group_id", "is_bracket").join(sizes, "group_id")
+    newest = entries.join(selections, "selection_id").groupBy(key).agg(
+        F.max_by("state", F.struct("created_at", "selection_id")).alias("state"))
+    rows = count_per_key(photos, faces, key, "n_faces")
+    return (rows.join(scores.select(key, "profile", "total"), [key, "profile"], "left")
+            .join(groups, key, "left").join(newest, key, "left"))
+
+
 def ordered_members(members: DataFrame, group: str, time: str, key: str,
                     part: str | None = None) -> DataFrame:
     """Members numbered in capture order inside groups, and groups numbered by

@@ -17,12 +17,13 @@ TILE_SCHEMA = ("tiles array<array<double>>, sharpness_max double, sharpness_mean
 
 
 def gradient_energy(pixels: np.ndarray) -> np.ndarray:
-    """Squared Sobel gradient of every interior pixel."""
+    """Squared Sobel gradient of every interior pixel; the last two axes are
+    rows and columns, any axes before them hold separate planes."""
     p = pixels.astype(np.float64)
-    across = p[:, 2:] - p[:, :-2]
-    gx = across[:-2] + 2 * across[1:-1] + across[2:]
-    down = p[2:] - p[:-2]
-    gy = down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
+    across = p[..., 2:] - p[..., :-2]
+    gx = across[..., :-2, :] + 2 * across[..., 1:-1, :] + across[..., 2:, :]
+    down = p[..., 2:, :] - p[..., :-2, :]
+    gy = down[..., :-2] + 2 * down[..., 1:-1] + down[..., 2:]
     return gx * gx + gy * gy
 
 
@@ -40,8 +41,7 @@ def tile_map(pixels: np.ndarray) -> np.ndarray:
     if high <= 2 or wide <= 2:
         return np.zeros((GRID, GRID))
     tiles = pixels[:high * GRID, :wide * GRID].reshape(GRID, high, GRID, wide)
-    tiles = tiles.transpose(0, 2, 1, 3)
-    return np.array([[tenengrad(t) for t in row] for row in tiles])
+    return gradient_energy(tiles.transpose(0, 2, 1, 3)).mean(axis=(2, 3)) / (4.0 * 255 * 255)
 
 
 def luminance(rgb: np.ndarray) -> np.ndarray:

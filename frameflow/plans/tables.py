@@ -232,24 +232,26 @@ def proposal_members(spark, sf_dir):
 
 # --- lookups ----------------------------------------------------------------------
 
-@query("capture_detail", """WITH lines AS (SELECT l_orderkey, COUNT(*) AS n_faces, max_by(l_partkey,
- l_extendedprice * 10 + l_linenumber) AS top_part FROM lineitem GROUP BY l_orderkey),
+@query("capture_detail", """WITH faces AS (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey),
+ scores AS (SELECT l_orderkey, l_linestatus, MAX(l_extendedprice) AS total FROM lineitem GROUP BY ALL),
  sizes AS (SELECT o_custkey, COUNT(*) AS shot_size FROM orders GROUP BY o_custkey),
- newest AS (SELECT o_custkey, MAX(o_orderkey) AS newest_order FROM orders GROUP BY o_custkey)
- SELECT o.o_orderkey, c.c_mktsegment, COALESCE(n_faces, 0) AS n_faces, shot_size,
- newest_order = o.o_orderkey AS in_newest FROM orders o
- LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN lines l ON l.l_orderkey = o.o_orderkey
- LEFT JOIN sizes s ON s.o_custkey = o.o_custkey LEFT JOIN newest n ON n.o_custkey = o.o_custkey""")
+ picked AS (SELECT l_orderkey, l_suppkey, MIN(l_returnflag) AS state FROM lineitem GROUP BY ALL),
+ newest AS (SELECT l_orderkey, max_by(state, s_acctbal * 1000000 + l_suppkey) AS state FROM picked JOIN supplier
+ ON s_suppkey = l_suppkey GROUP BY l_orderkey)
+ SELECT o.o_orderkey AS photo_id, o_orderstatus AS profile, COALESCE(f.n, 0) AS n_faces, total, o_custkey AS group_id,
+ shot_size, o_custkey % 13 = 0 AS is_bracket, state FROM orders o LEFT JOIN faces f ON f.l_orderkey = o.o_orderkey
+ LEFT JOIN scores s ON s.l_orderkey = o.o_orderkey AND s.l_linestatus = o.o_orderstatus
+ LEFT JOIN sizes USING (o_custkey) LEFT JOIN newest n ON n.l_orderkey = o.o_orderkey""")
 def capture_detail(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    group = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("shot_size"),
-                                            F.max("o_orderkey").alias("newest_order"))
-    rows = lookups.count_per_key(orders, items, "o_orderkey", "n_faces")
-    return rows.join(customer, "o_custkey", "left").join(group, "o_custkey", "left").select(
-        "o_orderkey", "c_mktsegment", "n_faces", "shot_size",
-        (F.col("newest_order") == F.col("o_orderkey")).alias("in_newest"))
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    photos = orders.selectExpr("o_orderkey AS photo_id", "o_orderstatus AS profile")
+    members = orders.selectExpr("o_custkey AS group_id", "o_orderkey AS photo_id", "o_custkey % 13 = 0 AS is_bracket")
+    scores = items.groupBy(F.col("l_orderkey").alias("photo_id"), F.col("l_linestatus").alias("profile")).agg(
+        F.max("l_extendedprice").alias("total"))
+    entries = items.groupBy(F.col("l_orderkey").alias("photo_id"), F.col("l_suppkey").alias("selection_id")).agg(
+        F.min("l_returnflag").alias("state"))
+    selections = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS selection_id", "s_acctbal AS created_at")
+    return lookups.capture_detail(photos, items.selectExpr("l_orderkey AS photo_id"), scores, members, entries, selections)
 
 
 @query("keyset_page", """WITH page AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 300

@@ -235,9 +235,7 @@ def weight_refit(spark, sf_dir):
     rows = _scored(spark, sf_dir).withColumn("toxic_score", F.col("toxic").cast("double"))
     fitted = calibration.refit_weights(rows, ("score", "toxic_score"), "quality",
                                        {"score": 0.5, "toxic_score": 0.1})
-    names = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in fitted]),
-                                        F.array(*[F.lit(v) for v in fitted.values()])))
-    return rows.limit(1).select(names.alias("metric", "weight"))
+    return spark.createDataFrame(list(fitted.items()), "metric string, weight double")
 
 
 # --- style --------------------------------------------------------------------------

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def replace_partitions(df: DataFrame, path: str, by: str = "shoot_id") -> None:
-    """Overwrite only the shoots present in df; others keep their files."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Overwrite only the shoots present in df; others keep their files.
+
+    Rebalancing writes few files per shoot and still splits a huge shoot.
+    """
+    (df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(by).parquet(path))
 
 

@@ -150,3 +150,10 @@ def test_iou_pairs(spark):
     got = {(r.img, r.key_a, r.key_b) for r in detections.iou_pairs(
         box_frame(spark, a), box_frame(spark, b), ["img"], "id").collect()}
     assert got == {(x[0], x[1], y[1]) for x in a for y in b if x[0] == y[0] and iou(x[2], y[2]) >= .3}
+
+
+def test_pose_is_centred_and_scaled(spark):
+    joints = [(0.0, 0.0, True), (2.0, 0.0, True), (0.0, 4.0, True), (2.0, 4.0, True), (9.0, 9.0, False)]
+    df = spark.createDataFrame([(joints,)], "j array<struct<x:double,y:double,visible:boolean>>")
+    got = df.select(clusters.normalize_pose(F.col("j"), 0, 1, 2, 3)).first()[0]
+    assert [tuple(p) if p else None for p in got] == [(-.25, 0), (.25, 0), (-.25, 1), (.25, 1), None]

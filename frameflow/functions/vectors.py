@@ -16,8 +16,8 @@ def _dot(a: Column, b: Column) -> Column:
 
 def _cosine(a: Column, b: Column) -> Column:
     """NULL when a vector is unknown, zero, or the lengths differ."""
-    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), _dot(a, b) / norm)
+    norm = F.nullif(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), F.lit(0.0))
+    return F.when(F.size(a) == F.size(b), _dot(a, b) / norm)
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:

@@ -106,25 +106,32 @@ def sharpness(frame_max: Column, frame_mean: Column) -> Column:
 
 def focus_plane(tiles: Column, frame_max: Column) -> tuple[Column, Column]:
     """(coverage, corner_ratio) of a square tile grid."""
-    flat = F.flatten(tiles)
     cut = frame_max * P.TILE_FRACTION
-    coverage = F.size(F.filter(flat, lambda v: v >= cut)) / F.size(flat)
+    sharp = F.aggregate(tiles, F.lit(0), lambda n, row: n + F.size(F.filter(row, lambda v: v >= cut)))
+    cells = F.aggregate(tiles, F.lit(0), lambda n, row: n + F.size(row))
+    coverage = sharp / F.nullif(cells, F.lit(0))
     ends = [F.lit(1), F.lit(2), F.lit(-2), F.lit(-1)]
-    corners = [F.element_at(F.element_at(tiles, y), x) for y in ends for x in ends]
+    corners = [F.try_element_at(F.try_element_at(tiles, y), x) for y in ends for x in ends]
     total = corners[0]
     for corner in corners[1:]:
         total = total + corner
-    return coverage, total / 16 / frame_max
+    return coverage, total / 16 / F.nullif(frame_max, F.lit(0.0))
 
 
-def landscape_sharpness(tiles: Column, frame_max: Column, frame_mean: Column) -> Column:
+def with_focus_plane(rows: DataFrame) -> DataFrame:
+    """Add `coverage` and `corner_ratio` as columns of their own, so that the
+    curve over them does not walk the tiles again for every branch."""
+    coverage, corner_ratio = focus_plane(F.col("sharpness_tiles"), F.col("sharpness_max"))
+    return rows.withColumns({"coverage": coverage, "corner_ratio": corner_ratio})
+
+
+def landscape_sharpness(frame_max: Column, frame_mean: Column) -> Column:
     """Share of the frame in focus; soft corners cap the value."""
-    coverage, corner_ratio = focus_plane(tiles, frame_max)
+    coverage, corner_ratio = F.col("coverage"), F.col("corner_ratio")
     value = piecewise(coverage, P.FOCUS_COVERAGE_CURVE)
     capped = F.when(corner_ratio < P.SOFT_CORNER_RATIO,
                     F.least(value, F.lit(P.SOFT_CORNER_CAP))).otherwise(value)
-    has_map = (F.size(tiles) > 0) & frame_max.isNotNull()
-    return (F.when(~F.coalesce(has_map, F.lit(False)), sharpness(frame_max, frame_mean))
+    return (F.when(coverage.isNull() | frame_max.isNull(), sharpness(frame_max, frame_mean))
             .when(frame_max < P.MIN_FRAME_SHARPNESS, F.lit(0.0)).otherwise(capped))
 
 
@@ -229,10 +236,9 @@ def evidence(rows: DataFrame) -> dict[str, Column]:
     sharp = {"sharpness_max": frame_max, "sharpness_mean": F.col("sharpness_mean"), "diagnosis": soft,
              "reason": F.when(F.col("sharpness_mean").isNull() | frame_max.isNull(), unmeasured)}
     if "sharpness_tiles" in rows.columns:
-        coverage, corners = focus_plane(F.col("sharpness_tiles"), frame_max)
         plane = (F.col("profile") == "landscape") & (frame_max >= P.MIN_FRAME_SHARPNESS)
-        sharp["focus_plane_coverage"] = F.when(plane, F.round(coverage, 3))
-        sharp["corner_ratio"] = F.when(plane, F.round(corners, 3))
+        sharp["focus_plane_coverage"] = F.when(plane, F.round("coverage", 3))
+        sharp["corner_ratio"] = F.when(plane, F.round("corner_ratio", 3))
     costly = F.filter("flags", lambda f: F.substring_index(f, ":", 1).isin(*P.FLAG_PENALTIES))
     return {
         "eye_focus": _facts(reason=F.col("focus_reason"), eye=better, sharp_l=face["sharp_l"],
@@ -263,8 +269,9 @@ def score_columns(rows: DataFrame, profile: Column, key: str) -> DataFrame:
     opened, open_reason = eyes_open(face)
     sharp = sharpness(frame_max, F.col("sharpness_mean"))
     if "sharpness_tiles" in rows.columns:
+        rows = with_focus_plane(rows)
         sharp = F.when(profile == "landscape", landscape_sharpness(
-            F.col("sharpness_tiles"), frame_max, F.col("sharpness_mean"))).otherwise(sharp)
+            frame_max, F.col("sharpness_mean"))).otherwise(sharp)
     values = {
         "eye_focus": focus, "eyes_open": opened, "sharpness": sharp,
         "composition": composition(F.col("flags")),

@@ -129,9 +129,9 @@ def _fold_chunks(rows, fold, schema, order, part, time, key, vec) -> DataFrame:
         ends = ends.join(open_chunks, [part, "_chunk"], "left_anti")
         ready = (ends.withColumn("_chunk", F.col("_chunk") + 1)
                  .join(open_chunks, [part, "_chunk"])
-                 .join(vectors, [part, "_anchor_id"]))
-        ready = checkpoint(ready.withColumn(
-            "_fresh", F.col("_anchor_id") == F.col("_last_id")).drop("_last_id"))
+                 .withColumn("_fresh", F.col("_anchor_id") == F.col("_last_id")).drop("_last_id"))
+        ready = checkpoint(ready)  # at most one row per range
+        ready = checkpoint(vectors.join(small(ready, rows.chunks), [part, "_anchor_id"]))
         todo = (source.join(waiting, [part, "_chunk", key], "left_semi")
                 .join(small(ready, rows.chunks), [part, "_chunk"]))
         solved = checkpoint(todo.repartition(*keys).sortWithinPartitions(*order)

@@ -173,12 +173,12 @@ def focus_coverage(spark, sf_dir):
     tile = _TILE.format(c="cents")
     rows = photos(spark, sf_dir).selectExpr(
         "photo_id", "sharpness_max", "sharpness_mean",
-        f"transform(sequence(0, 15), r -> transform(sequence(0, 15), k -> {tile})) AS tiles")
-    coverage, corner = scoring.focus_plane(F.col("tiles"), F.col("sharpness_max"))
-    value = scoring.landscape_sharpness(F.col("tiles"), F.col("sharpness_max"), F.col("sharpness_mean"))
+        f"transform(sequence(0, 15), r -> transform(sequence(0, 15), k -> {tile})) AS sharpness_tiles")
+    rows = scoring.with_focus_plane(rows)
+    value = scoring.landscape_sharpness(F.col("sharpness_max"), F.col("sharpness_mean"))
     return rows.select(
-        "photo_id", F.round(F.when(F.col("sharpness_max").isNotNull(), coverage), 9).alias("coverage"),
-        F.round(F.when(F.col("sharpness_max") > 0, corner), 9).alias("corner_ratio"),
+        "photo_id", F.round(F.when(F.col("sharpness_max").isNotNull(), F.col("coverage")), 9).alias("coverage"),
+        F.round(F.when(F.col("sharpness_max") > 0, F.col("corner_ratio")), 9).alias("corner_ratio"),
         F.round(value, 9).alias("sharpness"))
 
 

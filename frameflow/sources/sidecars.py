@@ -28,7 +28,7 @@ def _first(text: Column, pattern: str) -> Column:
 
 def sidecar_state(text: Column) -> dict[str, Column]:
     return {
-        "old_rating": _first(text, RATING).cast("int"),
+        "old_rating": _first(text, RATING).try_cast("int"),
         "old_label": _first(text, LABEL),
         "has_develop": F.coalesce(text.rlike(DEVELOP), F.lit(False)),
     }

@@ -51,13 +51,13 @@ def clamp_box(box: Column | str) -> Column:
 def eye_box(box: Column | str, side: Column) -> Column:
     """Crop box of one eye; `side` is the subject's left or right."""
     x, y, w, h = _box(box)
-    half = w * 0.62
+    half = w * P.EYE_HALF_WIDTH
     left_edge = F.when(side == "left", x + w - half).otherwise(x)
     return make_box(
-        F.greatest(F.lit(0.0), left_edge - w * 0.05),
-        F.greatest(F.lit(0.0), y + h * 0.55),
-        F.least(F.lit(1.0), half + w * 0.1),
-        F.least(F.lit(1.0), h * 0.45))
+        F.greatest(F.lit(0.0), left_edge - w * P.EYE_MARGIN),
+        F.greatest(F.lit(0.0), y + h * P.EYE_BAND_FROM),
+        F.least(F.lit(1.0), half + w * (2 * P.EYE_MARGIN)),
+        F.least(F.lit(1.0), h * P.EYE_BAND_HEIGHT))
 
 
 def ear_openness(xs: Column | str, ys: Column | str) -> Column:

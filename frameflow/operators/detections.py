@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.geometry import iou
 from ..runtime import checkpoint, shuffle_partitions
-from .local import map_groups
+from .local import map_groups, oversized
 
 LOCAL_BOXES = 2048
 # Boxes decided per round of a crowded image; Spark cuts a group to up to 1000
@@ -70,14 +70,12 @@ def nms(df: DataFrame, part, key: str, *, box: str = "bbox", score: str = "score
     one by `limit` or more is dropped; then the `cap` best of each image."""
     part = list(part)
     rows = _flat(df, part, key, box, (-F.col(score)).alias("_neg"))
-    big = checkpoint(rows.groupBy(*part).count().where(
-        F.col("count") > (max_rows or LOCAL_BOXES)).drop("count"))
-    hot = not big.isEmpty()
+    big = oversized(rows, part, max_rows or LOCAL_BOXES)
     columns = [*part, "_key", "_neg", *_BOX]
     schema = _schema(rows, columns)
-    kept = map_groups(rows.join(big, part, "left_anti") if hot else rows,
+    kept = map_groups(rows if big is None else rows.join(big, part, "left_anti"),
                       part, ["_neg", "_key"], _suppress(columns, limit), schema)
-    if hot:
+    if big is not None:
         kept = kept.unionByName(
             _nms_rounds(rows.join(big, part, "left_semi"), part, columns, schema, limit, buffer))
     kept = kept.select(*part, F.col("_key").alias(key), (-F.col("_neg")).alias(score))
@@ -165,15 +163,13 @@ def match_detections(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "
     part = list(part)
     rows = (_flat(a, part, key, box, F.lit(0).alias("_side"))
             .unionByName(_flat(b, part, key, box, F.lit(1).alias("_side"))))
-    big = checkpoint(rows.groupBy(*part).count().where(
-        F.col("count") > (max_rows or LOCAL_BOXES)).drop("count"))
-    hot = not big.isEmpty()
+    big = oversized(rows, part, max_rows or LOCAL_BOXES)
     kind = dict(rows.dtypes)["_key"]
     schema = _schema(rows, part) + f", key_a {kind}, key_b {kind}"
 
-    matched = map_groups(rows.join(big, part, "left_anti") if hot else rows, part,
+    matched = map_groups(rows if big is None else rows.join(big, part, "left_anti"), part,
                          ["_side", "_key"], _match_groups(part, limit), schema)
-    if hot:
+    if big is not None:
         matched = matched.unionByName(_match_rounds(
             rows.join(big, part, "left_semi"), part, schema, limit, buffer))
     return matched

@@ -7,6 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import checkpoint
+
+
+def oversized(rows: DataFrame, part, limit: int, *extra) -> DataFrame | None:
+    """Keys with more than `limit` rows, with `size` and the `extra` aggregates;
+    None when every group is small."""
+    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("size"), *extra)
+    big = sizes.where(F.col("size") > limit)
+    return None if big.isEmpty() else checkpoint(big)
 
 
 def _starts(pdf: pd.DataFrame, keys) -> np.ndarray:

@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-GRID = 16
-CLIP_HIGH, CLIP_LOW = 254, 1
-LUMA = (0.299, 0.587, 0.114)
+from ..params import CLIP_HIGH, CLIP_LOW, LUMA
+from ..params import TILE_GRID as GRID
 
 TILE_SCHEMA = ("tiles array<array<double>>, sharpness_max double, sharpness_mean double, "
                "clipped_hi double, clipped_lo double")

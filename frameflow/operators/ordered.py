@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import checkpoint, shuffle_partitions, small
 
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 500_000
 
 
 @dataclass(frozen=True)

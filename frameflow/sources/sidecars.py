@@ -7,20 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 
-RATING = r'xmp:Rating="(-?\d+)"'
-LABEL = r'xmp:Label="([^"]*)"'
-DEVELOP = r"\bcrs:\w+=|<crs:\w+"
-DESCRIPTION = r"<rdf:Description\b[^>]*>"
-
-NEW_SIDECAR = """<x:xmpmeta xmlns:x="adobe:ns:meta/">
- <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">
-  <rdf:Description rdf:about=""
-    xmlns:xmp="http://ns.adobe.com/xap/1.0/">
-  </rdf:Description>
- </rdf:RDF>
-</x:xmpmeta>
-"""
-
 
 def _first(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
@@ -28,9 +14,9 @@ def _first(text: Column, pattern: str) -> Column:
 
 def sidecar_state(text: Column) -> dict[str, Column]:
     return {
-        "old_rating": _first(text, RATING).try_cast("int"),
-        "old_label": _first(text, LABEL),
-        "has_develop": F.coalesce(text.rlike(DEVELOP), F.lit(False)),
+        "old_rating": _first(text, P.RATING_PATTERN).try_cast("int"),
+        "old_label": _first(text, P.LABEL_PATTERN),
+        "has_develop": F.coalesce(text.rlike(P.DEVELOP_PATTERN), F.lit(False)),
     }
 
 
@@ -69,7 +55,7 @@ def _set_field(text: Column, pattern: str, attribute: Column) -> Column:
     at = F.instr(text, found)
     replaced = F.concat(F.substr(text, F.lit(1), at - 1), attribute,
                         F.substr(text, at + F.length(found)))
-    tag = F.regexp_substr(text, F.lit(DESCRIPTION))
+    tag = F.regexp_substr(text, F.lit(P.DESCRIPTION_PATTERN))
     end = F.instr(text, tag) + F.length(tag) - 1
     inserted = F.concat(F.substr(text, F.lit(1), end - 1), F.lit("\n    "), attribute,
                         F.substr(text, end))
@@ -82,6 +68,6 @@ def rewrite_sidecar(text: Column, rating: Column, label: Column) -> Column:
     NULL when a field must be inserted and there is no description tag.
     """
     attribute = F.concat(F.lit('xmp:Rating="'), rating.cast("string"), F.lit('"'))
-    rated = F.when(rating.isNull(), text).otherwise(_set_field(text, RATING, attribute))
+    rated = F.when(rating.isNull(), text).otherwise(_set_field(text, P.RATING_PATTERN, attribute))
     named = F.concat(F.lit('xmp:Label="'), label, F.lit('"'))
-    return F.when(label.isNull(), rated).otherwise(_set_field(rated, LABEL, named))
+    return F.when(label.isNull(), rated).otherwise(_set_field(rated, P.LABEL_PATTERN, named))

@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from frameflow import params as P
 from frameflow.operators import agreement, calibration, ingest, lookups, progress
 from frameflow.sources import listing, measurements, sidecars, sinks
 
@@ -143,7 +144,7 @@ def test_plan(spark):
 
 
 def test_rewrite_keeps_everything_else(spark):
-    df = spark.createDataFrame([(FULL,), (PLAIN,), (sidecars.NEW_SIDECAR,), ("<a/>",)], "t string")
+    df = spark.createDataFrame([(FULL,), (PLAIN,), (P.NEW_SIDECAR,), ("<a/>",)], "t string")
     got = [r[0] for r in df.select(sidecars.rewrite_sidecar(F.col("t"), F.lit(3), F.lit("Pick"))).collect()]
     assert got[0] == FULL.replace('xmp:Rating="1"', 'xmp:Rating="3"').replace(
         'my:thing="k $1 \\1">', 'my:thing="k $1 \\1"\n    xmp:Label="Pick">')

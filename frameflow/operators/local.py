@@ -73,13 +73,20 @@ def each(fn: Callable[[pd.DataFrame], pd.DataFrame]):
 
 
 def stack(vectors) -> np.ndarray:
-    """Vectors as rows of unit length; unknown or zero ones become NaN rows."""
-    lengths = np.array([-1 if v is None else len(v) for v in vectors])
-    dim = max(int(lengths.max(initial=1)), 1)
-    out = np.full((len(vectors), dim), np.nan)
-    full = np.flatnonzero(lengths == dim)
-    if len(full):
-        rows = np.array([vectors[i] for i in full], dtype=np.float64)
+    """Vectors as rows of unit length; unknown or zero ones become NaN rows.
+
+    Vectors of different length get columns of their own, so their product is 0:
+    nothing is known about how similar they are.
+    """
+    lengths = np.array([0 if v is None else len(v) for v in vectors], dtype=int)
+    sizes = [int(n) for n in np.unique(lengths) if n]
+    out = np.full((len(vectors), max(sum(sizes), 1)), np.nan)
+    left = 0
+    for size in sizes:
+        at = np.flatnonzero(lengths == size)
+        rows = np.array([vectors[i] for i in at], dtype=np.float64)
         norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-        out[full] = rows / np.where(norms > 0, norms, np.nan)[:, None]
+        out[at] = np.where(norms > 0, 0.0, np.nan)[:, None]
+        out[at, left:left + size] = rows / np.where(norms > 0, norms, np.nan)[:, None]
+        left += size
     return out

@@ -149,12 +149,16 @@ class _DriftFold:
         self.keys, self.key, self.vec, self.limit = list(keys), key, vec, limit
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = anchor_id = anchor = None
+        group = anchor_id = raw = None
         fresh = False  # the next row directly follows the anchor
         for batch in batches:
             if batch.empty:
                 continue
-            units = stack(batch[self.vec].tolist())
+            vectors = batch[self.vec].tolist()
+            given = "_anchor_id" in batch
+            # the anchor of the batch before, the rows, and anchors handed in
+            units = stack([raw, *vectors, *(batch["_anchor"].tolist() if given else [])])
+            anchor, units, handed = units[0], units[1:len(batch) + 1], units[len(batch) + 1:]
             ids = batch[self.key].to_numpy()
             sealed = batch["is_bracket"].to_numpy()
             starts = batch["boundary"].to_numpy()
@@ -163,13 +167,12 @@ class _DriftFold:
             for i in range(len(batch)):
                 if group_keys[i] != group:
                     group, anchor_id = group_keys[i], None
-                    if not starts[i] and "_anchor_id" in batch:
-                        anchor_id = batch["_anchor_id"].iat[i]
-                        anchor = stack([batch["_anchor"].iat[i]])[0]
-                        fresh = bool(batch["_fresh"].iat[i])
+                    if not starts[i] and given:
+                        anchor_id, anchor = batch["_anchor_id"].iat[i], handed[i]
+                        raw, fresh = batch["_anchor"].iat[i], bool(batch["_fresh"].iat[i])
                 if starts[i] or (anchor_id is not None and not sealed[i] and not fresh
                                  and self._drifted(anchor, units[i])):
-                    anchor_id, anchor, fresh = ids[i], units[i], True
+                    anchor_id, anchor, raw, fresh = ids[i], units[i], vectors[i], True
                 else:
                     fresh = False
                 shots[i] = anchor_id
@@ -179,8 +182,6 @@ class _DriftFold:
             yield out.assign(**kept, shot_id=pd.Series(shots, index=batch.index))
 
     def _drifted(self, anchor, unit) -> bool:
-        if len(anchor) != len(unit):
-            return 1.0 > self.limit
         cosine = float(anchor @ unit)
         return (1.0 if np.isnan(cosine) else 1.0 - cosine) > self.limit
 

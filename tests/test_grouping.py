@@ -97,7 +97,7 @@ def test_shoots_do_not_mix(spark):
 
 
 def _dist(a, b):
-    if a is None or b is None:
+    if a is None or b is None or len(a) != len(b):
         return 1.0
     dot = sum(x * y for x, y in zip(a, b))
     return 1.0 - dot / (math.hypot(*a) * math.hypot(*b))
@@ -141,7 +141,8 @@ def random_shoot(rnd, shoot, n, base):
     for i in range(n):
         t += rnd.choice([.3, .5, 1, 1.9, 2.5, 9])
         angle += rnd.choice([0, 0, .05, .12, .3, -.2, .6])
-        emb = None if rnd.random() < .03 else (math.cos(angle), math.sin(angle), 0.0)
+        emb = (math.cos(angle), math.sin(angle), 0.0)[:2 if rnd.random() < .2 else 3]
+        emb = None if rnd.random() < .03 else emb
         rows.append(photo(base + i, t, emb=emb, bias=float(rnd.choice([-2, 0, 0, 2, 1])), faces=rnd.choice([1, 1, 2]),
                           profile=["event", "street", "landscape"][shoot % 3], shoot=shoot))
     return rows

@@ -44,31 +44,41 @@ def neighbour_rule(limits: P.ShotThresholds) -> str:
  OR (face_count <> p_faces AND step_dist > {limits.corroboration}))"""
 
 
-SEGMENTS_SQL = f"""{RUNS_SQL},
+MARKED_SQL = f"""{RUNS_SQL},
 marked AS (SELECT r.*, s.run AS bracket FROM runs r LEFT JOIN run_stats s
  ON s.shoot_id = r.shoot_id AND s.run = r.run AND s.valid),
-before AS (SELECT *, lag(bracket) OVER (PARTITION BY shoot_id ORDER BY rn) AS p_bracket FROM marked),
-segments AS (SELECT *, rn = 1 OR bracket IS DISTINCT FROM p_bracket
- OR (bracket IS NULL AND {neighbour_rule(P.DEFAULT_SHOT)}) AS boundary FROM before),
-numbered_segments AS (SELECT *, SUM(CASE WHEN boundary THEN 1 ELSE 0 END)
- OVER (PARTITION BY shoot_id ORDER BY rn) AS seg FROM segments)"""
-
-# The drift rule walks every segment one frame per step, all segments at once.
-SHOTS_SQL = f"""{SEGMENTS_SQL},
-placed AS (SELECT *, row_number() OVER (PARTITION BY shoot_id, seg ORDER BY rn) AS k
- FROM numbered_segments),
-walk AS (
+before AS (SELECT *, lag(bracket) OVER (PARTITION BY shoot_id ORDER BY rn) AS p_bracket FROM marked)"""
+
+
+def segments_sql(limits: P.ShotThresholds, tag: str = "") -> str:
+    return f"""segments{tag} AS (SELECT *, rn = 1 OR bracket IS DISTINCT FROM p_bracket
+ OR (bracket IS NULL AND {neighbour_rule(limits)}) AS boundary FROM before),
+numbered_segments{tag} AS (SELECT *, SUM(CASE WHEN boundary THEN 1 ELSE 0 END)
+ OVER (PARTITION BY shoot_id ORDER BY rn) AS seg FROM segments{tag})"""
+
+
+def shots_sql(limits: P.ShotThresholds, tag: str = "") -> str:
+    """CTEs ending in `shots`; the drift rule walks every segment one frame per
+    step, all segments at once."""
+    return f"""{segments_sql(limits, tag)},
+placed{tag} AS (SELECT *, row_number() OVER (PARTITION BY shoot_id, seg ORDER BY rn) AS k
+ FROM numbered_segments{tag}),
+walk{tag} AS (
  SELECT shoot_id, seg, k, photo_id, t_ms, bracket, photo_id AS shot_id, vx0, vy0, no_vec, TRUE AS fresh
- FROM placed WHERE k = 1
+ FROM placed{tag} WHERE k = 1
  UNION ALL
  SELECT shoot_id, seg, k, photo_id, t_ms, bracket,
   CASE WHEN split THEN photo_id ELSE shot_id END, CASE WHEN split THEN bx ELSE ax END,
   CASE WHEN split THEN by0 ELSE ay END, CASE WHEN split THEN b_no ELSE a_no END, split
  FROM (SELECT b.shoot_id, b.seg, b.k, b.photo_id, b.t_ms, b.bracket, a.shot_id, a.vx0 AS ax,
   a.vy0 AS ay, a.no_vec AS a_no, b.vx0 AS bx, b.vy0 AS by0, b.no_vec AS b_no,
-  b.bracket IS NULL AND NOT a.fresh AND {distance_sql('a', 'b')} > {P.DEFAULT_SHOT.anchor} AS split
-  FROM walk a JOIN placed b ON b.shoot_id = a.shoot_id AND b.seg = a.seg AND b.k = a.k + 1)),
-shots AS (SELECT shoot_id, photo_id, t_ms, bracket IS NOT NULL AS is_bracket, shot_id FROM walk)"""
+  b.bracket IS NULL AND NOT a.fresh AND {distance_sql('a', 'b')} > {limits.anchor} AS split
+  FROM walk{tag} a JOIN placed{tag} b ON b.shoot_id = a.shoot_id AND b.seg = a.seg AND b.k = a.k + 1)),
+shots{tag} AS (SELECT shoot_id, photo_id, t_ms, bracket IS NOT NULL AS is_bracket, shot_id FROM walk{tag})"""
+
+
+SEGMENTS_SQL = f"{MARKED_SQL},\n{segments_sql(P.DEFAULT_SHOT)}"
+SHOTS_SQL = f"{MARKED_SQL},\n{shots_sql(P.DEFAULT_SHOT)}"
 
 _NEAR = f"""(has_saliency AND abs(x + w / 2 - (sal_x + {num(0.2)} / 2)) < {P.SUBJECT_REACH}
  AND abs(y + h / 2 - (sal_y + {num(0.2)} / 2)) < {P.SUBJECT_REACH})"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..operators import agreement, corrections, lookups, progress, segments, shots
 from ..operators.ordered import row_numbers
-from .checks import (RUNS_SQL, SCENE_RULE, SEGMENTS_SQL, SHOTS_SQL, neighbour_rule)
+from .checks import (MARKED_SQL, RUNS_SQL, SCENE_RULE, SEGMENTS_SQL, SHOTS_SQL, neighbour_rule,
+                     shots_sql)
 from .frames import FRAMES_SQL, STEPS_SQL, frames, table
 from .registry import query
 
@@ -119,7 +120,15 @@ def sweep_segments(spark, sf_dir):
     return shots.sweep_boundaries(frames(spark, sf_dir), P.SHOT_SWEEP, "t20")
 
 
-@query("shot_sweep")
+_SWEPT = ",\n".join(shots_sql(limits, f"_{name}") for name, limits in P.SHOT_SWEEP.items())
+_COUNTED = " UNION ALL ".join(f"""SELECT '{name}' AS param_id, g.groups, g.singletons, a.agreement FROM
+ (SELECT COUNT(*) AS groups, CAST(SUM(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS singletons FROM
+ (SELECT COUNT(*) AS n FROM shots_{name} GROUP BY shoot_id, shot_id)) g,
+ (SELECT round(AVG(CASE WHEN (s.shot_id = s.photo_id) = (b.shot_id = b.photo_id) THEN 1.0 ELSE 0.0 END), 6)
+ AS agreement FROM shots_{name} s JOIN shots_t20 b USING (photo_id)) a""" for name in P.SHOT_SWEEP)
+
+
+@query("shot_sweep", f"WITH RECURSIVE {MARKED_SQL},\n{_SWEPT} {_COUNTED}")
 def shot_sweep(spark, sf_dir):
     return shots.shot_sweep(frames(spark, sf_dir), P.SHOT_SWEEP, "t20")
 

@@ -107,10 +107,23 @@ def match_detections(spark, sf_dir):
     return detections.match_detections(a, b, ["photo_id"], "idx")
 
 
-@query("nms")
+# boxes of an image best first; each step looks at one box of every image
+_OVERLAP = """greatest(0.0, least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x))
+ * greatest(0.0, least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y))"""
+
+
+@query("nms", f"""WITH RECURSIVE {FRAMES_SQL}, {FACES_SQL}, boxes AS (SELECT photo_id // 4 AS image, photo_id * 10 + idx AS box_id,
+ capture_quality, x, y, w, h FROM faces WHERE capture_quality IS NOT NULL), ranked AS (SELECT *, row_number() OVER (PARTITION BY
+ image ORDER BY capture_quality DESC, box_id) AS k FROM boxes), walk AS (SELECT image, k, box_id, capture_quality, TRUE AS keep,
+ [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM ranked WHERE k = 1 UNION ALL SELECT image, k, box_id, capture_quality, keep,
+ CASE WHEN keep THEN list_append(kept, me) ELSE kept END FROM (SELECT b.image, b.k, b.box_id, b.capture_quality, a.kept,
+ {{'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}} AS me, len(list_filter(a.kept, lambda q: {_OVERLAP} >= 0.4 * (q.w * q.h + b.w * b.h -
+ {_OVERLAP}))) = 0 AS keep FROM walk a JOIN ranked b ON b.image = a.image AND b.k = a.k + 1)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY capture_quality DESC, box_id) AS rn FROM walk WHERE keep)
+ SELECT image, box_id, capture_quality FROM best WHERE rn <= 16""")
 def nms(spark, sf_dir):
     rows = faces(spark, sf_dir).where("capture_quality IS NOT NULL").withColumn(
-        "image", F.floor(F.col("photo_id") / 4)).withColumn("box_id", F.col("photo_id") * 10 + F.col("idx"))
+        "image", F.expr("photo_id div 4")).withColumn("box_id", F.col("photo_id") * 10 + F.col("idx"))
     return detections.nms(rows, ["image"], "box_id", score="capture_quality")
 
 

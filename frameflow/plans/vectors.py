@@ -101,7 +101,17 @@ def iou_pairs(spark, sf_dir):
     return detections.iou_pairs(a, b, ["photo_id"], "idx").withColumn("iou", F.round("iou", 6))
 
 
-@query("match_detections")
+@query("match_detections", f"""WITH RECURSIVE {_BOTH_SQL}, pairs AS (SELECT photo_id, key_a, list(key_b ORDER BY key_b) AS cand
+ FROM (SELECT a.photo_id, a.idx AS key_a, b.idx AS key_b, {_IOU_SQL} AS i, a.w * a.h + b.w * b.h AS s FROM a JOIN b
+ USING (photo_id)) WHERE s - i > 0 AND i / (s - i) >= 0.3 GROUP BY photo_id, key_a),
+ asked AS (SELECT a.photo_id, a.idx AS key_a, COALESCE(cand, []) AS cand, row_number() OVER (PARTITION BY a.photo_id
+ ORDER BY a.idx) AS k FROM a LEFT JOIN pairs p ON p.photo_id = a.photo_id AND p.key_a = a.idx),
+ walk AS (SELECT photo_id, key_a, k, cand[1] AS key_b, cand[1:1] AS used FROM asked WHERE k = 1 UNION ALL
+ SELECT photo_id, key_a, k, free[1], list_concat(used, free[1:1]) FROM (SELECT n.photo_id, n.key_a, n.k, w.used,
+ list_filter(n.cand, lambda c: NOT list_contains(w.used, c)) AS free FROM walk w JOIN asked n ON n.photo_id = w.photo_id
+ AND n.k = w.k + 1))
+ SELECT photo_id, key_a, key_b FROM walk UNION ALL SELECT b.photo_id, NULL, b.idx FROM b LEFT JOIN walk w
+ ON w.photo_id = b.photo_id AND w.key_b = b.idx WHERE w.photo_id IS NULL""")
 def match_detections(spark, sf_dir):
     a, b = _detectors(spark, sf_dir)
     return detections.match_detections(a, b, ["photo_id"], "idx")

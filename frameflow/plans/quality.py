@@ -283,7 +283,19 @@ def coverage_gaps(spark, sf_dir):
     return selection.coverage_gaps(entries, persons, "photo_id", "person", "shoot_id").drop("first_seen")
 
 
-@query("coverage_guard")
+@query("coverage_guard", f"""WITH RECURSIVE {_ENTRIES_SQL}, seen AS (SELECT * FROM persons JOIN entries USING (photo_id)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY shoot_id, person ORDER BY user_override, total DESC, photo_id)
+ AS rn, bool_or(state <> 'reject') OVER (PARTITION BY shoot_id, person) AS covered FROM seen),
+ info AS (SELECT shoot_id, person, MIN(photo_id) AS first_seen, list(photo_id) AS mine FROM seen GROUP BY shoot_id, person),
+ asked AS (SELECT shoot_id, person, photo_id AS best, mine, row_number() OVER (PARTITION BY shoot_id ORDER BY first_seen,
+ person) AS k FROM best JOIN info USING (shoot_id, person) WHERE rn = 1 AND NOT covered AND NOT user_override),
+ walk AS (SELECT shoot_id, k, best, TRUE AS promote, [best] AS done FROM asked WHERE k = 1 UNION ALL
+ SELECT shoot_id, k, best, promote, CASE WHEN promote THEN list_append(done, best) ELSE done END FROM (SELECT n.shoot_id,
+ n.k, n.best, w.done, NOT list_has_any(n.mine, w.done) AS promote FROM walk w JOIN asked n ON n.shoot_id = w.shoot_id
+ AND n.k = w.k + 1)), lifted AS (SELECT DISTINCT best FROM walk WHERE promote)
+ SELECT shoot_id, photo_id, CASE WHEN best IS NOT NULL THEN 'pick' ELSE state END AS state,
+ CASE WHEN best IS NOT NULL THEN 'coverage_guard' ELSE '' END AS reason_code
+ FROM entries LEFT JOIN lifted ON best = photo_id""")
 def coverage_guard(spark, sf_dir):
     entries, persons = _entries(spark, sf_dir)
     entries = entries.withColumns({"reason": F.lit(""), "reason_code": F.lit("")})

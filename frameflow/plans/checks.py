@@ -152,11 +152,13 @@ _VALUES = {
 }
 
 
-def score_sql(source: str = "flags") -> str:
+def score_sql(source: str = "flags", in_bracket: str = "FALSE") -> str:
     """CTEs ending in `scores`: metrics, total and hint for the rows of source."""
     metrics = P.METRICS
+    sealed = {"exposure": f"CASE WHEN {in_bracket} THEN NULL ELSE {_VALUES['exposure']} END"}
+    measured = {**_VALUES, **sealed}
     weights = ",\n ".join(f"{_weight(m)} AS w_{m}" for m in metrics)
-    values = ",\n ".join(f"CASE WHEN w_{m} IS NOT NULL THEN {_VALUES[m]} END AS {m}" for m in metrics)
+    values = ",\n ".join(f"CASE WHEN w_{m} IS NOT NULL THEN {measured[m]} END AS {m}" for m in metrics)
     live = " + ".join(f"(CASE WHEN {m} IS NOT NULL THEN w_{m} ELSE 0 END)" for m in metrics)
     total = " + ".join(
         f"COALESCE({m} * (CASE WHEN live_weight > 0 THEN w_{m} / live_weight END), {num(0)})"
@@ -168,3 +170,50 @@ scores AS (SELECT *, {half_up(total, 4)} AS total,
  CASE WHEN profile <> 'landscape' AND n_faces = 0 THEN 'no_faces_detail_shot'
   WHEN profile <> 'landscape' AND n_faces >= {P.GROUP_SHOT_FACES} THEN 'group_shot' END AS hint
  FROM lived)"""
+
+
+def keep_sql() -> str:
+    return "CASE profile " + " ".join(
+        f"WHEN '{name}' THEN greatest(1, least({cap}, ceil(size * {num(rate)})))"
+        for name, (rate, cap) in P.KEEP_RATES.items()) + " END"
+
+
+_SIM = """CASE WHEN r.u OR pick.u THEN 0.0 ELSE (r.x * pick.x + r.y * pick.y)
+ / (sqrt(r.x * r.x + r.y * r.y) * sqrt(pick.x * pick.x + pick.y * pick.y)) END"""
+
+
+def diverse_sql(source: str, key: str) -> str:
+    """CTE `diverse` (key, photo_id, rank): a walk that takes one row of every
+    group per step. source: key columns, photo_id, total, x, y, no_vec."""
+    return f"""diverse AS (SELECT {key}, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS photo_id,
+ list({{'t': total, 'n': -photo_id, 'x': x, 'y': y, 'u': no_vec, 'm': CAST(NULL AS DOUBLE)}}) AS rest FROM {source}
+ GROUP BY {key} UNION ALL SELECT {key}, rank + 1, -pick.n, list_transform(list_filter(rest, lambda r: r.n <> pick.n),
+ lambda r: {{'t': r.t, 'n': r.n, 'x': r.x, 'y': r.y, 'u': r.u, 'm': greatest(r.m, {_SIM})}}) FROM (SELECT {key}, rank, rest,
+ list_max(list_transform(rest, lambda r: {{'v': CASE WHEN r.m IS NULL THEN r.t ELSE r.t - {P.DIVERSITY_LAMBDA} * r.m END,
+ 't': r.t, 'n': r.n, 'x': r.x, 'y': r.y, 'u': r.u}})) AS pick FROM diverse WHERE len(rest) > 0))"""
+
+
+# The whole chain: shots, scores with bracket frames marked, ranks, states.
+SELECTION_SQL = f"""{SHOTS_SQL}, {SUBJECT_SQL.replace(FRAMES_SQL + ', ', '', 1)},
+tagged AS (SELECT f.*, s.shot_id, s.is_bracket FROM flags f JOIN shots s USING (photo_id)),
+{score_sql('tagged', 'is_bracket')},
+members AS (SELECT s.*, other_blinking AS blinks, CAST(f.vx0 AS DOUBLE) AS x, CAST(f.vy0 AS DOUBLE) AS y, f.no_vec
+ FROM scores s JOIN frames f USING (photo_id)),
+unsealed AS (SELECT *, COUNT(*) OVER g AS size, MAX(blinks) OVER g AS group_blinks FROM members WHERE NOT is_bracket
+ WINDOW g AS (PARTITION BY shoot_id, shot_id)),
+{diverse_sql('unsealed', 'shoot_id, shot_id')},
+ordered AS (SELECT u.*, row_number() OVER (PARTITION BY u.shoot_id, u.shot_id ORDER BY CASE WHEN group_blinks > 0 THEN
+ blinks ELSE 0 END, CASE WHEN group_blinks > 0 THEN -total ELSE 0 END, d.rank) AS rnk FROM unsealed u JOIN diverse d
+ ON d.shoot_id = u.shoot_id AND d.shot_id = u.shot_id AND d.photo_id = u.photo_id),
+topped AS (SELECT r.*, t.total AS top_total, {keep_sql()} AS keep, CASE WHEN r.no_vec OR t.no_vec THEN 0.0 ELSE
+ (r.x * t.x + r.y * t.y) / (sqrt(r.x * r.x + r.y * r.y) * sqrt(t.x * t.x + t.y * t.y)) END AS similarity
+ FROM ordered r JOIN (SELECT shoot_id, shot_id, total, x, y, no_vec FROM ordered WHERE rnk = 1) t
+ USING (shoot_id, shot_id)),
+states AS (SELECT *, top_total < {P.QUALITY_FLOOR} AS no_good, CASE WHEN top_total < {P.QUALITY_FLOOR} THEN 'alt'
+ WHEN rnk <= keep THEN 'pick' WHEN rnk <= keep + {P.ALT_COUNT} THEN 'alt' ELSE 'reject' END AS state FROM topped),
+entries AS (SELECT shoot_id, shot_id, photo_id, state, rnk AS rank, no_good, CASE WHEN size = 1 AND no_good THEN
+ 'only_below_floor' WHEN size = 1 THEN 'only_frame' WHEN no_good THEN 'no_good_frame' WHEN state = 'pick' AND rnk = 1
+ THEN 'best' WHEN state = 'pick' THEN 'diversity_pick' WHEN state = 'alt' THEN 'runner_up'
+ WHEN eyes_open < {P.EYES_CLOSED_BELOW} THEN 'eyes_closed' WHEN eye_focus < {P.FOCUS_MISSED_BELOW} THEN 'focus_missed'
+ WHEN similarity > {P.NEAR_DUPLICATE_ABOVE} THEN 'near_duplicate' ELSE 'outscored' END AS reason_code FROM states
+ UNION ALL SELECT shoot_id, shot_id, photo_id, 'pick', NULL, FALSE, 'bracket' FROM members WHERE is_bracket)"""

@@ -11,7 +11,7 @@ from ..operators import lookups, measure, scoring, selection, shots
 from ..operators.flags import flag_columns
 from ..operators.ordered import row_numbers
 from ..runtime import checkpoint
-from .checks import FRAMES_SQL, SHOTS_SQL, SUBJECT_SQL, half_up, num, piecewise_sql, score_sql
+from .checks import FRAMES_SQL, SELECTION_SQL, SHOTS_SQL, SUBJECT_SQL, diverse_sql, half_up, num, piecewise_sql, score_sql
 from .frames import FACES_SQL, PHOTOS_SQL, faces, frames, photos, table
 from .registry import query
 
@@ -322,9 +322,9 @@ def propose(spark, sf_dir):
     return selection.select_frames(members, ["shoot_id", "shot_id"], "photo_id")
 
 
-@query("selection")
+@query("selection", f"WITH RECURSIVE {SELECTION_SQL} SELECT * FROM entries")
 def full_selection(spark, sf_dir):
-    return propose(spark, sf_dir)
+    return propose(spark, sf_dir).drop("reason")
 
 
 @query("selection_states", f"""WITH RECURSIVE {SHOTS_SQL}, members AS (SELECT *, COUNT(*) OVER (PARTITION BY shoot_id,
@@ -341,18 +341,11 @@ def selection_states(spark, sf_dir):
 # totals differ within a group, so no order hangs on the last bit of a similarity
 _GROUPED = """photo_id, photo_id {div} 20 AS group_id,
  CAST(cents % 101 AS DOUBLE) / 100 + CAST(photo_id % 1000 AS DOUBLE) / 1000000 AS total"""
-_SIM = """CASE WHEN r.u OR pick.u THEN 0.0 ELSE (r.x * pick.x + r.y * pick.y)
- / (sqrt(r.x * r.x + r.y * r.y) * sqrt(pick.x * pick.x + pick.y * pick.y)) END"""
 
 
 @query("diversity_rank", f"""WITH RECURSIVE {FRAMES_SQL}, c AS (SELECT {_GROUPED.format(div='//')}, CAST(vx0 AS DOUBLE) AS x,
- CAST(vy0 AS DOUBLE) AS y, no_vec FROM frames), walk AS (SELECT group_id, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT)
- AS photo_id, list({{'t': total, 'n': -photo_id, 'x': x, 'y': y, 'u': no_vec, 'm': CAST(NULL AS DOUBLE)}}) AS rest FROM c
- GROUP BY group_id UNION ALL SELECT group_id, rank + 1, -pick.n, list_transform(list_filter(rest, lambda r: r.n <> pick.n),
- lambda r: {{'t': r.t, 'n': r.n, 'x': r.x, 'y': r.y, 'u': r.u, 'm': greatest(r.m, {_SIM})}}) FROM (SELECT group_id, rank, rest,
- list_max(list_transform(rest, lambda r: {{'v': CASE WHEN r.m IS NULL THEN r.t ELSE r.t - 0.25 * r.m END, 't': r.t, 'n': r.n,
- 'x': r.x, 'y': r.y, 'u': r.u}})) AS pick FROM walk WHERE len(rest) > 0))
- SELECT group_id, photo_id, rank FROM walk WHERE rank > 0""")
+ CAST(vy0 AS DOUBLE) AS y, no_vec FROM frames), {diverse_sql('c', 'group_id')}
+ SELECT group_id, photo_id, rank FROM diverse WHERE rank > 0""")
 def diversity_rank(spark, sf_dir):
     rows = frames(spark, sf_dir).selectExpr(*_GROUPED.format(div="div").split(","), "vec")
     return selection.rank_diverse(rows, ["group_id"], "photo_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substrings
+from . import curve, ngrams, packing, quality, substrings, templates, wavelet
 from ..plans.registry import query
 
 
@@ -17,3 +17,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op6_hilbert_sharding")
+def hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.assign(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"])
+
+
+@query("op8_wavelet_matrix")
+def wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = wavelet.shard_folder(spark)
+    wavelet.write_shards(table(spark, sf_dir, "documents"), folder)
+    return wavelet.read_shards(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+@query("op5_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.verdicts(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
+LEAKS_SQL = f"""
+WITH RECURSIVE units AS (SELECT unnest([{', '.join(f"'{u}'" for u in templates.UNITS)}]) AS unit),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+split AS (SELECT side, id, list_filter(string_split(trim(regexp_replace(
+              regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\s]+', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM texts),
+starts AS (SELECT side, id, words, least(len(words), {templates.WINDOW}) AS n FROM split WHERE len(words) >= {templates.LITERAL}
+             AND (side = 'b' OR len(words) >= {templates.LITERAL})),
+sizes AS (SELECT DISTINCT n FROM starts WHERE side = 'b'),
+cut AS (SELECT side, id, n, i AS place, len(words) - n + 1 AS total, words[i + 1:i + n] AS w
+        FROM (SELECT s.side, s.id, s.words, z.n FROM starts s JOIN sizes z ON CASE WHEN s.side = 'b' THEN s.n = z.n ELSE len(s.words) >= z.n END) s,
+             unnest(range(0, len(words) - n + 1)) AS r(i)),
+shaped AS (SELECT *, list_transform(range(1, n + 1), lambda j: CASE
+    WHEN regexp_matches(w[j], '^\\p{{N}}+$') THEN '<num>'
+    WHEN regexp_matches(w[j], '^\\p{{N}}+\\p{{L}}+$') THEN '<num-unit>'
+    WHEN j > 1 AND list_contains((SELECT list(unit) FROM units), lower(w[j])) AND regexp_matches(w[j - 1], '^\\p{{N}}+$') THEN '<unit>'
+    WHEN regexp_matches(w[j], '^\\p{{Lu}}') THEN '<name>' ELSE lower(w[j]) END) AS shape FROM cut),
+b AS (SELECT * FROM shaped WHERE side = 'b' AND len(list_filter(shape, lambda t: NOT starts_with(t, '<'))) >= {templates.LITERAL}),
+pairs AS (SELECT d.id AS doc_id, b.id AS item_id, b.place, b.total, d.w AS dw, b.w AS bw, d.shape, d.n
+          FROM shaped d JOIN b ON d.side = 'd' AND d.shape = b.shape),
+slots AS (SELECT *, list_filter(range(1, n + 1), lambda j: starts_with(shape[j], '<')) AS s FROM pairs),
+ok AS (SELECT doc_id, item_id, place, total,
+              list_transform(dw, lambda x: lower(x)) = list_transform(bw, lambda x: lower(x)) AS same FROM slots
+       WHERE len(list_distinct(list_transform(s, lambda j: shape[j] || chr(9) || dw[j] || chr(9) || bw[j])))
+           = len(list_distinct(list_transform(s, lambda j: shape[j] || chr(9) || dw[j])))
+         AND len(list_distinct(list_transform(s, lambda j: shape[j] || chr(9) || dw[j] || chr(9) || bw[j])))
+           = len(list_distinct(list_transform(s, lambda j: shape[j] || chr(9) || bw[j])))),
+seen AS (SELECT doc_id, item_id, place, max(total) AS total, bool_or(same) AS same FROM ok GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, count(*) AS n_windows, max(total)::BIGINT AS item_windows, bool_and(same) AS exact FROM seen GROUP BY 1, 2
+"""
+
+
+@query("op9_benchmark_decontamination", LEAKS_SQL)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_groups(table(spark, sf_dir, "documents"))

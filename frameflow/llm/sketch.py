@@ -1,6 +1,6 @@
 """Count-min sketches of keys, one per group of documents, merged slice by slice.
 
-A sketch has ROWS rows of 2**bits counters. A group's sketch is sparse: the sorted
+A sketch has a few rows of 2**bits counters. A group's sketch is sparse: the sorted
 indices of its counters that aren't zero, and their counts (saturating at 255). All
 groups' counters of one slice of a row meet in one task, which adds them up and answers
 each group for the counters that it sent: the merged count, 0 standing for 1. A merged
@@ -40,11 +40,11 @@ def slice_starts(n: int, bits: int) -> np.ndarray:
     return np.array([(s << bits) // n for s in range(n + 1)], np.int64)
 
 
-def sent_rows(g: int, hashes: np.ndarray, n_slices: int, bits: int) -> pa.Table:
+def sent_rows(g: int, hashes: np.ndarray, n_slices: int, bits: int, rows: int = ROWS) -> pa.Table:
     """A group's sketch of `hashes`, one row per sketch row and slice."""
     out: dict[str, list] = {name: [] for name in SENT.names}
     starts = slice_starts(n_slices, bits)
-    for row in range(ROWS):
+    for row in range(rows):
         index, count = np.unique(counters(hashes, row, bits), return_counts=True)
         index, count = index.astype(np.int64), np.minimum(count, 255).astype(np.uint8)
         edge = np.searchsorted(index, starts)
@@ -67,11 +67,11 @@ def merge_slice(table: pa.Table) -> pa.Table:
                      "n": [x.tobytes() for x in answers]}, schema=REPLY)
 
 
-def merged_counts(hashes: np.ndarray, replies: pa.Table, bits: int) -> np.ndarray:
+def merged_counts(hashes: np.ndarray, replies: pa.Table, bits: int, rows: int = ROWS) -> np.ndarray:
     """For each of the group's keys the smallest of its merged counters (0 for 1; 255 and
     more as 255). `hashes` are those that the group's sketch was made of."""
     least = np.full(len(hashes), 255, np.uint8)
-    for row in range(ROWS):
+    for row in range(rows):
         _, inverse = np.unique(counters(hashes, row, bits), return_inverse=True)
         mine = [(s, n) for r, s, n in zip(*(replies[c].to_pylist() for c in ("_row", "_slice", "n")), strict=True) if r == row]
         merged = np.frombuffer(b"".join(n for _, n in sorted(mine)), np.uint8)
@@ -80,10 +80,11 @@ def merged_counts(hashes: np.ndarray, replies: pa.Table, bits: int) -> np.ndarra
     return least
 
 
-def corpus_sketch(groups: DataFrame, keys: Callable[[pa.Table], np.ndarray], n_slices: int, bits: int) -> DataFrame:
+def corpus_sketch(groups: DataFrame, keys: Callable[[pa.Table], np.ndarray], n_slices: int, bits: int,
+                  rows: int = ROWS) -> DataFrame:
     """Answers (`REPLY`) for each group of `groups` (_g, ...); `keys` takes the hashes
     of a group's rows and must give the same ones whenever it is called."""
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        return sent_rows(key[0].as_py(), keys(table), n_slices, bits)
+        return sent_rows(key[0].as_py(), keys(table), n_slices, bits, rows)
     return (groups.groupBy("_g").applyInArrow(send, SENT_DDL)
             .groupBy("_row", "_slice").applyInArrow(merge_slice, REPLY_DDL))

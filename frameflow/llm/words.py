@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from .worker import kept
+
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,12 +35,10 @@ def byte_values(lane: int, lower: bool) -> np.ndarray:
     return values
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def powers(radix: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """radix**i and its inverse modulo 2**64 for i < n, kept between calls."""
-    have = _powers.get(radix)
+    tables = kept("powers", dict)
+    have = tables.get(radix)
     if have is None or len(have[0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         pair = []
@@ -46,7 +46,7 @@ def powers(radix: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.full(size, base, U64)
             out[0] = 1
             pair.append(np.multiply.accumulate(out))
-        have = _powers[radix] = (pair[0], pair[1])
+        have = tables[radix] = (pair[0], pair[1])
     return have[0][:n], have[1][:n]
 
 

@@ -215,7 +215,7 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
             flat = np.concatenate([np.zeros(0, np.int64), *elements])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "elements"])
     postings = checkpoint(posted.where("_slice >= 0").groupBy("_slice").applyInArrow(
-        lambda table: lists(table), "key long, id long, size int, place int"))
+        lists, "key long, id long, size long, place long"))
     classes = posted.where("_slice = -1").select("keys", "ids", "sizes", "places").mapInArrow(
         unpack_rows, "key long, id long, n_shingles long")
     sets = (posted.where("_slice = -2").select("keys", "ids").mapInArrow(unpack_sets, "id long, elements array<long>")

@@ -22,7 +22,7 @@ from .tokens import byte_encoder
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces longer than 1 / SMALL of a sequence count as large; they form up to GROUPS groups.
-SMALL, GROUPS = 8, 64
+SMALL, GROUPS = 8, 80
 #: Pieces of one length are numbered in this many parts, so that no length is one task.
 PARTS = 64
 
@@ -66,7 +66,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     for _ in range(20 * len(sizes)):
         worth = np.linalg.solve(basis.T, np.ones(len(sizes)))
         value, column = best_pattern(sizes, worth, capacity)
-        if value <= 1 + 1e-6:
+        if value <= 1 + 1e-3:
             break
         amounts, change = np.linalg.solve(basis, demand), np.linalg.solve(basis, column)
         ratio = np.where(change > 1e-9, np.maximum(amounts, 0) / np.maximum(change, 1e-9), np.inf)

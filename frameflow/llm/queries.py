@@ -46,7 +46,7 @@ LEAKS_SQL = f"""
 WITH RECURSIVE units AS (SELECT unnest([{', '.join(f"'{u}'" for u in templates.UNITS)}]) AS unit),
 texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 split AS (SELECT side, id, list_filter(string_split(trim(regexp_replace(
-              regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\s]+', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM texts),
+              regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\p{{M}} \\t\\n\\x0B\\f\\r]+', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM texts),
 starts AS (SELECT side, id, words, least(len(words), {templates.WINDOW}) AS n FROM split WHERE len(words) >= {templates.LITERAL}
              AND (side = 'b' OR len(words) >= {templates.LITERAL})),
 sizes AS (SELECT DISTINCT n FROM starts WHERE side = 'b'),

@@ -22,8 +22,8 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t oz lb ml l s ms min h hr hrs sec secs
 
 def words_of(text: Column) -> Column:
     """Words without any sign but letters, marks and digits; words of signs alone vanish."""
-    plain = F.regexp_replace(text.cast("string"), r"[^\p{L}\p{N}\p{M}\s]+", "")
-    return F.split(F.trim(F.regexp_replace(F.coalesce(plain, F.lit("")), r"\s+", " ")), " ")
+    plain = F.regexp_replace(text.cast("string"), r"[^\p{L}\p{N}\p{M} \t\n\x0B\f\r]+", "")
+    return F.split(F.btrim(F.coalesce(plain, F.lit("")), F.lit(" \t\n\x0b\f\r")), r"[ \t\n\x0B\f\r]+")
 
 
 def kind_of(words: Column, i: Column) -> Column:

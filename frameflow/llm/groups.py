@@ -87,6 +87,15 @@ def unpack_ints(packed: bytes) -> np.ndarray:
     return (raw.astype(U64) + U64(low % (1 << 64))).view(np.int64)
 
 
+def pack_planes(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values, byte by byte of all: their high bytes compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
+
+
 def pack_bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 

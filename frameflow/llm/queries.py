@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve, ngrams, packing, quality, substrings, templates, wavelet
+from . import contexts, curve, lines, ngrams, packing, quality, substrings, suffixes, templates, wavelet
 from ..plans.registry import query
 
 
@@ -43,8 +43,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEAKS_SQL = f"""
-WITH RECURSIVE units AS (SELECT unnest([{', '.join(f"'{u}'" for u in templates.UNITS)}]) AS unit),
-texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 split AS (SELECT side, id, list_filter(string_split(trim(regexp_replace(
               regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\p{{M}} \\t\\n\\x0B\\f\\r]+', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM texts),
 starts AS (SELECT side, id, words, least(len(words), {templates.WINDOW}) AS n FROM split WHERE len(words) >= {templates.LITERAL}
@@ -56,7 +55,7 @@ cut AS (SELECT side, id, n, i AS place, len(words) - n + 1 AS total, words[i + 1
 shaped AS (SELECT *, list_transform(range(1, n + 1), lambda j: CASE
     WHEN regexp_matches(w[j], '^\\p{{N}}+$') THEN '<num>'
     WHEN regexp_matches(w[j], '^\\p{{N}}+\\p{{L}}+$') THEN '<num-unit>'
-    WHEN j > 1 AND list_contains((SELECT list(unit) FROM units), lower(w[j])) AND regexp_matches(w[j - 1], '^\\p{{N}}+$') THEN '<unit>'
+    WHEN j > 1 AND list_contains([{', '.join(f"'{u}'" for u in templates.UNITS)}], lower(w[j])) AND regexp_matches(w[j - 1], '^\\p{{N}}+$') THEN '<unit>'
     WHEN regexp_matches(w[j], '^\\p{{Lu}}') THEN '<name>' ELSE lower(w[j]) END) AS shape FROM cut),
 b AS (SELECT * FROM shaped WHERE side = 'b' AND len(list_filter(shape, lambda t: NOT starts_with(t, '<'))) >= {templates.LITERAL}),
 pairs AS (SELECT d.id AS doc_id, b.id AS item_id, b.place, b.total, d.w AS dw, b.w AS bw, d.shape, d.n
@@ -81,3 +80,20 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard")
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_context_tree_scores")
+def context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contexts.score(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), removed="n_removed_lines")
+    return found.select("doc_id", "n_removed_lines", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

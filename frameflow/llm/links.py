@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from ..operators.clusters import connected_components
 from ..runtime import checkpoint
 
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: All pairs are tested at once where they are at most so many for each posting.
+FEW_PAIRS = 4
 
 
 def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-                      verify: Callable[[DataFrame], DataFrame], *, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(id, component) of the linked ids; a component is named by its smallest id.
+                      verify: Callable[[DataFrame], DataFrame], *, star_rounds: int = STAR_ROUNDS) -> DataFrame | None:
+    """(id, component) of the linked ids, a component being named by its smallest id;
+    None if no two are linked.
 
     `postings`: key, id and columns for `may_link`, which says of two rows of a key
     whether a pair is worth a test (it gets both rows' columns by name). `verify` takes
@@ -32,31 +35,40 @@ def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], C
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select("key", *[F.col(c).alias(f"{prefix}_{c}") for c in [*columns, "component"]])
-
-    def tested_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        pairs = left.join(right, "key").where((F.col("x_id") != F.col("y_id")) & (F.col("x_component") != F.col("y_component"))
-                                              & may_link(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
-        return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     edges = components = tested = None
     for step in range(star_rounds + 1):
-        rows = postings.withColumn("component", F.col("id"))
-        if components is not None:
+        if components is None:
+            rows = postings.withColumn("component", F.col("id"))
+        else:
             rows = postings.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if step < star_rounds:
-            # another hub in each round, the same one in all lists that hold it
-            rank = F.struct(F.xxhash64("id", F.lit(step)).alias("r"), *columns, "component")
-            hubs = rows.groupBy("key").agg(F.min(rank).alias("hub"))
-            right = hubs.select("key", *[F.col(f"hub.{c}").alias(f"y_{c}") for c in [*columns, "component"]])
+        # another hub in each round, the same one in all lists that hold it
+        rank = F.struct(F.xxhash64("id", F.lit(step)).alias("r"), *columns, "component")
+        hubs = rows.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        hubs = checkpoint(hubs.where("low <> high"))
+        size = hubs.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
+        if not size[1]:
+            break
+        last = step == star_rounds or size[0] <= FEW_PAIRS * size[1]
+        open_rows = rows.join(hubs.select("key"), "key")
+        if last:
+            right = side(open_rows, "y")
         else:
-            right = side(rows, "y").where(F.lit(True))
-        pairs = tested_pairs(side(rows, "x"), right)
-        if step == star_rounds:
-            # a pair of a list meets twice; the test before need not be repeated
+            right = hubs.select("key", *[F.col(f"hub.{c}").alias(f"y_{c}") for c in [*columns, "component"]])
+        pairs = side(open_rows, "x").join(right, "key").where(
+            (F.col("x_id") != F.col("y_id")) & (F.col("x_component") != F.col("y_component"))
+            & may_link(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
+        if last:  # each pair once, from its smaller side
+            pairs = pairs.where("x_id < y_id")
+        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
-        found = verify(pairs).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        edges = checkpoint(found if edges is None else edges.unionByName(found))
+        found = checkpoint(verify(pairs).select(F.col("a").alias("src"), F.col("b").alias("dst")))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-        components = checkpoint(connected_components(nodes, "id", edges))
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+            components = checkpoint(connected_components(nodes, "id", edges))
+        if last:
+            break
     return components

@@ -237,7 +237,10 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         return both.where(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
     components = linked_components(postings, may_link, verify)
     first = classes.where("n_shingles > 0").groupBy("id").agg(F.min("key").alias("least"))
-    joined = first.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if components is None:
+        joined = first.withColumn("component", F.col("id"))
+    else:
+        joined = first.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(names, "component").select("id", "component_id")
     out = classes.join(named, "id", "left").withColumn(

@@ -83,10 +83,10 @@ def runs_of(texts: Texts, length: int, width: int) -> Runs:
     return Runs(*(np.concatenate(x) for x in found))
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of `text` in the order of what follows them, told apart up to `depth` bytes
-    at least: groups of equal beginnings are refined by the rank of what stands as far
-    behind again, the sorted ones left alone."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Places of `text` in the order of what follows them. Larsson and Sadakane: groups of
+    equal beginnings are refined by the rank of what stands as far behind again, and
+    places that are alone in their group are left as they are."""
     n = len(text)
     padded = np.zeros(n + 8, U64)
     padded[:n] = text.astype(U64) + U64(1)
@@ -99,7 +99,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.flatnonzero(edge)[np.cumsum(edge) - 1]
     known = 7
-    while known < depth:
+    while True:
         alone = edge & np.append(edge[1:], True)
         open_at = np.flatnonzero(~alone)
         if not len(open_at):
@@ -148,7 +148,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, coun
 
 def repeated_windows(text: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     """Which windows, chain after chain, also start at another place of `text`."""
-    order = suffix_array(text, length)
+    order = suffix_array(text)
     shared = common_prefixes(text, order, first, count, length)
     starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     hit = shared >= length

@@ -15,21 +15,29 @@ import numpy as np
 from .worker import kept
 
 #: Segments kept per worker and vocabulary, and the longest that is kept.
-KEPT, KEPT_CHARS = 400_000, 64
+KEPT, KEPT_CHARS = 1_000_000, 32
+ENDINGS = ".,;:!?"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RUN_OF_SPACE = re.compile(r"\s ")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
 class Known(dict):
-    """Segment -> ids as little-endian uint32 bytes; emptied when it is full."""
+    """Segment -> ids as little-endian uint32 bytes; emptied when it is full.
+
+    Signs after letters are words of their own in both vocabularies."""
 
     def __init__(self, encode: Callable[[str], bytes], prefix: str = "") -> None:
         super().__init__()
         self.encode, self.prefix = encode, prefix
+        self.signs = Known(encode) if prefix else self
 
     def __missing__(self, segment: str) -> bytes:
-        ids = self.encode(self.prefix + segment)
+        stem = segment.rstrip(ENDINGS)
+        if len(stem) < len(segment) and stem.isalpha():
+            ids = self[stem] + self.signs[segment[len(stem):]]
+        else:
+            ids = self.encode(self.prefix + segment)
         if len(segment) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()

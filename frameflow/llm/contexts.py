@@ -282,7 +282,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
             parent = level.node >> U64(16) << U64(8) | level.node & U64(255)
             node, inverse = np.unique(parent, return_inverse=True)
             columns = [node.astype(np.int64), *(np.bincount(inverse, x, len(node)).astype(np.int64) for x in (level.zeros, level.ones)),
-                       np.bincount(inverse, level.log_weighted, len(node))]
+                       np.bincount(inverse, level.log_weighted, len(node)).astype(float)]
         return pa.table(dict(zip(("node", "zeros", "ones", "deeper"), (pa.array(c) for c in columns), strict=True)))
     top = (sent.groupBy("_kind", "_slice").applyInArrow(summary, "node long, zeros long, ones long, deeper double")
            .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("deeper").alias("deeper")))
@@ -308,7 +308,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
         tokens, kinds = int(zeros[words].sum()), int(ones[words].sum())
         if group[0].as_py() == 1:
             values = np.log10((count + BASE_ADD) / (tokens + BASE_ADD * (kinds + 1)))
-            values = np.where(count > 0, values, -values)  # above 0: not known
+            values = np.where(count > 0, values, 1 - values)  # above 0: not known
         else:
             levels = subtree(index, count, depth) | top_levels(node[~words].astype(U64), zeros[~words], ones[~words], deeper[~words])
             values = log_probabilities(index, levels, depth)
@@ -326,7 +326,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
             for s, at in split:
                 values[at] = np.frombuffer(said[kind, s], np.float32)
             known = values <= 0
-            values = -np.abs(values)
+            values = np.where(known, values, 1 - values)
             sums.append((np.bincount(owner, values[inverse], m), np.bincount(owner, minlength=m), np.bincount(owner, known[inverse], m).astype(np.int64)))
         (model, *_), (base, tokens, known) = sums
         return pa.table({"key": table["key"], "held_out": table["held"], "n_tokens": tokens.astype(np.int64), "n_known": known,

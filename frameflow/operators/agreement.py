@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpoint
+from ..runtime import checkpoint, join_same
 from .ordered import ordered_rows, row_numbers
 
 
@@ -61,7 +61,7 @@ def percentiles(rows: DataFrame, column: str, key: str, shares, part=()) -> Data
     wanted = n.select(*part, "_n", F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("p"))
     ends = wanted.select(*part, "p", at.alias("_at"), F.explode(F.array(
         F.floor(at) + 1, F.ceil(at) + 1)).alias("_pos")).distinct()
-    joined = (numbered.join(ends, [*part, "_pos"]) if part
+    joined = (join_same(numbered, ends, [*part, "_pos"]) if part
               else numbered.join(F.broadcast(ends), "_pos"))
     low = F.min(F.struct("_pos", column))[column]
     high = F.max(F.struct("_pos", column))[column]
@@ -89,10 +89,10 @@ def weighted_median(rows: DataFrame, part, value: str, weight: str, key: str, *,
     used = rows.where((F.abs(F.col(value)) <= max_abs) & (F.col(weight) > 0))
     running = ordered_rows(used, part, (value, key)).running_sum("_upto", F.col(weight)).result()
     totals = used.groupBy(*part).agg(F.sum(weight).alias("total_weight"))
-    everyone = rows.select(*part).distinct().join(totals, part, "left")
+    everyone = join_same(rows.select(*part).distinct(), totals, part, "left")
     limit = min_total if isinstance(min_total, Column) else F.lit(float(min_total))
-    hits = (running.join(totals, part).where(F.col("_upto") >= F.col("total_weight") / 2)
+    hits = (join_same(running, totals, part).where(F.col("_upto") >= F.col("total_weight") / 2)
             .groupBy(*part).agg(F.min(value).alias("_median")))
-    return everyone.join(hits, part, "left").select(
+    return join_same(everyone, hits, part, "left").select(
         *part, "total_weight",
         F.when(F.col("total_weight") >= limit, F.col("_median")).alias("weighted_median"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,28 +104,43 @@ def override_agreement(rows: DataFrame, engine: str, user: str, part=()) -> Data
 
 
 def refit_weights(rows: DataFrame, metrics, label: str, prior: dict[str, float],
-                  strength: float = 10.0, rounds: int = 25, rate: float = 1.0) -> dict[str, float]:
+                  strength: float = 10.0, most_rounds: int = 100) -> dict[str, float]:
     """Logistic fit of a label on metric values, pulled toward prior weights.
 
-    Gradient steps on mean loss plus strength/n * |w - prior|^2; every step is
-    one aggregation over the table and returns one number per metric. A NULL
-    metric adds nothing, as in the score.
+    Minimises mean loss plus strength/n * |w - prior|^2 by Newton steps, each one
+    aggregation over the table that returns the gradient and the curvature (a number
+    per pair of metrics), until a step no longer moves; an error if that never happens.
+    A NULL metric adds nothing, as in the score.
     """
     metrics = list(metrics)
+    values = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in metrics] + [F.lit(1.0)]
     data = rows.select(*metrics, F.col(label).cast("double").alias("_y")).where("_y IS NOT NULL")
-    weights, bias = dict(prior), 0.0
     n = data.count()
     if n == 0:
-        return weights
-    for _ in range(rounds):
-        z = F.lit(bias)
-        for m in metrics:
-            z = z + F.coalesce(F.col(m), F.lit(0.0)) * weights[m]
-        error = 1 / (1 + F.exp(-z)) - F.col("_y")
-        step = data.agg(F.avg(error).alias("_b"), *[
-            F.avg(error * F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in metrics]).first()
-        bias -= rate * step["_b"]
-        for m in metrics:
-            pull = 2 * strength / n * (weights[m] - prior[m])
-            weights[m] -= rate / (1 + 2 * rate * strength / n) * (step[m] + pull)
-    return weights
+        return dict(prior)
+    goal = np.array([prior[m] for m in metrics] + [0.0])
+    pull = np.array([2 * strength / n] * len(metrics) + [0.0])
+    w = goal.copy()
+    size = len(values)
+
+    def sums(w: np.ndarray):
+        z = sum((v * float(x) for v, x in zip(values, w, strict=True)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-z))
+        loss = F.avg(F.when(z > 0, z + F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z))) - F.col("_y") * z)
+        got = data.agg(loss, *[F.avg((p - F.col("_y")) * v) for v in values],
+                       *[F.avg(p * (1 - p) * values[i] * values[j]) for i in range(size) for j in range(size)]).first()
+        return got[0] + (pull / 2 * (w - goal) ** 2).sum(), np.array(got[1:size + 1]), np.array(got[size + 1:]).reshape(size, size)
+    loss, gradient, curvature = sums(w)
+    for _ in range(most_rounds):
+        step = np.linalg.solve(curvature + np.diag(pull + 1e-9), gradient + pull * (w - goal))
+        if np.abs(step).max() < 1e-9:
+            return dict(zip(metrics, w[:-1].tolist(), strict=True))
+        scale = 1.0
+        while True:  # shorter until the loss falls
+            tried = sums(w - scale * step)
+            if tried[0] <= loss or scale < 1e-6:
+                break
+            scale /= 2
+        w = w - scale * step
+        loss, gradient, curvature = tried
+    raise RuntimeError(f"the fit still moves after {most_rounds} rounds")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..runtime import checkpoint
+from ..runtime import checkpoint, join_same
 from .local import each, map_groups, stack
 from .neighbors import TILE_ROWS, distances, hashed_tile, tile_pairs
 from .ordered import row_numbers
@@ -93,7 +93,8 @@ def cluster_greedy(df: DataFrame, part, order, key: str, vec: str,
 
     The cluster with the smallest distance is the one of the nearest earlier
     row, so each row has one parent and the clusters are the trees. Equally near
-    rows: the latest one. Result: part, key, cluster (key of the first member).
+    rows: the latest one. Result: part, key, cluster (key of the first member; NULL
+    for a row without a vector).
     """
     part = list(part)
     known = df.where(F.col(vec).isNotNull())
@@ -123,18 +124,19 @@ def cluster_greedy(df: DataFrame, part, order, key: str, vec: str,
     found = map_groups(pairs, [*part, "_i", "_j"], ["_pos"], each(nearest_earlier), schema)
     parents = found.groupBy(*part, "_pos").agg(
         F.min_by("_parent", F.struct("_dist", (-F.col("_parent")).alias("p"))).alias("_parent"))
-    links = rows.select(*part, "_pos").join(parents, [*part, "_pos"], "left").withColumn(
+    links = join_same(rows.select(*part, "_pos"), parents, [*part, "_pos"], "left").withColumn(
         "_root", F.coalesce("_parent", "_pos")).drop("_parent")
     links = checkpoint(links)
     while True:  # each round halves the way to the root
         up = links.select(*part, F.col("_pos").alias("_root"), F.col("_root").alias("_up"))
-        joined = checkpoint(links.join(up, [*part, "_root"]))
+        joined = checkpoint(join_same(links, up, [*part, "_root"]))
         if joined.where("_root <> _up").isEmpty():
             break
         links = joined.select(*part, "_pos", F.col("_up").alias("_root"))
     roots = rows.select(*part, F.col("_pos").alias("_root"), F.col(key).alias("cluster"))
-    return (links.join(rows.select(*part, "_pos", key), [*part, "_pos"])
-            .join(roots, [*part, "_root"]).select(*part, key, "cluster"))
+    named = join_same(join_same(links, rows.select(*part, "_pos", key), [*part, "_pos"]), roots, [*part, "_root"])
+    unknown = df.where(F.col(vec).isNull()).select(*part, key, F.lit(None).cast(types[key]).alias("cluster"))
+    return named.select(*part, key, "cluster").unionByName(unknown)
 
 
 def group_poses(photos: DataFrame, part, order, key: str, pose: str = "pose",

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.geometry import iou
-from ..runtime import checkpoint, shuffle_partitions
-from .local import map_groups, oversized
+from ..runtime import checkpoint, join_same, shuffle_partitions
+from .local import known, map_groups, oversized
 
 LOCAL_BOXES = 2048
 # Boxes decided per round of a crowded image; Spark cuts a group to up to 1000
@@ -64,24 +64,26 @@ def _suppress(columns, limit: float):
 
 
 def nms(df: DataFrame, part, key: str, *, box: str = "bbox", score: str = "score",
-        limit: float = P.NMS_IOU, cap: int | None = P.MAX_FACES,
+        limit: float = P.NMS_IOU, cap: int | None = None,
         max_rows: int | None = None, buffer: int = ROUND_BOXES) -> DataFrame:
-    """Kept boxes (part, key, score): best score first, a box overlapping a kept
-    one by `limit` or more is dropped; then the `cap` best of each image."""
+    """Kept boxes (part, key, score): best score first, an unknown one last, a box
+    overlapping a kept one by `limit` or more is dropped; with `cap`, only the best so
+    many of each image stay."""
     part = list(part)
-    rows = _flat(df, part, key, box, (-F.col(score)).alias("_neg"))
+    rows = _flat(df, part, key, box, F.coalesce(-F.col(score).cast("double"), F.lit(float("inf"))).alias("_neg"))
     big = oversized(rows, part, max_rows or LOCAL_BOXES)
     columns = [*part, "_key", "_neg", *_BOX]
     schema = _schema(rows, columns)
-    kept = map_groups(rows if big is None else rows.join(big, part, "left_anti"),
+    kept = map_groups(rows if big is None else join_same(rows, big, part, "left_anti"),
                       part, ["_neg", "_key"], _suppress(columns, limit), schema)
     if big is not None:
         kept = kept.unionByName(
-            _nms_rounds(rows.join(big, part, "left_semi"), part, columns, schema, limit, buffer))
-    kept = kept.select(*part, F.col("_key").alias(key), (-F.col("_neg")).alias(score))
+            _nms_rounds(join_same(rows, big, part, "left_semi"), part, columns, schema, limit, buffer))
+    kept = kept.select(*part, F.col("_key").alias(key),
+                       F.when(F.col("_neg") != float("inf"), -F.col("_neg")).alias(score))
     if cap is None:
         return kept
-    best = W.partitionBy(*part).orderBy(F.desc(score), F.asc(key))
+    best = W.partitionBy(*part).orderBy(F.desc_nulls_last(score), F.asc(key))
     return kept.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= cap).drop("_rn")
 
 
@@ -94,7 +96,7 @@ def _nms_rounds(rows, part, columns, schema, limit, buffer):
                           .where(F.col("_rn") <= buffer).drop("_rn"))
         won = checkpoint(map_groups(head, part, ["_neg", "_key"], _suppress(columns, limit), schema))
         kept = won if kept is None else kept.unionByName(won)
-        rest = left.join(head.select(*part, "_key"), [*part, "_key"], "left_anti")
+        rest = join_same(left, head.select(*part, "_key"), [*part, "_key"], "left_anti")
         left = checkpoint(_drop_overlapping(rest, won, part, columns, schema, limit))
     return kept
 
@@ -114,8 +116,8 @@ def _drop_overlapping(rest, won, part, columns, schema, limit):
         group, winners = None, []
         for batch in batches:
             for values, pdf in batch.groupby(keys, sort=False, dropna=False):
-                if values != group:
-                    group, winners = values, []
+                if known(values) != group:
+                    group, winners = known(values), []
                 is_row = pdf["_is_row"].to_numpy()
                 winners.extend(pdf.loc[~is_row, _BOX].to_numpy(dtype=np.float64))
                 out = pdf[is_row]
@@ -167,11 +169,11 @@ def match_detections(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "
     kind = dict(rows.dtypes)["_key"]
     schema = _schema(rows, part) + f", key_a {kind}, key_b {kind}"
 
-    matched = map_groups(rows if big is None else rows.join(big, part, "left_anti"), part,
+    matched = map_groups(rows if big is None else join_same(rows, big, part, "left_anti"), part,
                          ["_side", "_key"], _match_groups(part, limit), schema)
     if big is not None:
         matched = matched.unionByName(_match_rounds(
-            rows.join(big, part, "left_semi"), part, schema, limit, buffer))
+            join_same(rows, big, part, "left_semi"), part, schema, limit, buffer))
     return matched
 
 
@@ -224,14 +226,14 @@ def _match_rounds(rows, part, schema, limit, buffer):
         head = checkpoint(one.withColumn("_rn", F.row_number().over(order))
                           .where(F.col("_rn") <= buffer).drop("_rn"))
         options = _first_partners(two, head, part, limit, buffer)
-        near = two.join(options, [*part, "_key"], "left_semi")
+        near = join_same(two, options, [*part, "_key"], "left_semi")
         both = head.withColumn("_side", F.lit(0)).unionByName(near.withColumn("_side", F.lit(1)))
         pairs = checkpoint(map_groups(both, part, ["_side", "_key"],
                                       _match_groups(part, limit, keep_free=False), schema))
         done = pairs if done is None else done.unionByName(pairs)
-        one = checkpoint(one.join(head.select(*part, "_key"), [*part, "_key"], "left_anti"))
+        one = checkpoint(join_same(one, head.select(*part, "_key"), [*part, "_key"], "left_anti"))
         used = pairs.where("key_b IS NOT NULL").select(*part, F.col("key_b").alias("_key"))
-        two = checkpoint(two.join(used, [*part, "_key"], "left_anti"))
+        two = checkpoint(join_same(two, used, [*part, "_key"], "left_anti"))
     only_b = two.select(*part, F.lit(None).cast(dict(two.dtypes)["_key"]).alias("key_a"),
                         F.col("_key").alias("key_b"))
     return only_b if done is None else done.unionByName(only_b)
@@ -253,8 +255,8 @@ def _first_partners(two, head, part, limit, buffer):
         group, heads, taken = None, [], None
         for batch in batches:
             for values, pdf in batch.groupby(keys, sort=False, dropna=False):
-                if values != group:
-                    group, heads, taken = values, [], None
+                if known(values) != group:
+                    group, heads, taken = known(values), [], None
                 is_row = pdf["_is_row"].to_numpy()
                 heads.extend(pdf.loc[~is_row, _BOX].to_numpy(dtype=np.float64))
                 out = pdf[is_row]

@@ -20,13 +20,18 @@ def oversized(rows: DataFrame, part, limit: int, *extra) -> DataFrame | None:
     return None if big.isEmpty() else checkpoint(big)
 
 
+def known(values: tuple) -> tuple:
+    """Key values in which every form of NULL is None, so that they compare equal."""
+    return tuple(None if pd.isna(v) else v for v in values)
+
+
 def _starts(pdf: pd.DataFrame, keys) -> np.ndarray:
-    """Row offsets where the key changes, always including 0."""
+    """Row offsets where the key changes, always including 0; NULL is one key."""
     changed = np.zeros(len(pdf), dtype=bool)
     changed[0] = True
     for key in keys:
-        column = pdf[key].to_numpy()
-        changed[1:] |= column[1:] != column[:-1]
+        column, missing = pdf[key].to_numpy(), pdf[key].isna().to_numpy()
+        changed[1:] |= (column[1:] != column[:-1]) & ~(missing[1:] & missing[:-1])
     return np.flatnonzero(changed)
 
 
@@ -46,7 +51,7 @@ def map_groups(df: DataFrame, keys, sort, fn: Callable[[pd.DataFrame, np.ndarray
             if batch.empty:
                 continue
             starts = _starts(batch, keys)
-            if tail and any(tail[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys):
+            if tail and known(tail[-1][keys].iloc[-1]) != known(batch[keys].iloc[0]):
                 yield finish(tail)
                 tail = []
             if len(starts) > 1:

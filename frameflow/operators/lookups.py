@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import join_same
 from .ordered import row_numbers
 
 
@@ -59,14 +60,14 @@ def ordered_members(members: DataFrame, group: str, time: str, key: str,
     pos = row_numbers(members, [*scope, group], [time, key], "pos")
     heads = members.groupBy(*scope, group).agg(F.min(F.struct(time, key)).alias("_head"))
     order = row_numbers(heads, scope, ["_head", group], "group_order").drop("_head")
-    return pos.join(order, [*scope, group])
+    return join_same(pos, order, [*scope, group])
 
 
 def compare_set(entries: DataFrame, part, current: Column, key: str, rank: str = "rank",
                 others: int = 3) -> DataFrame:
-    """Per group the current frame and the best-ranked others; no rank sorts as 99."""
+    """Per group the current frame and the best-ranked others, those without a rank last."""
     part = list(part)
-    spec = W.partitionBy(*part).orderBy(F.coalesce(rank, F.lit(99)), key)
+    spec = W.partitionBy(*part).orderBy(F.asc_nulls_last(rank), key)
     chosen = entries.where(current).withColumn("slot", F.lit(0))
     best = (entries.where(~current).withColumn("slot", F.row_number().over(spec))
             .where(F.col("slot") <= others))

@@ -48,10 +48,19 @@ def luminance(rgb: np.ndarray) -> np.ndarray:
     return np.clip(rgb.astype(np.float64) @ np.array(LUMA), 0, 255).astype(np.uint8)
 
 
-def gray_world_gains(rgb: np.ndarray) -> np.ndarray:
-    """Per-channel gains that make the channel means equal."""
-    means = (rgb.astype(np.float32) / 255.0).reshape(-1, 3).mean(axis=0)
-    return (float(means.mean()) or 1.0) / np.maximum(means, 1e-4)
+def channel_gains(planes: DataFrame, key: str = "photo_id") -> DataFrame:
+    """(key, gains): what to multiply each channel with so that all have one mean; NULL
+    for planes without colour. A black channel is raised by 10,000 at most."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            gains = []
+            for size, pixels in zip(pdf["width"] * pdf["height"], pdf["pixels"], strict=True):
+                colour = len(pixels) == 3 * size and size > 0
+                level = np.frombuffer(pixels, np.uint8).reshape(-1, 3).mean(axis=0) if colour else None
+                gains.append(None if level is None or not level.any() else (level.mean() / np.maximum(level, level.mean() / 1e4)).tolist())
+            yield pd.DataFrame({key: pdf[key], "gains": gains})
+    return measure_with(planes.select(key, "width", "height", "pixels"), run,
+                        f"`{key}` {dict(planes.dtypes)[key]}, gains array<double>")
 
 
 def measure_plane(width: int, height: int, pixels: bytes) -> tuple:

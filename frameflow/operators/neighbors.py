@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import join_same
 from .local import each, map_groups, stack
 
 TILE_ROWS = 1024
@@ -28,7 +29,7 @@ def tile_pairs(rows: DataFrame, part, tile, tile_rows: int) -> DataFrame:
     part = list(part)
     counts = rows.groupBy(*part).agg(
         F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
-    rows = rows.join(counts, part) if part else rows.join(F.broadcast(counts))
+    rows = join_same(rows, counts, part) if part else rows.join(F.broadcast(counts))
     rows = rows.withColumn("_tile", tile(F.col("_tiles")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     return rows.withColumns({"_i": F.least("_tile", "_other"), "_j": F.greatest("_tile", "_other")}
@@ -93,9 +94,9 @@ def neighbor_jaccard(df: DataFrame, key: str, vec_a: str, vec_b: str, k: int = 5
     keys = [*part, key]
     a = knn(both, key, vec_a, k, part=part, tile_rows=tile_rows).select(*keys, "neighbor")
     b = knn(both, key, vec_b, k, part=part, tile_rows=tile_rows).select(*keys, "neighbor")
-    common = a.join(b, [*keys, "neighbor"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    common = join_same(a, b, [*keys, "neighbor"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     share = F.coalesce("_c", F.lit(0)) / (2 * k - F.coalesce("_c", F.lit(0)))
-    per_row = both.select(*keys).join(common, keys, "left")
+    per_row = join_same(both.select(*keys), common, keys, "left")
     return per_row.groupBy(*part).agg(
         F.count(F.lit(1)).alias("n"),
         F.when(F.count(F.lit(1)) >= k + 2, F.avg(share)).alias("jaccard"))

@@ -59,7 +59,8 @@ class OrderedRows:
         return replace(self, df=df)
 
     def running_sum(self, name: str, value: Column) -> OrderedRows:
-        """Add the sum of `value` from the key's first row to this one."""
+        """Add the sum of `value` from the key's first row to this one; NULL before the
+        first known value."""
         frame = self.window().rowsBetween(W.unboundedPreceding, 0)
         df = self.df.withColumn(name, F.sum(value).over(frame))
         if self.chunks:
@@ -67,7 +68,8 @@ class OrderedRows:
                 self.df, F.sum(value),
                 lambda w: F.sum("_end").over(w.rowsBetween(W.unboundedPreceding, -1)))
             df = self._join(df, carry).withColumn(
-                name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+                name, F.when(F.col(name).isNotNull() | F.col("_carry").isNotNull(),
+                             F.coalesce(name, F.lit(0)) + F.coalesce("_carry", F.lit(0)))).drop("_carry")
         return replace(self, df=df)
 
     def running_last(self, name: str, value: Column) -> OrderedRows:

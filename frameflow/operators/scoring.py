@@ -7,8 +7,7 @@ meet photos in one join and one aggregation on the photo key.
 
 from __future__ import annotations
 
-import hashlib
-import json
+import zlib
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -176,17 +175,20 @@ def profile_hint(profile: Column, n_faces: Column) -> Column:
             .when(faced & (n_faces >= P.GROUP_SHOT_FACES), "group_shot"))
 
 
+def _canonical(value) -> str:
+    """Fixed values as text: mappings by key, numbers by their shortest form."""
+    if isinstance(value, dict):
+        return "{" + ";".join(f"{k}={_canonical(value[k])}" for k in sorted(value, key=str)) + "}"
+    if isinstance(value, (list, tuple)):
+        return "(" + ",".join(map(_canonical, value)) + ")"
+    return repr(float(value)) if isinstance(value, (int, float)) else str(value)
+
+
 def weights_hash(profile: str) -> str:
-    """Identifies the weights, penalties and curves a score was made with."""
-    values = {
-        "profile": profile,
-        "weights": P.PROFILE_WEIGHTS[profile],
-        "penalties": P.FLAG_PENALTIES,
-        "curves": {"eye": P.EYE_FOCUS_CURVE, "open": P.EYES_OPEN_CURVE,
-                   "open_by_source": P.EYES_OPEN_CURVES, "frame": P.FRAME_SHARPNESS_CURVE},
-    }
-    text = json.dumps(values, sort_keys=True)
-    return "ev1-" + hashlib.sha256(text.encode()).hexdigest()[:8]
+    """Identifies everything fixed that a score of this profile was made with."""
+    text = "\n".join([profile, _canonical(P.PROFILE_WEIGHTS[profile]),
+                      *(f"{name} {_canonical(getattr(P, name))}" for name in P.SCORE_VALUES)])
+    return f"ev1-{zlib.crc32(text.encode()):08x}"
 
 
 def weights_hash_column(profile: Column) -> Column:

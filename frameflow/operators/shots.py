@@ -112,7 +112,8 @@ def _fold_chunks(rows, fold, schema, order, part, time, key, vec) -> DataFrame:
 
     A range is folded from its first boundary on; rows before it belong to a
     segment that began earlier and come out with no shot. They are folded once
-    the range before is finished, starting from that range's last shot.
+    the last row of the range before has its shot, starting from that one: at
+    once, unless a range has no boundary at all.
     """
     keys = list(rows.keys)
     source = checkpoint(rows.df)
@@ -126,7 +127,6 @@ def _fold_chunks(rows, fold, schema, order, part, time, key, vec) -> DataFrame:
         ends = done.groupBy(part, "_chunk").agg(
             F.max_by("shot_id", F.struct(time, key)).alias("_anchor_id"),
             F.max_by(key, F.struct(time, key)).alias("_last_id"))
-        ends = ends.join(open_chunks, [part, "_chunk"], "left_anti")
         ready = (ends.withColumn("_chunk", F.col("_chunk") + 1)
                  .join(open_chunks, [part, "_chunk"])
                  .withColumn("_fresh", F.col("_anchor_id") == F.col("_last_id")).drop("_last_id"))

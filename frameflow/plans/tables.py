@@ -67,7 +67,7 @@ def pair_captures(spark, sf_dir):
     return listing.pair_captures(listing.scan_files(_files(spark, sf_dir)))
 
 
-CHUNK = 64  # characters at either end that make up the identity in these queries
+CHUNK = 65_536  # characters at either end that make up the identity of a large text
 
 _IDENTITY_SQL = f"""sha256(CAST(length(text) AS VARCHAR) || substr(text, 1, {CHUNK}) ||
  CASE WHEN length(text) > {CHUNK} THEN substr(text, greatest({CHUNK}, length(text) - {CHUNK}) + 1) ELSE '' END)"""
@@ -85,7 +85,7 @@ def content_identity(spark, sf_dir):
 
 
 @query("collision_escalate", f"""WITH d AS (SELECT doc_id, length(text) AS size, sha256(text) AS full_hash,
- sha256(substr(text, 1, 16)) AS content_id FROM documents), c AS (SELECT content_id, MIN(size) <> MAX(size)
+ sha256(lang || source || CAST(n_chars % 50 AS VARCHAR)) AS content_id FROM documents), c AS (SELECT content_id, MIN(size) <> MAX(size)
  OR MIN(full_hash) <> MAX(full_hash) AS clash FROM d GROUP BY content_id)
  SELECT doc_id, clash AS collided, CASE WHEN clash THEN full_hash ELSE content_id END AS identity
  FROM d JOIN c USING (content_id)""")
@@ -93,7 +93,7 @@ def collision_escalate(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", F.length("text").cast("long").alias("size"),
         listing.full_hash(F.col("text")).alias("full_hash"),
-        F.sha2(F.substring("text", 1, 16).cast("binary"), 256).alias("content_id"))
+        F.sha2(F.expr("concat(lang, source, CAST(n_chars % 50 AS STRING))").cast("binary"), 256).alias("content_id"))
     return ingest.escalate_collisions(rows).select("doc_id", "collided", "identity")
 
 

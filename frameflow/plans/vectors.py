@@ -123,16 +123,15 @@ _OVERLAP = """greatest(0.0, least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x))
 
 
 @query("nms", f"""WITH RECURSIVE {FRAMES_SQL}, {FACES_SQL}, boxes AS (SELECT photo_id // 4 AS image, photo_id * 10 + idx AS box_id,
- capture_quality, x, y, w, h FROM faces WHERE capture_quality IS NOT NULL), ranked AS (SELECT *, row_number() OVER (PARTITION BY
- image ORDER BY capture_quality DESC, box_id) AS k FROM boxes), walk AS (SELECT image, k, box_id, capture_quality, TRUE AS keep,
+ capture_quality, x, y, w, h FROM faces), ranked AS (SELECT *, row_number() OVER (PARTITION BY
+ image ORDER BY capture_quality DESC NULLS LAST, box_id) AS k FROM boxes), walk AS (SELECT image, k, box_id, capture_quality, TRUE AS keep,
  [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM ranked WHERE k = 1 UNION ALL SELECT image, k, box_id, capture_quality, keep,
  CASE WHEN keep THEN list_append(kept, me) ELSE kept END FROM (SELECT b.image, b.k, b.box_id, b.capture_quality, a.kept,
  {{'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}} AS me, len(list_filter(a.kept, lambda q: {_OVERLAP} >= 0.4 * (q.w * q.h + b.w * b.h -
- {_OVERLAP}))) = 0 AS keep FROM walk a JOIN ranked b ON b.image = a.image AND b.k = a.k + 1)),
- best AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY capture_quality DESC, box_id) AS rn FROM walk WHERE keep)
- SELECT image, box_id, capture_quality FROM best WHERE rn <= 16""")
+ {_OVERLAP}))) = 0 AS keep FROM walk a JOIN ranked b ON b.image = a.image AND b.k = a.k + 1))
+ SELECT image, box_id, capture_quality FROM walk WHERE keep""")
 def nms(spark, sf_dir):
-    rows = faces(spark, sf_dir).where("capture_quality IS NOT NULL").withColumn(
+    rows = faces(spark, sf_dir).withColumn(
         "image", F.expr("photo_id div 4")).withColumn("box_id", F.col("photo_id") * 10 + F.col("idx"))
     return detections.nms(rows, ["image"], "box_id", score="capture_quality")
 
@@ -293,19 +292,20 @@ def _blend(spark, sf_dir):
     return rows, style.knn_blend(rows, "vec_id", "embedding", "label", ["delta"])
 
 
-@query("knn_blend", f"""WITH {_BLEND_SQL} SELECT label, vec_id, n_neighbors, round(confidence, 6) AS confidence,
- round(pred, 6) AS pred_delta FROM blended""")
+@query("knn_blend", f"""WITH {_BLEND_SQL} SELECT e.label, e.vec_id, COALESCE(n_neighbors, 0) AS n_neighbors,
+ round(confidence, 6) AS confidence, round(pred, 6) AS pred_delta FROM embeddings e LEFT JOIN blended USING (vec_id)""")
 def knn_blend(spark, sf_dir):
     found = _blend(spark, sf_dir)[1]
     return found.withColumns({c: F.round(c, 6) for c in ("confidence", "pred_delta")})
 
 
 @query("clamp_to_group", """WITH b AS (SELECT l_suppkey, MIN(l_discount) AS lo, MAX(l_discount) AS hi FROM lineitem
- WHERE l_linenumber <= 2 GROUP BY l_suppkey) SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
- CASE WHEN l_quantity > 5 THEN least(hi, greatest(lo, l_tax * 1.5)) END AS pred_delta FROM lineitem JOIN b USING (l_suppkey)""")
+ WHERE l_suppkey % 5 <> 0 GROUP BY l_suppkey) SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
+ CASE WHEN l_quantity > 5 AND lo IS NOT NULL THEN least(hi, greatest(lo, l_tax * 1.5)) END AS pred_delta
+ FROM lineitem LEFT JOIN b USING (l_suppkey)""")
 def clamp_to_group(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    history = items.where("l_linenumber <= 2").select("l_suppkey", F.col("l_discount").alias("delta"))
+    history = items.where("l_suppkey % 5 <> 0").select("l_suppkey", F.col("l_discount").alias("delta"))
     rows = items.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity",
                         (F.col("l_tax") * 1.5).alias("pred_delta"))
     return style.clamp_to_family(rows, history, "l_suppkey", ["delta"], F.col("l_quantity") > 5).drop("l_quantity")

@@ -32,6 +32,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on equal `keys`, NULL being equal to NULL; the keys come from the left."""
+    names = {k: f"_same_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(name)) for k, name in names.items()] or [F.lit(True)]
+    joined = left.join(right.withColumnsRenamed(names), on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

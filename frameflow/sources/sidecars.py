@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .. import params as P
 
 
+NAMESPACES = {"x": "adobe:ns:meta/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
+              "xmp": "http://ns.adobe.com/xap/1.0/"}
+
+
+def empty_sidecar() -> str:
+    """A sidecar with one description and no fields."""
+    def name(prefix: str) -> str:
+        return f'xmlns:{prefix}="{NAMESPACES[prefix]}"'
+    inner = f'<rdf:Description rdf:about="" {name("xmp")}/>'
+    return f'<x:xmpmeta {name("x")}><rdf:RDF {name("rdf")}>{inner}</rdf:RDF></x:xmpmeta>\n'
+
+
 def _first(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
@@ -49,6 +61,13 @@ def writable(plan: DataFrame, confirm_conflicts: bool = False) -> DataFrame:
     return plan.where(F.col("action").isin(*actions))
 
 
+def export_texts(plan: DataFrame, confirm_conflicts: bool = False) -> DataFrame:
+    """Rows to write with `new_text`: the rewritten sidecar, or a filled empty one."""
+    text = F.coalesce("text", F.lit(empty_sidecar()))
+    rows = writable(plan, confirm_conflicts)
+    return rows.withColumn("new_text", rewrite_sidecar(text, F.col("new_rating"), F.col("new_label")))
+
+
 def _set_field(text: Column, pattern: str, attribute: Column) -> Column:
     """Replace the first match, else insert into the first description tag."""
     found = F.regexp_substr(text, F.lit(pattern))
@@ -56,7 +75,8 @@ def _set_field(text: Column, pattern: str, attribute: Column) -> Column:
     replaced = F.concat(F.substr(text, F.lit(1), at - 1), attribute,
                         F.substr(text, at + F.length(found)))
     tag = F.regexp_substr(text, F.lit(P.DESCRIPTION_PATTERN))
-    end = F.instr(text, tag) + F.length(tag) - 1
+    closing = F.when(tag.endswith("/>"), 2).otherwise(1)  # a tag may close itself
+    end = F.instr(text, tag) + F.length(tag) - closing
     inserted = F.concat(F.substr(text, F.lit(1), end - 1), F.lit("\n    "), attribute,
                         F.substr(text, end))
     return F.when(found.isNotNull(), replaced).otherwise(inserted)
@@ -69,5 +89,8 @@ def rewrite_sidecar(text: Column, rating: Column, label: Column) -> Column:
     """
     attribute = F.concat(F.lit('xmp:Rating="'), rating.cast("string"), F.lit('"'))
     rated = F.when(rating.isNull(), text).otherwise(_set_field(text, P.RATING_PATTERN, attribute))
-    named = F.concat(F.lit('xmp:Label="'), label, F.lit('"'))
+    safe = label
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        safe = F.replace(safe, F.lit(sign), F.lit(name))
+    named = F.concat(F.lit('xmp:Label="'), safe, F.lit('"'))
     return F.when(label.isNull(), rated).otherwise(_set_field(rated, P.LABEL_PATTERN, named))

@@ -41,3 +41,14 @@ def test_one_key_holding_everything(spark):
 def test_global_order(spark):
     got = row_numbers(spark.range(300), (), ("id",), "rn", max_rows=25)
     assert got.where("rn <> id + 1").count() == 0 and got.count() == 300
+
+
+def test_running_sum_starts_at_the_first_known_value(spark):
+    df = _data(spark, seed=8).withColumn("v", F.when(F.col("t") > 15, F.col("v")))
+    running = W.partitionBy("p").orderBy("t", "id").rowsBetween(W.unboundedPreceding, 0)
+    wanted = df.select("id", F.sum("v").over(running).alias("total"))
+    for limit in (5, 40):
+        rows = ordered_rows(df, ("p",), ("t", "id"), max_rows=limit)
+        assert rows.chunks > 1
+        got = rows.running_sum("total", F.col("v")).result().select("id", "total")
+        assert sorted(got.collect()) == sorted(wanted.collect())

@@ -200,5 +200,8 @@ def test_measure_frames(spark):
     assert rows[2].sharpness_max == 0 and rows[2].clipped_hi == 1.0 and rows[2].clipped_lo == 0.0
     assert rows[3].clipped_hi == 0.0
     assert measure.luminance(rgb)[0, 0] == 149
-    gains = measure.gray_world_gains(np.full((4, 4, 3), (100, 200, 50), np.uint8))
-    assert gains * [100, 200, 50] == pytest.approx([116.667] * 3, rel=1e-4)
+    tinted = np.full((4, 4, 3), (100, 200, 50), np.uint8)
+    df = df.union(spark.createDataFrame([(4, 4, 4, bytearray(tinted.tobytes()))], df.schema))
+    gains = {r.photo_id: r.gains for r in measure.channel_gains(df).collect()}
+    assert gains[1] is None and gains[3][1] == pytest.approx(1 / 3)
+    assert np.array(gains[4]) * (100, 200, 50) == pytest.approx([350 / 3] * 3, rel=1e-6)

@@ -3,6 +3,7 @@
 import base64
 import json
 import struct
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,12 +145,15 @@ def test_plan(spark):
 
 
 def test_rewrite_keeps_everything_else(spark):
-    df = spark.createDataFrame([(FULL,), (PLAIN,), (P.NEW_SIDECAR,), ("<a/>",)], "t string")
+    df = spark.createDataFrame([(FULL,), (PLAIN,), (sidecars.empty_sidecar(),), ("<a/>",)], "t string")
     got = [r[0] for r in df.select(sidecars.rewrite_sidecar(F.col("t"), F.lit(3), F.lit("Pick"))).collect()]
     assert got[0] == FULL.replace('xmp:Rating="1"', 'xmp:Rating="3"').replace(
         'my:thing="k $1 \\1">', 'my:thing="k $1 \\1"\n    xmp:Label="Pick">')
     assert got[1] == PLAIN.replace('"5"', '"3"')
-    assert 'xmp:Rating="3"\n    xmp:Label="Pick">' in got[2] and got[3] is None
+    assert 'xmp:Rating="3"\n    xmp:Label="Pick"/>' in got[2] and got[3] is None
+    odd = df.select(sidecars.rewrite_sidecar(F.col("t"), F.lit(3), F.lit('A "b" & <c'))).collect()[2][0]
+    tag = ElementTree.fromstring(odd).find(".//{*}Description")
+    assert tag.get("{http://ns.adobe.com/xap/1.0/}Label") == 'A "b" & <c'
     alt = df.select(sidecars.rewrite_sidecar(F.col("t"), F.lit(2), F.lit(None).cast("string"))).collect()
     assert 'xmp:Label="Pick"' in alt[1][0]
 
@@ -179,8 +183,8 @@ def test_best_threshold(spark):
 def test_refit_moves_from_the_prior(spark):
     rows = spark.createDataFrame([(i / 20, None, int(i > 10)) for i in range(20)], "a double, b double, y int")
     prior = {"a": .5, "b": .2}
-    loose = calibration.refit_weights(rows, ("a", "b"), "y", prior, strength=.01, rounds=15)
-    tight = calibration.refit_weights(rows, ("a", "b"), "y", prior, strength=1e4, rounds=15)
+    loose = calibration.refit_weights(rows, ("a", "b"), "y", prior, strength=.01)
+    tight = calibration.refit_weights(rows, ("a", "b"), "y", prior, strength=1e4)
     assert loose["a"] > .6 and loose["b"] == pytest.approx(.2) and tight["a"] == pytest.approx(.5, abs=.01)
 
 
@@ -226,3 +230,31 @@ def test_percentiles(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([5, 1, 4, 2])], "k long, v double")
     got = {r.p: r.value for r in agreement.percentiles(df, "v", "k", (0.0, .5, .9, 1.0)).collect()}
     assert got == {0.0: 1, .5: 3, .9: pytest.approx(4.7), 1.0: 5}
+
+
+def test_export_texts(spark):
+    entries = spark.createDataFrame([("/p/a.cr3", "pick"), ("/p/b.cr3", "alt"), ("/p/c.cr3", "pick")], "path string, state string")
+    closed = '<x:x xmlns:x="u"><rdf:Description xmlns:rdf="r" xmlns:xmp="http://ns.adobe.com/xap/1.0/"/></x:x>'
+    texts = spark.createDataFrame([("/p/b.xmp", closed), ("/p/c.xmp", FULL)], "sidecar_path string, text string")
+    plan = sidecars.plan_export(entries, texts, pick_label='Top "1" & <2')
+    got = {r.path: r for r in sidecars.export_texts(plan, True).collect()}
+    assert {k: r.action for k, r in got.items()} == {"/p/a.cr3": "new", "/p/b.cr3": "update", "/p/c.cr3": "conflict"}
+    for path in ("/p/a.cr3", "/p/b.cr3"):
+        tag = ElementTree.fromstring(got[path].new_text).find(".//{*}Description")
+        assert int(tag.get("{http://ns.adobe.com/xap/1.0/}Rating")) == got[path].new_rating
+        assert tag.get("{http://ns.adobe.com/xap/1.0/}Label") == ('Top "1" & <2' if path == "/p/a.cr3" else None)
+    assert sidecars.export_texts(plan).count() == 2
+
+
+def test_new_ids_are_numbered(spark):
+    rows = spark.createDataFrame([("added", f"p{i}", None, 1, 1.0, f"c{i % 7}", None) for i in range(50)]
+                                 + [("unchanged", "old", 9, 1, 1.0, "o", None)],
+                                 "class string, rel_path string, photo_id long, size long, mtime double, content_id string, previous_path string")
+    got = [r.photo_id for r in ingest.next_snapshot(rows, F.lit(100).cast("long")).collect()]
+    assert sorted(got) == [9, *range(100, 150)]
+
+
+def test_unranked_entries_come_last(spark):
+    rows = spark.createDataFrame([(1, i, i) for i in range(1, 121)] + [(1, 500, None), (1, 0, 0)], "g int, k int, rank int")
+    got = lookups.compare_set(rows, ["g"], F.col("k") == 0, "k", others=120).collect()
+    assert {r.k: r.slot for r in got}[120] == 120 and 500 not in {r.k for r in got}

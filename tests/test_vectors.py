@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameflow.functions.vectors import cosine_distance, cosine_distance_arrow, cosine_similarity
-from frameflow.operators import clusters, detections, neighbors
+from frameflow.operators import clusters, detections, neighbors, style
 
 
 def vectors(spark, n=60, dim=5, seed=2, groups=2):
@@ -125,8 +125,9 @@ def test_nms(spark, max_rows):
 
 def test_nms_cap(spark):
     rows = [(0, i, (i / 20, .1, .01, .1), i / 20) for i in range(20)]
-    got = detections.nms(box_frame(spark, rows), ["img"], "id").collect()
+    got = detections.nms(box_frame(spark, rows), ["img"], "id", cap=16).collect()
     assert {r.id for r in got} == set(range(4, 20))
+    assert detections.nms(box_frame(spark, rows), ["img"], "id").count() == 20
 
 
 @pytest.mark.parametrize("max_rows", [None, 20])
@@ -157,3 +158,27 @@ def test_pose_is_centred_and_scaled(spark):
     df = spark.createDataFrame([(joints,)], "j array<struct<x:double,y:double,visible:boolean>>")
     got = df.select(clusters.normalize_pose(F.col("j"), 0, 1, 2, 3)).first()[0]
     assert [tuple(p) if p else None for p in got] == [(-.25, 0), (.25, 0), (-.25, 1), (.25, 1), None]
+
+
+def test_style_loses_no_rows(spark):
+    rows = spark.createDataFrame([(i, f, [1.0, float(i)], d) for i, f, d in ((1, "a", 0.1), (2, "a", None), (3, "b", 0.3), (4, None, 0.4), (5, None, 0.5))],
+                                 "k long, f string, v array<double>, d double")
+    blended = {r.k: r for r in style.knn_blend(rows, "k", "v", "f", ["d"], k=2).collect()}
+    assert set(blended) == {1, 2, 3, 4, 5} and blended[3].n_neighbors == 0 and blended[3].pred_d is None
+    assert blended[4].n_neighbors == 1 and blended[4].pred_d == pytest.approx(0.5)
+    history = rows.where("f IS NULL OR f = 'a'").select("f", "d")
+    clamped = style.clamp_to_family(rows.select("k", "f", F.lit(9.0).alias("pred_d")), history, "f", ["d"]).collect()
+    assert {r.k: r.pred_d for r in clamped} == {1: 0.1, 2: 0.1, 3: None, 4: 0.5, 5: 0.5}
+    wide = spark.createDataFrame([(i, None if i % 4 == 0 else float(i % 7), float(i % 5)) for i in range(40)], "k long, a double, b double")
+    found = style.look_families(wide, ["a", "b"], 3).collect()
+    assert len(found) == 40 and {r.k for r in found if r.family is None} == {i for i in range(40) if i % 4 == 0}
+
+
+def test_boxes_without_a_score_and_null_images(spark):
+    box = {"x": 0.1, "y": 0.1, "w": 0.2, "h": 0.2}
+    far = [{"x": 0.01 * i, "y": 0.9, "w": 0.005, "h": 0.005} for i in range(30)]
+    rows = [(None, 1, None, box), (None, 2, 0.5, box), (1, 3, None, box), (1, 4, None, far[0])] + [(2, 100 + i, 0.1 * i, b) for i, b in enumerate(far)]
+    df = spark.createDataFrame(rows, "image int, k long, score double, bbox struct<x: double, y: double, w: double, h: double>")
+    for limit in (None, 1):
+        got = {(r.image, r.k) for r in detections.nms(df, ["image"], "k", max_rows=limit).collect()}
+        assert got == {(None, 2), (1, 3), (1, 4)} | {(2, 100 + i) for i in range(30)}

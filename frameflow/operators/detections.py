@@ -177,6 +177,17 @@ def match_detections(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "
     return matched
 
 
+def union_detections(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "bbox",
+                     limit: float = P.MATCH_IOU, max_rows: int | None = None) -> DataFrame:
+    """(part, key, box, source): all boxes of a, and those of b that match none."""
+    part = list(part)
+    matched = match_detections(a, b, part, key, box=box, limit=limit, max_rows=max_rows)
+    free = matched.where("key_a IS NULL").select(*part, F.col("key_b").alias(key))
+    extra = join_same(b, free, [*part, key], "left_semi")
+    return (a.select(*part, key, box, F.lit("a").alias("source"))
+            .unionByName(extra.select(*part, key, box, F.lit("b").alias("source"))))
+
+
 def _match_groups(part, limit: float, keep_free: bool = True):
     """First free partner for each a-box; a-boxes come first in each group."""
     def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:

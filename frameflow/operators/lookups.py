@@ -34,6 +34,45 @@ def cascade_delete(deleted: DataFrame, children: DataFrame, key: str) -> DataFra
     return children.join(deleted.select(key), key, "left_anti")
 
 
+def deletion_report(deleted: DataFrame, selections: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """What goes with the parents in `deleted`: their number, and how many of them are in
+    a selection that was exported."""
+    exported = entries.join(selections.where("exported_at IS NOT NULL").select("selection_id"), "selection_id", "left_semi")
+    marked = deleted.select(key).distinct().join(exported.select(key).distinct().withColumn("_out", F.lit(1)), key, "left")
+    return marked.agg(F.count(F.lit(1)).alias("deleted"), F.count("_out").alias("exported"))
+
+
+def shoot_rollup(shoots: DataFrame, photos: DataFrame, analysis: DataFrame, jobs: DataFrame,
+                 selections: DataFrame, part: str = "shoot_id") -> DataFrame:
+    """Per shoot: photos, analyzed photos, newest selection, newest running job, and why
+    the newest stopped job stopped.
+
+    photos: photo_id, part. analysis: photo_id. jobs: job_id, part, state, reason.
+    selections: selection_id, part. Every table is aggregated before it is joined.
+    """
+    done = analysis.select("photo_id", F.lit(1).alias("_done")).distinct()
+    counts = photos.select(part, "photo_id").join(done, "photo_id", "left").groupBy(part).agg(
+        F.count(F.lit(1)).alias("photo_count"), F.count("_done").alias("analyzed_count"))
+    newest = selections.groupBy(part).agg(F.max("selection_id").alias("latest_selection_id"))
+    stopped = F.when(F.col("state") == "stopped", F.col("job_id"))
+    states = jobs.groupBy(part).agg(F.max(F.when(F.col("state") == "running", F.col("job_id"))).alias("busy_job_id"),
+                                    F.max_by("reason", stopped).alias("stopped_reason"))
+    rows = shoots.select(part)
+    for side in (counts, newest, states):
+        rows = rows.join(side, part, "left")
+    return rows.fillna(0, ["photo_count", "analyzed_count"])
+
+
+def tile_lookup(photos: DataFrame, key: str, tiles: str = "tiles") -> DataFrame:
+    """(key, row, col, value, tile_max, tile_mean): a photo's tile map in long form with
+    its largest and mean value; photos without a map have no rows."""
+    rows = photos.select(key, F.posexplode(tiles).alias("row", "_line"))
+    cells = rows.select(key, "row", F.posexplode("_line").alias("col", "value"))
+    flat = photos.select(key, F.array_max(F.flatten(tiles)).alias("tile_max"),
+                         (F.aggregate(F.flatten(tiles), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten(tiles))).alias("tile_mean"))
+    return cells.join(flat, key)
+
+
 def capture_detail(photos: DataFrame, faces: DataFrame, scores: DataFrame, members: DataFrame,
                    entries: DataFrame, selections: DataFrame, key: str = "photo_id") -> DataFrame:
     """One row per photo: face count, score under the photo's current profile,

@@ -69,7 +69,7 @@ def measure_plane(width: int, height: int, pixels: bytes) -> tuple:
         flat.reshape(height, width, 3))
     tiles = tile_map(plane)
     return (tiles.tolist(), float(tiles.max()), float(tiles.mean()),
-            float((plane >= CLIP_HIGH).mean()), float((plane <= CLIP_LOW).mean()))
+            *(float(c.mean()) if c.size else None for c in (plane >= CLIP_HIGH, plane <= CLIP_LOW)))
 
 
 def measure_frames(planes: DataFrame, key: str = "photo_id") -> DataFrame:

@@ -161,6 +161,20 @@ _TILES_SQL = ("SELECT photo_id, sharpness_max AS m, sharpness_mean, list_transfo
 _CORNERS = " + ".join(f"t[{y}][{x}]" for y in (1, 2, 15, 16) for x in (1, 2, 15, 16))
 
 
+@query("tile_lookup", f"""WITH {FRAMES_SQL}, {PHOTOS_SQL}, tiled AS ({_TILES_SQL}), cells AS (SELECT photo_id, r AS row, k AS col,
+ t[r + 1][k + 1] AS value, list_max(flatten(t)) AS tile_max, list_sum(flatten(t)) / 256 AS tile_mean FROM tiled, range(16) AS x(r),
+ range(16) AS y(k)) SELECT photo_id, row, SUM(col * value) AS weighted, MAX(tile_max) AS tile_max, round(MAX(tile_mean), 9) AS tile_mean
+ FROM cells WHERE value IS NOT NULL GROUP BY photo_id, row""".replace("SUM(col * value)", "round(SUM(col * value), 9)"))
+def tile_lookup(spark, sf_dir):
+    tile = _TILE.format(c="cents")
+    rows = photos(spark, sf_dir).selectExpr(
+        "photo_id", f"transform(sequence(0, 15), r -> transform(sequence(0, 15), k -> {tile})) AS tiles")
+    found = lookups.tile_lookup(rows, "photo_id").where("value IS NOT NULL")
+    return found.groupBy("photo_id", F.col("row").cast("long").alias("row")).agg(
+        F.round(F.sum(F.col("col") * F.col("value")), 9).alias("weighted"), F.max("tile_max").alias("tile_max"),
+        F.round(F.max("tile_mean"), 9).alias("tile_mean"))
+
+
 @query("focus_coverage", f"""WITH {FRAMES_SQL}, {PHOTOS_SQL}, tiled AS ({_TILES_SQL}), stats AS (SELECT *,
  len(list_filter(flatten(t), lambda v: v >= m * 0.25)) / CAST(256 AS DOUBLE) AS coverage,
  ({_CORNERS}) / 16 / m AS corner_ratio FROM tiled)
@@ -190,10 +204,10 @@ def tile_energy(spark, sf_dir):
     """Each document's bytes, padded with spaces, as a plane 48 pixels wide."""
     data = F.encode("text", "UTF-8")
     height = F.ceil(F.octet_length("text") / PLANE_WIDTH).cast("int")
-    planes = table(spark, sf_dir, "documents").where("octet_length(text) > 0").select(
+    planes = table(spark, sf_dir, "documents").select(
         "doc_id", F.lit(PLANE_WIDTH).alias("width"), height.alias("height"),
         F.rpad(data, height * PLANE_WIDTH, F.lit(" ").cast("binary")).alias("pixels"))
-    return measure.measure_frames(planes, "doc_id").drop("tiles")
+    return measure.measure_frames(planes, "doc_id")
 
 
 # --- selection ----------------------------------------------------------------------

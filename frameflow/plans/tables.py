@@ -269,17 +269,24 @@ def keyset_page(spark, sf_dir):
  max_by(o_orderpriority, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 1 THEN o_orderkey END) AS stopped_reason
  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def shoot_rollup(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    busy = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0)
-    stopped = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 1)
-    per = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.count(F.lit(1)).alias("photo_count"),
-        F.count(F.when(F.col("o_orderstatus") != "O", 1)).alias("analyzed_count"),
-        F.max("o_orderkey").alias("latest_selection_id"),
-        F.max(F.when(busy, F.col("o_orderkey"))).alias("busy_job_id"),
-        F.max_by("o_orderpriority", F.when(stopped, F.col("o_orderkey"))).alias("stopped_reason"))
-    return (table(spark, sf_dir, "customer").select("c_custkey").join(per, "c_custkey", "left")
-            .fillna(0, ["photo_count", "analyzed_count"]))
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    state = F.when(F.col("o_orderkey") % 2 == 0, "running").otherwise("stopped")
+    jobs = orders.where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("job_id"), "c_custkey", state.alias("state"), F.col("o_orderpriority").alias("reason"))
+    return lookups.shoot_rollup(
+        table(spark, sf_dir, "customer"), orders.withColumnRenamed("o_orderkey", "photo_id"),
+        orders.where("o_orderstatus <> 'O'").withColumnRenamed("o_orderkey", "photo_id"), jobs,
+        orders.withColumnRenamed("o_orderkey", "selection_id"), "c_custkey")
+
+
+@query("deletion_report", """SELECT COUNT(*) AS deleted, COUNT(CASE WHEN EXISTS (SELECT 1 FROM lineitem JOIN supplier
+ ON s_suppkey = l_suppkey WHERE l_orderkey = o_orderkey AND s_acctbal > 5000) THEN 1 END) AS exported
+ FROM orders WHERE o_orderstatus = 'F'""")
+def deletion_report(spark, sf_dir):
+    entries = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey", "l_suppkey AS selection_id")
+    selections = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS selection_id", "CASE WHEN s_acctbal > 5000 THEN s_acctbal END AS exported_at")
+    return lookups.deletion_report(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), selections, entries, "o_orderkey")
 
 
 @query("face_count", f"""WITH {FRAMES_SQL} SELECT photo_id, face_count AS n_faces FROM frames""")
@@ -420,3 +427,40 @@ def sidecar_rewrite(spark, sf_dir):
        "WHERE event_id % 3 <> 2")
 def export_list(spark, sf_dir):
     return sinks.export_list(_sidecars(spark, sf_dir)[0], "path")
+
+
+@query("export_candidates", """SELECT o_orderkey, concat('/lib/', n_name, '/', o_orderpriority, '.cr3') AS path,
+ CASE o_orderstatus WHEN 'F' THEN 'pick' ELSE 'alt' END AS state FROM orders JOIN customer ON c_custkey = o_custkey
+ JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus IN ('F', 'O')""")
+def export_candidates(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    entries = orders.selectExpr("o_orderkey", "CASE o_orderstatus WHEN 'F' THEN 'pick' WHEN 'O' THEN 'alt' ELSE 'reject' END AS state")
+    photos = orders.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).selectExpr(
+        "o_orderkey", "c_nationkey AS library_id", "concat(o_orderpriority, '.cr3') AS rel_path")
+    libraries = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS library_id", "concat('/lib/', n_name, '/') AS root")
+    return sidecars.export_candidates(entries, photos, libraries, "o_orderkey")
+
+
+# every second sidecar closes its tag itself; the label needs escaping
+ODD_LABEL, _SAFE_LABEL = 'A "1" & <b', "A &quot;1&quot; &amp; &lt;b"
+_HALF_CLOSED = "CASE WHEN event_id % 2 = 0 THEN replace(text, '>\n  <dc', '/>\n  <dc') ELSE text END"
+
+
+def _set_sql(text: str, pattern: str, value: str) -> str:
+    return f"""CASE WHEN regexp_matches({text}, '{pattern}') THEN regexp_replace({text}, '{pattern}', {value})
+ ELSE regexp_replace({text}, '(<rdf:Description\\b[^>]*?)(/?)>', '\\1' || chr(10) || '    ' || {value} || '\\2>') END"""
+
+
+@query("export_texts", f"""WITH {_SIDECARS_SQL}, half AS (SELECT * REPLACE ({_HALF_CLOSED} AS text) FROM parsed),
+ planned AS (SELECT *, CASE state WHEN 'pick' THEN 3 ELSE 2 END AS r, CASE WHEN path LIKE '%.DNG' THEN 'skipped_dng'
+ WHEN text IS NULL THEN 'new' WHEN old_rating IS NOT DISTINCT FROM CASE state WHEN 'pick' THEN 3 ELSE 2 END AND
+ old_label IS NOT DISTINCT FROM CASE state WHEN 'pick' THEN '{ODD_LABEL}' END THEN 'unchanged' WHEN has_develop THEN 'conflict'
+ ELSE 'update' END AS action, COALESCE(text, '{sidecars.empty_sidecar()}') AS t0 FROM half WHERE state <> 'reject'),
+ rated AS (SELECT *, {_set_sql('t0', 'xmp:Rating="-?[0-9]+"', """'xmp:Rating="' || r || '"'""")} AS t1 FROM planned)
+ SELECT path, action, CASE WHEN state = 'pick' THEN {_set_sql('t1', 'xmp:Label="[^"]*"', f"""'xmp:Label="{_SAFE_LABEL}"'""")}
+ ELSE t1 END AS new_text FROM rated WHERE action IN ('new', 'update', 'conflict')""")
+def export_texts(spark, sf_dir):
+    entries, files = _sidecars(spark, sf_dir)
+    files = files.withColumn("text", F.expr(_HALF_CLOSED))
+    plan = sidecars.plan_export(entries, files, pick_label=ODD_LABEL)
+    return sidecars.export_texts(plan, confirm_conflicts=True).select("path", "action", "new_text")

@@ -10,7 +10,7 @@ from ..operators import agreement, calibration, clusters, detections, neighbors,
 from ..operators.ordered import ordered_rows
 from .checks import FRAMES_SQL, num
 from .frames import FACES_SQL, faces, table
-from .registry import query
+from .registry import ORACLES, query
 
 _DIST = "1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
@@ -43,13 +43,17 @@ def knn_topk(spark, sf_dir):
                        F.col("rank").cast("long").alias("rank"))
 
 
+# a second embedding of the same rows: every dimension weighed anew
+_SCALED = "list_transform({v}.embedding, lambda e, i: e * (1 + i % 4))"
+
+
 @query("neighbor_jaccard", f"""WITH a AS {_knn_sql('x.embedding', 'y.embedding', 5)}, b AS
- {_knn_sql('x.embedding[1:32]', 'y.embedding[1:32]', 5)}, c AS (SELECT a.vec_id, COUNT(*) AS n FROM a JOIN b
+ {_knn_sql(_SCALED.format(v='x'), _SCALED.format(v='y'), 5)}, c AS (SELECT a.vec_id, COUNT(*) AS n FROM a JOIN b
  USING (vec_id, neighbor) GROUP BY a.vec_id) SELECT COUNT(*) AS n, round(AVG(COALESCE(c.n, 0) /
  CAST(10 - COALESCE(c.n, 0) AS DOUBLE)), 6) AS jaccard FROM embeddings e LEFT JOIN c USING (vec_id)""")
 def neighbor_jaccard(spark, sf_dir):
-    rows = _embeddings(spark, sf_dir).withColumn("half", F.slice("embedding", 1, 32))
-    found = neighbors.neighbor_jaccard(rows, "vec_id", "embedding", "half", 5)
+    rows = _embeddings(spark, sf_dir).withColumn("scaled", F.transform("embedding", lambda e, i: e * (1 + (i + 1) % 4)))
+    found = neighbors.neighbor_jaccard(rows, "vec_id", "embedding", "scaled", 5)
     return found.select("n", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -117,6 +121,15 @@ def match_detections(spark, sf_dir):
     return detections.match_detections(a, b, ["photo_id"], "idx")
 
 
+@query("detection_union", f"""WITH {_BOTH_SQL}, m AS ({ORACLES['match_detections']})
+ SELECT photo_id, idx AS key, 'a' AS source, round(x, 6) AS x FROM a UNION ALL SELECT b.photo_id, b.idx, 'b', round(b.x, 6)
+ FROM b JOIN m ON m.photo_id = b.photo_id AND m.key_b = b.idx AND m.key_a IS NULL""")
+def detection_union(spark, sf_dir):
+    a, b = _detectors(spark, sf_dir)
+    found = detections.union_detections(a, b, ["photo_id"], "idx")
+    return found.select("photo_id", F.col("idx").alias("key"), "source", F.round("bbox.x", 6).alias("x"))
+
+
 # boxes of an image best first; each step looks at one box of every image
 _OVERLAP = """greatest(0.0, least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x))
  * greatest(0.0, least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y))"""
@@ -276,8 +289,8 @@ def delta_targets(spark, sf_dir):
 @query("look_families")
 def look_families(spark, sf_dir):
     rows = _embeddings(spark, sf_dir).selectExpr("vec_id", *[
-        f"CAST(embedding[{i}] AS DOUBLE) AS d{i}" for i in range(4)])
-    found = style.look_families(rows, [f"d{i}" for i in range(4)], 4)
+        f"CAST(embedding[{i}] AS DOUBLE) AS d{i}" for i in range(64)])
+    found = style.look_families(rows, [f"d{i}" for i in range(64)], 4)
     return found.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 

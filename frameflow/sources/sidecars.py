@@ -32,6 +32,17 @@ def sidecar_state(text: Column) -> dict[str, Column]:
     }
 
 
+def export_candidates(entries: DataFrame, photos: DataFrame, libraries: DataFrame, key: str = "photo_id") -> DataFrame:
+    """(key, path, state) of picks and alternates with their full path.
+
+    entries: key, state. photos: key, library_id, rel_path. libraries: library_id, root.
+    """
+    wanted = entries.where(F.col("state").isin(*P.STATE_RATING)).select(key, "state")
+    placed = photos.select(key, "library_id", "rel_path").join(libraries.select("library_id", "root"), "library_id")
+    path = F.concat(F.rtrim(F.col("root"), F.lit("/")), F.lit("/"), F.col("rel_path"))
+    return wanted.join(placed, key).select(key, path.alias("path"), "state")
+
+
 def plan_export(entries: DataFrame, sidecars: DataFrame, *, path: str = "path",
                 pick_label: str = P.PICK_LABEL) -> DataFrame:
     """What writing each pick and alternate would do.

@@ -18,8 +18,9 @@ from ..operators.clusters import connected_components
 from ..runtime import checkpoint
 
 STAR_ROUNDS = 3
-#: All pairs are tested at once where they are at most so many for each posting.
-FEW_PAIRS = 4
+#: All pairs are tested where they are at most so many for each posting: at the start, and
+#: after a first round has joined what is alike.
+FEW_PAIRS, FEW_PAIRS_LEFT = 4, 50
 
 
 def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
@@ -48,7 +49,7 @@ def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], C
         size = hubs.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
         if not size[1]:
             break
-        last = step == star_rounds or size[0] <= FEW_PAIRS * size[1]
+        last = step == star_rounds or size[0] <= (FEW_PAIRS_LEFT if step else FEW_PAIRS) * size[1]
         open_rows = rows.join(hubs.select("key"), "key")
         if last:
             right = side(open_rows, "y")

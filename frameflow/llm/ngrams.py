@@ -21,6 +21,9 @@ SHINGLE, PERCENT = 5, 80
 #: Largest size that the boundary between small and large sets may have; a document of
 #: more bytes than this a word is taken for large when the boundary is chosen.
 MOST_LIGHT, SHORT_BYTES = 24, 32
+#: 64-bit words of a set's parity map; two sets differ in at least as many elements as
+#: their maps in bits.
+MAP_WORDS = 4
 ONE_ROW = 1  # rows of the sketch; it has the wider counters instead
 
 
@@ -83,6 +86,17 @@ def distinct_sets(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.nda
     return kept, np.searchsorted(o[new], np.arange(n + 1))
 
 
+def parity_maps(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set (elements[first[i]:first[i + 1]], none empty) a map of MAP_WORDS words:
+    bit b says whether an odd number of its elements fall on b."""
+    spread = mix(elements ^ U64(0x7FEB352D))
+    word, bit = spread >> U64(58) & U64(MAP_WORDS - 1), U64(1) << (spread & U64(63))
+    out = np.zeros((len(first) - 1, MAP_WORDS), U64)
+    for w in range(MAP_WORDS if len(out) else 0):
+        out[:, w] = np.bitwise_xor.reduceat(np.where(word == U64(w), bit, U64(0)), first[:-1])
+    return out
+
+
 def light_keys(elements: np.ndarray, light: int, percent: int) -> np.ndarray:
     """A key for every subset of the elements that a linked small set would share."""
     x = len(elements)
@@ -179,8 +193,10 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         # the group's rows, and the whole sets of those that are posted
         add(-1, keys=pack_ints(np.asarray(table["key"].combine_chunks().fill_null(0), np.int64)), ids=pack_ints(ids), sizes=pack_ints(size),
             places=np.packbits(np.asarray(table["key"].combine_chunks().is_null())).tobytes())
-        for doc in chosen.tolist():
-            add(-2, keys=hashes[first[doc]:first[doc + 1]].tobytes(), ids=pack_ints(ids[doc:doc + 1]))
+        whole = take[owner]
+        maps = parity_maps(hashes[whole], np.concatenate([[0], np.cumsum(size[chosen])]))
+        for doc, bits_of in zip(chosen.tolist(), maps, strict=True):
+            add(-2, keys=hashes[first[doc]:first[doc + 1]].tobytes(), ids=pack_ints(ids[doc:doc + 1]), sizes=bits_of.tobytes())
         return pa.table({"_slice": pa.array(out["_slice"], pa.int32()),
                          **{c: pa.array(out[c], pa.binary()) for c in ("keys", "ids", "sizes", "places")}})
 
@@ -213,21 +229,28 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
             ids = [unpack_ints(x)[0] for x in batch["ids"].to_pylist()]
             ends = np.cumsum([0, *map(len, elements)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *elements])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "elements"])
-    postings = checkpoint(posted.where("_slice >= 0").groupBy("_slice").applyInArrow(
-        lists, "key long, id long, size long, place long"))
+            maps = np.frombuffer(b"".join(batch["sizes"].to_pylist()), np.int64).reshape(-1, MAP_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat)),
+                                              *(pa.array(np.ascontiguousarray(m)) for m in maps.T)], ["id", "elements", *map_names])
+    map_names = [f"map{w}" for w in range(MAP_WORDS)]
     classes = posted.where("_slice = -1").select("keys", "ids", "sizes", "places").mapInArrow(
         unpack_rows, "key long, id long, n_shingles long")
-    sets = (posted.where("_slice = -2").select("keys", "ids").mapInArrow(unpack_sets, "id long, elements array<long>")
-            .dropDuplicates(["id"]))
+    sets = (posted.where("_slice = -2").select("keys", "ids", "sizes").mapInArrow(
+        unpack_sets, "id long, elements array<long>, " + ", ".join(f"{m} long" for m in map_names)))
+    maps = sets.drop("elements").dropDuplicates(["id"])
+    postings = posted.where("_slice >= 0").groupBy("_slice").applyInArrow(lists, "key long, id long, size long, place long")
+    postings = checkpoint(postings.join(maps, "id"))
+    # only sets of classes that share a list are ever tested
+    sets = checkpoint(sets.select("id", "elements").join(postings.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
     def may_link(x, y):
         """Equal subsets are worth a test; so are list entries that fit by size and place."""
         small, large = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
         need = F.ceil(F.lit(percent) * (x("size") + y("size")) / (100 + percent))
         left = F.least(x("size") - x("place"), y("size") - y("place"))
-        return ((x("place") < 0) & (y("place") < 0)) | (
-            (x("place") >= 0) & (y("place") >= 0) & (100 * small >= percent * large) & (left >= need))
+        apart = sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in map_names[1:]), F.bit_count(x(map_names[0]).bitwiseXOR(y(map_names[0]))))
+        return (apart <= x("size") + y("size") - 2 * need) & (((x("place") < 0) & (y("place") < 0)) | (
+            (x("place") >= 0) & (y("place") >= 0) & (100 * small >= percent * large) & (left >= need)))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("elements").alias("a_set"))

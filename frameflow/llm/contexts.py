@@ -27,7 +27,6 @@ TOP = 2
 BASE_ADD = 0.1
 HELD_OUT = 10  # one in so many keys, by CRC-32 of its digits
 END = 0x0A
-GROUP_BYTES = 16 << 20
 LOG2, LOGPI = math.log(2), math.log(math.pi)
 
 
@@ -226,42 +225,41 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
     """
     if not TOP < depth <= 7:
         raise ValueError("depth must be 3 to 7")
-    n = group_count(text_bytes(documents, text), GROUP_BYTES)
+    n = group_count(text_bytes(documents, text))
     held = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
     rows = documents.select(group_of(n, F.col(key), F.col(text)).alias("_g"), F.col(key).cast("long").alias("key"),
                             held.alias("held"), F.col(text).cast("string").alias("text"))
 
-    def text_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, text of each, bytes of each text)."""
-        found, owner, size = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def read(table: pa.Table) -> tuple[list, list, np.ndarray]:
+        """Of each piece of the group's texts: (distinct keys, number of each key among
+        them, its text), for contexts and for tokens; and the bytes of each text."""
+        grams_of, words_of, size = [], [], [np.zeros(0, np.int64)]
         for first, part in pieces(texts_of(table["text"])):
             data, at = normal_bytes(part)
-            found.append(grams(data, at, depth))
-            owner.append(np.repeat(np.arange(len(part)) + first, np.diff(at)))
             size.append(np.diff(at))
-        return np.concatenate(found), np.concatenate(owner), np.concatenate(size)
-
-    def text_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text) of each token; the end is a token of its own."""
-        found, owner = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for first, part in pieces(texts_of(table["text"])):
             words = split_words(part)
-            found += [word_hashes(part, words, lower=True), np.full(len(part), 1, U64)]
-            owner += [words.text_of() + first, np.arange(len(part)) + first]
-        return np.concatenate(found), np.concatenate(owner)
-
-    def parts_of(table: pa.Table):
-        """The group's distinct keys of both kinds, as they are sent."""
+            tokens = np.concatenate([word_hashes(part, words, lower=True), np.full(len(part), 1, U64)])  # 1: the end
+            for into, keys, owner in ((grams_of, grams(data, at, depth), np.repeat(np.arange(len(part)), size[-1])),
+                                      (words_of, tokens, np.concatenate([words.text_of(), np.arange(len(part))]))):
+                index, inverse = np.unique(keys, return_inverse=True)
+                into.append((index, inverse.astype(np.int32), (owner + first).astype(np.int32)))
+        return grams_of, words_of, np.concatenate(size)
+
+    def parts_of(table: pa.Table, found: tuple):
+        """The group's distinct keys of both kinds, as they are sent: (kind, its pieces,
+        keys, training counts, indices by slice)."""
         train = ~np.asarray(table["held"].combine_chunks(), bool) if len(table) else np.zeros(0, bool)
-        for kind, (keys, owner) in enumerate((text_grams(table)[:2], text_words(table))):
-            index, inverse = np.unique(keys, return_inverse=True)
-            count = np.bincount(inverse, train[owner], len(index)).astype(np.int64)
+        for kind, parts in enumerate(found[:2]):
+            index = np.unique(np.concatenate([np.zeros(0, U64), *(p[0] for p in parts)]))
+            count = np.zeros(len(index), np.int64)
+            for keys, inverse, owner in parts:
+                count[np.searchsorted(index, keys)] += np.bincount(inverse, train[owner], len(keys)).astype(np.int64)
             where = gram_slice(index, depth, n) if kind == 0 else mix(index) % U64(n)
-            yield kind, index, inverse, owner, count, by_slice(index, where, n)
+            yield kind, parts, index, count, by_slice(index, where, n)
 
     def send(group: tuple, table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for kind, index, _, _, count, split in parts_of(table):
+        for kind, _, index, count, split in parts_of(table, read(table)):
             out += [(kind, s, group[0].as_py(), pack_planes(index[at]), pack_ints(count[at])) for s, at in split]
         return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(
             (("_kind", pa.int32()), ("_slice", pa.int32()), ("_g", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())))})
@@ -320,16 +318,23 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
     def add_up(table: pa.Table, reply: pa.Table) -> pa.Table:
         said = {(k, s): x for k, s, x in zip(*(reply[c].to_pylist() for c in ("_kind", "_slice", "values")), strict=True)}
         m = len(table)
-        sums, bytes_of = [], text_grams(table)[2]
-        for kind, index, inverse, owner, _, split in parts_of(table):
+        found, sums = read(table), []
+        for kind, parts, index, _, split in parts_of(table, found):
             values = np.zeros(len(index))
             for s, at in split:
                 values[at] = np.frombuffer(said[kind, s], np.float32)
             known = values <= 0
             values = np.where(known, values, 1 - values)
-            sums.append((np.bincount(owner, values[inverse], m), np.bincount(owner, minlength=m), np.bincount(owner, known[inverse], m).astype(np.int64)))
+            total, tokens, seen = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
+            for keys, inverse, owner in parts:
+                at = np.searchsorted(index, keys)[inverse]
+                total += np.bincount(owner, values[at], m)
+                tokens += np.bincount(owner, minlength=m)
+                seen += np.bincount(owner, known[at], m).astype(np.int64)
+            sums.append((total, tokens, seen))
+        bytes_of = found[2]
         (model, *_), (base, tokens, known) = sums
-        return pa.table({"key": table["key"], "held_out": table["held"], "n_tokens": tokens.astype(np.int64), "n_known": known,
+        return pa.table({"key": table["key"], "held_out": table["held"], "n_tokens": tokens, "n_known": known,
                          "train_tokens": pa.array([reply["tokens"][0].as_py()] * m, pa.int64()), "base_score": base, "score": model,
                          "code_length": -model / math.log10(2) / np.maximum(bytes_of, 1)})
     return rows.groupBy("_g").cogroup(replies.groupBy("_g")).applyInArrow(

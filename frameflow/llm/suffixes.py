@@ -351,17 +351,18 @@ def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str =
             chosen = order[where[s]:where[s + 1]]
             hit = starts[chosen[unpack_bits(said[2, int(s)], len(chosen))]]
             cover(hit, hit + length)
-        gone = np.cumsum(change[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+        del change
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = texts.offsets[:-1][np.diff(texts.offsets) > 0]
         begins[inner] = gone[inner]
-        spans = np.concatenate([[0], np.cumsum(begins)])
+        spans = np.concatenate([np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)])
         kept_at = texts.offsets - total[texts.offsets]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(texts.data[~gone]))])
-        return pa.table({"key": table["key"], "n_bytes": np.diff(texts.offsets), "n_removed": np.diff(total[texts.offsets]),
-                         "n_spans": np.diff(spans[texts.offsets]), "kept": kept.cast(pa.binary())})
+        return pa.table({"key": table["key"], "n_bytes": np.diff(texts.offsets), "n_removed": np.diff(total[texts.offsets]).astype(np.int64),
+                         "n_spans": np.diff(spans[texts.offsets]).astype(np.int64), "kept": kept.cast(pa.binary())})
     both = statuses.unionByName(windows)
     return rows.groupBy("_g").cogroup(both.groupBy("_g")).applyInArrow(
         cut, "key long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("key", key)

@@ -87,7 +87,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data, offsets - offsets[0])
 
 
-def pieces(texts: Texts, limit: int = 1 << 22):
+def pieces(texts: Texts, limit: int = 1 << 20):
     """(first text, its Texts) with about `limit` bytes each; one text is never split."""
     first, n = 0, len(texts)
     while first < n:

@@ -26,6 +26,8 @@ PLACE_BITS = 30
 #: An anchor with more distinct runs isn't left to one shard: its windows are sent as
 #: sorted fingerprints to ranges of these, and merged there by binary search.
 HOT_RUNS = 2000
+#: Shards of texts for each slice of anchors: suffix arrays take some 50 bytes a byte.
+SHARDS = 4
 SEPARATOR = 0xFF  # in no UTF-8 text
 REPEATED, SEND, HOT = 1, 2, 4
 
@@ -88,32 +90,34 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     equal beginnings are refined by the rank of what stands as far behind again, and
     places that are alone in their group are left as they are."""
     n = len(text)
-    padded = np.zeros(n + 8, U64)
-    padded[:n] = text.astype(U64) + U64(1)
     key = np.zeros(n, U64)
     for i in range(7):  # seven bytes of nine bits: the end of the text sorts first
-        key = key << U64(9) | padded[i:n + i]
-    order = np.argsort(key, kind="stable")
+        key <<= U64(9)
+        key[:n - i] |= text[i:] + U64(1)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     edge = np.ones(n, bool)
-    edge[1:] = key[order][1:] != key[order][:-1]
-    rank = np.full(n + 1, -1, np.int64)
-    rank[order] = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+    edge[1:] = key[1:] != key[:-1]
+    rank = np.full(n + 1, -1, np.int32)
+    rank[order] = np.flatnonzero(edge).astype(np.int32)[np.cumsum(edge, dtype=np.int32) - 1]
+    del key
     known = 7
     while True:
         alone = edge & np.append(edge[1:], True)
-        open_at = np.flatnonzero(~alone)
+        open_at = np.flatnonzero(~alone).astype(np.int32)
         if not len(open_at):
             break
         suffix = order[open_at]
-        group, behind = rank[suffix], rank[np.minimum(suffix + known, n)]
-        again = np.lexsort((behind, group))
-        suffix, group, behind = suffix[again], group[again], behind[again]
+        both = rank[suffix].astype(np.int64) << 32
+        both |= rank[np.minimum(suffix + known, n)] + np.int64(1)
+        again = np.argsort(both, kind="stable")
+        suffix, both = suffix[again], both[again]
         order[open_at] = suffix
         new = np.ones(len(suffix), bool)
-        new[1:] = (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])
+        new[1:] = both[1:] != both[:-1]
         edge[open_at] = new
-        rank[suffix] = open_at[np.flatnonzero(new)][np.cumsum(new) - 1]
-        known *= 2
+        rank[suffix] = open_at[np.flatnonzero(new)][np.cumsum(new, dtype=np.int32) - 1]
+        known = min(2 * known, n)
     return order
 
 
@@ -123,10 +127,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, coun
     place of a chain shares at most one byte less, so only the rest is compared. All
     chains go on together."""
     n = len(text)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     base = np.cumsum(count) - count
-    out = np.zeros(int(count.sum()), np.int64)
+    out = np.zeros(int(count.sum()), np.int32)
     length = np.zeros(len(first), np.int64)
     padded = np.append(text, np.zeros(most, text.dtype))
     for step in range(int(count.max(initial=0))):
@@ -154,9 +158,9 @@ def repeated_windows(text: np.ndarray, first: np.ndarray, count: np.ndarray, len
     hit = shared >= length
     out = hit.copy()
     # the predecessor shares it as well
-    before = np.full(len(text), -1)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]
-    number = np.full(len(text), -1)
+    number = np.full(len(text), -1, np.int32)
     number[starts] = np.arange(len(starts))
     out[number[before[starts[hit]]]] = True
     return out
@@ -306,7 +310,7 @@ def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str =
         texts, runs, pairs, edge = own(table)
         plain, hot = sent_runs(runs, pairs, status_of(edge, reply))
         out: dict[str, list] = {c: [] for c in ("_kind", "_slice", "sizes", "data")}
-        where = cuts(slices(runs.anchor[plain], n), n)
+        where = cuts(slices(runs.anchor[plain], SHARDS * n), SHARDS * n)
         for s in np.flatnonzero(np.diff(where)):
             chosen = plain[where[s]:where[s + 1]]
             size = runs.last[chosen] + length - runs.first[chosen]
@@ -339,7 +343,7 @@ def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str =
             np.add.at(change, end, -1)
         whole = status[pairs[3]] & REPEATED > 0
         cover(runs.first[whole], runs.last[whole] + length)
-        where = cuts(slices(runs.anchor[plain], n), n)
+        where = cuts(slices(runs.anchor[plain], SHARDS * n), SHARDS * n)
         for s in np.flatnonzero(np.diff(where)):
             chosen = plain[where[s]:where[s + 1]]
             starts = spread_windows(runs.first[chosen], runs.last[chosen])

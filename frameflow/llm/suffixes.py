@@ -45,8 +45,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Windows first..last (starts in the group's bytes) with one anchor, its hash, and
-    the fingerprint of the run's text."""
+    """Windows first..last (starts in the group's bytes) with one anchor, its hash (mixed
+    again, since the least of many lie low), and the fingerprint of the run's text."""
 
     first: np.ndarray
     last: np.ndarray
@@ -80,7 +80,7 @@ def runs_of(texts: Texts, length: int, width: int) -> Runs:
         size = (last + length - first).astype(U64)
         mark = mix((total[last + length] - total[first]) * down[first] + size)
         base = texts.offsets[index]
-        for into, value in zip(found, (first + base, last + base, hashes[place[new]], mark), strict=True):
+        for into, value in zip(found, (first + base, last + base, mix(hashes[place[new]]), mark), strict=True):
             into.append(value)
     return Runs(*(np.concatenate(x) for x in found))
 

@@ -25,19 +25,24 @@ BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 class Known(dict):
     """Segment -> ids as little-endian uint32 bytes; emptied when it is full.
 
-    Signs after letters are words of their own in both vocabularies."""
+    Signs after letters are words of their own in both vocabularies. `letters` encodes a
+    word of letters alone without the steps that only other segments need; it may return
+    None to leave that to `whole`.
+    """
 
-    def __init__(self, encode: Callable[[str], bytes], prefix: str = "") -> None:
+    def __init__(self, whole: Callable[[str], bytes], letters: Callable[[str], bytes | None], prefix: str = "") -> None:
         super().__init__()
-        self.encode, self.prefix = encode, prefix
-        self.signs = Known(encode) if prefix else self
+        self.whole, self.letters, self.prefix = whole, letters, prefix
+        self.signs = Known(whole, letters) if prefix else self
 
     def __missing__(self, segment: str) -> bytes:
-        stem = segment.rstrip(ENDINGS)
-        if len(stem) < len(segment) and stem.isalpha():
+        ids = None
+        if segment.isalpha():
+            ids = self.letters(self.prefix + segment)
+        elif (stem := segment.rstrip(ENDINGS)).isalpha():
             ids = self[stem] + self.signs[segment[len(stem):]]
-        else:
-            ids = self.encode(self.prefix + segment)
+        if ids is None:
+            ids = self.whole(self.prefix + segment)
         if len(segment) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
@@ -53,10 +58,16 @@ def load(path: str):
     return tokenizer
 
 
-def packed(tokenizer) -> Callable[[str], bytes]:
-    def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-    return encode
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def byte_characters() -> str:
+    """The characters that stand for bytes 0 to 255 in a byte-level vocabulary: the byte's
+    own where it is visible, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(spare)) for b in range(256))
 
 
 def vocabulary(name: str, path: str | None) -> str:
@@ -70,8 +81,11 @@ def vocabulary(name: str, path: str | None) -> str:
 def byte_encoder(path: str | None = None) -> Callable[[str], bytes]:
     """Text -> ids of the byte-level vocabulary at `path` (by default the public one)."""
     def make() -> Callable[[str], bytes]:
-        encode = packed(load(vocabulary("byte_bpe_50k.json", path)))
-        bare, spaced = Known(encode), Known(encode, " ")
+        tokenizer = load(vocabulary("byte_bpe_50k.json", path))
+        merge, shown = tokenizer.model.tokenize, byte_characters()
+        whole = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        letters = lambda word: packed([t.id for t in merge(word.encode().decode("latin-1").translate(shown))])
+        bare, spaced = Known(whole, letters), Known(whole, letters, " ")
 
         def ids(text: str) -> bytes:
             # a space after another character than white space always begins a new word
@@ -86,6 +100,10 @@ def byte_encoder(path: str | None = None) -> Callable[[str], bytes]:
 def word_encoder(path: str | None = None) -> Callable[[str], bytes]:
     """Text -> ids of the vocabulary of words at `path`, which drops white space."""
     def make() -> Callable[[str], bytes]:
-        known = Known(packed(load(vocabulary("word_bpe_49k.json", path))))
+        tokenizer = load(vocabulary("word_bpe_49k.json", path))
+        merge = tokenizer.model.tokenize
+        whole = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        letters = lambda word: packed([t.id for t in merge(word.lower())]) if word.isascii() else None
+        known = Known(whole, letters)
         return lambda text: b"".join(map(known.__getitem__, WORD.findall(text)))
     return kept(f"word_encoder {path}", make)

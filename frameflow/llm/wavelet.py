@@ -33,6 +33,7 @@ def encode_shard(ids: np.ndarray, lengths: np.ndarray, planes: int) -> bytes:
     """A file of `ids`, which are documents of the given lengths laid end to end."""
     if len(ids) and int(ids.max()) >> planes:
         raise ValueError(f"an id needs more than {planes} bits")
+    ids = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     squeeze = zstandard.ZstdCompressor(level=1).compress
     parts = [lengths.astype("<u4").tobytes()]
     for bit in reversed(range(planes)):
@@ -131,15 +132,16 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the parting plane by plane from the last."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.n_planes <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for level in reversed(range(self.n_planes)):
             ones = np.unpackbits(np.frombuffer(self._part(level + 1), np.uint8), count=self.n).view(bool)
             zeros = self.n - int(np.count_nonzero(ones))
             before = np.empty_like(values)
             before[~ones] = values[:zeros]
-            before[ones] = values[zeros:] | np.uint32(1 << (self.n_planes - 1 - level))
+            before[ones] = values[zeros:] | kind(1 << (self.n_planes - 1 - level))
             values = before
-        return values
+        return values.astype(np.uint32)
 
 
 def write_shards(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", *,

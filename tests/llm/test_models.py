@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frameflow.llm import contexts, curve, lines, packing, quality, templates, wavelet
 from frameflow.llm.words import texts_of
@@ -372,6 +373,75 @@ def test_blocks_catch_few_differing_bits():
     assert (a == b).any(axis=1).all()
 
 
+def random_line(rng, words: int) -> list[str]:
+    return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(words)]
+
+
+def changed_pairs(kind: str, words: int, n: int = 200) -> list[tuple[str, str]]:
+    """Pairs of lines at 90 % edit similarity or more, with one word replaced or mistyped."""
+    rng, out = np.random.default_rng(7), []
+    while len(out) < n:
+        a = random_line(rng, words)
+        b = list(a)
+        k = rng.integers(words)
+        b[k] = random_line(rng, 1)[0] if kind == "replaced" else b[k][:1] + "#" + b[k][2:]
+        if a != b and alike(" ".join(a), " ".join(b)):
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["replaced", "mistyped"])
+@pytest.mark.parametrize("words", [4, 10, 15, 20, 60])
+def test_lines_with_a_changed_word_share_an_entry(kind, words):
+    both = [x.encode() for pair in changed_pairs(kind, words) for x in pair]
+    size = np.array([len(x) for x in both])
+    line, key, bits = lines.band_values(np.frombuffer(b"".join(both), np.uint8), np.cumsum(size) - size, size, 90)
+    held = [dict() for _ in both]
+    for i, k, b in zip(line.tolist(), key.tolist(), bits.tolist(), strict=True):
+        held[i][k] = b
+    met = 0
+    for a, b in zip(held[::2], held[1::2], strict=True):
+        shared = [k for k in a if k in b]
+        x, y = (np.array([h[k] for k in shared], np.uint64) for h in (a, b))
+        met += bool(lines.close(np.full(len(shared), lines.BAND), x, y, 90).any())
+    assert met >= 0.985 * len(held[::2])
+
+
+def test_single_edits_of_short_lines_always_share_a_half():
+    rng = np.random.default_rng(3)
+    for size in range(10, 20):
+        for _ in range(40):
+            a = "".join(rng.choice(list("abcdé "), size))
+            k = int(rng.integers(size))
+            for b in (a[:k] + "x" + a[k + 1:], a[:k] + a[k + 1:]):
+                both = [a.encode(), b.encode()]
+                n = np.array([len(x) for x in both])
+                line, key, _ = lines.band_values(np.frombuffer(b"".join(both), np.uint8), np.cumsum(n) - n, n, 90)
+                assert set(key[line == 0].tolist()) & set(key[line == 1].tolist()), (a, b)
+
+
+def test_links_are_those_of_all_pairs_on_given_texts(spark):
+    rows = corpus.given()
+    docs = corpus.frame(spark, rows)
+    every = docs.select(F.explode(F.split("text", "\n")).alias("raw")).select(lines.normal_text(F.col("raw")).alias("x"))
+    every = every.where(F.size(F.split("x", " ")) >= lines.LEAST_WORDS).where(f"length(x) <= {lines.SHORT}").distinct().cache()
+    a, b = every.select(F.col("x").alias("a"), F.length("x").alias("n")), every.select(F.col("x").alias("b"), F.length("x").alias("m"))
+    most = F.greatest("n", "m").cast("int")
+    pairs = a.join(b, (F.col("a") < F.col("b")) & (F.abs(F.col("n") - F.col("m")) * 10 <= F.greatest("n", "m")))
+    near = [tuple(r) for r in pairs.withColumn("most", F.floor(most / 10).cast("int")).where("levenshtein(a, b, most) >= 0").select("a", "b").collect()]
+    assert near
+    kept: Counter = Counter()
+    for r in lines.dedup_lines(docs).collect():
+        kept.update(normal(x) for x in (r["text"] or "").split("\n"))
+    # of two lines that are alike one at least went
+    assert not [p for p in near if all(kept[x] for x in p)]
+
+
+def normal(line: str) -> str:
+    plain = "".join("0" if c in "0123456789" else c for c in corpus.lower(line) if c not in lines.PUNCTUATION)
+    return " ".join(corpus.WORD.findall(plain))
+
+
 def test_line_numbers_and_hashes():
     import pyarrow as pa
     found = lines.line_table(texts_of(pa.array(["a b c\n\nA, b-c!\nx", None, "", "a  b c"])))

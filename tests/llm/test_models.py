@@ -420,6 +420,12 @@ def test_single_edits_of_short_lines_always_share_a_half():
                 assert set(key[line == 0].tolist()) & set(key[line == 1].tolist()), (a, b)
 
 
+def test_lines_14_of_64_bits_apart_are_compared():
+    x = np.zeros(3, np.uint64)
+    y = np.array([(1 << 11) - 1, (1 << 14) - 1, (1 << 15) - 1], np.uint64)
+    assert lines.close(np.full(3, lines.BLOCK), x, y, 90).tolist() == [True, True, False]
+
+
 def test_links_are_those_of_all_pairs_on_given_texts(spark):
     rows = corpus.given()
     docs = corpus.frame(spark, rows)

@@ -1,6 +1,7 @@
 """Quality trees, context-tree scores, packing, wavelet files, shards, templates, lines."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -345,9 +346,7 @@ def test_equal_lines_leave_one_occurrence_on_given_texts(spark):
     assert all(any(alike(g, s) for s in seen) for g in gone)
 
 
-def alike(a, b, percent: int = 90) -> bool:
-    if max(len(a), len(b)) > lines.SHORT and isinstance(a, str):
-        a, b = a.split(" "), b.split(" ")
+def alike(a: str, b: str, percent: int = 90) -> bool:
     most = max(len(a), len(b)) * (100 - percent) // 100
     if abs(len(a) - len(b)) > most:
         return False
@@ -426,11 +425,39 @@ def test_lines_14_of_64_bits_apart_are_compared():
     assert lines.close(np.full(3, lines.BLOCK), x, y, 90).tolist() == [True, True, False]
 
 
+def test_long_lines_are_measured_in_characters(spark):
+    rng = random.Random(2)
+
+    def words(n, size):
+        return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size)) for _ in range(n)]
+    base, other = words(100, 5), words(100, 5)
+    typos = list(base)
+    for k in range(0, 99, 9):
+        typos[k] = "é" + typos[k][1:]  # 11 of 100 words, 98 % alike
+    wide, wider = words(10, 9), words(10, 9)  # ten of 100 words, over 10 % of the characters
+    rows = [(1, " ".join(base)), (2, " ".join(typos)), (3, " ".join(other[:90] + wide)), (4, " ".join(other[:90] + wider))]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(corpus.frame(spark, rows)).collect()}
+    assert got[1] and not got[2]
+    assert got[3] and got[4]
+
+
+def test_counted_grams_refuse_no_near_pair():
+    rng = random.Random(4)
+    for _ in range(50):
+        a = rng.choices("abcdé ", k=rng.randint(1, 400))
+        b, edits = list(a), rng.randint(0, 40)
+        for _ in range(edits):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randint(0, 1)] = rng.choices("xyz", k=rng.randint(0, 1))
+        assert lines.may_be_near("".join(a), "".join(b), edits)
+    assert not lines.may_be_near("".join(rng.choices("abcdefgh", k=900)), "".join(rng.choices("abcdefgh", k=900)), 90)
+
+
 def test_links_are_those_of_all_pairs_on_given_texts(spark):
     rows = corpus.given()
     docs = corpus.frame(spark, rows)
     every = docs.select(F.explode(F.split("text", "\n")).alias("raw")).select(lines.normal_text(F.col("raw")).alias("x"))
-    every = every.where(F.size(F.split("x", " ")) >= lines.LEAST_WORDS).where(f"length(x) <= {lines.SHORT}").distinct().cache()
+    every = every.where(F.size(F.split("x", " ")) >= lines.LEAST_WORDS).distinct().cache()
     a, b = every.select(F.col("x").alias("a"), F.length("x").alias("n")), every.select(F.col("x").alias("b"), F.length("x").alias("m"))
     most = F.greatest("n", "m").cast("int")
     pairs = a.join(b, (F.col("a") < F.col("b")) & (F.abs(F.col("n") - F.col("m")) * 10 <= F.greatest("n", "m")))

@@ -453,6 +453,14 @@ def test_counted_grams_refuse_no_near_pair():
     assert not lines.may_be_near("".join(rng.choices("abcdefgh", k=900)), "".join(rng.choices("abcdefgh", k=900)), 90)
 
 
+def test_lines_of_few_words_are_kept_once(spark):
+    text = "これは改行のない長い文章でありその写しは一度だけ残るべきです"
+    rows = [(1, f"Contents\n{text}\ntwo words"), (2, f"contents!\n{text}\nTwo words"), (3, text.replace("長", "短")), (4, "!!!\n\n!!!"),
+            (5, "今日は晴れですから散歩に行きます"), (6, "今日は雨ですから家で本を読みます"), (7, "今日は晴れですから散歩に行きまし")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(corpus.frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "", 4: rows[3][1], 5: rows[4][1], 6: rows[5][1], 7: ""}
+
+
 def test_links_are_those_of_all_pairs_on_given_texts(spark):
     rows = corpus.given()
     docs = corpus.frame(spark, rows)

@@ -461,6 +461,12 @@ def test_lines_of_few_words_are_kept_once(spark):
     assert got == {1: rows[0][1], 2: "", 3: "", 4: rows[3][1], 5: rows[4][1], 6: rows[5][1], 7: ""}
 
 
+def test_trimmed_texts_lose_what_they_share():
+    assert lines.trimmed("abcdef", "abXdef") == ("c", "X")
+    assert lines.trimmed("aaaa", "aa") == ("aa", "") and lines.trimmed("", "é") == ("", "é")
+    assert lines.trimmed("same", "same") == ("", "") and lines.trimmed("éab", "xab") == ("é", "x")
+
+
 def test_links_are_those_of_all_pairs_on_given_texts(spark):
     rows = corpus.given()
     docs = corpus.frame(spark, rows)

@@ -266,7 +266,8 @@ def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str =
     others, so a repeated row of `length` bytes or more loses all. Other columns are
     ignored. Texts of over 2**30 bytes are refused.
 
-    Whole runs are compared by 64-bit fingerprints, their borders byte by byte.
+    Whole runs are compared by 64-bit fingerprints, their borders byte by byte; where an
+    anchor has over `hot_runs` distinct runs, windows are compared by fingerprints, too.
     """
     n = group_count(text_bytes(documents, text))
     rows = documents.select(group_of(n, F.col(key), F.col(text)).alias("_g"), F.col(key).cast("long").alias("key"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contexts, curve, lines, ngrams, packing, quality, substrings, suffixes, templates, wavelet
+from . import contexts, curve, digests, lines, ngrams, packing, quality, substrings, suffixes, templates, wavelet
 from ..plans.registry import query
 
 
@@ -97,3 +97,17 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"), removed="n_removed_lines")
     return found.select("doc_id", "n_removed_lines", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+DIGESTS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, length(text) AS chars, sha256(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM t),
+r AS (SELECT *, row_number() OVER w AS i, first_value(doc_id) OVER w AS keep_id FROM d
+      WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id))
+SELECT doc_id, keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, i = 1 AS kept, text_sha256 FROM r
+"""
+
+
+@query("op11_exact_dedup", DIGESTS_SQL)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.dedup(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contexts, curve, digests, lines, ngrams, packing, quality, substrings, suffixes, templates, wavelet
+from . import contexts, curve, digests, lines, ngrams, packing, quality, substrings, suffixes, templates, variants, wavelet
 from ..plans.registry import query
 
 
@@ -111,3 +111,8 @@ SELECT doc_id, keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
 @query("op11_exact_dedup", DIGESTS_SQL)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contexts, curve, digests, lines, ngrams, packing, quality, substrings, suffixes, templates, variants, wavelet
+from . import collocations, contexts, curve, digests, lines, ngrams, packing, quality, substrings, suffixes, templates, variants, wavelet
 from ..plans.registry import query
 
 
@@ -116,3 +116,29 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spelling_variants")
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+said AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, w[i:i + k - 1] AS p FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM said), range(1, 6) AS r(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM said GROUP BY lang),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1),
+cuts AS (SELECT c.lang, c.p, a, n, k, l.f AS l, r.f AS r, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+         FROM c JOIN n USING (lang), range(1, 5) AS z(k), f AS l, f AS r
+         WHERE k < len(c.p) AND l.lang = c.lang AND l.p = c.p[:k] AND r.lang = c.lang AND r.p = c.p[k + 1:]),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS i FROM cuts),
+inside AS (SELECT DISTINCT s.lang, s.p FROM (SELECT lang, a, p[i:i + m - 1] AS p FROM c, range(1, 5) AS x(i), range(2, 5) AS y(m)
+           WHERE m < len(c.p) AND i + m - 1 <= len(c.p)) s JOIN c ON c.lang = s.lang AND c.p = s.p WHERE 100 * s.a >= 100 * c.a),
+ranked AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM best b WHERE i = 1
+           AND NOT EXISTS (SELECT 1 FROM inside s WHERE s.lang = b.lang AND s.p = b.p)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM ranked)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM numbered WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", COLLOCATIONS_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.progress import change_feed
-from ..runtime import checkpoint
 from ..sources.measurements import MEASUREMENT_SCHEMA, latest_per_key, split_errors
-from .carried import CarriedTable, write_batch
+from .keyed import in_order, plain, use_state_store, write_batch
 
 
 def bank_measurements(spark: SparkSession, source: str, out: str, errors: str, checkpoint_dir: str):
@@ -51,21 +53,52 @@ def stream_sessions(events: DataFrame, *, key: str, time: str = "ts", gap: str =
                                              F.col("s.end").alias("end"), "n")
 
 
-class ChangeStream:
-    """foreachBatch target: write only rows whose watched columns changed, also
-    across batches; carries the last row of every key."""
-
-    def __init__(self, spark: SparkSession, schema: T.StructType, part, order, watched, out: str, state: str):
-        self.part, self.order, self.watched, self.out = list(part), list(order), list(watched), out
-        columns = [*self.part, *self.order, *self.watched]
-        self.schema = T.StructType([schema[c] for c in columns])
-        self.state = CarriedTable(spark, state, self.schema)
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        columns = [f.name for f in self.schema.fields]
-        carried = checkpoint(self.state.before(batch_id)).withColumn("_old", F.lit(True))
-        rows = checkpoint(carried.unionByName(batch.select(*columns).withColumn("_old", F.lit(False))))
-        changed = change_feed(rows, self.part, self.order, self.watched)
-        write_batch(changed.where("NOT _old").drop("_old"), self.out, batch_id)
-        last = F.max_by(F.struct(*columns), F.struct(*self.order))
-        self.state.write(rows.groupBy(*self.part).agg(last.alias("r")).select("r.*"), batch_id)
+class ChangeProcessor(StatefulProcessor):
+    """The order and the watched columns of the last row of every key."""
+
+    def __init__(self, columns: list[str], order: list[str], watched: list[str], state: T.StructType, ttl_ms: int | None) -> None:
+        self.columns, self.order, self.watched, self.schema, self.ttl_ms = columns, order, watched, state, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.schema, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = in_order(rows, self.order)
+        if not len(frames):
+            return
+        at, n = None, len(self.order)
+        if self.last.exists():
+            at = tuple(plain(v) for v in self.last.get())
+        take, late = [], []
+        for i, values in enumerate(zip(*(frames[c] for c in (*self.order, *self.watched)), strict=True)):
+            now = tuple(plain(v) for v in values)
+            if at is not None and now[:n] <= at[:n]:
+                take.append(i)
+                late.append(True)
+                continue
+            if at is None or now[n:] != at[n:]:
+                take.append(i)
+                late.append(False)
+            at = now
+        self.last.update(at)
+        yield frames.iloc[take][self.columns].assign(late=late)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_changes(log: DataFrame, part, order, watched, ttl_ms: int | None = None) -> DataFrame:
+    """part, order, watched, late: only the rows whose watched columns differ from the row
+    of their key before, as `change_feed` gives them in batch.
+
+    Rows that aren't after the last one of their key in an earlier micro-batch are given
+    as `late`. With `ttl_ms` a key without rows for so long (of processing time) is
+    forgotten; its next row counts as a change.
+    """
+    use_state_store(log.sparkSession)
+    part, order, watched = list(part), list(order), list(watched)
+    columns = [*part, *order, *watched]
+    state = T.StructType([T.StructField(c, log.schema[c].dataType) for c in (*order, *watched)])
+    out = T.StructType([*[T.StructField(c, log.schema[c].dataType) for c in columns], T.StructField("late", T.BooleanType())])
+    return log.select(*columns).groupBy(*part).transformWithStateInPandas(
+        ChangeProcessor(columns, order, watched, state, ttl_ms), out, "Append", "ProcessingTime" if ttl_ms else "None")

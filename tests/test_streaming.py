@@ -5,42 +5,97 @@ import json
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
+from frameflow import params as P
 from frameflow.operators.progress import change_feed
 from frameflow.operators.shots import group_shots
 from frameflow.plans.frames import frames, table
 from frameflow.streaming import feeds
-from frameflow.streaming.shots import ROW_SCHEMA, ShotStream, start_shots
-
-
-def test_stream_of_shots_equals_batch(spark, tmp_path):
-    rows = frames(spark, SF_DIR).where("photo_id < 200").select(
-        *[F.col(f.name).cast(f.dataType) for f in ROW_SCHEMA.fields]).cache()
-    for i, (a, b) in enumerate(((0, 31), (31, 33), (33, 110), (110, 200))):  # cuts inside brackets
-        rows.where(f"photo_id >= {a} AND photo_id < {b}").coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
-    source = (spark.readStream.schema(ROW_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"))
-    stream = ShotStream(spark, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/late")
-    start_shots(source, stream, f"{tmp_path}/cp").awaitTermination()
-    rows.where("photo_id = 5").coalesce(1).write.parquet(f"{tmp_path}/in/again")  # comes too late
-    start_shots(source, stream, f"{tmp_path}/cp").awaitTermination()
-    stream.close(10 ** 6)
-    columns = ["shoot_id", "photo_id", "is_bracket", "shot_id"]
-    got = spark.read.parquet(f"{tmp_path}/out").select(*columns).collect()
-    assert sorted(got) == sorted(group_shots(rows).select(*columns).collect())
-    assert [r.photo_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [5]
+from frameflow.streaming.feeds import stream_changes
+from frameflow.streaming.keyed import split_output
+from frameflow.streaming.shots import ROW_SCHEMA, Shoot, stream_shots
+
+
+def frames_with_faces(spark):
+    """Captures with faceprints and poses, both unknown at times."""
+    rows = frames(spark, SF_DIR).where("photo_id < 260 AND t_ms IS NOT NULL")
+    turn = "CASE WHEN photo_id % {0} = 1 THEN NULL ELSE array(CAST(cos(photo_id div {1}) AS FLOAT), CAST(sin(photo_id div {1}) AS FLOAT)) END"
+    return rows.withColumn("faceprint", F.expr(turn.format(9, 13))).withColumn("pose", F.expr(turn.format(7, 11))).withColumn(
+        "profile", F.expr("CASE WHEN shoot_id = 0 THEN 'portrait' ELSE profile END")).select(
+        *[F.col(f.name).cast(f.dataType) for f in ROW_SCHEMA.fields])
+
+
+def heartbeat(spark, t_ms):
+    return spark.createDataFrame([(0, None, t_ms)], "shoot_id long, photo_id long, t_ms long").select(
+        *[(F.col(f.name) if f.name in ("shoot_id", "photo_id", "t_ms") else F.lit(None)).cast(f.dataType).alias(f.name) for f in ROW_SCHEMA.fields])
+
+
+def file_stream(spark, folder, schema=ROW_SCHEMA):
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(str(folder)))
+
+
+def run(result, folder, name="q"):
+    """All that is new, in micro-batches of one file, to `out` and `late`; the query when it has ended."""
+    query = (result.writeStream.foreachBatch(split_output("late", f"{folder}/out", f"{folder}/late"))
+             .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
+COLUMNS = ["shoot_id", "photo_id", "is_bracket", "shot_id"]
+
+
+def test_stream_of_shots_equals_batch_over_restarts(spark, tmp_path):
+    rows = frames_with_faces(spark).cache()
+    order = rows.orderBy("t_ms", "photo_id").select("t_ms").collect()
+    cuts = [order[0].t_ms, order[31].t_ms + 1, order[33].t_ms + 1, order[110].t_ms + 1, order[-1].t_ms + 1]  # inside brackets, too
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        rows.where(f"t_ms >= {a} AND t_ms < {b}").coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+        run(stream_shots(file_stream(spark, tmp_path / "in")), tmp_path)  # a new query, from the checkpoint
+    first = order[5].t_ms
+    rows.where(f"t_ms = {first}").coalesce(1).write.parquet(f"{tmp_path}/in/again")  # comes too late
+    heartbeat(spark, cuts[-1] + 10_000_000).write.parquet(f"{tmp_path}/in/end")
+    run(stream_shots(file_stream(spark, tmp_path / "in")), tmp_path)
+    expected = group_shots(rows, faceprint="faceprint", pose="pose").select(*COLUMNS).collect()
+    assert sorted(spark.read.parquet(f"{tmp_path}/out").select(*COLUMNS).collect()) == sorted(expected)
+    assert sorted(expected) != sorted(group_shots(rows).select(*COLUMNS).collect())  # the rules for faces and poses matter
+    assert [r.t_ms for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [first]
+    rows.unpersist()
+
+
+def test_state_of_ended_shoots_is_dropped(spark, tmp_path):
+    day = 86_400_000
+    frame = "{s} AS shoot_id, {s} * 100 + id AS photo_id, {s} * {day} + id * 700 AS t_ms, 'event' AS profile, (id % 3 - 1) * 2.0D AS bias, 1L AS face_count, array(1F, 0F) AS vec"
+    for s in range(20):
+        part = spark.sql(f"SELECT {frame.format(s=s, day=day)} FROM range(30)")
+        part = part.select(*[(F.col(f.name) if f.name in part.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in ROW_SCHEMA.fields])
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{s:02d}")
+    query = run(stream_shots(file_stream(spark, tmp_path / "in")), tmp_path)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(kept) >= 20 and max(kept[10:]) <= max(kept[:4])
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.groupBy("shoot_id").count().where("count = 30").count() == 20
+
+
+def test_a_run_that_repeats_a_bias_does_not_wait():
+    shoot, final = Shoot(P.DEFAULT_SHOT), []
+    for i in range(1000):
+        final += shoot.add({"photo_id": i, "t_ms": i * 500, "profile": None, "bias": (i % 2) * 1.0, "face_count": None, "vec": [1.0, 0.0], "faceprint": None, "pose": None})
+        assert len(shoot.run) <= 2
+    assert {f[2:] for f in final} == {(False, 0)}
 
 
 def test_changes_across_batches(spark, tmp_path):
     log = table(spark, SF_DIR, "events").where("user_id < 4").select("user_id", "event_id", "event_type")
+    expected = sorted(change_feed(log, ("user_id",), ("event_id",), ("event_type",)).collect())
     log.where("event_id < 400").coalesce(1).write.parquet(f"{tmp_path}/in/b0")
+    stream = stream_changes(file_stream(spark, tmp_path / "in", log.schema), ["user_id"], ["event_id"], ["event_type"])
+    run(stream, tmp_path)
     log.where("event_id >= 400").coalesce(1).write.parquet(f"{tmp_path}/in/b1")
-    stream = feeds.ChangeStream(spark, log.schema, ["user_id"], ["event_id"], ["event_type"], f"{tmp_path}/out", f"{tmp_path}/state")
-    source = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"))
-    (source.writeStream.foreachBatch(stream).option("checkpointLocation", f"{tmp_path}/cp")
-     .trigger(availableNow=True).start().awaitTermination())
-    got = spark.read.parquet(f"{tmp_path}/out").select(*log.columns).collect()
-    assert sorted(got) == sorted(change_feed(log, ("user_id",), ("event_id",), ("event_type",)).collect())
+    log.where("event_id < 3").coalesce(1).write.parquet(f"{tmp_path}/in/b2")
+    run(stream, tmp_path)
+    assert sorted(spark.read.parquet(f"{tmp_path}/out").select(*log.columns).collect()) == expected
+    assert spark.read.parquet(f"{tmp_path}/late").select("event_id").distinct().count() == log.where("event_id < 3").count()
 
 
 def test_banked_measurements(spark, tmp_path):

@@ -2,77 +2,142 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpoint
+from ..runtime import checkpoint, join_same
+from .local import each, map_groups
 from .ordered import ordered_rows
 
 
+class OrderedSet:
+    """A set of integers below `size` with insertion, removal and search of the largest
+    member at or below a place: a tree of bitmaps, one level per 256 places."""
+
+    BITS = 256
+
+    def __init__(self, size: int, members) -> None:
+        self.levels: list[list[int]] = []
+        while True:
+            size = -(-size // self.BITS)
+            self.levels.append([0] * max(size, 1))
+            if size <= 1:
+                break
+        for x in members:
+            self.add(x)
+
+    def __contains__(self, x: int) -> bool:
+        return bool(self.levels[0][x // self.BITS] >> (x % self.BITS) & 1)
+
+    def add(self, x: int) -> None:
+        for level in self.levels:
+            x, bit = divmod(x, self.BITS)
+            level[x] |= 1 << bit
+
+    def remove(self, x: int) -> None:
+        for level in self.levels:
+            x, bit = divmod(x, self.BITS)
+            level[x] &= ~(1 << bit)
+            if level[x]:
+                return
+
+    def at_or_below(self, x: int) -> int:
+        """The largest member that isn't larger than x; -1 without one."""
+        for depth, level in enumerate(self.levels):
+            if x < 0:
+                return -1
+            at, bit = divmod(x, self.BITS)
+            found = level[at] & ((2 << bit) - 1)
+            if found:
+                at = at * self.BITS + found.bit_length() - 1
+                for below in reversed(self.levels[:depth]):
+                    at = at * self.BITS + below[at].bit_length() - 1
+                return at
+            x = at - 1
+        return -1
+
+
 def apply_pins(shots: DataFrame, pins: DataFrame, *, part: str = "shoot_id", time: str = "t_ms",
                key: str = "photo_id", group: str = "shot_id", max_rows=None) -> DataFrame:
     """Re-apply split_before / merge_with_prev pins in their order.
 
     shots: part, time, key, group (named by its first key), is_bracket.
-    pins: part, key, pin_order, kind. A pin only ever sees group starts, so the
-    pins are replayed over the starts near them: a split adds the start of its
-    frame, a merge clears the start of the group its frame is in at that
-    moment. A zone between two bracket groups is replayed on its own, because
-    no merge crosses a bracket. Within a zone of p pins only the p + 1 groups
-    before a pin can be touched.
+    pins: part, key, pin_order, kind. A pin only ever sees group starts: a split adds
+    the start of its frame, a merge clears the start of the group its frame is in at that
+    moment. A group's start can only be cleared if so many merges lie behind it that the
+    starts between are cleared, too; starts that can't be cleared, brackets and the
+    groups after brackets divide a shoot into pieces that don't affect each other. Pieces
+    with pins are replayed each on its own, with an ordered set of starts.
     """
     shots = checkpoint(shots.select(part, time, key, group, "is_bracket"))
     numbered = ordered_rows(shots, (part,), (time, key), max_rows)
     first = F.col(group) == F.col(key)
-    numbered = (numbered.row_number("_pos").running_sum("_group_no", first.cast("long"))
-                .running_sum("_zone", (first & F.col("is_bracket")).cast("long")))
-    rows = numbered.result()
+    rows = numbered.row_number("_pos").running_sum("_group_no", first.cast("long")).result()
     asked = pins.select(part, key, "pin_order", "kind").join(
-        rows.select(part, key, "_pos", "_group_no", "_zone", "is_bracket"), [part, key])
+        rows.select(part, key, "_pos", "_group_no", "is_bracket"), [part, key])
     asked = asked.where("NOT is_bracket").drop("is_bracket")
-    per_zone = asked.groupBy(part, "_zone").agg(F.count(F.lit(1)).alias("_p"))
-    reach = (asked.join(per_zone, [part, "_zone"])
-             .select(part, "_zone", F.explode(F.sequence(
-                 F.col("_group_no") - F.col("_p") - 1, F.col("_group_no"))).alias("_group_no"))
-             .distinct())
-    starts = rows.where(first).select(part, "_zone", "_group_no", "_pos", "is_bracket", key)
-    near = starts.join(reach, [part, "_zone", "_group_no"]).select(
-        part, "_zone", "_pos", key, F.lit(-1).cast("long").alias("pin_order"),
+    starts = rows.where(first).select(part, "_group_no", "_pos", "is_bracket", key)
+    merges = asked.where("kind = 'merge_with_prev'").groupBy(part, "_group_no").agg(F.count(F.lit(1)).alias("_m"))
+    starts = join_same(starts, merges, [part, "_group_no"], "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    pieces = checkpoint(_pieces(starts, part, max_rows))
+    found = join_same(asked, pieces.select(part, "_group_no", "_piece"), [part, "_group_no"])
+    touched = found.select(part, "_piece").distinct()
+    near = join_same(pieces, touched, [part, "_piece"], "left_semi").select(
+        part, "_piece", "_pos", key, F.lit(None).cast("long").alias("pin_order"),
         F.when(F.col("is_bracket"), "bracket").otherwise("start").alias("kind"))
-    todo = near.unionByName(asked.select(part, "_zone", "_pos", key,
-                                         F.col("pin_order").cast("long"), "kind"))
+    todo = near.unionByName(found.select(part, "_piece", "_pos", key, F.col("pin_order").cast("long"), "kind"))
     kind = dict(rows.dtypes)
-    changed = todo.groupBy(part, "_zone").applyInPandas(
-        _replay(part, key), f"`{part}` {kind[part]}, `{key}` {kind[key]}, _start boolean")
-    flagged = rows.join(changed, [part, key], "left").withColumn(
-        "_start", F.coalesce("_start", first))
+    changed = map_groups(todo, [part, "_piece"], ["_pos"], each(_replay(part, key)),
+                         f"`{part}` {kind[part]}, `{key}` {kind[key]}, _start boolean")
+    flagged = join_same(rows, changed, [part, key], "left").withColumn("_start", F.coalesce("_start", first))
     flagged = checkpoint(flagged.select(part, time, key, "is_bracket", "_start"))
     regrouped = ordered_rows(flagged, (part,), (time, key), max_rows).running_last(
         "_named", F.when(F.col("_start"), F.col(key))).result()
     return regrouped.select(part, time, key, F.col("_named").alias(group), "is_bracket")
 
 
+def _pieces(starts: DataFrame, part: str, max_rows) -> DataFrame:
+    """starts with `_piece`: groups whose replays may affect each other share one.
+
+    With a(i) merges in group i, the start of j can be cleared only if for some k >= j the
+    groups j to k hold more than k - j of them: if the largest sum of a(i) - 1 over j to k
+    is not negative. Sums and their maxima are running ones, from the front and back.
+    """
+    rows = ordered_rows(starts, (part,), ("_group_no",), max_rows)
+    rows = rows.running_sum("_zone", F.col("is_bracket").cast("long")).lag("_before", "is_bracket")
+    rows = rows.running_sum("_sum", F.col("_m") - 1).with_columns({"_back": -F.col("_group_no")})
+    behind = ordered_rows(rows.result(), (part, "_zone"), ("_back",), max_rows).running_max("_most", F.col("_sum")).result()
+    stays = (F.col("is_bracket") | F.col("_before").isNull() | F.col("_before.is_bracket")
+             | (F.col("_most") - (F.col("_sum") - F.col("_m") + 1) < 0))
+    return ordered_rows(behind.withColumn("_cut", stays.cast("long")), (part,), ("_group_no",), max_rows).running_sum(
+        "_piece", F.col("_cut")).result().select(part, "_group_no", "_pos", "is_bracket", starts.columns[4], "_piece")
+
+
 def _replay(part, key):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[pdf["pin_order"] < 0]
-        starts = dict(zip(base["_pos"], base["kind"]))
-        keys = dict(zip(pdf["_pos"], pdf[key]))
-        before = {p: True for p in starts}
-        replay = pdf[pdf["pin_order"] >= 0].sort_values("pin_order")
-        for pos, kind in zip(replay["_pos"], replay["kind"]):
-            if kind == "split_before":
-                starts.setdefault(pos, "start")
-                continue
-            heads = sorted(p for p in starts if p <= pos)
-            # without an earlier start here the group is the first of its shoot
-            if len(heads) < 2 or starts[heads[-2]] == "bracket" or starts[heads[-1]] == "bracket":
+        place, at = np.unique(pdf["_pos"].to_numpy(), return_inverse=True)
+        keys = np.empty(len(place), dtype=object)
+        keys[at] = pdf[key].to_numpy()
+        order, kind = pdf["pin_order"].to_numpy(dtype=float), pdf["kind"].to_numpy()
+        given = np.isnan(order)
+        # a piece begins with a start that stays; a bracket is a piece of its own
+        before = set(at[given].tolist())
+        starts, lowest = OrderedSet(len(place), before), min(before, default=0)
+        pins = np.flatnonzero(~given)
+        for i in pins[np.argsort(order[pins], kind="stable")]:
+            x = int(at[i])
+            if kind[i] == "split_before":
+                starts.add(x)
                 continue
-            del starts[heads[-1]]
-        touched = {p for p in before if p not in starts} | {p for p in starts if p not in before}
-        return pd.DataFrame({part: [pdf[part].iloc[0]] * len(touched),
-                             key: [keys[p] for p in touched],
-                             "_start": [p in starts for p in touched]})
+            head = starts.at_or_below(x)
+            if head > lowest:
+                starts.remove(head)
+        touched = [x for x in range(len(place)) if (x in starts) != (x in before)]
+        return pd.DataFrame({part: pd.Series([pdf[part].iloc[0]] * len(touched), dtype=pdf[part].dtype),
+                             key: pd.Series([keys[x] for x in touched], dtype=pdf[key].dtype),
+                             "_start": [x in starts for x in touched]})
     return run
 
 

@@ -72,6 +72,16 @@ class OrderedRows:
                              F.coalesce(name, F.lit(0)) + F.coalesce("_carry", F.lit(0)))).drop("_carry")
         return replace(self, df=df)
 
+    def running_max(self, name: str, value: Column) -> OrderedRows:
+        """Add the largest known `value` from the key's first row to this one."""
+        df = self.df.withColumn(name, F.max(value).over(self.window().rowsBetween(W.unboundedPreceding, 0)))
+        if self.chunks:
+            carry = self._carry(
+                self.df, F.max(value),
+                lambda w: F.max("_end").over(w.rowsBetween(W.unboundedPreceding, -1)))
+            df = self._join(df, carry).withColumn(name, F.greatest(name, "_carry")).drop("_carry")
+        return replace(self, df=df)
+
     def running_last(self, name: str, value: Column) -> OrderedRows:
         """Add the latest non-NULL `value` at or before this row."""
         frame = self.window().rowsBetween(W.unboundedPreceding, 0)

@@ -143,12 +143,31 @@ def split_pins(spark, sf_dir):
     return corrections.apply_pins(found, pins).drop("t_ms")
 
 
-@query("mixed_pins")
+# every pin in its order changes the list of starts of its shoot; brackets stand apart
+_PINS_SQL = f"""{SHOTS_SQL},
+spots AS (SELECT *, row_number() OVER (PARTITION BY shoot_id ORDER BY t_ms, photo_id) AS pos FROM shots),
+given AS (SELECT shoot_id, list(pos) AS starts, list(pos) FILTER (is_bracket) AS seals FROM spots
+ WHERE photo_id = shot_id GROUP BY shoot_id),
+pins AS (SELECT shoot_id, pos, photo_id % 3 = 0 AS split, row_number() OVER (PARTITION BY shoot_id
+ ORDER BY photo_id * 7919 % 1000003) AS k FROM spots WHERE photo_id % 40 IN (3, 7, 9) AND NOT is_bracket),
+replayed AS (SELECT shoot_id, CAST(0 AS BIGINT) AS k, starts, COALESCE(seals, []) AS seals FROM given
+ UNION ALL SELECT shoot_id, k, CASE WHEN split THEN list_distinct(list_append(starts, pos))
+  WHEN prev IS NULL OR list_contains(seals, prev) OR list_contains(seals, head) THEN starts
+  ELSE list_filter(starts, lambda x: x <> head) END, seals
+ FROM (SELECT *, list_max(list_filter(starts, lambda x: x < head)) AS prev FROM (
+  SELECT r.shoot_id, p.k, r.starts, r.seals, p.split, p.pos, list_max(list_filter(r.starts, lambda x: x <= p.pos)) AS head
+  FROM replayed r JOIN pins p ON p.shoot_id = r.shoot_id AND p.k = r.k + 1))),
+heads AS (SELECT shoot_id, unnest(max_by(starts, k)) AS pos FROM replayed GROUP BY shoot_id)"""
+
+
+@query("mixed_pins", f"""WITH RECURSIVE {_PINS_SQL} SELECT s.shoot_id, s.photo_id, s.is_bracket,
+ last_value(CASE WHEN h.pos IS NOT NULL THEN s.photo_id END IGNORE NULLS) OVER (PARTITION BY s.shoot_id
+ ORDER BY s.pos) AS shot_id FROM spots s LEFT JOIN heads h ON h.shoot_id = s.shoot_id AND h.pos = s.pos""")
 def mixed_pins(spark, sf_dir):
     found = shots.group_shots(frames(spark, sf_dir))
     kind = F.when(F.col("photo_id") % 3 == 0, "split_before").otherwise("merge_with_prev")
     pins = found.where("photo_id % 40 IN (3, 7, 9)").select(
-        "shoot_id", "photo_id", (F.col("photo_id") * 7 % 1009).alias("pin_order"), kind.alias("kind"))
+        "shoot_id", "photo_id", (F.col("photo_id") * 7919 % 1000003).alias("pin_order"), kind.alias("kind"))
     return corrections.apply_pins(found, pins).drop("t_ms")
 
 

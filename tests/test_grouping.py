@@ -1,6 +1,7 @@
 """Scenes, brackets, shots, pins: small cases and a plain sequential walk."""
 
 import math
+import bisect
 import random
 
 import pytest
@@ -220,6 +221,53 @@ def test_random_pins_equal_replay(spark, max_rows):
     assert pinned(spark, groups, pins, max_rows) == replay(groups, pins)
 
 
+def test_a_hundred_thousand_pins_in_one_shoot(spark):
+    n = 300_000
+    rows = spark.range(n).selectExpr("1L AS shoot_id", "id AS photo_id", "id AS t_ms", "id div 3 * 3 AS shot_id", "false AS is_bracket")
+    pins = spark.range(100_000).selectExpr("1L AS shoot_id", "id * 7919 % 300000 AS photo_id", "id AS pin_order",
+                                           "CASE WHEN id % 4 = 1 THEN 'split_before' ELSE 'merge_with_prev' END AS kind")
+    found = [r.shot_id for r in corrections.apply_pins(rows, pins).orderBy("photo_id").select("shot_id").collect()]
+    starts = set(range(0, n, 3))
+    left = sorted(starts)
+    for i in range(100_000):
+        x = i * 7919 % n
+        if i % 4 == 1:
+            if x not in starts:
+                starts.add(x)
+                bisect.insort(left, x)
+        elif (at := bisect.bisect_right(left, x) - 1) > 0:
+            starts.discard(left.pop(at))
+    expected, head = [], None
+    for i in range(n):
+        head = i if i in starts else head
+        expected.append(head)
+    assert found == expected
+
+
+def test_pieces_of_pins_stay_apart(spark):
+    starts = spark.createDataFrame([(1, g, 10 * g, g == 4, 10 * g, m) for g, m in enumerate([0, 0, 2, 0, 0, 0, 1, 0, 0, 3])],
+                                   "shoot_id long, _group_no long, _pos long, is_bracket boolean, photo_id long, _m long")
+    pieces = corrections._pieces(starts, "shoot_id", None).orderBy("_group_no").collect()
+    assert [r._piece for r in pieces] == [1, 1, 1, 2, 3, 4, 4, 4, 4, 4]
+
+
+def test_ordered_set():
+    rnd, size = random.Random(3), 70_000
+    members = set(rnd.sample(range(size), 300))
+    kept = corrections.OrderedSet(size, members)
+    for _ in range(3000):
+        x = rnd.randrange(size)
+        assert kept.at_or_below(x) == max((m for m in members if m <= x), default=-1) and (x in kept) == (x in members)
+        if rnd.random() < .5 and members:
+            y = rnd.choice(sorted(members)) if rnd.random() < .05 else max((m for m in members if m <= x), default=None)
+            if y is not None:
+                members.discard(y)
+                kept.remove(y)
+        else:
+            members.add(x)
+            kept.add(x)
+
+
 # --- poses and persons -------------------------------------------------------------------
 
 def members(rows, group):

@@ -9,16 +9,17 @@ words and pairs are counted first.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint
-from .groups import cuts, group_count, group_of, pack_bits, pack_ints, slices, text_bytes, unpack_bits, unpack_ints
+from .groups import cuts, group_count, group_of, pack_bits, pack_ints, pack_planes, slices, text_bytes, unpack_bits, unpack_ints, unpack_planes
 from .words import Texts, mix, texts_of
 
 #: Words of the longest phrase, occurrences of a candidate, phrases listed per language.
@@ -32,10 +33,13 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-WORDS_DDL = "_g int, lang string, word string, n long"
+WORDS_DDL = "_slice int, _g int, langs array<string>, lang binary, size binary, words binary, n binary"
 PAIRS_DDL = "_slice int, _g int, pair binary, n binary"
-REPLY = pa.schema([("_g", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("id", pa.int32()), ("_slice", pa.int32()), ("bits", pa.binary())])
-REPLY_DDL = "_g int, lang string, word string, id int, _slice int, bits binary"
+HEARD = pa.schema([("_g", pa.int32()), ("_slice", pa.int32()), ("kind", pa.string()), ("data", pa.binary()),
+                   ("lang", pa.string()), ("word", pa.string()), ("id", pa.int32()), ("n", pa.int64())])
+HEARD_DDL = "_g int, _slice int, kind string, data binary, lang string, word string, id int, n long"
+REPLY = pa.schema(list(HEARD)[:4])
+REPLY_DDL = "_g int, _slice int, kind string, data binary"
 
 
 @dataclass
@@ -87,42 +91,99 @@ def spoken(table: pa.Table) -> Spoken:
     return Spoken(code, linked, langs.take(pa.array(distinct // max(len(words), 1))), words.take(pa.array(distinct % max(len(words), 1))))
 
 
-def word_rows(key: tuple, table: pa.Table) -> pa.Table:
-    """A group's distinct words with their counts, and all of a language as a null word."""
-    told = spoken(table)
-    n = np.bincount(told.code, minlength=len(told.words))
-    totals = pa.table({"lang": told.langs, "n": pa.array(n, pa.int64())}).group_by("lang").aggregate([("n", "sum")])
-    return pa.table({"_g": pa.array([key[0].as_py()] * (len(n) + len(totals)), pa.int32()),
-                     "lang": pa.concat_arrays([told.langs, totals["lang"].combine_chunks()]),
-                     "word": pa.concat_arrays([told.words, pa.nulls(len(totals), pa.string())]),
-                     "n": pa.concat_arrays([pa.array(n, pa.int64()), totals["n_sum"].combine_chunks()])})
+def word_slices(told: Spoken, n_slices: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) % n_slices for w in told.words.to_pylist()), np.int64, len(told.words))
 
 
-def with_ids(told: Spoken, reply: pa.Table) -> np.ndarray:
+def strings(sizes: np.ndarray, data: bytes) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def word_rows(n_slices: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """A group's distinct words with their counts, one row per slice."""
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        told = spoken(table)
+        where = word_slices(told, n_slices)
+        order = np.argsort(where, kind="stable")
+        n = np.bincount(told.code, minlength=len(told.words))[order]
+        lang = told.langs.take(pa.array(order)).dictionary_encode()
+        code, langs = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), lang.dictionary.to_pylist()
+        texts = [w.encode() for w in told.words.take(pa.array(order)).to_pylist()]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        edge = np.searchsorted(where[order], np.arange(n_slices + 1))
+        out = {name: [] for name in ("_slice", "_g", "langs", "lang", "size", "words", "n")}
+        for s in np.flatnonzero(np.diff(edge)):
+            p = slice(edge[s], edge[s + 1])
+            row = (int(s), key[0].as_py(), langs, pack_ints(code[p]), pack_ints(size[p]), b"".join(texts[p]), pack_ints(n[p]))
+            for name, value in zip(out, row, strict=True):
+                out[name].append(value)
+        types = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({name: pa.array(column, t) for (name, column), t in zip(out.items(), types, strict=True)})
+    return send
+
+
+def count_words(n_slices: int, often: int) -> Callable[[pa.Table], pa.Table]:
+    """One slice of the words of all groups: the frequent ones with a number each, their
+    numbers (0 for a rare one) back to every group, and the words of each language."""
+    def merge(table: pa.Table) -> pa.Table:
+        names = pa.array([x for row in table["langs"].to_pylist() for x in row], pa.string()).dictionary_encode()
+        first = np.cumsum([0, *(len(x) for x in table["langs"].to_pylist())])
+        lang_of, at = names.indices.to_numpy(zero_copy_only=False), [unpack_ints(x) for x in table["lang"].to_pylist()]
+        lang = np.concatenate([lang_of[f + x] for f, x in zip(first, at, strict=False)])
+        size = np.concatenate([unpack_ints(x) for x in table["size"].to_pylist()])
+        words = strings(size, b"".join(table["words"].to_pylist())).dictionary_encode()
+        n = np.concatenate([unpack_ints(x) for x in table["n"].to_pylist()])
+        both, inverse = np.unique(lang.astype(np.int64) * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        np.add.at(total, inverse, n)
+        good = np.flatnonzero(total >= often)
+        here = table["_slice"][0].as_py()
+        number = np.zeros(len(both), np.int64)
+        number[good] = np.arange(len(good)) * n_slices + here + 1
+        replies = np.split(number[inverse].astype("<u4"), np.cumsum([len(x) for x in at])[:-1])
+        spoken_in = np.zeros(len(names.dictionary), np.int64)
+        np.add.at(spoken_in, both // len(words.dictionary), total)
+        known = pa.table({"_g": pa.nulls(len(good), pa.int32()), "_slice": pa.nulls(len(good), pa.int32()), "kind": pa.array(["word"] * len(good), pa.string()),
+                          "data": pa.nulls(len(good), pa.binary()), "lang": names.dictionary.take(pa.array(both[good] // len(words.dictionary))),
+                          "word": words.dictionary.take(pa.array(both[good] % len(words.dictionary))).cast(pa.string()),
+                          "id": pa.array(number[good], pa.int32()), "n": pa.array(total[good], pa.int64())}, schema=HEARD)
+        k = len(spoken_in)
+        sums = pa.table({"_g": pa.nulls(k, pa.int32()), "_slice": pa.nulls(k, pa.int32()), "kind": pa.array(["lang"] * k, pa.string()), "data": pa.nulls(k, pa.binary()),
+                         "lang": names.dictionary, "word": pa.nulls(k, pa.string()), "id": pa.nulls(k, pa.int32()), "n": pa.array(spoken_in, pa.int64())}, schema=HEARD)
+        m = len(replies)
+        answers = pa.table({"_g": table["_g"], "_slice": table["_slice"], "kind": pa.array(["ids"] * m, pa.string()),
+                            "data": pa.array([x.tobytes() for x in replies], pa.binary()), "lang": pa.nulls(m, pa.string()), "word": pa.nulls(m, pa.string()),
+                            "id": pa.nulls(m, pa.int32()), "n": pa.nulls(m, pa.int64())}, schema=HEARD)
+        return pa.concat_tables([known, sums, answers])
+    return merge
+
+
+def answers(reply: pa.Table, kind: str) -> dict[int, bytes]:
+    """Slice -> what it answered."""
+    return {s: d for s, k, d in zip(reply["_slice"].to_pylist(), reply["kind"].to_pylist(), reply["data"].to_pylist(), strict=True) if k == kind}
+
+
+def with_ids(told: Spoken, reply: pa.Table, n_slices: int) -> np.ndarray:
     """The number of each word in order, 0 for a rare one."""
-    mine = pa.table({"lang": told.langs, "word": told.words, "at": pa.array(np.arange(len(told.words)))})
-    joined = mine.join(reply.select(["lang", "word", "id"]), ["lang", "word"], join_type="inner")
-    ids = np.zeros(len(told.words) + 1, np.int64)
-    ids[joined["at"].to_numpy()] = joined["id"].to_numpy()
+    order = np.argsort(word_slices(told, n_slices), kind="stable")
+    said = answers(reply, "ids")
+    ids = np.zeros(len(told.words), np.int64)
+    ids[order] = np.frombuffer(b"".join(said[s] for s in sorted(said)), "<u4")
     return ids[told.code]
 
 
 def pair_keys(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where two words that aren't rare follow each other, and a one-to-one scrambled
-    number of the pair."""
+    """Where two words that aren't rare follow each other, and the two numbers as one."""
     at = np.flatnonzero(linked[:-1] & (ids[:-1] > 0) & (ids[1:] > 0)) if len(ids) else np.zeros(0, np.int64)
-    return at, mix((ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1].astype(np.uint64))
-
-
-def is_word(reply: pa.Table) -> pa.Array:
-    return pc.is_valid(reply["word"])
+    return at, (ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1].astype(np.uint64)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """The rows of a checkpoint with dense numbers from 1 on."""
-    parts = df.rdd.getNumPartitions()
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(name, (place * parts + F.spark_partition_id() + 1).cast("int"))
+def by_slice(pair: np.ndarray, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct pairs by slice and number, and where each slice begins."""
+    where = slices(mix(pair), n_slices)
+    order = np.lexsort((pair, where))
+    return order, cuts(where[order], n_slices)
 
 
 def window_counts(rows: DataFrame, replies: DataFrame, n_slices: int, longest: int, often: int) -> DataFrame:
@@ -130,34 +191,33 @@ def window_counts(rows: DataFrame, replies: DataFrame, n_slices: int, longest: i
     counted within each group."""
     def pairs(key: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
         told = spoken(table)
-        _, found = pair_keys(with_ids(told, reply), told.linked)
+        _, found = pair_keys(with_ids(told, reply, n_slices), told.linked)
         pair, n = np.unique(found, return_counts=True)
-        edge = cuts(slices(pair, n_slices), n_slices)
+        order, edge = by_slice(pair, n_slices)
+        pair, n = pair[order], n[order]
         parts = [(int(s), slice(edge[s], edge[s + 1])) for s in np.flatnonzero(np.diff(edge))]
         return pa.table({"_slice": pa.array([s for s, _ in parts], pa.int32()), "_g": pa.array([key[0].as_py()] * len(parts), pa.int32()),
-                         "pair": pa.array([pack_ints(pair[p].view(np.int64)) for _, p in parts], pa.binary()),
+                         "pair": pa.array([pack_planes(pair[p]) for _, p in parts], pa.binary()),
                          "n": pa.array([pack_ints(n[p]) for _, p in parts], pa.binary())})
 
     def frequent(table: pa.Table) -> pa.Table:
-        pair = [unpack_ints(x).view(np.uint64) for x in table["pair"].to_pylist()]
+        pair = [unpack_planes(x) for x in table["pair"].to_pylist()]
         _, inverse = np.unique(np.concatenate(pair), return_inverse=True)
         total = np.zeros(int(inverse.max()) + 1, np.int64)
         np.add.at(total, inverse, np.concatenate([unpack_ints(x) for x in table["n"].to_pylist()]))
         bits = np.split(total[inverse] >= often, np.cumsum([len(x) for x in pair])[:-1])
-        none = pa.nulls(len(bits), pa.string())
-        return pa.table({"_g": table["_g"], "lang": none, "word": none, "id": pa.nulls(len(bits), pa.int32()),
-                         "_slice": table["_slice"], "bits": pa.array([pack_bits(x) for x in bits], pa.binary())}, schema=REPLY)
+        return pa.table({"_g": table["_g"], "_slice": table["_slice"], "kind": pa.array(["pairs"] * len(bits), pa.string()),
+                         "data": pa.array([pack_bits(x) for x in bits], pa.binary())}, schema=REPLY)
 
     def windows(key: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
         told = spoken(table)
-        heard = is_word(reply)
-        ids = with_ids(told, reply.filter(heard))
+        ids = with_ids(told, reply, n_slices)
         at, found = pair_keys(ids, told.linked)
         pair, inverse = np.unique(found, return_inverse=True)
-        size = np.diff(cuts(slices(pair, n_slices), n_slices))
-        verdicts = reply.filter(pc.invert(heard))
-        said = dict(zip(verdicts["_slice"].to_pylist(), verdicts["bits"].to_pylist(), strict=True))
-        good = np.concatenate([np.zeros(0, bool)] + [unpack_bits(said[int(s)], int(size[s])) for s in np.flatnonzero(size)])
+        order, edge = by_slice(pair, n_slices)
+        said = answers(reply, "pairs")
+        good = np.zeros(len(pair), bool)
+        good[order] = np.concatenate([np.zeros(0, bool)] + [unpack_bits(said[int(s)], int(edge[s + 1] - edge[s])) for s in np.flatnonzero(np.diff(edge))])
         next_good = np.zeros(len(ids) + longest, bool)
         next_good[at] = good[inverse]
         lead = np.flatnonzero(next_good)
@@ -234,14 +294,14 @@ def collocations(documents: DataFrame, key: str = "doc_id", text: str = "text",
     n_groups = group_count(text_bytes(documents, text), **sizes)
     rows = documents.select(group_of(n_groups, F.col(key), F.col(text)).alias("_g"), F.coalesce(F.col(lang).cast("string"), F.lit(unknown)).alias("lang"),
                             F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    heard = rows.groupBy("_g").applyInArrow(word_rows, WORDS_DDL).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.collect_list("_g").alias("groups"))
-    heard = numbered(checkpoint(heard.where(F.col("n") >= often)), "id")
-    known = heard.where("word is not null")
-    replies = known.select(F.explode("groups").alias("_g"), "lang", "word", "id", F.lit(None).cast("int").alias("_slice"), F.lit(None).cast("binary").alias("bits"))
-    windows = window_counts(rows, replies, n_groups, longest, often)
+    heard = checkpoint(rows.groupBy("_g").applyInArrow(word_rows(n_groups), WORDS_DDL)
+                       .groupBy("_slice").applyInArrow(count_words(n_groups, often), HEARD_DDL))
+    known = heard.where("kind = 'word'").select("lang", "word", "id", "n")
+    spoken_in = heard.where("kind = 'lang'").groupBy("lang").agg(F.sum("n").alias("n"))
+    windows = window_counts(rows, heard.where("kind = 'ids'").select(*REPLY.names), n_groups, longest, often)
     phrases = checkpoint(phrase_counts(windows, longest, often))
     parts = phrases.unionByName(known.select(F.array("id").alias("ids"), F.col("n").alias("f")))
-    totals = known.select("id", "lang").join(heard.where("word is null").select("lang", "n"), "lang")
+    totals = known.select("id", "lang").join(spoken_in, "lang")
     found = scored(phrases, parts, totals).join(absorbed(phrases, absorb), "ids", "left_anti")
 
     # the first ones by number already, in parts of each language; ties at the end all stay

@@ -91,8 +91,17 @@ def spoken(table: pa.Table) -> Spoken:
     return Spoken(code, linked, langs.take(pa.array(distinct // max(len(words), 1))), words.take(pa.array(distinct % max(len(words), 1))))
 
 
-def word_slices(told: Spoken, n_slices: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % n_slices for w in told.words.to_pylist()), np.int64, len(told.words))
+def word_order(told: Spoken, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words in an order that follows from them alone, slice by slice, and
+    where each slice begins. A group's rows come in another order each time it is read."""
+    langs, words = told.langs.to_pylist(), told.words.to_pylist()
+    number = np.fromiter((zlib.crc32(f"{lang}\0{word}".encode()) for lang, word in zip(langs, words, strict=True)), np.int64, len(words))
+    where = number % n_slices
+    order = np.lexsort((number, where))
+    for i in np.flatnonzero(np.diff(number[order]) == 0):
+        same = order[number[order] == number[order[i]]]
+        order[number[order] == number[order[i]]] = sorted(same, key=lambda j: (langs[j], words[j]))
+    return order, np.searchsorted(where[order], np.arange(n_slices + 1))
 
 
 def strings(sizes: np.ndarray, data: bytes) -> pa.Array:
@@ -104,14 +113,12 @@ def word_rows(n_slices: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """A group's distinct words with their counts, one row per slice."""
     def send(key: tuple, table: pa.Table) -> pa.Table:
         told = spoken(table)
-        where = word_slices(told, n_slices)
-        order = np.argsort(where, kind="stable")
+        order, edge = word_order(told, n_slices)
         n = np.bincount(told.code, minlength=len(told.words))[order]
         lang = told.langs.take(pa.array(order)).dictionary_encode()
         code, langs = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), lang.dictionary.to_pylist()
         texts = [w.encode() for w in told.words.take(pa.array(order)).to_pylist()]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        edge = np.searchsorted(where[order], np.arange(n_slices + 1))
         out = {name: [] for name in ("_slice", "_g", "langs", "lang", "size", "words", "n")}
         for s in np.flatnonzero(np.diff(edge)):
             p = slice(edge[s], edge[s + 1])
@@ -166,7 +173,7 @@ def answers(reply: pa.Table, kind: str) -> dict[int, bytes]:
 
 def with_ids(told: Spoken, reply: pa.Table, n_slices: int) -> np.ndarray:
     """The number of each word in order, 0 for a rare one."""
-    order = np.argsort(word_slices(told, n_slices), kind="stable")
+    order, _ = word_order(told, n_slices)
     said = answers(reply, "ids")
     ids = np.zeros(len(told.words), np.int64)
     ids[order] = np.frombuffer(b"".join(said[s] for s in sorted(said)), "<u4")

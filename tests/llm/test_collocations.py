@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from corpus import lower, odd_texts
 
@@ -81,3 +82,18 @@ def test_scores_past_64_bits(spark):
     totals = spark.createDataFrame([(1, "en", 9_000_000_000_000), (2, "en", 9_000_000_000_000)], "id int, lang string, n long")
     row = collocations.scored(parts.where("size(ids) = 2"), parts, totals).first()
     assert row["score"] == 1000 * 2_900_000_000 * 9_000_000_000_000 // (3_000_000_000 * 4_000_000_000)
+
+
+def test_the_order_of_rows_does_not_matter():
+    """A group's rows may come in any order each time it is read."""
+    rows = [(lang or "und", t or "") for _, t, lang in talk()] + [("en", "plumless buckeroo"), ("fr", "buckeroo plumless")]
+    table = pa.table({"lang": pa.array([lang for lang, _ in rows]), "text": pa.array([t for _, t in rows])})
+    told = []
+    for seed in (None, 1, 2):
+        order = list(range(len(rows)))
+        if seed:
+            random.Random(seed).shuffle(order)
+        group = collocations.spoken(table.take(pa.array(order)))
+        at, edge = collocations.word_order(group, 7)
+        told.append(([(group.langs[i].as_py(), group.words[i].as_py()) for i in at.tolist()], edge.tolist()))
+    assert told[0] == told[1] == told[2] and len(told[0][0]) > 100

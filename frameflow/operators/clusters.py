@@ -8,29 +8,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..runtime import checkpoint, join_same
+from ..runtime import BROADCAST_ROWS, checkpoint, join_same
 from .local import each, map_groups, stack
-from .neighbors import TILE_ROWS, distances, hashed_tile, tile_pairs
+from .neighbors import TILE_ROWS, angle_limit, close_tiles, distances, paired, sides, tile_bounds, tiled
 from .ordered import row_numbers
 
 
+#: Nodes with more neighbours than this meet their smallest one by a broadcast.
+HOT_DEGREE = 50_000
+
+
+def tile_groups(rows: DataFrame, part, key: str, limit: float, tile_rows: int) -> DataFrame:
+    """rows (part, key, _vec, ...) once for every pair of tiles that may hold a pair within
+    `limit`; a vector that is unknown is at distance 1 from all."""
+    placed = tiled(rows, part, key, "_vec", tile_rows)
+    if limit < 1.0:
+        placed = placed.where(F.size("_vec") > 0)
+    reach = angle_limit(limit) if limit < 1.0 else np.pi
+    return paired(placed, part, close_tiles(tile_bounds(placed, part, reach), part))
+
+
 def spanning_edges(df: DataFrame, key: str, vec: str, limit: float, *, part=(),
                    tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges (src < dst) that connect the same rows as all pairs within `limit`.
 
     Each pair of tiles returns a spanning forest, fewer edges than rows, however
-    dense the pile.
+    dense the pile; tiles too far apart for any edge don't meet.
     """
     part = list(part)
     rows = df.select(*part, key, F.col(vec).alias("_vec"))
     kind = dict(rows.dtypes)[key]
-    pairs = tile_pairs(rows, part, hashed_tile(key), tile_rows)
+    pairs = tile_groups(rows, part, key, limit, tile_rows).select(*part, key, "_vec", "_pair", "_tile")
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, units = pdf[key].to_numpy(), stack(pdf["_vec"].tolist())
         close = distances(units, units) <= limit
         tile = pdf["_tile"].to_numpy()
-        if pdf["_i"].iloc[0] != pdf["_j"].iloc[0]:
+        if len(sides(pdf)) > 1:
             close &= tile[:, None] != tile[None, :]
         left = np.ones(len(ids), dtype=bool)
         edges = []
@@ -46,7 +60,18 @@ def spanning_edges(df: DataFrame, key: str, vec: str, limit: float, *, part=(),
                 edges += [(min(ids[at], ids[n]), max(ids[at], ids[n])) for n in new]
                 frontier.extend(new)
         return pd.DataFrame(edges, columns=["src", "dst"])
-    return map_groups(pairs, [*part, "_i", "_j"], [key], each(forest), f"src {kind}, dst {kind}")
+    return map_groups(pairs, [*part, "_pair"], [key], each(forest), f"src {kind}, dst {kind}")
+
+
+def _with_lowest(rows: DataFrame, lowest: DataFrame, node: str, degree: str, edges: int) -> DataFrame:
+    """Join what each node knows. Nodes with very many rows are few (edges / HOT_DEGREE at
+    most) and meet them by a broadcast, so that their rows stay where they are."""
+    if edges <= HOT_DEGREE:
+        return rows.join(lowest, node)
+    hot = lowest.where(F.col(degree) > HOT_DEGREE)
+    hot = F.broadcast(hot) if edges // HOT_DEGREE <= BROADCAST_ROWS else hot
+    cold = rows.join(hot.select(node), node, "left_anti").join(lowest.where(F.col(degree) <= HOT_DEGREE), node)
+    return rows.join(hot, node).unionByName(cold)
 
 
 def connected_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
@@ -64,12 +89,12 @@ def connected_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFr
             break
         before = size
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
-        large = (both.join(low, "src").where("dst > src")
+        low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count(F.lit(1)).alias("degree"))
+        large = (_with_lowest(both, low, "src", "degree", 2 * size[0]).where("dst > src")
                  .select(F.col("low").alias("src"), "dst").where("src <> dst").distinct())
         down = large.select(F.col("dst").alias("node"), F.col("src").alias("to"))
-        least = down.groupBy("node").agg(F.min("to").alias("low"))
-        small = (down.join(least, "node").where("to <> low")
+        least = down.groupBy("node").agg(F.min("to").alias("low"), F.count(F.lit(1)).alias("degree"))
+        small = (_with_lowest(down, least, "node", "degree", size[0]).where("to <> low")
                  .select(F.col("low").alias("src"), F.col("to").alias("dst"))
                  .unionByName(least.select(F.col("low").alias("src"), F.col("node").alias("dst"))))
         current = checkpoint(small.select(F.least("src", "dst").alias("src"),
@@ -104,24 +129,25 @@ def cluster_greedy(df: DataFrame, part, order, key: str, vec: str,
     schema = ", ".join(f"`{c}` {types[c]}" for c in part) + (", " if part else "") + (
         "_pos bigint, _parent bigint, _dist double")
     slim = rows.select(*part, "_pos", F.col(vec).alias("_vec"))
-    pairs = tile_pairs(slim, part, lambda n: F.floor((F.col("_pos") - 1) / tile_rows).cast("int"),
-                       tile_rows)
+    pairs = tile_groups(slim, part, "_pos", limit, tile_rows).select(*part, "_pos", "_vec", "_pair", "_tile")
 
     def nearest_earlier(pdf: pd.DataFrame) -> pd.DataFrame:
         pos, units = pdf["_pos"].to_numpy(), stack(pdf["_vec"].tolist())
-        tile = pdf["_tile"].to_numpy()
-        early, late = tile == pdf["_i"].iloc[0], tile == pdf["_j"].iloc[0]
-        dist = distances(units[late], units[early])
-        dist[pos[late][:, None] <= pos[early][None, :]] = np.inf
-        # the last column with the smallest distance is the latest such row
-        at = dist.shape[1] - 1 - np.argmin(dist[:, ::-1], axis=1)
-        best = dist[np.arange(len(at)), at]
-        hit = best <= limit
-        out = pd.DataFrame({"_pos": pos[late][hit], "_parent": pos[early][at[hit]], "_dist": best[hit]})
+        found = []
+        for late, early in sides(pdf):
+            order = np.argsort(pos[early])
+            dist = distances(units[late], units[early][order])
+            dist[pos[late][:, None] <= pos[early][order][None, :]] = np.inf
+            # the last column with the smallest distance is the latest such row
+            at = dist.shape[1] - 1 - np.argmin(dist[:, ::-1], axis=1)
+            best = dist[np.arange(len(at)), at]
+            hit = best <= limit
+            found.append(pd.DataFrame({"_pos": pos[late][hit], "_parent": pos[early][order][at[hit]], "_dist": best[hit]}))
+        out = pd.concat(found, ignore_index=True)
         for column in reversed(part):
             out.insert(0, column, pdf[column].iloc[0])
         return out
-    found = map_groups(pairs, [*part, "_i", "_j"], ["_pos"], each(nearest_earlier), schema)
+    found = map_groups(pairs, [*part, "_pair"], ["_pos"], each(nearest_earlier), schema)
     parents = found.groupBy(*part, "_pos").agg(
         F.min_by("_parent", F.struct("_dist", (-F.col("_parent")).alias("p"))).alias("_parent"))
     links = join_same(rows.select(*part, "_pos"), parents, [*part, "_pos"], "left").withColumn(

@@ -8,6 +8,8 @@ tasks, and so on. Order and result are the same.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -130,31 +132,51 @@ def _drop_overlapping(rest, won, part, columns, schema, limit):
 
 def iou_pairs(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "bbox",
               limit: float = P.MATCH_IOU) -> DataFrame:
-    """All pairs of one image whose boxes overlap enough.
-
-    Boxes meet on a grid of cells they cover: a pair shares a cell or does not
-    overlap, and it is reported from the cell of its intersection's corner.
+    """All pairs of one image whose boxes overlap by `limit` or more, in any unit of length.
+
+    The longest sides of such a pair are within a factor 1 / limit of each other. So each
+    box lies on the grid of its size (a cell is as long as its longest side at least, and
+    shorter than that over `limit`) and on the next larger one; a pair shares a cell of
+    the larger box's grid, and is reported from the one with the intersection's corner. A
+    box takes four cells of each grid at most, whatever the frame. Boxes without area
+    overlap nothing.
     """
+    if not 0 < limit <= 1:
+        raise ValueError("limit must be above 0 and at most 1")
     part = list(part)
     left = a.select(*part, F.col(key).alias("key_a"), F.col(box).alias("_a"))
     right = b.select(*part, F.col(key).alias("key_b"), F.col(box).alias("_b"))
-    pairs = _on_cells(left, "_a").join(_on_cells(right, "_b"), [*part, "_cx", "_cy"])
-    corner_x = F.floor(F.greatest(F.col("_a.x"), F.col("_b.x")) * CELLS)
-    corner_y = F.floor(F.greatest(F.col("_a.y"), F.col("_b.y")) * CELLS)
+    pairs = on_grid(left, "_a", limit).join(on_grid(right, "_b", limit).withColumnRenamed("_own", "_own_b"),
+                                            [*part, "_level", "_cx", "_cy"])
+    corner_x, corner_y = (F.floor(F.greatest(F.col(f"_a.{c}"), F.col(f"_b.{c}")) / _side(limit)) for c in "xy")
     score = iou(F.col("_a"), F.col("_b"))
-    return (pairs.where((F.col("_cx") == corner_x) & (F.col("_cy") == corner_y))
+    return (pairs.where((F.col("_level") == F.greatest("_own", "_own_b")) & (F.col("_cx") == corner_x) & (F.col("_cy") == corner_y))
             .select(*part, "key_a", "key_b", score.alias("iou")).where(F.col("iou") >= limit))
 
 
-CELLS = 8  # grid of a 0..1 frame
+def _factor(limit: float) -> float:
+    """Between the cells of one grid and the next."""
+    return min(1 / limit, 16.0) if limit < 0.5 else 2.0
+
+
+def _side(limit: float):
+    return F.pow(F.lit(_factor(limit)), F.col("_level") + 1)
+
 
+def on_grid(rows: DataFrame, box: str, limit: float) -> DataFrame:
+    """rows once per cell that its box covers, on the grid of its own size (`_own`) and on
+    those of all larger boxes that may overlap it by `limit`."""
+    x, y, w, h = (F.col(f"{box}.{c}") for c in "xywh")
+    step = math.log(_factor(limit))
+    # boxes within 1 / limit of each other are so many grids apart at most
+    apart = math.ceil(math.log(1 / limit) / step - 1e-9) if limit < 1 else 1
+    own = F.floor(F.log(F.greatest(w, h)) / step).cast("int")
+    placed = rows.where((w > 0) & (h > 0)).withColumn("_own", own)
+    placed = placed.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.col("_own") + apart)))
 
-def _on_cells(rows: DataFrame, box: str) -> DataFrame:
     def cells(low, high):
-        return F.sequence(F.floor(low * CELLS), F.floor(high * CELLS))
-    x, y = F.col(f"{box}.x"), F.col(f"{box}.y")
-    return rows.withColumn("_cx", F.explode(cells(x, x + F.col(f"{box}.w")))).withColumn(
-        "_cy", F.explode(cells(y, y + F.col(f"{box}.h"))))
+        return F.sequence(F.floor(low / _side(limit)), F.floor(high / _side(limit)))
+    return placed.withColumn("_cx", F.explode(cells(x, x + w))).withColumn("_cy", F.explode(cells(y, y + h)))
 
 
 def match_detections(a: DataFrame, b: DataFrame, part, key: str, *, box: str = "bbox",

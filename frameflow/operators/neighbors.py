@@ -1,43 +1,152 @@
 """Exact nearest neighbours on vectors.
 
-Rows of a key are spread over tiles of about `tile_rows`. Each pair of tiles is
-one small matrix product in one task, which returns only the best k per row;
-pairs of rows never leave a task. The amount of arithmetic is that of the exact
-definition, quadratic per key, so give `part` whenever neighbours are wanted
-within a group only.
+Rows of a key are laid into tiles of about `tile_rows`: by the nearest of a few pivots,
+then by the angle to it. Angles obey the triangle inequality, so the angles of a tile's
+rows to all pivots bound the angle between any two rows of two tiles from below, and pairs
+of tiles that can't hold a wanted pair are never formed. A pair of tiles that is formed is
+one small matrix product in one task, which returns only the best k per row; pairs of
+rows never leave a task. Vectors without clusters leave little to prune: then the work is
+that of the exact definition, quadratic per key, so give `part` whenever neighbours are
+wanted within a group only.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import join_same
+from ..runtime import checkpoint, join_same, shuffle_partitions
 from .local import each, map_groups, stack
 
 TILE_ROWS = 1024
+PIVOTS = 16
+BINS = 1024
+#: Angles are compared with this much room for rounding.
+SLACK = 1e-6
+
+
+def unit_rows(vectors, size: int) -> np.ndarray:
+    """Unit rows of the vectors of `size` numbers; all others are NaN."""
+    out = np.full((len(vectors), size), np.nan)
+    fit = [i for i, v in enumerate(vectors) if v is not None and len(v) == size]
+    if fit:
+        rows = np.array([vectors[i] for i in fit], dtype=np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+        out[fit] = rows / np.where(norms > 0, norms, np.nan)
+    return out
 
 
-def tile_pairs(rows: DataFrame, part, tile, tile_rows: int) -> DataFrame:
-    """Copy each row to every pair of tiles (_i <= _j) its tile belongs to.
+def angle_limit(distance: float) -> float:
+    return math.acos(min(1.0, max(-1.0, 1.0 - distance)))
 
-    `tile` maps (tile count) to the tile column expression.
+
+def tiled(rows: DataFrame, part, key: str, vec: str, tile_rows: int) -> DataFrame:
+    """rows with `_cell`, `_bin` and `_sub`, the names of its tile within `part`, and `_angles`,
+    to each pivot. Vectors that are unknown, zero or not of the usual length have no angles
+    and tiles of their own (cell -1), which meet all others.
+
+    The pivots are the PIVOTS known vectors with the smallest hash of the key; they and
+    the number of rows are all that comes to the driver.
     """
     part = list(part)
-    counts = rows.groupBy(*part).agg(
-        F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_tiles"))
-    rows = join_same(rows, counts, part) if part else rows.join(F.broadcast(counts))
-    rows = rows.withColumn("_tile", tile(F.col("_tiles")))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    return rows.withColumns({"_i": F.least("_tile", "_other"), "_j": F.greatest("_tile", "_other")}
-                            ).drop("_other", "_tiles")
+    sizes = rows.where(F.size(vec) > 0).groupBy(F.size(vec).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    usual = sizes.agg(F.max_by("size", F.struct("n", "size")).alias("size"), F.sum("n").alias("n")).first()
+    size, n = usual["size"] or 1, usual["n"] or 0
+    drawn = []
+    if n > tile_rows:
+        drawn = rows.where(F.size(vec) == size).orderBy(F.xxhash64(key)).limit(PIVOTS).select(vec).collect()
+    units = unit_rows([r[0] for r in drawn], size)
+    pivots = units[~np.isnan(units[:, 0])] if len(drawn) else np.zeros((0, size))
+
+    def place(batches):
+        for batch in batches:
+            own = unit_rows(batch[vec].tolist(), size)
+            known = ~np.isnan(own[:, 0])
+            angles = np.arccos(np.clip(own @ pivots.T, -1.0, 1.0))
+            cell, band = np.where(known, 0, -1), np.zeros(len(batch), np.int64)
+            if len(pivots):
+                near = np.where(known, np.argmin(np.nan_to_num(angles, nan=np.inf), axis=1), -1)
+                nearest = angles[np.arange(len(batch)), np.maximum(near, 0)]
+                cell, band = near, np.where(known, np.minimum(np.nan_to_num(nearest) / np.pi * BINS, BINS - 1), 0).astype(np.int64)
+            yield batch.assign(_cell=cell.astype(np.int32), _band=band.astype(np.int32), _angles=[a if k else None for a, k in zip(angles.tolist(), known)])
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed = checkpoint(rows.mapInPandas(place, kind + ", _cell int, _band int, _angles array<double>"))
+    # bands of angles are laid together up to a tile; one that is more than a tile is dealt by key
+    bands = placed.groupBy(*part, "_cell", "_band").agg(F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy(*part, "_cell").orderBy("_band").rowsBetween(W.unboundedPreceding, 0)
+    bands = bands.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    bands = bands.select(*part, "_cell", "_band", F.floor(F.col("_before") / tile_rows).cast("int").alias("_bin"),
+                         F.ceil(F.col("_n") / tile_rows).cast("int").alias("_subs"))
+    named = join_same(placed, bands, [*part, "_cell", "_band"])
+    return named.withColumn("_sub", F.pmod(F.xxhash64(key, F.lit(1)), F.col("_subs")).cast("int")).drop("_band", "_subs")
+
+
+TILE = ["_cell", "_bin", "_sub"]
+
+
+def tile_bounds(placed: DataFrame, part, reach: DataFrame | float) -> DataFrame:
+    """One row per tile: the least and largest angle of its rows to each pivot, and how far
+    away (as an angle) its rows look for others: `reach`, or the column `_reach` of a
+    table by tile (null or none: to the end)."""
+    part = list(part)
+    low = F.array(*[F.min(F.col("_angles")[m]) for m in range(PIVOTS)])
+    high = F.array(*[F.max(F.col("_angles")[m]) for m in range(PIVOTS)])
+    # without ANSI mode and with it, an angle past the pivots at hand is null
+    safe = placed.withColumn("_angles", F.transform(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda m: F.get("_angles", m)))
+    tiles = safe.groupBy(*part, *TILE).agg(low.alias("_low"), high.alias("_high"))
+    if isinstance(reach, DataFrame):
+        return join_same(tiles, reach, [*part, *TILE], "left").withColumn("_reach", F.coalesce("_reach", F.lit(math.pi)))
+    return tiles.withColumn("_reach", F.lit(float(reach)))
 
 
-def hashed_tile(key: str):
-    return lambda tiles: F.pmod(F.xxhash64(key), tiles).cast("int")
+def close_tiles(tiles: DataFrame, part, own: bool = True) -> DataFrame:
+    """(part, _cell, _bin, _sub, _pair): the pairs of tiles whose rows may be as near as one of
+    them looks, each pair once for either tile; with `own`, also every tile with itself.
+
+    Tiles are compared in blocks: each block of a part meets all tiles of the part.
+    """
+    part = list(part)
+    blocks = shuffle_partitions(tiles.sparkSession)
+    tiles = tiles.withColumn("_name", F.concat_ws("/", *TILE)).withColumn("_own", F.pmod(F.xxhash64("_name"), F.lit(blocks)).cast("int"))
+    copies = tiles.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = (np.array([[np.nan if x is None else x for x in v] for v in pdf[c]], dtype=np.float64) for c in ("_low", "_high"))
+        names, reach = pdf["_name"].to_numpy(), pdf["_reach"].to_numpy()
+        odd = pdf["_cell"].to_numpy() < 0
+        left, right = [], []
+        for i in np.flatnonzero(pdf["_own"].to_numpy() == pdf["_block"].to_numpy()):
+            gap = np.fmax.reduce(np.concatenate([np.zeros((len(pdf), 1)), low[i] - high, low - high[i]], axis=1), axis=1)
+            may = (gap <= np.maximum(reach, reach[i]) + SLACK) | odd | odd[i]
+            may &= (names > names[i]) if not own else (names >= names[i])
+            left += [i] * int(may.sum())
+            right += np.flatnonzero(may).tolist()
+        pair = [f"{names[a]} {names[b]}" for a, b in zip(left, right)]
+        both = [(a, p) for a, p in zip(left, pair)] + [(b, p) for a, b, p in zip(left, right, pair) if a != b]
+        out = pdf[[*part, *TILE]].iloc[[i for i, _ in both]].reset_index(drop=True)
+        return out.assign(_pair=pd.Series([p for _, p in both], dtype=object))
+    types = dict(tiles.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*part, *TILE]) + ", _pair string"
+    return map_groups(copies, [*part, "_block"], ["_name"], each(compare), schema)
+
+
+def paired(placed: DataFrame, part, pairs: DataFrame) -> DataFrame:
+    """Each row once for every pair of tiles that its tile is in; `_pair` names the pair,
+    `_tile` the row's own tile."""
+    rows = join_same(placed.drop("_angles"), pairs, [*part, *TILE])
+    return rows.withColumn("_tile", F.concat_ws("/", *TILE)).drop(*TILE)
+
+
+def sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which rows of a pair of tiles look for others among which: either way, or within."""
+    tile = pdf["_tile"].to_numpy()
+    a, b = pdf["_pair"].iloc[0].split(" ")
+    return [(tile == a, tile == b)] + ([(tile == b, tile == a)] if a != b else [])
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,21 +155,21 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(part, key, neighbor, distance, rank): the k nearest by (distance, key)."""
+    """(part, key, neighbor, distance, rank): the k nearest by (distance, key).
+
+    Every tile is searched by itself first; how far its rows then still look is the
+    farthest of their k-th best.
+    """
     part = list(part)
     rows = df.select(*part, key, F.col(vec).alias("_vec"))
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*part, key]) + (
         f", neighbor {types[key]}, distance double")
-    pairs = tile_pairs(rows, part, hashed_tile(key), tile_rows)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, units = pdf[key].to_numpy(), stack(pdf["_vec"].tolist())
-        tile = pdf["_tile"].to_numpy()
-        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        sides = [(tile == i, tile == j)] + ([(tile == j, tile == i)] if i != j else [])
         out = []
-        for left, right in sides:
+        for left, right in sides(pdf):
             dist = distances(units[left], units[right])
             own = ids[left][:, None] == ids[right][None, :]
             dist[own] = np.inf
@@ -79,9 +188,18 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int =
             near = near[np.lexsort((others[near], row[near]))][:k]
             found += [(a, others[n], row[n]) for n in near]
         return found
+    placed = tiled(rows, part, key, "_vec", tile_rows)
+    alone = placed.withColumn("_pair", F.concat(F.concat_ws("/", *TILE), F.lit(" "), F.concat_ws("/", *TILE)))
+    alone = alone.withColumn("_tile", F.concat_ws("/", *TILE))
+    first = checkpoint(map_groups(alone.select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema))
+    kth = first.groupBy(*part, key).agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_found"))
+    looks = join_same(placed.select(*part, key, *TILE), kth, [*part, key], "left")
+    far = F.when(F.coalesce(F.col("_found"), F.lit(0)) >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("_far"))))).otherwise(math.pi)
+    reach = looks.groupBy(*part, *TILE).agg(F.max(far).alias("_reach"))
+    pairs = close_tiles(tile_bounds(placed, part, reach), part, own=False)
+    more = map_groups(paired(placed, part, pairs).select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema)
     order = W.partitionBy(*part, key).orderBy("distance", "neighbor")
-    local = map_groups(pairs, [*part, "_i", "_j"], [key], each(best), schema)
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return (first.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def neighbor_jaccard(df: DataFrame, key: str, vec_a: str, vec_b: str, k: int = 5, *,

@@ -182,3 +182,89 @@ def test_boxes_without_a_score_and_null_images(spark):
     for limit in (None, 1):
         got = {(r.image, r.k) for r in detections.nms(df, ["image"], "k", max_rows=limit).collect()}
         assert got == {(None, 2), (1, 3), (1, 4)} | {(2, 100 + i) for i in range(30)}
+
+
+def scaled_boxes(rnd, n, scale, images=4):
+    """Boxes of very different sizes, many near copies of others, some without area."""
+    out = []
+    for i in range(n):
+        if out and rnd.random() < .6:
+            x, y, w, h = out[rnd.randrange(len(out))][2:]
+            out.append((i, i % images, x + w * rnd.uniform(-.3, .3), y + h * rnd.uniform(-.3, .3), w * rnd.uniform(.7, 1.4), h * rnd.uniform(.7, 1.4)))
+        else:
+            w, h = (scale * 10 ** rnd.uniform(-3, 0) for _ in range(2))
+            out.append((i, i % images, rnd.uniform(-.2, 1) * scale, rnd.uniform(-.2, 1) * scale, w if i % 17 else 0.0, h))
+    return [(i, g, (x, y, w, h)) for i, g, x, y, w, h in out]
+
+
+@pytest.mark.parametrize("scale,limit", [(1.0, .3), (4000.0, .3), (4000.0, .05), (4000.0, .75), (1e-6, .95)])
+def test_iou_pairs_in_any_unit(spark, scale, limit):
+    rnd = random.Random(8)
+    one, two = scaled_boxes(rnd, 160, scale), scaled_boxes(rnd, 40, scale)
+    two = [(500 + i, g, b) for i, g, b in two] + [(1000 + i, g, b) for i, g, b in one[::3]]
+    schema = "id long, g long, bbox struct<x double, y double, w double, h double>"
+    got = detections.iou_pairs(spark.createDataFrame(one, schema), spark.createDataFrame(two, schema), ["g"], "id", limit=limit).collect()
+    flat = {i: np.array([b]) for i, _, b in one + two}
+    expected = {(i, j) for i, g, _ in one for j, k, _ in two if g == k and detections.overlap(flat[i], flat[j])[0, 0] >= limit - 1e-12}
+    assert len(got) == len({(r.key_a, r.key_b) for r in got}) and {(r.key_a, r.key_b) for r in got} == expected and expected
+
+
+def test_boxes_take_few_cells(spark):
+    rnd = random.Random(9)
+    rows = [(i, 0, (rnd.uniform(0, 4000), rnd.uniform(0, 3000), 10 ** rnd.uniform(0, 3.3), 10 ** rnd.uniform(0, 3.3))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g long, bbox struct<x double, y double, w double, h double>")
+    assert detections.on_grid(df, "bbox", .3).count() <= 4 * len(rows)
+
+
+def clustered(spark, n, centers, dim=8, seed=4):
+    rnd = np.random.default_rng(seed)
+    heads = rnd.normal(size=(centers, dim))
+    data = heads[rnd.integers(0, centers, n)] + rnd.normal(scale=.03, size=(n, dim))
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<double>"), data
+
+
+def test_far_tiles_never_meet(spark):
+    df, data = clustered(spark, 3000, 25)
+    placed = neighbors.tiled(df.select("id", F.col("vec").alias("_vec")), [], "id", "_vec", 64)
+    tiles = placed.select(*neighbors.TILE).distinct().count()
+    pairs = neighbors.close_tiles(neighbors.tile_bounds(placed, [], neighbors.angle_limit(.01)), []).select("_pair").distinct().count()
+    assert tiles >= 40 and pairs < .5 * tiles * (tiles + 1) / 2
+    units = data / np.linalg.norm(data, axis=1)[:, None]
+    parent = list(range(len(data)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for i, j in zip(*np.nonzero(1 - units @ units.T <= .01)):
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    got = {r.id: r.component for r in clusters.cluster_components(df, "id", "vec", .01, tile_rows=64).collect()}
+    assert got == {i: find(i) for i in range(len(data))}
+
+
+def test_knn_over_tiles_with_odd_vectors(spark):
+    df, data = clustered(spark, 700, 9)
+    odd = [(1000, None), (1001, [0.0] * 8), (1002, [1.0, 2.0]), (1003, [2.0, 4.1]), (1004, [])]
+    rows = df.unionByName(spark.createDataFrame(odd, df.schema))
+    every = {i: v for i, v in enumerate(data)} | {i: None if not v or not any(v) else np.array(v) for i, v in odd}
+    got = {}
+    for r in neighbors.knn(rows, "id", "vec", 3, tile_rows=50).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor))
+
+    def dist(a, b):
+        return 1.0 if a is None or b is None or len(a) != len(b) else 1 - a @ b / np.sqrt((a @ a) * (b @ b))
+    for i in [*range(0, 700, 7), *(i for i, _ in odd)]:
+        near = sorted((round(dist(every[i], every[j]), 12), j) for j in every if j != i)[:3]
+        assert [n for _, n in sorted(got[i])] == [j for _, j in near]
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "HOT_DEGREE", 50)
+    star = [(0, i) for i in range(1, 400)] + [(400 + i, 700) for i in range(300)] + [(399, 701), (700, 702)]
+    chain = [(i, i + 1) for i in range(800, 830)]
+    nodes = spark.range(840).withColumnRenamed("id", "k")
+    got = {r.k: r.component for r in clusters.connected_components(nodes, "k", spark.createDataFrame(star + chain, "src long, dst long")).collect()}
+    assert {got[i] for i in [*range(400), 701]} == {0} and {got[i] for i in [*range(400, 701), 702]} == {400}
+    assert {got[i] for i in range(800, 831)} == {800} and got[835] == 835

@@ -193,9 +193,24 @@ def by_slice(pair: np.ndarray, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
     return order, cuts(where[order], n_slices)
 
 
+def distinct_rows(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each row among the distinct ones, one place of each of these, and
+    the sum of `n` over it."""
+    number = np.zeros(len(n), np.int64)
+    for column in columns:
+        values, at = np.unique(column, return_inverse=True)
+        number = np.unique(number * max(len(values), 1) + at, return_inverse=True)[1]
+    total = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+    np.add.at(total, number, n)
+    first = np.zeros(len(total), np.int64)
+    first[number] = np.arange(len(n))
+    return number, first, total
+
+
 def window_counts(rows: DataFrame, replies: DataFrame, n_slices: int, longest: int, often: int) -> DataFrame:
-    """w0 to w4, n: how often each longest window of frequent words and pairs occurs,
-    counted within each group."""
+    """w0 to w4, n: how often each longest window of frequent words and pairs occurs. The
+    groups' windows meet by their first pair; one is padded behind its last frequent
+    beginning, as no candidate reaches beyond it."""
     def pairs(key: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
         told = spoken(table)
         _, found = pair_keys(with_ids(told, reply, n_slices), told.linked)
@@ -232,18 +247,34 @@ def window_counts(rows: DataFrame, replies: DataFrame, n_slices: int, longest: i
         for k in range(1, longest):
             going &= next_good[lead + k - 1]
             columns.append(np.where(going, ids[np.minimum(lead + k, max(len(ids) - 1, 0))], 0))
-        group = np.zeros(len(lead), np.int64)  # windows as dense numbers, one column after the other
-        for column in columns:
-            values, number = np.unique(column, return_inverse=True)
-            group = np.unique(group * max(len(values), 1) + number, return_inverse=True)[1]
-        n = np.bincount(group)
-        first = np.zeros(len(n), np.int64)
-        first[group] = np.arange(len(lead))
+        number, first, n = distinct_rows(columns, np.ones(len(lead), np.int64))
+        columns = [c[first] for c in columns]
+        where = slices(mix((columns[0].astype(np.uint64) << np.uint64(32)) | columns[1].astype(np.uint64)), n_slices)
+        order = np.argsort(where, kind="stable")
+        edge = cuts(where[order], n_slices)
+        parts = [(int(s), order[edge[s]:edge[s + 1]]) for s in np.flatnonzero(np.diff(edge))]
+        return pa.table({"_slice": pa.array([s for s, _ in parts], pa.int32())}
+                        | {f"w{k}": pa.array([pack_ints(c[p]) for _, p in parts], pa.binary()) for k, c in enumerate(columns)}
+                        | {"n": pa.array([pack_ints(n[p]) for _, p in parts], pa.binary())})
+
+    def padded(table: pa.Table) -> pa.Table:
+        """All windows of a slice's first pairs, padded behind the last word up to which
+        they are frequent."""
+        columns = [np.concatenate([unpack_ints(x) for x in table[f"w{k}"].to_pylist()]) for k in range(longest)]
+        n = np.concatenate([unpack_ints(x) for x in table["n"].to_pylist()])
+        going = np.ones(len(n), bool)
+        for k in range(1, longest):
+            number, _, total = distinct_rows(columns[:k + 1], n)
+            going &= (total[number] >= often) & (columns[k] > 0)
+            columns[k] = np.where(going, columns[k], 0)
+        _, first, n = distinct_rows(columns, n)
         return pa.table({f"w{k}": pa.array(c[first], pa.int32()) for k, c in enumerate(columns)} | {"n": pa.array(n, pa.int64())})
 
     counted = rows.groupBy("_g").cogroup(replies.groupBy("_g")).applyInArrow(pairs, PAIRS_DDL).groupBy("_slice").applyInArrow(frequent, REPLY_DDL)
-    ddl = ", ".join(f"w{k} int" for k in range(longest)) + ", n long"
-    return rows.groupBy("_g").cogroup(replies.unionByName(counted).groupBy("_g")).applyInArrow(windows, ddl)
+    names = [f"w{k}" for k in range(longest)]
+    found = rows.groupBy("_g").cogroup(replies.unionByName(counted).groupBy("_g")).applyInArrow(
+        windows, "_slice int, " + ", ".join(f"{c} binary" for c in names) + ", n binary")
+    return found.groupBy("_slice").applyInArrow(padded, ", ".join(f"{c} int" for c in names) + ", n long")
 
 
 def phrase_counts(windows: DataFrame, longest: int, often: int) -> DataFrame:

@@ -38,8 +38,10 @@ def classify_listing(known: DataFrame, listing: DataFrame) -> DataFrame:
     duplicate: bytes already present elsewhere, or a further copy of new bytes.
     added: new bytes. missing: known path gone and not moved, or its place
     taken by another known file. Of several candidates for the same bytes a
-    known path goes first, then the lowest path. The matched paths and the
-    settled candidates are written once, since several classes read them.
+    known path goes first, then the lowest path. Bytes that are unknown (no content_id)
+    equal nothing. Any number of paths may share one content_id (empty files, default
+    sidecars): they are reduced to the first of them where they are read. The matched paths
+    and the settled candidates are written once, since several classes read them.
     """
     old = known.select(*[F.col(c).alias(f"old_{c}") for c in
                          ("photo_id", "rel_path", "size", "mtime", "content_id", "missing")])
@@ -59,10 +61,13 @@ def classify_listing(known: DataFrame, listing: DataFrame) -> DataFrame:
                          F.struct("old_photo_id", "old_rel_path"))).alias("_gone"))
     candidates = paths.where("class = 'candidate'").withColumn(
         "_turn", F.struct(F.col("old_photo_id").isNull().alias("fresh"), "rel_path"))
-    firsts = candidates.groupBy("content_id").agg(F.min("_turn").alias("_first"))
-    candidates = candidates.join(firsts, "content_id").join(owners, "content_id", "left")
-    kind = (F.when(F.coalesce("_present", F.lit(False)), "duplicate")
-            .when(F.col("_turn") != F.col("_first"), "duplicate")
+    # of equal bytes one path at most is more than a duplicate, so what is known of the bytes
+    # goes back to that one path and never to all that share them
+    firsts = candidates.where("content_id IS NOT NULL").groupBy("content_id").agg(F.min("_turn").alias("_first"))
+    leads = firsts.join(owners, "content_id", "left").where(~F.coalesce("_present", F.lit(False))).select(
+        F.col("_first.rel_path").alias("_lead"), "_gone")
+    candidates = candidates.join(leads, F.col("rel_path") == F.col("_lead"), "left")
+    kind = (F.when(F.col("content_id").isNotNull() & F.col("_lead").isNull(), "duplicate")
             .when(F.col("_gone").isNotNull(), "moved")
             .when(F.col("old_photo_id").isNotNull(), "modified").otherwise("added"))
     candidates = checkpoint(candidates.withColumn("class", kind))

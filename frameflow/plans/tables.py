@@ -132,6 +132,31 @@ def incremental_merge(spark, sf_dir):
         "class", "rel_path", "photo_id", "previous_path")
 
 
+@query("merge_hot_content", """WITH d AS (SELECT doc_id AS i, CAST(doc_id AS VARCHAR) AS s, doc_id % 20 AS r, doc_id % 4 AS q FROM documents),
+ first_side AS (SELECT MIN('m/' || s) AS p FROM d WHERE r = 7), owner AS (SELECT MIN(i) AS i FROM d WHERE r = 14),
+ first_fresh AS (SELECT MIN('f/' || s) AS p FROM d WHERE r = 9)
+ SELECT 'unchanged' AS class, 'a/' || s AS rel_path, i AS photo_id, NULL AS previous_path FROM d WHERE q = 0
+ UNION ALL SELECT 'missing', 'a/' || s, i, NULL FROM d WHERE q = 2 AND NOT (i = (SELECT i FROM owner) AND (SELECT p FROM first_side) IS NOT NULL)
+ UNION ALL SELECT 'duplicate', 'n/' || s, NULL, NULL FROM d WHERE r = 5
+ UNION ALL SELECT CASE WHEN 'm/' || s = p THEN 'moved' ELSE 'duplicate' END, 'm/' || s,
+  CASE WHEN 'm/' || s = p THEN (SELECT i FROM owner) END, CASE WHEN 'm/' || s = p THEN 'a/' || (SELECT CAST(i AS VARCHAR) FROM owner) END
+  FROM d, first_side WHERE r = 7
+ UNION ALL SELECT CASE WHEN 'f/' || s = p THEN 'added' ELSE 'duplicate' END, 'f/' || s, NULL, NULL FROM d, first_fresh WHERE r = 9
+ UNION ALL SELECT 'added', 'u/' || s, NULL, NULL FROM d WHERE r = 11""")
+def merge_hot_content(spark, sf_dir):
+    """Three contents that each are 5 % of all files: one still there, one whose owner has
+    gone, one new; and files of unknown content."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(doc_id AS STRING) AS s", "doc_id % 20 AS r", "doc_id % 4 AS q")
+    known = docs.where("q IN (0, 2)").selectExpr(
+        "doc_id AS photo_id", "'a/' || s AS rel_path", "1L AS size", "1.0D AS mtime",
+        "CASE r WHEN 4 THEN 'empty' WHEN 14 THEN 'side' ELSE 'c' || s END AS content_id", "false AS missing")
+    kept = known.where("photo_id % 4 = 0").select("rel_path", "size", "mtime", "content_id")
+    new = docs.where("r IN (5, 7, 9, 11)").selectExpr(
+        "CASE r WHEN 5 THEN 'n/' WHEN 7 THEN 'm/' WHEN 9 THEN 'f/' ELSE 'u/' END || s AS rel_path", "1L AS size", "2.0D AS mtime",
+        "CASE r WHEN 5 THEN 'empty' WHEN 7 THEN 'side' WHEN 9 THEN 'fresh' END AS content_id")
+    return ingest.classify_listing(known, kept.unionByName(new)).select("class", "rel_path", "photo_id", "previous_path")
+
+
 @query("merge_counts", """WITH c AS (SELECT unnest(CASE doc_id % 10 WHEN 0 THEN ['missing']
  WHEN 1 THEN ['moved', 'duplicate'] WHEN 2 THEN ['modified'] WHEN 3 THEN ['modified']
  WHEN 4 THEN ['added', 'duplicate'] WHEN 5 THEN [CASE WHEN doc_id % 23 = 7 THEN 'reappeared'

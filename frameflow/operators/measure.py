@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..params import CLIP_HIGH, CLIP_LOW, LUMA
@@ -15,14 +16,18 @@ TILE_SCHEMA = ("tiles array<array<double>>, sharpness_max double, sharpness_mean
                "clipped_hi double, clipped_lo double")
 
 
+#: Pixels whose gradients are taken at once.
+STACK_PIXELS = 1 << 20
+
+
 def gradient_energy(pixels: np.ndarray) -> np.ndarray:
-    """Squared Sobel gradient of every interior pixel; the last two axes are
-    rows and columns, any axes before them hold separate planes."""
-    p = pixels.astype(np.float64)
+    """Squared Sobel gradient of every interior pixel of 8-bit planes; the last two axes
+    are rows and columns, any axes before them hold separate planes."""
+    p = pixels.astype(np.int16)
     across = p[..., 2:] - p[..., :-2]
-    gx = across[..., :-2, :] + 2 * across[..., 1:-1, :] + across[..., 2:, :]
+    gx = (across[..., :-2, :] + 2 * across[..., 1:-1, :] + across[..., 2:, :]).astype(np.int32)
     down = p[..., 2:, :] - p[..., :-2, :]
-    gy = down[..., :-2] + 2 * down[..., 1:-1] + down[..., 2:]
+    gy = (down[..., :-2] + 2 * down[..., 1:-1] + down[..., 2:]).astype(np.int32)
     return gx * gx + gy * gy
 
 
@@ -33,14 +38,43 @@ def tenengrad(pixels: np.ndarray) -> float:
     return float(gradient_energy(pixels).mean()) / (4.0 * 255 * 255)
 
 
-def tile_map(pixels: np.ndarray) -> np.ndarray:
-    """16 x 16 tile energies; rows and columns beyond the last whole tile are
-    ignored, tiles of up to 2 pixels have no energy."""
-    high, wide = pixels.shape[0] // GRID, pixels.shape[1] // GRID
+def tile_maps(planes: list[np.ndarray]) -> np.ndarray:
+    """16 x 16 tile energies of planes of one size; rows and columns beyond the last
+    whole tile are ignored, tiles of up to 2 pixels have no energy.
+
+    A row of tiles of as many planes as fit STACK_PIXELS goes through one convolution, so
+    neither many small planes nor one large one take more memory than that.
+    """
+    out = np.zeros((len(planes), GRID, GRID))
+    high, wide = planes[0].shape[0] // GRID, planes[0].shape[1] // GRID
     if high <= 2 or wide <= 2:
-        return np.zeros((GRID, GRID))
-    tiles = pixels[:high * GRID, :wide * GRID].reshape(GRID, high, GRID, wide)
-    return gradient_energy(tiles.transpose(0, 2, 1, 3)).mean(axis=(2, 3)) / (4.0 * 255 * 255)
+        return out
+    step = max(1, STACK_PIXELS // (high * wide * GRID))
+    for first in range(0, len(planes), step):
+        some = planes[first:first + step]
+        for row in range(GRID):
+            band = np.stack([grey(p[row * high:(row + 1) * high, :wide * GRID]) for p in some])
+            energy = gradient_energy(band.reshape(len(some), high, GRID, wide).transpose(0, 2, 1, 3))
+            out[first:first + step, row] = energy.sum(axis=(2, 3), dtype=np.int64)
+    return out / ((high - 2) * (wide - 2)) / (4.0 * 255 * 255)
+
+
+def grey(pixels: np.ndarray) -> np.ndarray:
+    return pixels if pixels.ndim == 2 else luminance(pixels)
+
+
+def clipped_shares(plane: np.ndarray) -> tuple[float | None, float | None]:
+    """Shares of pixels that are blown out and black; unknown for an empty plane."""
+    if not plane.size:
+        return None, None
+    high = low = 0
+    rows = max(1, STACK_PIXELS // max(plane.shape[1], 1))
+    for first in range(0, len(plane), rows):
+        part = grey(plane[first:first + rows])
+        high += int((part >= CLIP_HIGH).sum())
+        low += int((part <= CLIP_LOW).sum())
+    n = plane.shape[0] * plane.shape[1]
+    return high / n, low / n
 
 
 def luminance(rgb: np.ndarray) -> np.ndarray:
@@ -63,30 +97,48 @@ def channel_gains(planes: DataFrame, key: str = "photo_id") -> DataFrame:
                         f"`{key}` {dict(planes.dtypes)[key]}, gains array<double>")
 
 
-def measure_plane(width: int, height: int, pixels: bytes) -> tuple:
-    flat = np.frombuffer(pixels, dtype=np.uint8)
-    plane = flat.reshape(height, width) if len(flat) == width * height else luminance(
-        flat.reshape(height, width, 3))
-    tiles = tile_map(plane)
-    return (tiles.tolist(), float(tiles.max()), float(tiles.mean()),
-            *(float(c.mean()) if c.size else None for c in (plane >= CLIP_HIGH, plane <= CLIP_LOW)))
+def plane_of(width: int, height: int, pixels: pa.Scalar) -> np.ndarray:
+    """A plane on the batch's own bytes: rows and columns, and channels if there are three."""
+    flat = np.frombuffer(pixels.as_buffer(), np.uint8)
+    return flat.reshape((height, width) if len(flat) == width * height else (height, width, 3))
+
+
+def measure_planes(planes: list[np.ndarray]) -> list[tuple]:
+    """tiles, sharpness_max, sharpness_mean, clipped_hi, clipped_lo of each plane; those of
+    equal size go through the convolution together."""
+    out: list[tuple] = [()] * len(planes)
+    sizes: dict[tuple, list[int]] = {}
+    for i, plane in enumerate(planes):
+        sizes.setdefault(plane.shape, []).append(i)
+    for at in sizes.values():
+        for i, tiles in zip(at, tile_maps([planes[i] for i in at]), strict=True):
+            out[i] = (tiles.tolist(), float(tiles.max()), float(tiles.mean()), *clipped_shares(planes[i]))
+    return out
 
 
 def measure_frames(planes: DataFrame, key: str = "photo_id") -> DataFrame:
     """Tiles, sharpness and clipping of planes (key, width, height, pixels).
 
-    `pixels` holds width*height luma bytes or three times as many RGB bytes.
+    `pixels` holds width*height luma bytes or three times as many RGB bytes. Spark ends
+    an Arrow batch at 64 MB, whatever the number of rows, and planes are read where
+    they lie in it, so memory follows neither the number nor the size of planes. A plane
+    whose pixels, width or height are unknown has unknown measurements.
     """
-    columns = ["tiles", "sharpness_max", "sharpness_mean", "clipped_hi", "clipped_lo"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [measure_plane(w, h, p) for w, h, p in zip(pdf["width"], pdf["height"], pdf["pixels"])]
-            out = pd.DataFrame(rows, columns=columns)
-            out.insert(0, key, pdf[key].to_numpy())
-            yield out
-    return measure_with(planes.select(key, "width", "height", "pixels"), run,
-                        f"`{key}` {dict(planes.dtypes)[key]}, {TILE_SCHEMA}")
+    kind = planes.schema[key].dataType
+    names = ["tiles", "sharpness_max", "sharpness_mean", "clipped_hi", "clipped_lo"]
+    types = [pa.list_(pa.list_(pa.float64())), *[pa.float64()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width, height = (batch.column(c).to_pylist() for c in ("width", "height"))
+            pixels = batch.column("pixels")
+            known = [i for i in range(len(batch)) if None not in (width[i], height[i]) and pixels[i].is_valid]
+            rows: list[tuple] = [(None,) * len(names)] * len(batch)
+            for i, row in zip(known, measure_planes([plane_of(width[i], height[i], pixels[i]) for i in known]), strict=True):
+                rows[i] = row
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, *names])
+    return planes.select(key, "width", "height", "pixels").mapInArrow(run, f"`{key}` {kind.simpleString()}, {TILE_SCHEMA}")
 
 
 def measure_with(rows: DataFrame, analyzer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -45,27 +46,27 @@ def progress_rollup(items: DataFrame, job: str, state: str = "state") -> DataFra
 
 
 def rolling_rate(samples: DataFrame, job: str, t_ms: str, seq: str, completed: str,
-                 total: Column | None = None, window_ms: int = RATE_WINDOW_MS,
-                 max_rows=None) -> DataFrame:
-    """Rate over the trailing window and the seconds left at that rate.
+                 total: Column | None = None, window_ms: int = RATE_WINDOW_MS) -> DataFrame:
+    """Rate over the trailing window, and with `total` the seconds left at that rate
+    (`eta_sec`).
 
-    The window's first sample is found by an ordered merge: every sample also
-    sends a probe to the time its window opens, and takes the next sample at or
+    Time is cut into buckets of one window's length, so a window reaches over two of
+    them: each sample lies in its bucket and, as what came before, in the next one. The
+    window's first sample is found by an ordered merge per job and bucket: every sample
+    also sends a probe to the time its window opens, and takes the next sample at or
     after it. NULL when nothing was gained in the window.
     """
-    base = samples.select(job, F.col(t_ms).alias("_t"), F.col(seq).alias("_seq"),
-                          F.col(completed).alias("_c"))
-    points = base.select(job, (-F.col("_t")).alias("_at"), F.lit(0).alias("_probe"),
-                         (-F.col("_seq")).alias("_tie"), F.struct("_t", "_c").alias("_point"),
+    bucket = F.floor(F.col("_t") / window_ms)
+    base = samples.select(job, F.col(t_ms).cast("long").alias("_t"), F.col(seq).cast("long").alias("_seq"),
+                          F.col(completed).cast("long").alias("_c"))
+    point, own = F.struct("_t", "_c"), F.struct("_t", "_c", "_seq")
+    points = base.select(job, F.explode(F.array(bucket, bucket + 1)).alias("_bucket"), (-F.col("_t")).alias("_at"),
+                         F.lit(0).alias("_probe"), (-F.col("_seq")).alias("_tie"), point.alias("_point"),
                          F.lit(None).cast("struct<_t:bigint,_c:bigint,_seq:bigint>").alias("_own"))
-    own = F.struct(F.col("_t").cast("long").alias("_t"), F.col("_c").cast("long").alias("_c"),
-                   F.col("_seq").cast("long").alias("_seq"))
-    probes = base.select(job, (F.lit(window_ms) - F.col("_t")).alias("_at"), F.lit(1).alias("_probe"),
-                         (-F.col("_seq")).alias("_tie"),
-                         F.lit(None).cast(dict(points.dtypes)["_point"]).alias("_point"),
-                         own.alias("_own"))
-    rows = ordered_rows(points.unionByName(probes), (job,), ("_at", "_probe", "_tie"), max_rows)
-    merged = rows.running_last("_first", F.col("_point")).result().where("_probe = 1")
+    probes = base.select(job, bucket.alias("_bucket"), (F.lit(window_ms) - F.col("_t")).alias("_at"), F.lit(1).alias("_probe"),
+                         (-F.col("_seq")).alias("_tie"), F.lit(None).cast("struct<_t:bigint,_c:bigint>").alias("_point"), own.alias("_own"))
+    merge = W.partitionBy(job, "_bucket").orderBy("_at", "_probe", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    merged = points.unionByName(probes).withColumn("_first", F.last("_point", ignorenulls=True).over(merge)).where("_probe = 1")
     dt = (F.col("_own._t") - F.col("_first._t")) / 1000.0
     dc = F.col("_own._c") - F.col("_first._c")
     out = merged.select(job, F.col("_own._t").alias(t_ms), F.col("_own._seq").alias(seq),

@@ -199,15 +199,40 @@ def focus_coverage(spark, sf_dir):
 PLANE_WIDTH = 48
 
 
-@query("tile_energy")
+# Sobel sums by rows, then columns: differences and weighted sums of three neighbours
+_TILES_SQL = f"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+ lambda x: CAST('0x' || x AS INTEGER)) AS b FROM documents),
+ s AS (SELECT doc_id, b, CAST(ceil(len(b) / CAST({PLANE_WIDTH} AS DOUBLE)) AS BIGINT) AS h FROM d),
+ px AS (SELECT doc_id, h, unnest(list_concat(b, list_transform(range(h * {PLANE_WIDTH} - len(b)), lambda i: 32))) AS v,
+ unnest(range(h * {PLANE_WIDTH})) AS i FROM s),
+ xy AS (SELECT doc_id, h // 16 AS th, v, i // {PLANE_WIDTH} AS y, i % {PLANE_WIDTH} AS x FROM px),
+ across AS (SELECT *, lead(v) OVER r - lag(v) OVER r AS a, lag(v) OVER r + 2 * v + lead(v) OVER r AS t FROM xy
+ WINDOW r AS (PARTITION BY doc_id, y ORDER BY x)),
+ sobel AS (SELECT *, lag(a) OVER c + 2 * a + lead(a) OVER c AS gx, lead(t) OVER c - lag(t) OVER c AS gy FROM across
+ WINDOW c AS (PARTITION BY doc_id, x ORDER BY y)),
+ energy AS (SELECT doc_id, y // th AS ty, x // {PLANE_WIDTH // 16} AS tx, SUM(CAST(gx * gx + gy * gy AS BIGINT))
+ / CAST((th - 2) * {PLANE_WIDTH // 16 - 2} AS DOUBLE) / CAST(4 * 255 * 255 AS DOUBLE) AS e FROM sobel
+ WHERE th > 2 AND y < 16 * th AND y % th BETWEEN 1 AND th - 2 AND x % {PLANE_WIDTH // 16} = 1 GROUP BY doc_id, th, ty, tx),
+ tiled AS (SELECT doc_id, MAX(e) AS top, SUM(e) / 256 AS mean, SUM(e * (16 * ty + tx + 1)) AS placed FROM energy GROUP BY doc_id),
+ clip AS (SELECT doc_id, AVG(CASE WHEN v >= {P.CLIP_HIGH} THEN 1.0 ELSE 0.0 END) AS hi, AVG(CASE WHEN v <= {P.CLIP_LOW} THEN 1.0 ELSE 0.0 END) AS lo
+ FROM xy GROUP BY doc_id)"""
+
+
+@query("tile_energy", f"""{_TILES_SQL} SELECT doc_id, round(COALESCE(top, 0), 9) AS sharpness_max, round(COALESCE(mean, 0), 9) AS sharpness_mean,
+ round(COALESCE(placed, 0), 6) AS placed_energy, round(hi, 9) AS clipped_hi, round(lo, 9) AS clipped_lo
+ FROM s LEFT JOIN tiled USING (doc_id) LEFT JOIN clip USING (doc_id)""")
 def tile_energy(spark, sf_dir):
-    """Each document's bytes, padded with spaces, as a plane 48 pixels wide."""
+    """Each document's bytes, padded with spaces, as a plane 48 pixels wide; each tile's
+    energy enters `placed_energy` with the number of its place."""
     data = F.encode("text", "UTF-8")
     height = F.ceil(F.octet_length("text") / PLANE_WIDTH).cast("int")
     planes = table(spark, sf_dir, "documents").select(
         "doc_id", F.lit(PLANE_WIDTH).alias("width"), height.alias("height"),
         F.rpad(data, height * PLANE_WIDTH, F.lit(" ").cast("binary")).alias("pixels"))
-    return measure.measure_frames(planes, "doc_id")
+    placed = F.aggregate(F.transform(F.flatten("tiles"), lambda e, i: e * (i + 1)), F.lit(0.0), lambda a, e: a + e)
+    return measure.measure_frames(planes, "doc_id").select(
+        "doc_id", *[F.round(c, 9).alias(c) for c in ("sharpness_max", "sharpness_mean", "clipped_hi", "clipped_lo")],
+        F.round(placed, 6).alias("placed_energy"))
 
 
 # --- selection ----------------------------------------------------------------------

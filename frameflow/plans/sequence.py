@@ -272,18 +272,21 @@ def progress_rollup(spark, sf_dir):
 
 
 RATE_WINDOW_MS = 3_600_000
+RATE_TOTAL = 20_000
 
 
 @query("rolling_rate", f"""WITH s AS (SELECT event_type AS job, epoch_us(ts) // 1000 AS t_ms, event_id,
  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS completed FROM events),
  r AS (SELECT *, MIN(completed) OVER w AS c0, MIN(t_ms) OVER w AS t0 FROM s WINDOW w AS
  (PARTITION BY job ORDER BY t_ms RANGE BETWEEN {RATE_WINDOW_MS} PRECEDING AND CURRENT ROW))
- SELECT job, t_ms, event_id, completed, CASE WHEN t_ms > t0 AND completed > c0 THEN
- round((completed - c0) / ((t_ms - t0) / CAST(1000 AS DOUBLE)), 6) END AS rate FROM r""")
+, v AS (SELECT *, CASE WHEN t_ms > t0 AND completed > c0 THEN
+ (completed - c0) / ((t_ms - t0) / CAST(1000 AS DOUBLE)) END AS speed FROM r)
+ SELECT job, t_ms, event_id, completed, round(speed, 6) AS rate, CASE WHEN completed < {RATE_TOTAL} THEN
+ CAST(floor(({RATE_TOTAL} - completed) / speed) AS BIGINT) END AS eta_sec FROM v""")
 def rolling_rate(spark, sf_dir):
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("job"), "t_ms", "event_id")
     samples = row_numbers(rows, ("job",), ("t_ms", "event_id"), "completed")
-    return progress.rolling_rate(samples, "job", "t_ms", "event_id", "completed",
+    return progress.rolling_rate(samples, "job", "t_ms", "event_id", "completed", F.lit(RATE_TOTAL),
                                  window_ms=RATE_WINDOW_MS).withColumn("rate", F.round("rate", 6))
 
 

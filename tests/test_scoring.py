@@ -1,5 +1,7 @@
 """Scores, flags and measurements: one rule per case."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +207,26 @@ def test_measure_frames(spark):
     gains = {r.photo_id: r.gains for r in measure.channel_gains(df).collect()}
     assert gains[1] is None and gains[3][1] == pytest.approx(1 / 3)
     assert np.array(gains[4]) * (100, 200, 50) == pytest.approx([350 / 3] * 3, rel=1e-6)
+
+
+def test_planes_of_any_size_in_little_memory():
+    rnd = np.random.default_rng(1)
+    planes = [rnd.integers(0, 256, shape).astype(np.uint8) for shape in [(33, 50)] * 5 + [(700, 900), (64, 64, 3), (0, 7), (700, 900)]]
+    for plane, (tiles, top, mean, high, low) in zip(planes, measure.measure_planes(planes)):
+        flat = measure.grey(plane)
+        h, w = flat.shape[0] // 16, flat.shape[1] // 16
+        want = [[measure.tenengrad(flat[y * h:(y + 1) * h, x * w:(x + 1) * w]) if min(h, w) > 2 else 0.0 for x in range(16)] for y in range(16)]
+        assert np.allclose(tiles, want, rtol=1e-12, atol=0) and top == np.max(tiles) and mean == pytest.approx(np.mean(want))
+        assert high == (pytest.approx((flat >= 254).mean()) if flat.size else None)
+    plane = rnd.integers(0, 256, (6000, 8000)).astype(np.uint8)
+    tracemalloc.start()
+    measure.measure_planes([plane])
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000  # a plane of 48 MB, by bands of tiles
+    tracemalloc.stop()
+
+
+def test_planes_that_are_unknown(spark):
+    df = spark.createDataFrame([(1, 4, None, bytearray(b"abcd")), (2, 2, 2, None), (3, 2, 2, bytearray(b"\xff\xff\x00\x80"))],
+                               "photo_id long, width int, height int, pixels binary")
+    got = {r.photo_id: (r.sharpness_max, r.clipped_hi) for r in measure.measure_frames(df).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (0.0, .5)}

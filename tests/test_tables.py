@@ -211,12 +211,11 @@ def test_ledger(spark):
     assert got == {1: ("done", 0), 2: ("failed", 3), 3: ("pending", 1), 4: ("pending", 1), 5: ("running", 0), 6: ("pending", 0)}
 
 
-@pytest.mark.parametrize("max_rows", [None, 3])
-def test_rolling_rate(spark, max_rows):
+def test_rolling_rate(spark):
     rows = [("j", 0, 0, 0), ("j", 30_000, 1, 30), ("j", 60_000, 2, 30), ("j", 95_000, 3, 60), ("j", 300_000, 4, 61)]
     df = spark.createDataFrame(rows, "job string, t long, seq long, c long")
     got = {r.seq: (r.rate, r.eta_sec) for r in progress.rolling_rate(
-        df, "job", "t", "seq", "c", total=F.lit(91), max_rows=max_rows).collect()}
+        df, "job", "t", "seq", "c", total=F.lit(91)).collect()}
     assert got == {0: (None, None), 1: (1.0, 61), 2: (.5, 122), 3: (30 / 35, 36), 4: (None, None)}
 
 

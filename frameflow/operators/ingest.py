@@ -169,3 +169,20 @@ def summarize_proposals(proposed: DataFrame, path: str = "rel_path",
     return proposed.groupBy("proposal").agg(
         F.count(F.lit(1)).alias("n_photos"), F.min(time).alias("start"), F.max(time).alias("end"),
         F.countDistinct(folder).alias("n_directories"))
+
+
+def proposal_lists(proposed: DataFrame, key: str, path: str = "rel_path", time: str = "captured_at", subsec: str | None = None) -> DataFrame:
+    """(proposal, kind, pos, item): the photos of each proposal in capture order (undated
+    ones last, then by `subsec` and path) and its folders in their own order, from 1 on.
+
+    Long form: a proposal may hold a whole library, so no list is gathered.
+    """
+    moment = [F.col(time), *([F.col(subsec)] if subsec else [])]
+    photos = proposed.select("proposal", F.lit("photo").alias("kind"), F.col(key).cast("string").alias("item"),
+                             F.struct(F.col(time).isNull().alias("undated"), *[m.alias(f"m{i}") for i, m in enumerate(moment)],
+                                      F.col(path).alias("path"), F.col(key).alias("key")).alias("_at"))
+    names = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    folders = proposed.select("proposal", F.when(names == "", ".").otherwise(names).alias("item")).distinct()
+    first = row_numbers(photos, ("proposal",), ("_at",), "pos").select("proposal", "kind", "pos", "item")
+    second = row_numbers(folders, ("proposal",), ("item",), "pos").select("proposal", F.lit("folder").alias("kind"), "pos", "item")
+    return first.unionByName(second)

@@ -91,6 +91,50 @@ def capture_detail(photos: DataFrame, faces: DataFrame, scores: DataFrame, membe
             .join(groups, key, "left").join(newest, key, "left"))
 
 
+#: Faces of one photo that a detail may list; detectors keep far fewer.
+MOST_FACES = 1000
+
+
+def capture_payload(photos: DataFrame, analysis: DataFrame, faces: DataFrame, scores: DataFrame, members: DataFrame,
+                    entries: DataFrame, selections: DataFrame, key: str = "photo_id") -> DataFrame:
+    """All that is known of each photo, one row with nested columns; NULL where there is none.
+
+    photos: key, profile and any other columns. analysis: key, engine_version, decode_mode,
+    frame (its tile map is dropped). faces: key, idx, bbox, yaw, capture_quality, sharp_l,
+    sharp_r, open_l, open_r, eye_source. scores: key, profile, total, components, flags,
+    weights_hash; the row of the photo's current profile is taken. members: group_id, key,
+    is_bracket. entries: selection_id, key, state, rank, reason, user_override; the one of
+    the newest selection is taken. selections: selection_id, created_at.
+
+    Adds analysis, faces (in idx order, eyes as left and right), score, group (with its
+    size) and selection. Faces are gathered per photo, which is refused beyond MOST_FACES.
+    """
+    frame = analysis.schema["frame"].dataType
+    measured = F.struct(*[F.col(f"frame.{f.name}") for f in frame.fields if f.name != "sharpness_tiles"])
+    analysed = analysis.select(key, F.struct("decode_mode", "engine_version", measured.alias("frame")).alias("analysis"))
+    eyes = F.struct(*[F.struct(F.col(f"sharp_{s}").alias("sharp_norm"), F.col(f"open_{s}").alias("open")).alias(name)
+                      for s, name in (("l", "left"), ("r", "right"))])
+    face = F.struct("idx", "bbox", "yaw", "capture_quality", eyes.alias("eyes"), "eye_source")
+    listed = faces.select(key, face.alias("_face")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.collect_list("_face").alias("faces"))
+    by_idx = F.array_sort("faces", lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0))
+    listed = listed.select(key, F.when(F.col("_n") <= MOST_FACES, by_idx).otherwise(
+        F.raise_error(F.concat(F.lit("too many faces in one photo: "), F.col("_n"))).cast(listed.schema["faces"].dataType)).alias("faces"))
+    scored = scores.select(key, "profile", F.struct("profile", "total", "components", "flags", "weights_hash").alias("score"))
+    sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
+    groups = members.select(key, "group_id", "is_bracket").join(sizes, "group_id").select(
+        key, F.struct(F.col("group_id").alias("shot_id"), "size", "is_bracket").alias("group"))
+    newest = entries.join(selections.select("selection_id", "created_at"), "selection_id").groupBy(key).agg(
+        F.max_by(F.struct("state", "rank", "reason", "user_override"), F.struct("created_at", "selection_id")).alias("selection"))
+    rows = photos.join(analysed, key, "left").join(listed, key, "left").join(scored, [key, "profile"], "left")
+    rows = rows.join(groups, key, "left").join(newest, key, "left")
+    return rows.withColumn("faces", F.coalesce("faces", F.array().cast(listed.schema["faces"].dataType)))
+
+
+def shared_keys(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """The known keys that both tables have, each once."""
+    return one.select(key).where(F.col(key).isNotNull()).join(two.select(key), key, "left_semi").distinct()
+
+
 def ordered_members(members: DataFrame, group: str, time: str, key: str,
                     part: str | None = None) -> DataFrame:
     """Members numbered in capture order inside groups, and groups numbered by

@@ -263,6 +263,20 @@ def known_profile(profile: Column) -> Column:
     return F.when(profile.isin(*P.PROFILE_WEIGHTS), profile).otherwise(F.raise_error(message).cast("string"))
 
 
+def profile_errors(rows: DataFrame, key: str, profile: str = "profile") -> DataFrame:
+    """(key, profile, error): the rows that `score` and `select_frames` refuse, since nothing
+    is known of their profile's weights and rates."""
+    return rows.where(~F.coalesce(F.col(profile).isin(*P.PROFILE_WEIGHTS), F.lit(False))).select(
+        key, F.col(profile).alias("profile"), F.lit("unknown_profile").alias("error"))
+
+
+def component_rows(scores: DataFrame, key: str = "photo_id") -> DataFrame:
+    """(key, metric, value, weight, contrib, evidence): the components of scores in long
+    form; a metric without a weight in the profile has no row."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"components.{m}").alias("c")) for m in P.METRICS]))
+    return scores.select(key, each.alias("m")).where("m.c IS NOT NULL").select(key, "m.metric", "m.c.*")
+
+
 def score_columns(rows: DataFrame, profile: Column, key: str) -> DataFrame:
     rows = rows.withColumn("profile", known_profile(profile))
     profile = F.col("profile")

@@ -140,6 +140,62 @@ def score_all_profiles(spark, sf_dir):
     return _rounded(scoring.score_all_profiles(photos(spark, sf_dir), faces(spark, sf_dir)))
 
 
+_REASONS_SQL = {
+    "eye_focus": f"""CASE WHEN idx IS NULL THEN 'no_face' WHEN COALESCE(abs(yaw) > {P.MAX_EYE_YAW}, FALSE) THEN 'abstained_extreme_yaw'
+ WHEN COALESCE(sharp_l, sharp_r) IS NULL THEN 'eyes_not_measured' WHEN sharpness_max < {P.MIN_FRAME_SHARPNESS} THEN 'frame_soft_motion_blur' END""",
+    "eyes_open": f"""CASE WHEN idx IS NULL THEN 'no_face' WHEN COALESCE(abs(yaw) > {P.MAX_EYE_YAW}, FALSE) THEN 'abstained_extreme_yaw'
+ WHEN COALESCE(open_l, open_r) IS NULL THEN 'detector_unavailable' END""",
+    "sharpness": "CASE WHEN sharpness_mean IS NULL OR sharpness_max IS NULL THEN 'not_measured' END",
+    "composition": "CAST(NULL AS VARCHAR)",
+    "face_quality": "CASE WHEN capture_quality IS NULL THEN 'no_face_or_not_measured' END",
+    "exposure": "CASE WHEN exposure IS NULL THEN 'not_measured' END"}
+_COMPONENTS_SQL = " UNION ALL ".join(f"""SELECT photo_id, '{m}' AS metric, {half_up(m, 4)} AS value, {half_up(
+    f'CASE WHEN {m} IS NOT NULL AND live_weight > 0 THEN w_{m} / live_weight ELSE w_{m} END', 4)} AS weight, {half_up(
+    f'CASE WHEN live_weight > 0 THEN {m} * (w_{m} / live_weight) END', 4)} AS contrib, {reason} AS reason
+ FROM scores WHERE w_{m} IS NOT NULL""" for m, reason in _REASONS_SQL.items())
+
+
+@query("score_components", f"WITH {SUBJECT_SQL}, {score_sql()} {_COMPONENTS_SQL}")
+def score_components(spark, sf_dir):
+    rows = scoring.component_rows(scoring.score(photos(spark, sf_dir), faces(spark, sf_dir)))
+    return rows.select("photo_id", "metric", "value", "weight", "contrib", F.try_element_at("evidence", F.lit("reason")).alias("reason"))
+
+
+@query("profile_errors", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'wedding' WHEN 1 THEN NULL ELSE 'Portrait' END AS profile,
+ 'unknown_profile' AS error FROM events WHERE event_id % 6 < 3""")
+def profile_errors(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", """CASE event_id % 6 WHEN 0 THEN 'wedding' WHEN 1 THEN NULL
+      WHEN 2 THEN 'Portrait' WHEN 3 THEN 'portrait' WHEN 4 THEN 'street' ELSE 'event' END AS profile""")
+    return scoring.profile_errors(rows, "event_id")
+
+
+# a photo's nested payload, taken apart again face by face
+@query("capture_payload", f"""WITH {SUBJECT_SQL}, {score_sql()}, listed AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY idx) - 1
+ AS pos FROM faces), sizes AS (SELECT photo_id // 7 AS shot_id, COUNT(*) AS size FROM frames GROUP BY shot_id)
+ SELECT p.photo_id, l.pos, l.idx, l.x, l.yaw, l.sharp_l, l.open_r, l.eye_source, p.sharpness_max, s.total,
+ {half_up('s.exposure', 4)} AS exposure, len(list_filter([s.any_clipped, s.no_headroom, s.lead_room_inverted, s.subject_near_edge,
+ s.horizon_tilt], lambda f: f)) > 0 AS flagged, z.size, p.photo_id // 7 % 5 = 0 AS is_bracket,
+ CASE WHEN p.photo_id % 3 = 0 THEN CASE WHEN p.photo_id % 2 = 0 THEN 'alt' ELSE 'pick' END WHEN p.photo_id % 3 = 1 THEN 'pick' END AS state
+ FROM photos p LEFT JOIN listed l USING (photo_id) LEFT JOIN scores s USING (photo_id) JOIN sizes z ON z.shot_id = p.photo_id // 7""")
+def capture_payload(spark, sf_dir):
+    shown, found = photos(spark, sf_dir), faces(spark, sf_dir)
+    analysis = shown.select("photo_id", F.lit("v1").alias("engine_version"), F.lit("full").alias("decode_mode"), F.struct(
+        F.lit(None).cast("array<array<double>>").alias("sharpness_tiles"), "sharpness_max", "sharpness_mean").alias("frame"))
+    members = shown.selectExpr("photo_id div 7 AS group_id", "photo_id", "photo_id div 7 % 5 = 0 AS is_bracket")
+    # every third photo is in two selections, every third in none; the newer one counts
+    entry = "photo_id, '{s}' AS state, 1L AS rank, '' AS reason, false AS user_override"
+    entries = shown.where("photo_id % 3 < 2").selectExpr("1L AS selection_id", *entry.format(s="pick").split(", ")).unionByName(
+        shown.where("photo_id % 6 = 0").selectExpr("2L AS selection_id", *entry.format(s="alt").split(", ")))
+    selections = spark.sql("SELECT * FROM VALUES (1L, DATE'2024-01-01'), (2L, DATE'2024-01-02') AS s(selection_id, created_at)")
+    rows = lookups.capture_payload(shown.select("photo_id", "profile"), analysis, found, scoring.score_all_profiles(shown, found), members, entries, selections)
+    parts = rows.select("*", F.posexplode_outer("faces").alias("pos", "face"))
+    flagged = F.exists("score.flags", lambda f: F.substring_index(f, ":", 1).isin(*P.FLAG_PENALTIES))
+    return parts.select(
+        "photo_id", F.col("pos").cast("long").alias("pos"), "face.idx", "face.bbox.x", "face.yaw", F.col("face.eyes.left.sharp_norm").alias("sharp_l"),
+        F.col("face.eyes.right.open").alias("open_r"), "face.eye_source", "analysis.frame.sharpness_max", "score.total",
+        F.col("score.components.exposure.value").alias("exposure"), flagged.alias("flagged"), "group.size", "group.is_bracket", "selection.state")
+
+
 @query("composition", f"WITH {SUBJECT_SQL}, {score_sql()} SELECT photo_id, round(composition, 6) AS composition FROM scores")
 def composition(spark, sf_dir):
     rows = scoring.add_flags(scoring.with_subject(photos(spark, sf_dir), faces(spark, sf_dir)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..operators import agreement, corrections, lookups, progress, segments, shots
 from ..operators.ordered import row_numbers
+from ..streaming.feeds import stream_sessions
 from .checks import (MARKED_SQL, RUNS_SQL, SCENE_RULE, SEGMENTS_SQL, SHOTS_SQL, neighbour_rule,
                      shots_sql)
 from .frames import FRAMES_SQL, STEPS_SQL, frames, table
@@ -310,7 +311,5 @@ def change_feed(spark, sf_dir):
  GROUP BY user_id, session)""")
 def session_window(spark, sf_dir):
     events = _events(spark, sf_dir).withColumn("ts", F.timestamp_millis("t_ms"))
-    return (events.groupBy("user_id", F.session_window("ts", "12 hours").alias("s"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select("user_id", F.unix_millis("s.start").alias("start_ms"),
-                    F.unix_millis("s.end").alias("end_ms"), "n"))
+    return stream_sessions(events, key="user_id", gap="12 hours").select(
+        "user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")

@@ -8,7 +8,7 @@ from ..operators import ingest, lookups
 from ..operators.agreement import count_agreement, latency_stats
 from ..operators.ordered import row_numbers
 from ..operators.selection import latest_selection as newest_selection
-from ..sources import listing, measurements, sidecars, sinks
+from ..sources import listing, manifests, measurements, sidecars, sinks
 from .frames import FRAMES_SQL, faces, frames, table
 from .registry import query
 
@@ -255,6 +255,34 @@ def proposal_members(spark, sf_dir):
         "proposal", "page_id", "pos")
 
 
+@query("proposal_lists", f"""WITH {_PROPOSED_SQL}, folders AS (SELECT DISTINCT proposal, CASE WHEN regexp_extract(rel_path,
+ '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract(rel_path, '^(.*)/[^/]*$', 1) END AS item FROM proposed)
+ SELECT proposal, 'photo' AS kind, row_number() OVER (PARTITION BY proposal ORDER BY captured_at IS NULL, captured_at,
+ rel_path, page_id) AS pos, CAST(page_id AS VARCHAR) AS item FROM proposed
+ UNION ALL SELECT proposal, 'folder', row_number() OVER (PARTITION BY proposal ORDER BY item), item FROM folders""")
+def proposal_lists(spark, sf_dir):
+    return ingest.proposal_lists(ingest.propose_shoots(_dated_paths(spark, sf_dir)), "page_id")
+
+
+# crops of documents, labelled again and again by events; some lines are cut off
+@query("manifest_labels", """WITH given AS (SELECT 'c' || (event_id % 1300) AS crop, max_by(CASE event_id % 3 WHEN 0 THEN 'open'
+ WHEN 1 THEN 'closed' ELSE 'unclear' END, event_id) AS label FROM events WHERE event_id % 7 <> 0 GROUP BY crop)
+ SELECT 'c' || doc_id AS crop, source || '/' || doc_id AS photo, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 100 / CAST(100 AS DOUBLE)
+ END AS blend, CASE WHEN doc_id % 6 <> 0 THEN CAST(n_chars AS DOUBLE) END AS width, COALESCE(label, 'unlabelled') AS label
+ FROM documents LEFT JOIN given ON given.crop = 'c' || doc_id""")
+def manifest_labels(spark, sf_dir):
+    box = "CASE WHEN doc_id % 6 = 0 THEN array(1D) ELSE array(0D, 0D, CAST(n_chars AS DOUBLE), 1D) END AS bbox"
+    manifest = table(spark, sf_dir, "documents").selectExpr(
+        f"to_json(named_struct('photo', source || '/' || doc_id, 'key', 'p' || doc_id, 'crop', 'c' || doc_id, 'bbox', {box[:-8]}, "
+        "'blend', CASE WHEN doc_id % 4 <> 0 THEN doc_id % 100 / 100D END)) AS value")
+    lines = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "to_json(named_struct('crop', 'c' || (event_id % 1300), 'label', CASE event_id % 3 WHEN 0 THEN 'open' "
+        "WHEN 1 THEN 'closed' ELSE 'unclear' END)) AS line").selectExpr(
+        "event_id", "CASE WHEN event_id % 7 = 0 THEN left(line, 12) ELSE line END AS value")
+    found = manifests.labelled(manifests.manifest_rows(manifest), manifests.label_rows(lines, order=("event_id",)))
+    return found.select("crop", "photo", "blend", F.col("bbox.w").alias("width"), "label")
+
+
 # --- lookups ----------------------------------------------------------------------
 
 @query("capture_detail", """WITH faces AS (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey),
@@ -357,8 +385,7 @@ def match_coverage(spark, sf_dir):
 
 @query("shared_keys", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def shared_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").intersect(
-        table(spark, sf_dir, "labels").select("doc_id"))
+    return lookups.shared_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("latest_selection", """SELECT o_custkey, created_at, selection_id, o_orderstatus FROM (SELECT o_custkey,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 from itertools import combinations
@@ -86,6 +87,13 @@ def distinct_sets(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.nda
     return kept, np.searchsorted(o[new], np.arange(n + 1))
 
 
+def set_ids(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits of a digest of each set's sorted elements."""
+    view = memoryview(np.ascontiguousarray(elements, "<u8")).cast("B")
+    found = [hashlib.blake2b(view[8 * a:8 * b], digest_size=8).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<i8").astype(np.int64)
+
+
 def parity_maps(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each set (elements[first[i]:first[i + 1]], none empty) a map of MAP_WORDS words:
     bit b says whether an odd number of its elements fall on b."""
@@ -124,7 +132,7 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     key are grouped like others and lend no name (a component of such rows alone is
     null). Rows that share a key are judged each. Other columns are ignored.
 
-    Equal sets are one class, known by a 64-bit hash of their elements. A merged sketch
+    Equal sets are one class, known by 64 bits of a digest of their elements. A merged sketch
     gives every shingle a count that is never too small: a set with less than `percent`
     shingles counted twice has no partner, and lists are ordered by it, rarest first.
     Small sets meet by equal subsets of the size that a link needs, for each pair of
@@ -153,8 +161,7 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         kept, first = distinct_sets(hashes, owner, n)
         hashes, owner, count = hashes[kept], owner[kept], count[kept]
         size = np.diff(first)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(hashes ^ U64(0x1B873593)), dtype=U64)])
-        ids = mix(sums[first[1:]] - sums[first[:-1]] + size.astype(U64)).view(np.int64)
+        ids = set_ids(hashes, first)
         often = np.concatenate([[0], np.cumsum(count > 1)])
         often = often[first[1:]] - often[first[:-1]]
         may = (size > 0) & (often * 100 >= percent * size)

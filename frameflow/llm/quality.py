@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACE, U64, Texts, mix, pieces, span_sums, split_words, texts_of, window_hashes, window_starts, word_hashes, byte_values
+from .words import SPACE, U64, Texts, mix, pieces, slice_hashes, split_words, texts_of, window_hashes, window_starts, word_hashes
 
 # Symbols that are counted, and the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -62,7 +62,7 @@ def text_statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         held = per_text(~space, edges) > 0 if len(edges) > 1 else np.zeros(0, bool)
         lo, hi = lo[held], hi[held]
         line_owner = np.searchsorted(part.offsets, lo, "right") - 1
-        line_hash = mix(span_sums(byte_values(2, False)[data], 0xD6E8FEB86659FD93, lo, hi) + (hi - lo).astype(U64)) ^ salt[line_owner]
+        line_hash = slice_hashes(data, lo, hi) ^ salt[line_owner]
         _, first_line = np.unique(line_hash, return_index=True)
         n_lines = np.bincount(line_owner, minlength=m)
         dup_lines = n_lines - np.bincount(line_owner[first_line], minlength=m)

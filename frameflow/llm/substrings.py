@@ -9,21 +9,36 @@ from pyspark.sql import functions as F
 
 from .groups import cuts, group_count, group_of, pack_bits, pack_ints, slices, text_bytes, unpack_bits, unpack_ints
 from .sketch import corpus_sketch, merged_counts, width_bits
-from .words import SPACE, Texts, Words, pieces, split_words, texts_of, window_hashes, window_starts, word_hashes
+from .words import SPACE, Texts, Words, pieces, split_words, texts_of, window_digests, window_hashes, window_starts, word_hashes
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max  # stands for a null key: after all others
 
 
-def all_windows(texts: Texts, k: int, lane: int = 0) -> np.ndarray:
+def all_windows(texts: Texts, k: int) -> np.ndarray:
     """Hashes of all windows of all texts, in text order."""
     found = [np.zeros(0, np.uint64)]
     for _, part in pieces(texts):
         words = split_words(part)
-        found.append(window_hashes(word_hashes(part, words, lane), window_starts(words, k), k))
+        found.append(window_hashes(word_hashes(part, words), window_starts(words, k), k))
     return np.concatenate(found)
 
 
+def digests_of(texts: Texts, k: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of a digest of the words of the windows with these numbers (sorted),
+    as `all_windows` counts them."""
+    high, low, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0
+    for _, part in pieces(texts):
+        words = split_words(part)
+        at = window_starts(words, k)
+        mine = chosen[np.searchsorted(chosen, done):np.searchsorted(chosen, done + len(at))] - done
+        done += len(at)
+        a, b = window_digests(part, words, at[mine], k)
+        high.append(a)
+        low.append(b.astype(np.uint32))
+    return np.concatenate(high), np.concatenate(low)
+
+
 def window_texts(texts: Texts, k: int) -> np.ndarray:
     """Index of the text of each window of `all_windows`."""
     found = [np.zeros(0, np.int64)]
@@ -80,8 +95,8 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     Other columns are ignored.
 
     Pass 1 sketches all windows per group of documents and merges the sketches. Pass 2
-    sends the windows estimated repeated to the slice of their hash (64 and 32 bits),
-    where the smallest key of each is found. Pass 3 cuts the words.
+    sends the windows estimated repeated to the slice of a digest of their words (96 bits
+    of BLAKE2), where the smallest key of each is found. Pass 3 cuts the words.
     """
     total = text_bytes(documents, text)
     n = group_count(total)
@@ -99,8 +114,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     def candidates(key: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
         texts, ids, high, where = own(table)
         may = np.flatnonzero(merged_counts(high, reply, bits) > 1)
-        low = all_windows(texts, k, 1)[may].astype(np.uint32)
-        high, doc = high[may], ids[where[may]]
+        (high, low), doc = digests_of(texts, k, may), ids[where[may]]
         number = exact_keys(high, low)
         order = np.lexsort((doc, number))
         first = order[np.flatnonzero(np.diff(number[order], prepend=-1))]
@@ -133,13 +147,12 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         texts, ids, high, where = own(table)
         kind = np.asarray(reply["_row"])
         may = np.flatnonzero(merged_counts(high, reply.filter(pa.array(kind >= 0)), bits) > 1)
-        low = all_windows(texts, k, 1)[may].astype(np.uint32)
-        doc = ids[where[may]]
-        number = exact_keys(high[may], low)
+        (exact, low), doc = digests_of(texts, k, may), ids[where[may]]
+        number = exact_keys(exact, low)
         least = np.full(int(number.max(initial=-1)) + 1, LAST)
         np.minimum.at(least, number, doc)
         first = np.zeros(len(least), np.uint64)
-        first[number] = high[may]
+        first[number] = exact
         size = np.diff(cuts(slices(first, n), n))
         said = {s: x for r, s, x in zip(kind, reply["_slice"].to_pylist(), reply["n"].to_pylist(), strict=True) if r < 0}
         earlier = np.concatenate([np.zeros(0, bool)] + [unpack_bits(said[int(s)], int(size[s])) for s in np.flatnonzero(size)])

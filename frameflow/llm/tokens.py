@@ -20,14 +20,16 @@ ENDINGS = ".,;:!?"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RUN_OF_SPACE = re.compile(r"\s ")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+#: Letters whose lower case is one letter, too, and that no sign after them combines with.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class Known(dict):
     """Segment -> ids as little-endian uint32 bytes; emptied when it is full.
 
-    Signs after letters are words of their own in both vocabularies. `letters` encodes a
-    word of letters alone without the steps that only other segments need; it may return
-    None to leave that to `whole`.
+    Signs after `LETTERS` are words of their own in both vocabularies. `letters` encodes a
+    word of such letters alone without the steps that only other segments need; it may
+    return None to leave that to `whole`, which takes all other segments.
     """
 
     def __init__(self, whole: Callable[[str], bytes], letters: Callable[[str], bytes | None], prefix: str = "") -> None:
@@ -37,9 +39,9 @@ class Known(dict):
 
     def __missing__(self, segment: str) -> bytes:
         ids = None
-        if segment.isalpha():
+        if LETTERS.fullmatch(segment):
             ids = self.letters(self.prefix + segment)
-        elif (stem := segment.rstrip(ENDINGS)).isalpha():
+        elif LETTERS.fullmatch(stem := segment.rstrip(ENDINGS)):
             ids = self[stem] + self.signs[segment[len(stem):]]
         if ids is None:
             ids = self.whole(self.prefix + segment)
@@ -53,9 +55,7 @@ class Known(dict):
 def load(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def packed(ids: list[int]) -> bytes:

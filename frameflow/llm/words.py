@@ -6,6 +6,7 @@ A batch of texts is one byte array with offsets. Words are runs of bytes other t
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +15,12 @@ import pyarrow as pa
 from .worker import kept
 
 U64 = np.uint64
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-WORD_RADIX, WINDOW_RADIX = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+WORD_RADIX, WINDOW_RADIX = 0xD6E8FEB86659FD93, 0x0A0761D6478BD642F % ((1 << 61) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,6 +61,82 @@ def span_sums(values: np.ndarray, radix: int, start: np.ndarray, end: np.ndarray
     return (total[end] - total[start]) * down[start]
 
 
+P61 = (1 << 61) - 1
+#: Distinct words whose digests a worker keeps.
+KEPT_WORDS = 200_000
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo 2**61 - 1."""
+    x = (x & U64(P61)) + (x >> U64(61))
+    return np.where(x >= U64(P61), x - U64(P61), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of values below it, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> U64(31), a & U64(0x7FFFFFFF), b >> U64(31), b & U64(0x7FFFFFFF)
+    mid = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << U64(1)) + (mid >> U64(30)) + ((mid & U64(0x3FFFFFFF)) << U64(31)) + a0 * b0)
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """WINDOW_RADIX**i and its inverse modulo 2**61 - 1 for i < n, kept between calls."""
+    tables = kept("prime_powers", dict)
+    have = tables.get("pair")
+    if have is None or len(have[0]) < n:
+        pair = []
+        for base in (WINDOW_RADIX % P61, pow(WINDOW_RADIX, -1, P61)):
+            out = np.ones(1, U64)
+            while len(out) < max(n, 1 << 16):
+                out = np.concatenate([out, times(out, np.full(1, pow(base, len(out), P61), U64))])
+            pair.append(out)
+        have = tables["pair"] = (pair[0], pair[1])
+    return have[0][:n], have[1][:n]
+
+
+def prime_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each [start, end): sum of values[j] * WINDOW_RADIX**(j - start) modulo 2**61 - 1.
+    Unlike a modulus that is a power of two, this one has no sequences that equal
+    their mirror for any radix."""
+    up, down = prime_powers(len(values) + 1)
+    terms = times(reduced(values), up[:-1])
+    low, high = np.zeros(len(values) + 1, U64), np.zeros(len(values) + 1, U64)
+    np.cumsum(terms & U64(0xFFFFFFFF), out=low[1:])
+    np.cumsum(terms >> U64(32), out=high[1:])
+    top = high[end] - high[start]  # times 2**32, of which 2**61 counts as 1
+    total = reduced(low[end] - low[start]) + (top >> U64(29)) + ((top & U64((1 << 29) - 1)) << U64(32))
+    return times(reduced(total), down[start])
+
+
+def byte_digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=16).digest(), "little")
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0, lower: bool = False) -> np.ndarray:
+    """64 bits (lane 0 or 1) of a cryptographic digest of data[start:end] of each slice;
+    slices follow each other and don't overlap. Each distinct one is digested once."""
+    if not len(start):
+        return np.zeros(0, U64)
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[start] += 1
+    mark[end] -= 1
+    packed = data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    if lower:
+        packed = LOWER[packed]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))]).dictionary_encode()
+    seen = kept("word digests", dict)
+    out = np.empty(len(found.dictionary), U64)
+    for i, piece in enumerate(found.dictionary.to_pylist()):
+        digest = seen.get(piece)
+        if digest is None:
+            digest = byte_digest(piece)
+            if len(seen) < KEPT_WORDS and len(piece) <= 64:
+                seen[piece] = digest
+        out[i] = digest >> (64 * lane) & 0xFFFFFFFFFFFFFFFF
+    return out[found.indices.to_numpy(zero_copy_only=False)]
+
+
 @dataclass
 class Texts:
     """Texts laid end to end: text i is data[offsets[i]:offsets[i + 1]]."""
@@ -129,11 +208,31 @@ def split_words(texts: Texts) -> Words:
 
 
 def word_hashes(texts: Texts, words: Words, lane: int = 0, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; `lane` selects an independent function."""
-    if not len(words.start):
-        return np.zeros(0, U64)
-    sums = span_sums(byte_values(lane, lower)[texts.data], WORD_RADIX, words.start, words.end)
-    return mix(sums + (words.end - words.start).astype(U64) * U64(STEP))
+    """64 bits of a digest of each word's bytes; `lane` (0, 1) selects which ones."""
+    return slice_hashes(texts.data, words.start, words.end, lane, lower)
+
+
+def joined_words(texts: Texts, words: Words) -> tuple[bytes, np.ndarray]:
+    """All words with one space behind each, and where each word begins."""
+    length = words.end - words.start + 1
+    total = np.cumsum(length)
+    if not len(length):
+        return b"", np.zeros(0, np.int64)
+    padded = np.append(texts.data, np.uint8(0x20))
+    joined = padded[np.repeat(words.start - total + length, length) + np.arange(int(total[-1]))]
+    joined[total - 1] = 0x20
+    return joined.tobytes(), total - length
+
+
+def window_digests(texts: Texts, words: Words, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a digest of the k words themselves from each index in `at`, in halves."""
+    joined, begin = joined_words(texts, words)
+    view = memoryview(joined)
+    end = begin + words.end - words.start
+    digest = hashlib.blake2b
+    found = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begin[at].tolist(), end[at + k - 1].tolist(), strict=True)])
+    both = np.frombuffer(found, "<u8").reshape(-1, 2)
+    return both[:, 0].astype(U64), both[:, 1].astype(U64)
 
 
 def window_starts(words: Words, k: int) -> np.ndarray:
@@ -149,4 +248,4 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the k words from each index in `at`."""
     if not len(at):
         return np.zeros(0, U64)
-    return mix(span_sums(hashes, WINDOW_RADIX, at, at + k))
+    return mix(prime_sums(hashes, at, at + k))

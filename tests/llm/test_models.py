@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameflow.llm import contexts, curve, lines, packing, quality, templates, wavelet
+from frameflow.llm import contexts, curve, lines, packing, quality, templates, tokens, wavelet
 from frameflow.llm.words import texts_of
 
 CLASH = "doc_id long, text string, _g int, key string, shard int, length int, curve int"
@@ -192,7 +192,6 @@ def test_packed_ids_round_trip(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     rows = rows + [(80_000, "a   b\n\n  c <|endoftext|> d's 1,000.50 "), (80_001, "word " * 5000)]
     got = packing.pack(corpus.frame(spark, rows), keep_ids=True).collect()
     pieces, places = defaultdict(list), defaultdict(list)
@@ -239,7 +238,6 @@ def test_shards_round_trip(spark, rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     wavelet.write_shards(corpus.frame(spark, rows), str(tmp_path / "shards"), shard_ids=3000)
     got = {r["key"]: r for r in wavelet.read_shards(spark, str(tmp_path / "shards"), keep_ids=True).collect()}
     start = 0
@@ -312,6 +310,22 @@ def test_other_names_and_numbers_are_found(spark, limit):
     assert templates.leaks(docs, items.limit(0)).count() == 0
 
 
+ODD = ["İ", "i̇", "I", "é", "é", "́", "ß", "ẞ", "Σ", "ς", "ﬁ", "Å", "Å", "가", "가", "中", "ا", "ـ", "١", "5", "½", "Ⅷ", "'", "'s", "’s", " ", "  ",
+       "\t", "\n", "\r\n", "\u00a0", "\u2003", "\u0085", "\x0b", "\x1c", *".,;:!?-_", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", "xy", "Ñ", "ø",
+       "×", "÷", "\u200b", "\u00ad", "😀", "👨\u200d👩", "\ufeff", "\x00", "ª", "ǅ", "ŉ", "ĳ", "ſ"]
+
+
+@pytest.mark.parametrize("name,make", [("byte_bpe_50k.json", tokens.byte_encoder), ("word_bpe_49k.json", tokens.word_encoder)])
+def test_ids_of_odd_strings_are_the_library_s(name, make):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    rng, whole, encode = random.Random(5), Tokenizer.from_file(public_tokenizers.path(name)), make()
+    texts = ["BELGESİ, BİLGİ. son", "hello <|endoftext|> world", "a<|startoftext|>,"]
+    texts += ["".join(rng.choice(ODD) if rng.random() < .8 else rng.choice("abcdeéàñABC ,.") for _ in range(rng.randint(0, 14))) for _ in range(30_000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 # -- fuzzy lines --------------------------------------------------------------------
 
 def test_lines_alike_are_kept_once(spark):

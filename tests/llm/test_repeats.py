@@ -124,3 +124,38 @@ def test_repeated_windows_in_periodic_text():
         assert suffixes.repeated_windows(text, first, count, size).tolist() == [windows.count(w) > 1 for w in windows]
         order = suffixes.suffix_array(text)
         assert [bytes(text[i:]) for i in order] == sorted(bytes(text[i:]) for i in range(len(text)))
+
+
+def morse(n: int) -> str:
+    """A sequence of a and b that equals its mirror in every polynomial hash modulo 2**64."""
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: "b", 98: "a"})
+    return out
+
+
+MIRROR = {97: "b", 98: "a"}
+
+
+def test_built_collisions_remove_and_link_nothing(spark):
+    """Two words of 1,024 letters, and two sequences of 1,024 words, whose sums over any odd
+    radix are equal modulo 2**64."""
+    one, rest = morse(1024), " ".join(f"w{i}" for i in range(12))
+    spelled = " ".join(one), " ".join(one.translate(MIRROR))
+    rows = [(1, f"{one} {rest}"), (2, f"{one.translate(MIRROR)} {rest}"), (3, spelled[0]), (4, spelled[1]),
+            (5, f"{one} u v w x y z"), (6, f"{one.translate(MIRROR)} u v w x y z")]
+    cut = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(corpus.frame(spark, rows)).collect()}
+    assert cut == {i: n for i, (_, n, _) in corpus.windows_removed(rows).items()} and cut[2] == 0
+    groups = {r["doc_id"]: r["component_id"] for r in ngrams.jaccard_groups(corpus.frame(spark, rows)).collect()}
+    assert groups == {i: c for i, (_, c) in corpus.jaccard_components(rows).items()} and groups[6] == 6
+
+
+def test_sums_modulo_a_prime_equal_integers():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    values[:3] = [words.P61, (1 << 64) - 1, 0]
+    start = rng.integers(0, 4000, 200)
+    end = start + rng.integers(0, 900, 200)
+    got = words.prime_sums(values, start, end)
+    for a, b, x in zip(start.tolist(), end.tolist(), got.tolist()):
+        assert x == sum(int(v) * pow(words.WINDOW_RADIX, j, words.P61) for j, v in enumerate(values[a:b])) % words.P61

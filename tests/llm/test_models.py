@@ -360,6 +360,16 @@ def test_equal_lines_leave_one_occurrence_on_given_texts(spark):
     assert all(any(alike(g, s) for s in seen) for g in gone)
 
 
+def test_rows_of_one_key_keep_their_own_lines(spark):
+    """Rows with a null or the same key are told apart: a repeat goes from the row that holds it."""
+    alone = "a unique line found in no other document at all"
+    rows = [(None, f"a line that both of them have\n{alone}"), (None, f"{alone} but this\na line that both of them have"),
+            (5, "one more line of this key here\nfive has this line for itself"), (5, "another of the same key\none more line of this key here")]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(corpus.frame(spark, rows)).collect())
+    kept = [line for _, t in got for line in t.split("\n") if line]
+    assert sorted(kept) == sorted({line for _, t in rows for line in t.split("\n")})
+
+
 def alike(a: str, b: str, percent: int = 90) -> bool:
     most = max(len(a), len(b)) * (100 - percent) // 100
     if abs(len(a) - len(b)) > most:

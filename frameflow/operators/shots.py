@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions.vectors import cosine_distance
-from ..runtime import checkpoint, small
+from ..runtime import checkpoint, join_same, small
 from .local import stack
-from .ordered import OrderedRows
+from .ordered import OrderedRows, ordered_rows
 from .segments import capture_steps, mark_brackets
 
 
@@ -61,13 +61,21 @@ def shot_segments(df: DataFrame, *, part="shoot_id", time="t_ms", key="photo_id"
     starts a shot, "inside" continues it, "sealed" was in a bracket; NULL for
     all other rows.
     """
+    return _segments(df, {"boundary": limits}, part=part, time=time, key=key, vec=vec, bias=bias, faces=faces,
+                     profile=profile, faceprint=faceprint, pose=pose, distance=distance, context=context, max_rows=max_rows)
+
+
+def _segments(df: DataFrame, sets: dict[str, P.ShotThresholds], *, part, time, key, vec, bias="bias", faces="face_count",
+              profile=None, faceprint=None, pose=None, distance=cosine_distance, context=None, max_rows=None) -> OrderedRows:
+    """`run`, `bracket` and a boundary column by the name of each threshold set; steps and
+    brackets are the same for all of them."""
     profile = F.col("profile") if profile is None else profile
     extra = [bias, faces, *[c for c in (faceprint, pose) if c]]
     steps = capture_steps(df, part=part, time=time, key=key, vec=vec, extra=extra,
                           distance=distance, max_rows=max_rows)
-    rule = neighbour_boundary(profile, limits, faces=faces, faceprint=faceprint, pose=pose,
-                              distance=distance)
-    marked = mark_brackets(steps.with_columns({"_rule": rule}), part=part, time=time,
+    rules = {f"_rule_{name}": neighbour_boundary(profile, limits, faces=faces, faceprint=faceprint, pose=pose, distance=distance)
+             for name, limits in sets.items()}
+    marked = mark_brackets(steps.with_columns(rules), part=part, time=time,
                            key=key, bias=bias)
     if context:
         marked = marked.with_columns({"bracket": F.when(F.col(context) == "sealed", F.lit(-1))
@@ -75,11 +83,11 @@ def shot_segments(df: DataFrame, *, part="shoot_id", time="t_ms", key="photo_id"
     marked = marked.lag("_before", "bracket")
     sealed = F.col("bracket").isNotNull()
     edge = ~F.col("bracket").eqNullSafe(F.col("_before.bracket"))
-    boundary = F.col("_before").isNull() | edge | (~sealed & F.col("_rule"))
+    boundaries = {name: F.col("_before").isNull() | edge | (~sealed & F.col(f"_rule_{name}")) for name in sets}
     if context:
-        boundary = F.when(F.col(context) == "inside", False).when(
-            F.col(context).isNotNull(), True).otherwise(boundary)
-    return marked.with_columns({"boundary": boundary})
+        boundaries = {name: F.when(F.col(context) == "inside", False).when(F.col(context).isNotNull(), True).otherwise(boundary)
+                      for name, boundary in boundaries.items()}
+    return marked.with_columns(boundaries)
 
 
 def group_shots(df: DataFrame, *, part="shoot_id", time="t_ms", key="photo_id", vec="vec",
@@ -171,7 +179,7 @@ class _DriftFold:
                         anchor_id, anchor = batch["_anchor_id"].iat[i], handed[i]
                         raw, fresh = batch["_anchor"].iat[i], bool(batch["_fresh"].iat[i])
                 if starts[i] or (anchor_id is not None and not sealed[i] and not fresh
-                                 and self._drifted(anchor, units[i])):
+                                 and _drifted(anchor, units[i], self.limit)):
                     anchor_id, anchor, raw, fresh = ids[i], units[i], vectors[i], True
                 else:
                     fresh = False
@@ -181,11 +189,6 @@ class _DriftFold:
                          if c not in (self.vec, "boundary", "_anchor", "_anchor_id", "_fresh")]]
             yield out.assign(**kept, shot_id=pd.Series(shots, index=batch.index))
 
-    def _drifted(self, anchor, unit) -> bool:
-        cosine = float(anchor @ unit)
-        return (1.0 if np.isnan(cosine) else 1.0 - cosine) > self.limit
-
-
 def sweep_boundaries(df: DataFrame, sets: dict[str, P.ShotThresholds], reference: str, *,
                      profile: Column | None = None, faces="face_count", max_rows=None,
                      **columns) -> DataFrame:
@@ -210,21 +213,105 @@ def sweep_boundaries(df: DataFrame, sets: dict[str, P.ShotThresholds], reference
 
 
 def shot_sweep(df: DataFrame, sets: dict[str, P.ShotThresholds], reference: str,
-               *, part="shoot_id", key="photo_id", **kwargs) -> DataFrame:
-    """Full shot grouping per threshold set: groups, singletons, agreement."""
-    results = None
+               *, part="shoot_id", key="photo_id", time="t_ms", vec="vec", max_rows=None, **kwargs) -> DataFrame:
+    """Full shot grouping per threshold set: groups, singletons, agreement.
+
+    One pass for all sets: steps and brackets are shared, and the ordered walk keeps an
+    anchor per set. A row carries its starts as one boolean per set.
+    """
+    rows = _segments(df, {f"_b_{name}": limits for name, limits in sets.items()}, part=part, time=time, key=key, vec=vec, max_rows=max_rows, **kwargs)
+    names = list(sets)
+    rows = rows.select(part, time, key, vec, *[f"_b_{name}" for name in names], F.col("bracket").isNotNull().alias("is_bracket"))
+    if rows.chunks:
+        starts = _sweep_ranges(rows, sets, part=part, time=time, key=key, vec=vec)
+    else:
+        fields = {f.name: f for f in rows.df.schema.fields}
+        schema = T.StructType([fields[part], *[T.StructField(f"_s_{name}", T.BooleanType()) for name in names]])
+        fold = _SweepFold(part, vec, {name: limits.anchor for name, limits in sets.items()})
+        # the window before has placed each key in one partition already
+        starts = rows.df.sortWithinPartitions(part, time, key).mapInPandas(fold, schema)
+    return _sweep_report(checkpoint(_sizes(starts, part, names, reference)), names)
+
+
+def _sweep_ranges(rows: OrderedRows, sets, *, part, time, key, vec) -> DataFrame:
+    """The starts where a key spans several ranges: a walk per set over the rows written once."""
+    rows = OrderedRows(checkpoint(rows.df), rows.part, rows.order, rows.chunks)
+    starts = rows.df.select(part, key, time)
     for name, limits in sets.items():
-        shots = group_shots(df, part=part, key=key, limits=limits, **kwargs)
-        shots = shots.select(part, key, "shot_id", F.lit(name).alias("param_id"))
-        results = shots if results is None else results.unionByName(shots)
-    starts = results.withColumn("is_start", F.col("shot_id") == F.col(key))
-    base = starts.where(F.col("param_id") == reference).select(
-        part, key, F.col("is_start").alias("_base"))
-    agreement = (starts.join(base, [part, key]).groupBy("param_id").agg(
-        F.round(F.avg((F.col("is_start") == F.col("_base")).cast("double")), 6)
-        .alias("agreement")))
-    groups = (results.groupBy("param_id", part, "shot_id").agg(F.count(F.lit(1)).alias("n"))
-              .groupBy("param_id").agg(
-                  F.count(F.lit(1)).alias("groups"),
-                  F.sum((F.col("n") == 1).cast("long")).alias("singletons")))
-    return groups.join(agreement, "param_id")
+        one = rows.select(part, time, key, vec, F.col(f"_b_{name}").alias("boundary"), "is_bracket")
+        shots = fold_drift(one, part=part, time=time, key=key, vec=vec, limit=limits.anchor)
+        starts = join_same(starts, shots.select(part, key, (F.col("shot_id") == F.col(key)).alias(f"_s_{name}")), [part, key])
+    order = ordered_rows(starts, (part,), (time, key))
+    for name in sets:
+        order = order.running_sum(f"_g_{name}", F.col(f"_s_{name}").cast("long"))
+    return order.result()
+
+
+def _sizes(starts: DataFrame, part: str, names, reference: str) -> DataFrame:
+    """(name, part, group, n, same) of every group of every set; `same` counts its rows that
+    agree with the reference on being a start or not."""
+    numbered = starts if f"_g_{names[0]}" in starts.columns else None
+    if numbered is None:
+        # one partition holds all of a key in order, so a running count needs no sort
+        fields = {f.name: f for f in starts.schema.fields}
+        schema = T.StructType([*starts.schema.fields, *[T.StructField(f"_g_{name}", T.LongType()) for name in names]])
+
+        def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            before, last = dict.fromkeys(names, 0), None
+            for batch in batches:
+                for name in names:
+                    batch[f"_g_{name}"] = before[name] + batch[f"_s_{name}"].astype("int64").cumsum()
+                    if len(batch):
+                        before[name] = int(batch[f"_g_{name}"].iloc[-1])
+                yield batch
+        numbered = starts.mapInPandas(number, schema).withColumn("_task", F.spark_partition_id())
+    else:
+        numbered = numbered.withColumn("_task", F.lit(0))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_g_{name}").alias("group"),
+                                        (F.col(f"_s_{name}") == F.col(f"_s_{reference}")).cast("long").alias("same")) for name in names]))
+    rows = numbered.select(part, "_task", each.alias("e"))
+    return rows.groupBy("e.name", part, "_task", "e.group").agg(F.count(F.lit(1)).alias("n"), F.sum("e.same").alias("same"))
+
+
+def _sweep_report(groups: DataFrame, names) -> DataFrame:
+    return groups.groupBy(F.col("name").alias("param_id")).agg(
+        F.count(F.lit(1)).alias("groups"), F.sum((F.col("n") == 1).cast("long")).alias("singletons"),
+        F.round(F.sum("same") / F.sum("n"), 6).alias("agreement"))
+
+
+class _SweepFold:
+    """Streams sorted batches; keeps one anchor per threshold set between batches."""
+
+    def __init__(self, part: str, vec: str, limits: dict[str, float]):
+        self.part, self.vec, self.limits = part, vec, limits
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = list(self.limits)
+        raw: dict = dict.fromkeys(names)
+        fresh = dict.fromkeys(names, False)
+        for batch in batches:
+            if batch.empty:
+                continue
+            units = stack([*(raw[n] for n in names), *batch[self.vec].tolist()])
+            anchors, units = dict(zip(names, units)), units[len(names):]
+            sealed = batch["is_bracket"].to_numpy()
+            vectors = batch[self.vec].tolist()
+            out = {self.part: batch[self.part]}
+            # a row without a row before it in its key starts a group by its boundary already
+            for name in names:
+                starts, limit = batch[f"_b_{name}"].to_numpy(), self.limits[name]
+                begun = np.zeros(len(batch), dtype=bool)
+                anchor, near, kept = anchors[name], fresh[name], raw[name]
+                for i in range(len(batch)):
+                    if starts[i] or (not sealed[i] and not near and _drifted(anchor, units[i], limit)):
+                        begun[i], anchor, kept, near = True, units[i], vectors[i], True
+                    else:
+                        near = False
+                raw[name], fresh[name] = kept, near
+                out[f"_s_{name}"] = begun
+            yield pd.DataFrame(out)
+
+
+def _drifted(anchor, unit, limit: float) -> bool:
+    cosine = float(anchor @ unit)
+    return (1.0 if np.isnan(cosine) else 1.0 - cosine) > limit

@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from .groups import cuts, group_count, group_of, pack_bits, pack_ints, slices, text_bytes, unpack_bits, unpack_ints
 from .sketch import corpus_sketch, merged_counts, width_bits
-from .words import SPACE, Texts, Words, pieces, split_words, texts_of, window_digests, window_hashes, window_starts, word_hashes
+from .words import SPACE, Texts, Words, pieces, rough_hashes, rough_windows, split_words, texts_of, window_digests, window_starts
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max  # stands for a null key: after all others
 
 
 def all_windows(texts: Texts, k: int) -> np.ndarray:
-    """Hashes of all windows of all texts, in text order."""
+    """Rough hashes of all windows of all texts, in text order."""
     found = [np.zeros(0, np.uint64)]
     for _, part in pieces(texts):
         words = split_words(part)
-        found.append(window_hashes(word_hashes(part, words), window_starts(words, k), k))
+        found.append(rough_windows(rough_hashes(part, words), window_starts(words, k), k))
     return np.concatenate(found)
 
 

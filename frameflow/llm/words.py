@@ -62,8 +62,8 @@ def span_sums(values: np.ndarray, radix: int, start: np.ndarray, end: np.ndarray
 
 
 P61 = (1 << 61) - 1
-#: Distinct words whose digests a worker keeps.
-KEPT_WORDS = 200_000
+#: Blocks of a word beyond which it is digested.
+MOST_BLOCKS = 64
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
@@ -112,28 +112,18 @@ def byte_digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=16).digest(), "little")
 
 
-def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0, lower: bool = False) -> np.ndarray:
-    """64 bits (lane 0 or 1) of a cryptographic digest of data[start:end] of each slice;
-    slices follow each other and don't overlap. Each distinct one is digested once."""
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a digest of data[start:end] of each slice; slices follow each other, don't
+    overlap and aren't empty. Each distinct one is digested once."""
     if not len(start):
         return np.zeros(0, U64)
     mark = np.zeros(len(data) + 1, np.int8)
     mark[start] += 1
     mark[end] -= 1
     packed = data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
-    if lower:
-        packed = LOWER[packed]
     offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))]).dictionary_encode()
-    seen = kept("word digests", dict)
-    out = np.empty(len(found.dictionary), U64)
-    for i, piece in enumerate(found.dictionary.to_pylist()):
-        digest = seen.get(piece)
-        if digest is None:
-            digest = byte_digest(piece)
-            if len(seen) < KEPT_WORDS and len(piece) <= 64:
-                seen[piece] = digest
-        out[i] = digest >> (64 * lane) & 0xFFFFFFFFFFFFFFFF
+    out = np.array([byte_digest(piece) & 0xFFFFFFFFFFFFFFFF for piece in found.dictionary.to_pylist()], U64)
     return out[found.indices.to_numpy(zero_copy_only=False)]
 
 
@@ -208,8 +198,42 @@ def split_words(texts: Texts) -> Words:
 
 
 def word_hashes(texts: Texts, words: Words, lane: int = 0, lower: bool = False) -> np.ndarray:
-    """64 bits of a digest of each word's bytes; `lane` (0, 1) selects which ones."""
-    return slice_hashes(texts.data, words.start, words.end, lane, lower)
+    """A 64-bit hash of each word's bytes; `lane` selects an independent function.
+
+    A word is a polynomial modulo 2**61 - 1 of blocks of seven bytes, which tells short
+    words apart for certain; words of many blocks go by a digest.
+    """
+    if not len(words.start):
+        return np.zeros(0, U64)
+    size = words.end - words.start
+    padded = np.concatenate([LOWER[texts.data] if lower else texts.data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(texts.data) + 1,), "<u8", padded, strides=(1,))
+    radix, power = (WORD_RADIX >> (3 + lane)) | 1, 1
+    sums, left = np.zeros(len(size), U64), np.arange(len(size))
+    for block in range(MOST_BLOCKS):
+        rest = np.minimum(size[left] - 7 * block, 7).astype(U64)
+        value = at_byte[words.start[left] + 7 * block] & ((U64(1) << (rest * U64(8))) - U64(1))
+        sums[left] += value if power == 1 else times(value, np.full(1, power, U64))
+        sums[left] = reduced(sums[left])
+        power = power * radix % P61
+        left = left[size[left] > 7 * (block + 1)]
+        if not len(left):
+            break
+    for i in left.tolist():
+        sums[i] = byte_digest(padded[words.start[i]:words.end[i]].tobytes()) >> 64 * (lane & 1) & P61
+    return mix(sums + size.astype(U64) * U64(STEP))
+
+
+def rough_hashes(texts: Texts, words: Words) -> np.ndarray:
+    """A cheaper hash, for sketches alone: different words may be built to share one."""
+    if not len(words.start):
+        return np.zeros(0, U64)
+    sums = span_sums(byte_values(0, False)[texts.data], WORD_RADIX, words.start, words.end)
+    return mix(sums + (words.end - words.start).astype(U64) * U64(STEP))
+
+
+def rough_windows(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    return mix(span_sums(hashes, WORD_RADIX, at, at + k)) if len(at) else np.zeros(0, U64)
 
 
 def joined_words(texts: Texts, words: Words) -> tuple[bytes, np.ndarray]:

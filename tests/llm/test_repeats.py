@@ -159,3 +159,18 @@ def test_sums_modulo_a_prime_equal_integers():
     got = words.prime_sums(values, start, end)
     for a, b, x in zip(start.tolist(), end.tolist(), got.tolist()):
         assert x == sum(int(v) * pow(words.WINDOW_RADIX, j, words.P61) for j, v in enumerate(values[a:b])) % words.P61
+
+
+def test_hashes_of_words_of_any_length():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab", k=n)) for n in [*range(1, 40), 447, 448, 449, 450, 3000] for _ in range(4)]
+    texts += [t[:-1] + "c" for t in texts] + ["é" * 9, "\0", "\0\0", "\0" * 8, "AbC", "abc"]
+    import pyarrow as pa
+    for lane in (0, 1):
+        for lower in (False, True):
+            part = words.texts_of(pa.array(texts))
+            got = words.word_hashes(part, words.split_words(part), lane, lower).tolist()
+            by_hash = dict(zip(got, (corpus.lower(t) if lower else t for t in texts)))
+            assert len(by_hash) == len({corpus.lower(t) if lower else t for t in texts})
+            alone = [words.word_hashes(p, words.split_words(p), lane, lower)[0] for p in (words.texts_of(pa.array([t])) for t in texts)]
+            assert alone == got

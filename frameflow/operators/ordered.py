@@ -1,10 +1,12 @@
 """Ordered scans that stay distributed when one partition key is huge.
 
 A window over a key runs in one task per key. `ordered_rows` measures the keys
-first. Up to `max_rows` per key the plain window is used. Beyond that the rows
-are range-partitioned by (key, order), every range is scanned on its own, and
-what one range hands to the next (last row, running total, last value) is
-computed over one summary row per range and joined back.
+first, in bytes. While every key fits MAX_GROUP_BYTES the plain window is used. Beyond
+that the rows are range-partitioned by (key, order) into ranges of that size, every
+range is scanned on its own, and what one range hands to the next (last row, running
+total, largest or last value) is computed over one summary row per range and joined
+back. Summaries combine in any grouping: fractional sums are taken as decimals, so the
+result doesn't depend on where ranges begin.
 """
 
 from __future__ import annotations
@@ -15,10 +17,15 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import checkpoint, shuffle_partitions, small
 
-MAX_GROUP_ROWS = 500_000
+#: About how much of one key a task sorts and scans.
+MAX_GROUP_BYTES = 128 << 20
+#: Rows looked at for the size of arrays, and what a row and a column take besides.
+SAMPLE_ROWS, ROW_BYTES, FIXED_BYTES = 64, 48, 16
+EXACT = "decimal(38,12)"
 
 
 @dataclass(frozen=True)
@@ -60,7 +67,11 @@ class OrderedRows:
 
     def running_sum(self, name: str, value: Column) -> OrderedRows:
         """Add the sum of `value` from the key's first row to this one; NULL before the
-        first known value."""
+        first known value. Fractions are summed to twelve places."""
+        kind = self.df.select(value.alias("v")).schema["v"].dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            exact = self.running_sum(name, value.cast(EXACT))
+            return exact.with_columns({name: F.col(name).cast("double")})
         frame = self.window().rowsBetween(W.unboundedPreceding, 0)
         df = self.df.withColumn(name, F.sum(value).over(frame))
         if self.chunks:
@@ -115,13 +126,24 @@ class OrderedRows:
         return joined.drop(*[f"_k_{k}" for k in self.keys])
 
 
+def row_bytes(df: DataFrame) -> int:
+    """About what a row of df takes, by the arrays, maps and blobs of a few rows."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.BinaryType))]
+    known = ROW_BYTES + FIXED_BYTES * len(df.columns)
+    if not wide:
+        return known
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in wide])))  # at least what it takes in memory
+    return known + int(df.select(*wide).limit(SAMPLE_ROWS).agg(F.avg(size)).first()[0] or 0)
+
+
 def ordered_rows(df: DataFrame, part, order, max_rows: int | None = None) -> OrderedRows:
-    """Prepare df for ordered scans. Runs one count per key to find hot keys.
+    """Prepare df for ordered scans. Runs one count per key to find hot keys; `max_rows`
+    sets the rows of a range instead of MAX_GROUP_BYTES.
 
     `order` must be a total order within `part`.
     """
     part, order = tuple(part), tuple(order)
-    limit = max_rows or MAX_GROUP_ROWS
+    limit = max_rows or max(1, MAX_GROUP_BYTES // row_bytes(df))
     size = df.groupBy(*part).count().agg(
         F.max("count").alias("top"), F.sum("count").alias("rows")).first()
     if (size.top or 0) <= limit:

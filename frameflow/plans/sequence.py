@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..operators import agreement, corrections, lookups, progress, segments, shots
-from ..operators.ordered import row_numbers
+from ..operators.ordered import ordered_rows, row_numbers
 from ..streaming.feeds import stream_sessions
 from .checks import (MARKED_SQL, RUNS_SQL, SCENE_RULE, SEGMENTS_SQL, SHOTS_SQL, neighbour_rule,
                      shots_sql)
@@ -50,6 +50,23 @@ def gap_sessions(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"))
 
 
+# one key holds all rows, in many more ranges than one
+HOT_RANGE_ROWS = 1500
+
+
+@query("hot_key_scan", """SELECT event_id, lag(event_id) OVER w AS before, row_number() OVER w AS pos,
+ CAST(SUM(CAST(value AS DECIMAL(38, 12))) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total,
+ MAX(value) OVER (w ROWS UNBOUNDED PRECEDING) AS top,
+ last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS purchase
+ FROM (SELECT *, epoch_us(ts) // 1000 AS t_ms FROM events) WINDOW w AS (ORDER BY t_ms, event_id)""")
+def hot_key_scan(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", "t_ms", "value", "event_type", F.lit("all").alias("part"))
+    scan = ordered_rows(rows, ("part",), ("t_ms", "event_id"), HOT_RANGE_ROWS).lag("_prev", "event_id").row_number("pos")
+    scan = scan.running_sum("total", F.col("value")).running_max("top", F.col("value"))
+    scan = scan.running_last("purchase", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    return scan.result().select("event_id", F.col("_prev.event_id").alias("before"), "pos", "total", "top", "purchase")
+
+
 def _steps(spark, sf_dir):
     return segments.capture_steps(frames(spark, sf_dir), extra=("bias", "face_count"))
 

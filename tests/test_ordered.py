@@ -1,10 +1,13 @@
 """Scans over split keys give what plain windows give."""
 
 import random
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from frameflow.operators import ordered
 from frameflow.operators.ordered import ordered_rows, row_numbers
 
 
@@ -52,3 +55,25 @@ def test_running_sum_starts_at_the_first_known_value(spark):
         assert rows.chunks > 1
         got = rows.running_sum("total", F.col("v")).result().select("id", "total")
         assert sorted(got.collect()) == sorted(wanted.collect())
+
+
+@pytest.mark.parametrize("max_rows", [1, 7, None])
+def test_fractions_and_maxima_do_not_depend_on_ranges(spark, max_rows):
+    rnd = random.Random(11)
+    rows = [(k, i, rnd.choice([.1, .2, .7, 1e6, -3.3, None])) for k in (1, 2, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    scan = ordered_rows(df, ("k",), ("i",), max_rows).running_sum("s", F.col("v")).running_max("m", F.col("v"))
+    got = {(r.k, r.i): (r.s, r.m) for r in scan.result().collect()}
+    for k in (1, 2, None):
+        upto, top = None, None
+        for _, i, v in (r for r in rows if r[0] == k):
+            if v is not None:
+                upto, top = (upto or 0) + Decimal(str(v)), v if top is None else max(top, v)
+            assert got[k, i] == (None if upto is None else float(upto), top)
+
+
+def test_ranges_follow_bytes(spark, monkeypatch):
+    df = spark.range(400).selectExpr("1 AS k", "id", "array_repeat(0.123456789D, 100) AS vec")
+    monkeypatch.setattr(ordered, "MAX_GROUP_BYTES", 100_000)
+    assert ordered.row_bytes(df) > 800
+    assert ordered_rows(df, ("k",), ("id",)).chunks and not ordered_rows(df.drop("vec"), ("k",), ("id",)).chunks

@@ -65,7 +65,7 @@ def select_at(values: DataFrame, part, targets: DataFrame, value: str = "value",
         many = checkpoint(many)
         few = join_same(open_, many, keys, "left_anti")
         done = few if done is None else done.unionByName(few)
-        open_ = checkpoint(_refined(join_same(open_, many, keys, "left_semi"), keys))
+        open_ = checkpoint(_refined(join_same(open_, many, keys, "left_semi"), keys))  # `done` reads the one before
     rows = open_ if done is None else done.unionByName(open_)
     listed = rows.groupBy(*keys, "need", "_before").agg(F.array_sort(F.collect_list(F.struct("_v", "_w"))).alias("_l"))
     found = F.aggregate("_l", F.struct(F.col("_before").alias("sum"), F.lit(False).alias("hit"), F.get("_l", F.lit(0))["_v"].alias("v")), _reach(listed))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..runtime import BROADCAST_ROWS, checkpoint, join_same
+from ..runtime import BROADCAST_ROWS, checkpoint, forget, join_same
 from .local import each, map_groups, stack
 from .neighbors import TILE_ROWS, angle_limit, close_tiles, distances, paired, sides, tile_bounds, tiled
 from .ordered import row_numbers
@@ -97,8 +97,10 @@ def connected_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFr
         small = (_with_lowest(down, least, "node", "degree", size[0]).where("to <> low")
                  .select(F.col("low").alias("src"), F.col("to").alias("dst"))
                  .unionByName(least.select(F.col("low").alias("src"), F.col("node").alias("dst"))))
-        current = checkpoint(small.select(F.least("src", "dst").alias("src"),
-                                          F.greatest("src", "dst").alias("dst")).distinct())
+        after = checkpoint(small.select(F.least("src", "dst").alias("src"),
+                                        F.greatest("src", "dst").alias("dst")).distinct())
+        forget(current)
+        current = after
     labels = current.groupBy(F.col("dst").alias(key)).agg(F.min("src").alias("component"))
     return nodes.select(key).join(labels, key, "left").withColumn(
         "component", F.coalesce("component", key))
@@ -152,12 +154,15 @@ def cluster_greedy(df: DataFrame, part, order, key: str, vec: str,
         F.min_by("_parent", F.struct("_dist", (-F.col("_parent")).alias("p"))).alias("_parent"))
     links = join_same(rows.select(*part, "_pos"), parents, [*part, "_pos"], "left").withColumn(
         "_root", F.coalesce("_parent", "_pos")).drop("_parent")
-    links = checkpoint(links)
+    links = halved = checkpoint(links)
     while True:  # each round halves the way to the root
         up = links.select(*part, F.col("_pos").alias("_root"), F.col("_root").alias("_up"))
         joined = checkpoint(join_same(links, up, [*part, "_root"]))
         if joined.where("_root <> _up").isEmpty():
+            forget(joined)
             break
+        forget(halved)
+        halved = joined
         links = joined.select(*part, "_pos", F.col("_up").alias("_root"))
     roots = rows.select(*part, F.col("_pos").alias("_root"), F.col(key).alias("cluster"))
     named = join_same(join_same(links, rows.select(*part, "_pos", key), [*part, "_pos"]), roots, [*part, "_root"])

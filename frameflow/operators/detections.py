@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.geometry import iou
-from ..runtime import checkpoint, join_same, shuffle_partitions
+from ..runtime import checkpoint, forget, join_same, shuffle_partitions
 from .local import known, map_groups, oversized
 
 LOCAL_BOXES = 2048
@@ -99,7 +99,9 @@ def _nms_rounds(rows, part, columns, schema, limit, buffer):
         won = checkpoint(map_groups(head, part, ["_neg", "_key"], _suppress(columns, limit), schema))
         kept = won if kept is None else kept.unionByName(won)
         rest = join_same(left, head.select(*part, "_key"), [*part, "_key"], "left_anti")
-        left = checkpoint(_drop_overlapping(rest, won, part, columns, schema, limit))
+        after = checkpoint(_drop_overlapping(rest, won, part, columns, schema, limit))
+        forget(left, head)
+        left = after
     return kept
 
 
@@ -264,9 +266,11 @@ def _match_rounds(rows, part, schema, limit, buffer):
         pairs = checkpoint(map_groups(both, part, ["_side", "_key"],
                                       _match_groups(part, limit, keep_free=False), schema))
         done = pairs if done is None else done.unionByName(pairs)
-        one = checkpoint(join_same(one, head.select(*part, "_key"), [*part, "_key"], "left_anti"))
+        rest = checkpoint(join_same(one, head.select(*part, "_key"), [*part, "_key"], "left_anti"))
         used = pairs.where("key_b IS NOT NULL").select(*part, F.col("key_b").alias("_key"))
-        two = checkpoint(join_same(two, used, [*part, "_key"], "left_anti"))
+        free = checkpoint(join_same(two, used, [*part, "_key"], "left_anti"))
+        forget(one, two, head)
+        one, two = rest, free
     only_b = two.select(*part, F.lit(None).cast(dict(two.dtypes)["_key"]).alias("key_a"),
                         F.col("_key").alias("key_b"))
     return only_b if done is None else done.unionByName(only_b)

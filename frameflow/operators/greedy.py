@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpoint
+from ..runtime import checkpoint, forget
 
 
 def keep_unblocked(nodes: DataFrame, blocks: DataFrame, node: str) -> DataFrame:
@@ -17,14 +17,18 @@ def keep_unblocked(nodes: DataFrame, blocks: DataFrame, node: str) -> DataFrame:
     """
     undecided = checkpoint(nodes.select(node).distinct())
     edges = checkpoint(blocks.select("src", "dst").distinct())
-    kept = undecided.limit(0)
+    kept, settled = nodes.select(node).limit(0), None
     while not undecided.isEmpty():
         waiting = (edges.join(undecided.select(F.col(node).alias("src")), "src", "left_semi")
                    .select(F.col("dst").alias(node)).distinct())
         free = checkpoint(undecided.join(waiting, node, "left_anti"))
-        kept = checkpoint(kept.unionByName(free))
+        more = checkpoint(kept.unionByName(free))
+        forget(settled)
+        kept = settled = more
         blocked = (edges.join(free.select(F.col(node).alias("src")), "src", "left_semi")
                    .select(F.col("dst").alias(node)).distinct())
-        undecided = checkpoint(undecided.join(free, node, "left_anti")
-                               .join(blocked, node, "left_anti"))
+        rest = checkpoint(undecided.join(free, node, "left_anti")
+                          .join(blocked, node, "left_anti"))
+        forget(undecided, free)
+        undecided = rest
     return kept

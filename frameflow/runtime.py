@@ -32,6 +32,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*checkpoints: DataFrame | None) -> None:
+    """Delete the files of checkpoints that nothing will read again, as in loops where each
+    round replaces the last one's."""
+    for df in checkpoints:
+        if df is None:
+            continue
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_same(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on equal `keys`, NULL being equal to NULL; the keys come from the left."""
     names = {k: f"_same_{k}" for k in keys}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from frameflow import runtime
 from frameflow.operators import ordered
 from frameflow.operators.ordered import ordered_rows, row_numbers
 
@@ -77,3 +78,13 @@ def test_ranges_follow_bytes(spark, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_GROUP_BYTES", 100_000)
     assert ordered.row_bytes(df) > 800
     assert ordered_rows(df, ("k",), ("id",)).chunks and not ordered_rows(df.drop("vec"), ("k",), ("id",)).chunks
+
+
+def test_superseded_checkpoints_are_deleted(spark):
+    df = runtime.checkpoint(spark.range(10))
+    folder = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    after = runtime.checkpoint(df.where("id > 3"))
+    runtime.forget(df, None)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    assert after.count() == 6

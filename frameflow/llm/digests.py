@@ -72,9 +72,13 @@ class DigestIndex:
         return self.table().groupBy("digest").agg(first, F.sum("n").alias("group_size")).select(
             "digest", F.col("kept.keeper").alias("keeper"), F.col("kept.row").alias("keeper_row"), "group_size")
 
-    def drop(self) -> None:
-        """Forget the table's name; the files at `path` stay."""
+    def drop(self, files: bool = False) -> None:
+        """Forget the table's name; the files at `path` stay unless `files` is set."""
         self.spark.sql(f"DROP TABLE {self.name}")
+        if files:
+            context = self.spark.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(self.path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def index_folder(spark: SparkSession) -> str:
@@ -112,8 +116,8 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", *, path
     and can be a keep_id. Rows with one key are rows of their own. Other columns are
     ignored, an empty table gives no rows, and the key may be of any type with an order.
 
-    The documents go into a new index (at `path`, by default beside the checkpoints) in
-    `arrivals` parts, longest texts first, so that what the index knows is always what
+    The documents go into a new index (at `path`, where it stays; else beside the
+    checkpoints, and deleted after use) in `arrivals` parts, longest texts first, so that what the index knows is always what
     stays: of equal texts those in a later arrival are shorter.
     """
     spark = documents.sparkSession
@@ -125,5 +129,5 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", *, path
         part = rows if low is None else rows.where(F.col("chars") > low)
         index.add(part if high is None else part.where(F.col("chars") <= high))
     groups = checkpoint(index.groups())
-    index.drop()
+    index.drop(files=path is None)
     return verdicts(rows, groups, key)

@@ -28,22 +28,21 @@ class Known(dict):
     """Segment -> ids as little-endian uint32 bytes; emptied when it is full.
 
     Signs after `LETTERS` are words of their own in both vocabularies. `letters` encodes a
-    word of such letters alone without the steps that only other segments need; it may
-    return None to leave that to `whole`, which takes all other segments.
+    word of such letters alone without the steps that only other segments need; `whole`
+    takes all other segments.
     """
 
-    def __init__(self, whole: Callable[[str], bytes], letters: Callable[[str], bytes | None], prefix: str = "") -> None:
+    def __init__(self, whole: Callable[[str], bytes], letters: Callable[[str], bytes], prefix: str = "") -> None:
         super().__init__()
         self.whole, self.letters, self.prefix = whole, letters, prefix
         self.signs = Known(whole, letters) if prefix else self
 
     def __missing__(self, segment: str) -> bytes:
-        ids = None
         if LETTERS.fullmatch(segment):
             ids = self.letters(self.prefix + segment)
         elif LETTERS.fullmatch(stem := segment.rstrip(ENDINGS)):
             ids = self[stem] + self.signs[segment[len(stem):]]
-        if ids is None:
+        else:
             ids = self.whole(self.prefix + segment)
         if len(segment) <= KEPT_CHARS:
             if len(self) >= KEPT:
@@ -101,9 +100,9 @@ def word_encoder(path: str | None = None) -> Callable[[str], bytes]:
     """Text -> ids of the vocabulary of words at `path`, which drops white space."""
     def make() -> Callable[[str], bytes]:
         tokenizer = load(vocabulary("word_bpe_49k.json", path))
-        merge = tokenizer.model.tokenize
+        merge, shown = tokenizer.model.tokenize, byte_characters()
         whole = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        letters = lambda word: packed([t.id for t in merge(word.lower())]) if word.isascii() else None
+        letters = lambda word: packed([t.id for t in merge(word.lower().encode().decode("latin-1").translate(shown))])
         known = Known(whole, letters)
         return lambda text: b"".join(map(known.__getitem__, WORD.findall(text)))
     return kept(f"word_encoder {path}", make)

@@ -285,15 +285,13 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
     top = (sent.groupBy("_kind", "_slice").applyInArrow(summary, "node long, zeros long, ones long, deeper double")
            .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("deeper").alias("deeper")))
 
-    def spread(table: pa.Table) -> pa.Table:
-        """One copy of the tree's top (a bounded table) for each slice."""
+    def packed(table: pa.Table) -> pa.Table:
+        """The tree's top, a table of 256**TOP * 255 nodes at most, in one row."""
         table = table.select(["node", "zeros", "ones", "deeper"]).sort_by("node")
-        packed = [np.asarray(c).tobytes() for c in table.columns]
-        where = [(kind, s) for kind in (0, 1) for s in range(n)]
-        return pa.table({"_kind": pa.array([k for k, _ in where], pa.int32()), "_slice": pa.array([s for _, s in where], pa.int32()),
-                         **{c: pa.array([x] * len(where), pa.binary()) for c, x in zip(("node", "zeros", "ones", "deeper"), packed, strict=True)}})
-    tops = top.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(
-        spread, "_kind int, _slice int, node binary, zeros binary, ones binary, deeper binary")
+        return pa.table({c: pa.array([np.asarray(table[c]).tobytes()], pa.binary()) for c in table.column_names})
+    one = top.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(packed, "node binary, zeros binary, ones binary, deeper binary")
+    spots = documents.sparkSession.range(2 * n).select((F.col("id") % 2).cast("int").alias("_kind"), F.floor(F.col("id") / 2).cast("int").alias("_slice"))
+    tops = spots.crossJoin(F.broadcast(one))  # one row, handed to each slice where it is
 
     def answer(group: tuple, table: pa.Table, copy: pa.Table) -> pa.Table:
         if not len(table):
@@ -311,7 +309,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
             levels = subtree(index, count, depth) | top_levels(node[~words].astype(U64), zeros[~words], ones[~words], deeper[~words])
             values = log_probabilities(index, levels, depth)
         return pa.table({"_g": table["_g"], "_kind": table["_kind"], "_slice": table["_slice"],
-                         "tokens": pa.array([tokens] * len(table), pa.int64()), "values": [values[x].astype(np.float32).tobytes() for x in inverse]})
+                         "tokens": pa.array([tokens] * len(table), pa.int64()), "values": [values[x].tobytes() for x in inverse]})
     replies = sent.groupBy("_kind", "_slice").cogroup(tops.groupBy("_kind", "_slice")).applyInArrow(
         answer, "_g int, _kind int, _slice int, tokens long, values binary")
 
@@ -322,7 +320,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", *, dept
         for kind, parts, index, _, split in parts_of(table, found):
             values = np.zeros(len(index))
             for s, at in split:
-                values[at] = np.frombuffer(said[kind, s], np.float32)
+                values[at] = np.frombuffer(said[kind, s], float)
             known = values <= 0
             values = np.where(known, values, 1 - values)
             total, tokens, seen = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)

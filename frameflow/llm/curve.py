@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.ordered import ordered_rows
 from ..runtime import small
 
 SHARDS, BITS = 16, 4
@@ -20,15 +22,22 @@ MOST_CELLS = 1 << 16
 PART_ROWS = 1 << 20
 
 
-def measure(df: DataFrame, name: str) -> Column:
-    """A dimension as a number that keeps its order: a string by its first seven bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string":
-        return F.conv(F.rpad(F.substring(F.hex(F.substring(F.col(name), 1, 7)), 1, 14), 14, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.NumericType)
 
 
-def cell_of(value: Column, cuts: Sequence[float]) -> Column:
+def value_cuts(rows: DataFrame, name: str, total: int, shares: Sequence[float]) -> list:
+    """The least values at which the shares of all rows are passed, in the values' own order
+    (of all bytes of a string): the distinct values are counted and summed up in order."""
+    counts = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    upto = ordered_rows(counts, (), (name,)).running_sum("_upto", F.col("_n")).result()
+    known = counts.agg(F.sum("_n")).first()[0] or 0
+    needs = [s * total - (total - known) for s in shares]  # nulls lie before all values
+    found = upto.agg(*[F.min(F.when(F.col("_upto") > need, F.col(name))) for need in needs]).first()
+    return [v for v in found if v is not None]
+
+
+def cell_of(value: Column, cuts: Sequence) -> Column:
     """How many cuts lie at or below the value; none for null."""
     steps = [F.when(value >= F.lit(c), 1).otherwise(0) for c in cuts]
     return sum(steps[1:], steps[0]) if steps else F.lit(0)
@@ -71,7 +80,8 @@ def assign(documents: DataFrame, dimensions: Sequence[str], key: str = "doc_id",
     Result: key, size (UTF-8 bytes of the text, none for null, plus 1), text_crc32, law
     ("rows"), shard, slot (gapless from 0 in each shard), grown_shard (null), curve (the
     cell's number) and the columns in `carry`. A dimension is a number, date or string;
-    each is cut at its quantiles over all rows; null lies before all values. Ties on the
+    each is cut at its quantiles over all rows, a string by the order of all its bytes; null
+    lies before all values. Ties on the
     curve are ordered by a hash of key and text, then by key. Rows with a null key and
     repeated rows get places of their own. An empty table gives no rows.
     """
@@ -82,11 +92,13 @@ def assign(documents: DataFrame, dimensions: Sequence[str], key: str = "doc_id",
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = documents.select(F.col(key).alias("_key"), (F.octet_length(value) + 1).cast("long").alias("_size"),
                             F.crc32(value.cast("binary")).alias("_crc"), *[F.col(c) for c in carry],
-                            *[measure(documents, d).alias(f"_d{i}") for i, d in enumerate(dimensions)])
+                            *[(F.col(d).cast("double") if is_number(documents, d) else F.col(d)).alias(f"_d{i}") for i, d in enumerate(dimensions)])
     shares = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
-    seen = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(f"_d{i}", shares, 10_000) for i in range(len(dimensions))]).first()
+    numbers = [i for i, d in enumerate(dimensions) if is_number(documents, d)]
+    seen = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(f"_d{i}", shares, 10_000) for i in numbers]).first()
     total = seen[0]
-    cuts = [sorted({c for c in (found or [])}) for found in seen[1:]]
+    cuts = [sorted({c for c in (seen[1 + numbers.index(i)] if i in numbers else value_cuts(rows, f"_d{i}", total, shares)) or []})
+            for i in range(len(dimensions))]
     axes = F.array(*[cell_of(F.col(f"_d{i}"), c) for i, c in enumerate(cuts)])
     parts = max(16, min(4096, total // PART_ROWS))
     rows = rows.withColumn("_cell", axes).withColumn("_part", F.pmod(F.xxhash64("_key", "_crc"), F.lit(parts)).cast("int"))

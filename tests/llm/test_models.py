@@ -310,6 +310,17 @@ def test_other_names_and_numbers_are_found(spark, limit):
     assert templates.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_strings_are_cut_by_all_their_bytes(spark):
+    """Sixteen sites that begin alike get sixteen cells; a null lies before them."""
+    rows = [(100 * s + i, f"https://site{s:02d}.example" if i else None) for s in range(16) for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, site string").withColumn("text", F.lit("t"))
+    found = curve.assign(docs, ["site", "doc_id"], carry=["site"], shards=16).groupBy("site").agg(F.countDistinct("curve").alias("n"), F.collect_set("shard").alias("s")).collect()
+    cells = {r["site"]: set(r["s"]) for r in found}
+    assert len(cells) == 17 and max(len(s) for s in cells.values()) <= 3
+    cuts = curve.value_cuts(docs, "site", len(rows), [k / 16 for k in range(1, 16)])
+    assert len(set(cuts)) == 15 and cuts == sorted(cuts)
+
+
 ODD = ["İ", "i̇", "I", "é", "é", "́", "ß", "ẞ", "Σ", "ς", "ﬁ", "Å", "Å", "가", "가", "中", "ا", "ـ", "١", "5", "½", "Ⅷ", "'", "'s", "’s", " ", "  ",
        "\t", "\n", "\r\n", "\u00a0", "\u2003", "\u0085", "\x0b", "\x1c", *".,;:!?-_", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", "xy", "Ñ", "ø",
        "×", "÷", "\u200b", "\u00ad", "😀", "👨\u200d👩", "\ufeff", "\x00", "ª", "ǅ", "ŉ", "ĳ", "ſ"]

@@ -8,6 +8,7 @@ from ..operators import ingest, lookups
 from ..operators.agreement import count_agreement, latency_stats
 from ..operators.ordered import row_numbers
 from ..operators.selection import latest_selection as newest_selection
+from ..operators.selection import override_entries
 from ..sources import listing, manifests, measurements, sidecars, sinks
 from .frames import FRAMES_SQL, faces, frames, table
 from .registry import query
@@ -516,3 +517,51 @@ def export_texts(spark, sf_dir):
     files = files.withColumn("text", F.expr(_HALF_CLOSED))
     plan = sidecars.plan_export(entries, files, pick_label=ODD_LABEL)
     return sidecars.export_texts(plan, confirm_conflicts=True).select("path", "action", "new_text")
+
+
+# measurement lines of up to two faces; some boxes and eyes are missing, some lines are errors
+@query("face_rows", """WITH m AS (SELECT event_id, unnest(range(event_id % 3)) AS idx, value FROM events WHERE event_id % 8 <> 5 AND event_id % 9 <> 4)
+ SELECT 'p' || event_id AS path, CAST(idx AS INTEGER) AS idx, CASE WHEN event_id % 4 <> 1 THEN CAST(idx AS DOUBLE) / 4 END AS x,
+ CASE WHEN event_id % 4 <> 1 THEN CAST(event_id % 10 AS DOUBLE) END AS h, CASE WHEN event_id % 5 <> 0 THEN value END AS sharp_l,
+ CASE WHEN event_id % 5 <> 0 THEN CAST(idx AS DOUBLE) END AS open_r, CASE WHEN event_id % 6 = 0 THEN 'unknown' ELSE 'ear' END AS eye_source FROM m""")
+def face_rows(spark, sf_dir):
+    box = "CASE WHEN event_id % 4 = 1 THEN array(1D) ELSE array(i / 4D, 0D, 1D, CAST(event_id % 10 AS DOUBLE)) END"
+    eyes = """CASE WHEN event_id % 5 <> 0 THEN named_struct('l', named_struct('sharp_norm', value), 'r', named_struct('open', CAST(i AS DOUBLE))) END"""
+    face = f"named_struct('idx', i, 'bbox', {box}, 'eyes', {eyes}, 'eye_source', CASE WHEN event_id % 6 <> 0 THEN 'ear' END)"
+    listed = f"CASE WHEN event_id % 3 = 0 THEN array() ELSE transform(sequence(0, CAST(event_id % 3 - 1 AS INT)), i -> {face}) END"
+    lines = table(spark, sf_dir, "events").selectExpr(
+        f"""CASE WHEN event_id % 8 = 5 THEN to_json(named_struct('path', 'p' || event_id, 'error', 'corrupt'))
+ WHEN event_id % 9 = 4 THEN 'cut off {{' ELSE to_json(named_struct('path', 'p' || event_id, 'faces', {listed})) END AS value""")
+    rows = lines.select(F.from_json("value", measurements.MEASUREMENT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("m")).select("m.*")
+    good, _ = measurements.split_errors(rows)
+    return measurements.face_rows(good).select("path", "idx", "bbox.x", "bbox.h", "sharp_l", "open_r", "eye_source")
+
+
+_EDITS_SQL = """entries AS (SELECT DISTINCT l_orderkey AS selection_id, CAST(l_linenumber AS BIGINT) AS photo_id FROM lineitem),
+ edits AS (SELECT o_orderkey AS selection_id, CASE WHEN o_orderkey % 5 = 0 THEN 99 ELSE 1 END AS photo_id,
+ CASE o_orderkey % 4 WHEN 0 THEN 'maybe' WHEN 1 THEN 'reject' ELSE 'pick' END AS state FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 4 = 0),
+ checked AS (SELECT e.*, CASE WHEN e.state = 'maybe' THEN 'invalid_state' WHEN e.selection_id % 3 = 0 THEN 'selection_frozen'
+ WHEN n.photo_id IS NULL THEN 'not_found' ELSE 'ok' END AS status FROM edits e LEFT JOIN entries n USING (selection_id, photo_id))"""
+
+
+def _edited(spark, sf_dir):
+    entries = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS selection_id", "CAST(l_linenumber AS BIGINT) AS photo_id").distinct().selectExpr(
+        "*", "'alt' AS state", "'' AS reason", "false AS user_override")
+    orders = table(spark, sf_dir, "orders")
+    selections = orders.selectExpr("o_orderkey AS selection_id", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS exported_at")
+    edits = orders.where("o_orderkey % 2 = 1 OR o_orderkey % 4 = 0").selectExpr(
+        "o_orderkey AS selection_id", "CAST(CASE WHEN o_orderkey % 5 = 0 THEN 99 ELSE 1 END AS BIGINT) AS photo_id",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'maybe' WHEN 1 THEN 'reject' ELSE 'pick' END AS state")
+    return override_entries(entries, selections, edits)
+
+
+@query("edit_status", f"WITH {_EDITS_SQL} SELECT selection_id, CAST(photo_id AS BIGINT) AS photo_id, state, status FROM checked")
+def edit_status(spark, sf_dir):
+    """Edits of selections, refused where these are exported and frozen."""
+    return _edited(spark, sf_dir)[1].select("selection_id", "photo_id", "state", "status")
+
+
+@query("edited_entries", f"""WITH {_EDITS_SQL} SELECT n.selection_id, n.photo_id, COALESCE(c.state, 'alt') AS state, c.state IS NOT NULL AS user_override
+ FROM entries n LEFT JOIN checked c ON c.selection_id = n.selection_id AND c.photo_id = n.photo_id AND c.status = 'ok'""")
+def edited_entries(spark, sf_dir):
+    return _edited(spark, sf_dir)[0].select("selection_id", "photo_id", "state", "user_override")

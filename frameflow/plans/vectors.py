@@ -80,6 +80,32 @@ def cluster_greedy(spark, sf_dir):
                                    COMPONENT_DIST)
 
 
+def _greedy_sql(rows: str) -> str:
+    """CTEs ending in `tree` (vec_id, root): greedy clusters per label of `rows`."""
+    return f"""pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, {_DIST.format(a='x.embedding', b='y.embedding')} AS d
+ FROM {rows} x JOIN {rows} y ON y.vec_id < x.vec_id AND x.label = y.label), near AS (SELECT * FROM (SELECT *,
+ row_number() OVER (PARTITION BY a ORDER BY d, b DESC) AS rn FROM pairs WHERE d <= {COMPONENT_DIST}) WHERE rn = 1),
+ tree AS (SELECT vec_id, vec_id AS root FROM {rows} WHERE vec_id NOT IN (SELECT a FROM near)
+ UNION ALL SELECT n.a, t.root FROM near n JOIN tree t ON t.vec_id = n.b)"""
+
+
+# three in ten poses are too unsure to be grouped, one in seven is unknown
+@query("group_poses", f"""WITH RECURSIVE sure AS (SELECT * FROM embeddings WHERE vec_id % 10 >= 3 AND vec_id % 7 <> 2),
+ {_greedy_sql('sure')} SELECT s.label, s.vec_id, t.root AS cluster FROM sure s JOIN tree t USING (vec_id)""")
+def group_poses(spark, sf_dir):
+    poses = _embeddings(spark, sf_dir).withColumns({
+        "pose": F.expr("CASE WHEN vec_id % 7 <> 2 THEN embedding END"), "pose_confidence": F.expr("CASE WHEN vec_id % 10 >= 3 THEN 0.5D ELSE 0.49D END")})
+    return clusters.group_poses(poses, ["label"], ["vec_id"], "vec_id", limit=COMPONENT_DIST)
+
+
+# every three faces in a row are on one photo
+@query("group_persons", f"""WITH RECURSIVE {_greedy_sql('embeddings')} SELECT DISTINCT e.label, t.root AS person, e.vec_id // 3 AS photo_id
+ FROM embeddings e JOIN tree t USING (vec_id)""")
+def group_persons(spark, sf_dir):
+    shown = _embeddings(spark, sf_dir).withColumn("photo_id", F.expr("vec_id div 3")).withColumnRenamed("embedding", "faceprint")
+    return clusters.group_persons(shown, ["label"], ["vec_id"], "photo_id", "vec_id", limit=COMPONENT_DIST)
+
+
 # --- detections -------------------------------------------------------------------
 
 _MOVED = "x + CAST((photo_id + idx) % 4 AS DOUBLE) / 50"

@@ -316,7 +316,7 @@ def test_strings_are_cut_by_all_their_bytes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, site string").withColumn("text", F.lit("t"))
     found = curve.assign(docs, ["site", "doc_id"], carry=["site"], shards=16).groupBy("site").agg(F.countDistinct("curve").alias("n"), F.collect_set("shard").alias("s")).collect()
     cells = {r["site"]: set(r["s"]) for r in found}
-    assert len(cells) == 17 and max(len(s) for s in cells.values()) <= 3
+    assert len(cells) == 17 and max(len(s) for s in cells.values()) <= 5
     cuts = curve.value_cuts(docs, "site", len(rows), [k / 16 for k in range(1, 16)])
     assert len(set(cuts)) == 15 and cuts == sorted(cuts)
 

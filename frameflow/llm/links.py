@@ -2,8 +2,8 @@
 
 Postings say which ids share a key; only ids that share one may be linked. First every
 list is tested against one of its members, whatever is linked joins a component, and so
-on while a round joins anything: a large group of near copies collapses after linearly
-many tests. Then all pairs of a list that are still in different components are tested,
+on for a few rounds: a large group of near copies collapses after linearly many tests.
+Then all pairs of a list that are still in different components are tested,
 so the components are those of all links.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ..operators.clusters import connected_components
 from ..runtime import checkpoint, forget
 
-STAR_ROUNDS = 12
-#: All pairs are tested at once where they are at most so many for each posting.
-FEW_PAIRS = 4
+STAR_ROUNDS = 4
+#: All pairs are tested where they are at most so many for each posting: at the start, and
+#: after a first round has joined what is alike.
+FEW_PAIRS, FEW_PAIRS_LEFT = 4, 25
 
 
 def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
@@ -36,7 +37,6 @@ def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], C
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select("key", *[F.col(c).alias(f"{prefix}_{c}") for c in [*columns, "component"]])
     edges = components = tested = None
-    joined = True
     for step in range(star_rounds + 1):
         if components is None:
             rows = postings.withColumn("component", F.col("id"))
@@ -49,7 +49,7 @@ def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], C
         size = hubs.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
         if not size[1]:
             break
-        last = step == star_rounds or not joined or size[0] <= FEW_PAIRS * size[1]
+        last = step == star_rounds or size[0] <= (FEW_PAIRS_LEFT if step else FEW_PAIRS) * size[1]
         open_rows = rows.join(hubs.select("key"), "key")
         if last:
             right = side(open_rows, "y")
@@ -66,8 +66,7 @@ def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], C
         pairs = checkpoint(pairs)
         found = checkpoint(verify(pairs).select(F.col("a").alias("src"), F.col("b").alias("dst")))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        joined = not found.isEmpty()
-        if joined:
+        if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
             after = checkpoint(connected_components(nodes, "id", edges))

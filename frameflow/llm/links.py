@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from ..operators.clusters import connected_components
 from ..runtime import checkpoint, forget
 
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 #: All pairs are tested where they are at most so many for each posting: at the start, and
 #: after a first round has joined what is alike.
-FEW_PAIRS, FEW_PAIRS_LEFT = 4, 25
+FEW_PAIRS, FEW_PAIRS_LEFT = 4, 50
 
 
 def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],

@@ -21,7 +21,7 @@ HOT_DEGREE = 50_000
 def tile_groups(rows: DataFrame, part, key: str, limit: float, tile_rows: int) -> DataFrame:
     """rows (part, key, _vec, ...) once for every pair of tiles that may hold a pair within
     `limit`; a vector that is unknown is at distance 1 from all."""
-    placed = tiled(rows, part, key, "_vec", tile_rows)
+    placed, _ = tiled(rows, part, key, "_vec", tile_rows)
     if limit < 1.0:
         placed = placed.where(F.size("_vec") > 0)
     reach = angle_limit(limit) if limit < 1.0 else np.pi

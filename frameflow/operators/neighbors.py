@@ -24,6 +24,8 @@ from ..runtime import checkpoint, join_same, shuffle_partitions
 from .local import each, map_groups, stack
 
 TILE_ROWS = 1024
+#: Up to so many tiles are compared without a look at the angles.
+FEW_TILES = 8
 PIVOTS = 16
 BINS = 1024
 #: Angles are compared with this much room for rounding.
@@ -45,21 +47,27 @@ def angle_limit(distance: float) -> float:
     return math.acos(min(1.0, max(-1.0, 1.0 - distance)))
 
 
-def tiled(rows: DataFrame, part, key: str, vec: str, tile_rows: int) -> DataFrame:
-    """rows with `_cell`, `_bin` and `_sub`, the names of its tile within `part`, and `_angles`,
+def tiled(rows: DataFrame, part, key: str, vec: str, tile_rows: int) -> tuple[DataFrame, bool]:
+    """(rows, whether angles were taken): rows with `_cell`, `_bin` and `_sub`, the names of its tile within `part`, and `_angles`,
     to each pivot. Vectors that are unknown, zero or not of the usual length have no angles
     and tiles of their own (cell -1), which meet all others.
 
     The pivots are the PIVOTS known vectors with the smallest hash of the key; they and
-    the number of rows are all that comes to the driver.
+    the number of rows are all that comes to the driver. A few tiles need none: rows are
+    dealt by key then.
     """
     part = list(part)
     sizes = rows.where(F.size(vec) > 0).groupBy(F.size(vec).alias("size")).agg(F.count(F.lit(1)).alias("n"))
     usual = sizes.agg(F.max_by("size", F.struct("n", "size")).alias("size"), F.sum("n").alias("n")).first()
     size, n = usual["size"] or 1, usual["n"] or 0
     drawn = []
-    if n > tile_rows:
+    if n > FEW_TILES * tile_rows:
         drawn = rows.where(F.size(vec) == size).orderBy(F.xxhash64(key)).limit(PIVOTS).select(vec).collect()
+    if not drawn:
+        of_part = F.count(F.lit(1)).over(W.partitionBy(*part)) if part else F.lit(n)
+        subs = F.greatest(F.ceil(of_part / tile_rows), F.lit(1))
+        return rows.select("*", F.lit(0).alias("_cell"), F.lit(None).cast("array<double>").alias("_angles"), F.lit(0).alias("_bin"),
+                           F.pmod(F.xxhash64(key, F.lit(1)), subs).cast("int").alias("_sub")), False
     units = unit_rows([r[0] for r in drawn], size)
     pivots = units[~np.isnan(units[:, 0])] if len(drawn) else np.zeros((0, size))
 
@@ -83,7 +91,7 @@ def tiled(rows: DataFrame, part, key: str, vec: str, tile_rows: int) -> DataFram
     bands = bands.select(*part, "_cell", "_band", F.floor(F.col("_before") / tile_rows).cast("int").alias("_bin"),
                          F.ceil(F.col("_n") / tile_rows).cast("int").alias("_subs"))
     named = join_same(placed, bands, [*part, "_cell", "_band"])
-    return named.withColumn("_sub", F.pmod(F.xxhash64(key, F.lit(1)), F.col("_subs")).cast("int")).drop("_band", "_subs")
+    return named.withColumn("_sub", F.pmod(F.xxhash64(key, F.lit(1)), F.col("_subs")).cast("int")).drop("_band", "_subs"), True
 
 
 TILE = ["_cell", "_bin", "_sub"]
@@ -188,7 +196,14 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int =
             near = near[np.lexsort((others[near], row[near]))][:k]
             found += [(a, others[n], row[n]) for n in near]
         return found
-    placed = tiled(rows, part, key, "_vec", tile_rows)
+    placed, angled = tiled(rows, part, key, "_vec", tile_rows)
+    order = W.partitionBy(*part, key).orderBy("distance", "neighbor")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not angled:
+        pairs = close_tiles(tile_bounds(placed, part, math.pi), part)
+        return nearest(map_groups(paired(placed, part, pairs).select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema))
     alone = placed.withColumn("_pair", F.concat(F.concat_ws("/", *TILE), F.lit(" "), F.concat_ws("/", *TILE)))
     alone = alone.withColumn("_tile", F.concat_ws("/", *TILE))
     first = checkpoint(map_groups(alone.select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema))
@@ -198,8 +213,7 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int =
     reach = looks.groupBy(*part, *TILE).agg(F.max(far).alias("_reach"))
     pairs = close_tiles(tile_bounds(placed, part, reach), part, own=False)
     more = map_groups(paired(placed, part, pairs).select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema)
-    order = W.partitionBy(*part, key).orderBy("distance", "neighbor")
-    return (first.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return nearest(first.unionByName(more))
 
 
 def neighbor_jaccard(df: DataFrame, key: str, vec_a: str, vec_b: str, k: int = 5, *,

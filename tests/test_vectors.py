@@ -225,7 +225,7 @@ def clustered(spark, n, centers, dim=8, seed=4):
 
 def test_far_tiles_never_meet(spark):
     df, data = clustered(spark, 3000, 25)
-    placed = neighbors.tiled(df.select("id", F.col("vec").alias("_vec")), [], "id", "_vec", 64)
+    placed, _ = neighbors.tiled(df.select("id", F.col("vec").alias("_vec")), [], "id", "_vec", 64)
     tiles = placed.select(*neighbors.TILE).distinct().count()
     pairs = neighbors.close_tiles(neighbors.tile_bounds(placed, [], neighbors.angle_limit(.01)), []).select("_pair").distinct().count()
     assert tiles >= 40 and pairs < .5 * tiles * (tiles + 1) / 2
@@ -244,13 +244,14 @@ def test_far_tiles_never_meet(spark):
     assert got == {i: find(i) for i in range(len(data))}
 
 
-def test_knn_over_tiles_with_odd_vectors(spark):
+@pytest.mark.parametrize("tile_rows", [50, 200])
+def test_knn_over_tiles_with_odd_vectors(spark, tile_rows):
     df, data = clustered(spark, 700, 9)
     odd = [(1000, None), (1001, [0.0] * 8), (1002, [1.0, 2.0]), (1003, [2.0, 4.1]), (1004, [])]
     rows = df.unionByName(spark.createDataFrame(odd, df.schema))
     every = {i: v for i, v in enumerate(data)} | {i: None if not v or not any(v) else np.array(v) for i, v in odd}
     got = {}
-    for r in neighbors.knn(rows, "id", "vec", 3, tile_rows=50).collect():
+    for r in neighbors.knn(rows, "id", "vec", 3, tile_rows=tile_rows).collect():
         got.setdefault(r.id, []).append((r["rank"], r.neighbor))
 
     def dist(a, b):

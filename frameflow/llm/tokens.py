@@ -8,10 +8,9 @@ split agree on. A worker keeps the ids of segments it has met, up to a fixed num
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
-import numpy as np
-
 from .worker import kept
 
 #: Segments kept per worker and vocabulary, and the longest that is kept.
@@ -38,10 +37,12 @@ class Known(dict):
         self.signs = Known(whole, letters) if prefix else self
 
     def __missing__(self, segment: str) -> bytes:
-        if LETTERS.fullmatch(segment):
+        start = LETTERS.match(segment)
+        end = start.end() if start else 0
+        if end == len(segment):
             ids = self.letters(self.prefix + segment)
-        elif LETTERS.fullmatch(stem := segment.rstrip(ENDINGS)):
-            ids = self[stem] + self.signs[segment[len(stem):]]
+        elif end and not segment[end:].strip(ENDINGS):
+            ids = self[segment[:end]] + self.signs[segment[end:]]
         else:
             ids = self.whole(self.prefix + segment)
         if len(segment) <= KEPT_CHARS:
@@ -58,7 +59,7 @@ def load(path: str):
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_characters() -> str:
@@ -83,7 +84,7 @@ def byte_encoder(path: str | None = None) -> Callable[[str], bytes]:
         tokenizer = load(vocabulary("byte_bpe_50k.json", path))
         merge, shown = tokenizer.model.tokenize, byte_characters()
         whole = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        letters = lambda word: packed([t.id for t in merge(word.encode().decode("latin-1").translate(shown))])
+        letters = lambda word: packed([t.id for t in merge(word.encode().decode("latin-1").translate(shown) if not word.isascii() else word.replace(" ", shown[32]))])
         bare, spaced = Known(whole, letters), Known(whole, letters, " ")
 
         def ids(text: str) -> bytes:
@@ -102,7 +103,7 @@ def word_encoder(path: str | None = None) -> Callable[[str], bytes]:
         tokenizer = load(vocabulary("word_bpe_49k.json", path))
         merge, shown = tokenizer.model.tokenize, byte_characters()
         whole = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
-        letters = lambda word: packed([t.id for t in merge(word.lower().encode().decode("latin-1").translate(shown))])
+        letters = lambda word: packed([t.id for t in merge(word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(shown))])
         known = Known(whole, letters)
         return lambda text: b"".join(map(known.__getitem__, WORD.findall(text)))
     return kept(f"word_encoder {path}", make)

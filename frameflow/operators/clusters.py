@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..runtime import BROADCAST_ROWS, checkpoint, forget, join_same
 from .local import each, map_groups, stack
-from .neighbors import TILE_ROWS, angle_limit, close_tiles, distances, paired, sides, tile_bounds, tiled
+from .neighbors import TILE_ROWS, all_paired, angle_limit, close_tiles, distances, paired, sides, tile_bounds, tiled
 from .ordered import row_numbers
 
 
@@ -21,9 +21,11 @@ HOT_DEGREE = 50_000
 def tile_groups(rows: DataFrame, part, key: str, limit: float, tile_rows: int) -> DataFrame:
     """rows (part, key, _vec, ...) once for every pair of tiles that may hold a pair within
     `limit`; a vector that is unknown is at distance 1 from all."""
-    placed, _ = tiled(rows, part, key, "_vec", tile_rows)
     if limit < 1.0:
-        placed = placed.where(F.size("_vec") > 0)
+        rows = rows.where(F.size("_vec") > 0)
+    placed, angled = tiled(rows, part, key, "_vec", tile_rows)
+    if not angled:
+        return all_paired(placed)
     reach = angle_limit(limit) if limit < 1.0 else np.pi
     return paired(placed, part, close_tiles(tile_bounds(placed, part, reach), part))
 

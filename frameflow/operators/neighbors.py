@@ -54,7 +54,7 @@ def tiled(rows: DataFrame, part, key: str, vec: str, tile_rows: int) -> tuple[Da
 
     The pivots are the PIVOTS known vectors with the smallest hash of the key; they and
     the number of rows are all that comes to the driver. A few tiles need none: rows are
-    dealt by key then.
+    dealt by key then, to `_sub` of `_subs` tiles.
     """
     part = list(part)
     sizes = rows.where(F.size(vec) > 0).groupBy(F.size(vec).alias("size")).agg(F.count(F.lit(1)).alias("n"))
@@ -65,9 +65,8 @@ def tiled(rows: DataFrame, part, key: str, vec: str, tile_rows: int) -> tuple[Da
         drawn = rows.where(F.size(vec) == size).orderBy(F.xxhash64(key)).limit(PIVOTS).select(vec).collect()
     if not drawn:
         of_part = F.count(F.lit(1)).over(W.partitionBy(*part)) if part else F.lit(n)
-        subs = F.greatest(F.ceil(of_part / tile_rows), F.lit(1))
-        return rows.select("*", F.lit(0).alias("_cell"), F.lit(None).cast("array<double>").alias("_angles"), F.lit(0).alias("_bin"),
-                           F.pmod(F.xxhash64(key, F.lit(1)), subs).cast("int").alias("_sub")), False
+        subs = F.greatest(F.ceil(of_part / tile_rows), F.lit(1)).cast("int")
+        return rows.withColumn("_subs", subs).withColumn("_sub", F.pmod(F.xxhash64(key, F.lit(1)), F.col("_subs")).cast("int")), False
     units = unit_rows([r[0] for r in drawn], size)
     pivots = units[~np.isnan(units[:, 0])] if len(drawn) else np.zeros((0, size))
 
@@ -150,6 +149,13 @@ def paired(placed: DataFrame, part, pairs: DataFrame) -> DataFrame:
     return rows.withColumn("_tile", F.concat_ws("/", *TILE)).drop(*TILE)
 
 
+def all_paired(placed: DataFrame) -> DataFrame:
+    """The same for rows dealt to few tiles, all of which meet."""
+    rows = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
+    pair = F.concat_ws(" ", F.least("_sub", "_other"), F.greatest("_sub", "_other"))
+    return rows.withColumns({"_pair": pair, "_tile": F.col("_sub").cast("string")}).drop("_sub", "_subs", "_other")
+
+
 def sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Which rows of a pair of tiles look for others among which: either way, or within."""
     tile = pdf["_tile"].to_numpy()
@@ -202,8 +208,7 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int =
     def nearest(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if not angled:
-        pairs = close_tiles(tile_bounds(placed, part, math.pi), part)
-        return nearest(map_groups(paired(placed, part, pairs).select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema))
+        return nearest(map_groups(all_paired(placed).select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema))
     alone = placed.withColumn("_pair", F.concat(F.concat_ws("/", *TILE), F.lit(" "), F.concat_ws("/", *TILE)))
     alone = alone.withColumn("_tile", F.concat_ws("/", *TILE))
     first = checkpoint(map_groups(alone.select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema))

@@ -66,11 +66,14 @@ def shoot_rollup(shoots: DataFrame, photos: DataFrame, analysis: DataFrame, jobs
 def tile_lookup(photos: DataFrame, key: str, tiles: str = "tiles") -> DataFrame:
     """(key, row, col, value, tile_max, tile_mean): a photo's tile map in long form with
     its largest and mean value; photos without a map have no rows."""
-    rows = photos.select(key, F.posexplode(tiles).alias("row", "_line"))
-    cells = rows.select(key, "row", F.posexplode("_line").alias("col", "value"))
-    flat = photos.select(key, F.array_max(F.flatten(tiles)).alias("tile_max"),
-                         (F.aggregate(F.flatten(tiles), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten(tiles))).alias("tile_mean"))
-    return cells.join(flat, key)
+    flat = photos.select(key, tiles, F.flatten(tiles).alias("_flat")).select(
+        key, tiles, F.array_max("_flat").alias("tile_max"),
+        (F.aggregate("_flat", F.lit(0.0), lambda a, v: a + v) / F.size("_flat")).alias("tile_mean"))
+    # the summary goes along with the cells; a join would meet 256 rows per photo
+    # outer: else Spark tests the size of the map, made for that test alone, before all else
+    rows = flat.select(key, "tile_max", "tile_mean", F.posexplode_outer(tiles).alias("row", "_line"))
+    cells = rows.select(key, "tile_max", "tile_mean", "row", F.posexplode_outer("_line").alias("col", "value"))
+    return cells.where("col IS NOT NULL").select(key, "row", "col", "value", "tile_max", "tile_mean")
 
 
 def capture_detail(photos: DataFrame, faces: DataFrame, scores: DataFrame, members: DataFrame,

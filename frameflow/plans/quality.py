@@ -10,7 +10,7 @@ from ..functions.curves import piecewise as piecewise_column
 from ..operators import lookups, measure, scoring, selection, shots
 from ..operators.flags import flag_columns
 from ..operators.ordered import row_numbers
-from ..runtime import checkpoint
+from ..runtime import checkpoint, shuffle_partitions
 from .checks import FRAMES_SQL, SELECTION_SQL, SHOTS_SQL, SUBJECT_SQL, diverse_sql, half_up, num, piecewise_sql, score_sql
 from .frames import FACES_SQL, PHOTOS_SQL, faces, frames, photos, table
 from .registry import query
@@ -223,8 +223,9 @@ _CORNERS = " + ".join(f"t[{y}][{x}]" for y in (1, 2, 15, 16) for x in (1, 2, 15,
  FROM cells WHERE value IS NOT NULL GROUP BY photo_id, row""".replace("SUM(col * value)", "round(SUM(col * value), 9)"))
 def tile_lookup(spark, sf_dir):
     tile = _TILE.format(c="cents")
-    rows = photos(spark, sf_dir).selectExpr(
-        "photo_id", f"transform(sequence(0, 15), r -> transform(sequence(0, 15), k -> {tile})) AS tiles")
+    # dealt out while a row is two numbers: the tiles are then made on all cores, and summed where they are
+    dealt = photos(spark, sf_dir).select("photo_id", "cents").repartition(shuffle_partitions(spark), "photo_id")
+    rows = dealt.selectExpr("photo_id", f"transform(sequence(0, 15), r -> transform(sequence(0, 15), k -> {tile})) AS tiles")
     found = lookups.tile_lookup(rows, "photo_id").where("value IS NOT NULL")
     return found.groupBy("photo_id", F.col("row").cast("long").alias("row")).agg(
         F.round(F.sum(F.col("col") * F.col("value")), 9).alias("weighted"), F.max("tile_max").alias("tile_max"),

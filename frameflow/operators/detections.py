@@ -28,17 +28,29 @@ ROUND_BOXES = 512
 _BOX = ["_x", "_y", "_w", "_h"]
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box of a with every box of b (rows are x, y, w, h)."""
+def _areas(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intersection and union of every box of a with every box of b (rows are x, y, w, h)."""
     ax, ay, aw, ah = (a[:, i, None] for i in range(4))
     bx, by, bw, bh = (b[None, :, i] for i in range(4))
     wide = np.maximum(0.0, np.minimum(ax + aw, bx + bw) - np.maximum(ax, bx))
     high = np.maximum(0.0, np.minimum(ay + ah, by + bh) - np.maximum(ay, by))
     inter = wide * high
-    union = aw * ah + bw * bh - inter
+    return inter, aw * ah + bw * bh - inter
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of every box of a with every box of b."""
+    inter, union = _areas(a, b)
     return np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
 
 
+def suppressed(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Whether the intersection is at least `limit` of the union, without a division, whose
+    rounding would decide pairs that lie on the limit."""
+    inter, union = _areas(a, b)
+    return (union > 0) & (inter >= limit * union)
+
+
 def _flat(df: DataFrame, part, key, box, *extra) -> DataFrame:
     return df.select(*part, F.col(key).alias("_key"),
                      *[F.col(f"{box}.{c}").alias(f"_{c}") for c in "xywh"], *extra)
@@ -57,7 +69,7 @@ def _suppress(columns, limit: float):
         for a, b in zip(bounds, bounds[1:]):
             if b - a == 1:
                 continue
-            hits = overlap(boxes[a:b], boxes[a:b]) >= limit
+            hits = suppressed(boxes[a:b], boxes[a:b], limit)
             for i in range(b - a):
                 if keep[a + i]:
                     keep[a + i + 1:b] &= ~hits[i, i + 1:]
@@ -126,8 +138,8 @@ def _drop_overlapping(rest, won, part, columns, schema, limit):
                 winners.extend(pdf.loc[~is_row, _BOX].to_numpy(dtype=np.float64))
                 out = pdf[is_row]
                 if len(out) and winners:
-                    worst = overlap(out[_BOX].to_numpy(dtype=np.float64), np.array(winners)).max(axis=1)
-                    out = out[worst < limit]
+                    hit = suppressed(out[_BOX].to_numpy(dtype=np.float64), np.array(winners), limit).any(axis=1)
+                    out = out[~hit]
                 yield out[columns]
     return placed.mapInPandas(run, schema)
 

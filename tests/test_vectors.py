@@ -123,6 +123,14 @@ def test_nms(spark, max_rows):
     assert {(r.img, r.id) for r in got} == {(k[0], k[1]) for k in kept}
 
 
+@pytest.mark.parametrize("max_rows", [None, 1])
+def test_nms_on_the_limit(spark, max_rows):
+    """The rounded quotient is just under 0.4, the intersection isn't under 0.4 of the union."""
+    rows = [(0, 0, (.17, .43, .18, .28), .9), (0, 1, (.14, .35, .27, .28), .8), (0, 2, (.8, .8, .1, .1), .7)]
+    got = detections.nms(box_frame(spark, rows), ["img"], "id", max_rows=max_rows, buffer=1).collect()
+    assert {r.id for r in got} == {0, 2}
+
+
 def test_nms_cap(spark):
     rows = [(0, i, (i / 20, .1, .01, .1), i / 20) for i in range(20)]
     got = detections.nms(box_frame(spark, rows), ["img"], "id", cap=16).collect()

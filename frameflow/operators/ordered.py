@@ -26,6 +26,9 @@ MAX_GROUP_BYTES = 128 << 20
 #: Rows looked at for the size of arrays, and what a row and a column take besides.
 SAMPLE_ROWS, ROW_BYTES, FIXED_BYTES = 64, 48, 16
 EXACT = "decimal(38,12)"
+#: Every range is a task with a result to the driver in each step, so their number doesn't
+#: follow the rows while ranges have room.
+RANGES_PER_PARTITION = 4
 
 
 @dataclass(frozen=True)
@@ -138,17 +141,21 @@ def row_bytes(df: DataFrame) -> int:
 
 def ordered_rows(df: DataFrame, part, order, max_rows: int | None = None) -> OrderedRows:
     """Prepare df for ordered scans. Runs one count per key to find hot keys; `max_rows`
-    sets the rows of a range instead of MAX_GROUP_BYTES.
+    sets the rows of a range instead of MAX_GROUP_BYTES, up to RANGES_PER_PARTITION ranges
+    per shuffle partition; ranges grow beyond that, up to MAX_GROUP_BYTES.
 
     `order` must be a total order within `part`.
     """
     part, order = tuple(part), tuple(order)
-    limit = max_rows or max(1, MAX_GROUP_BYTES // row_bytes(df))
+    full = max(1, MAX_GROUP_BYTES // row_bytes(df))
+    limit = max_rows or full
     size = df.groupBy(*part).count().agg(
         F.max("count").alias("top"), F.sum("count").alias("rows")).first()
     if (size.top or 0) <= limit:
         return OrderedRows(df, part, order)
-    chunks = max(shuffle_partitions(df.sparkSession), 2 * ceil(size.rows / limit))
+    partitions = shuffle_partitions(df.sparkSession)
+    wanted = min(2 * ceil(size.rows / limit), RANGES_PER_PARTITION * partitions)
+    chunks = max(partitions, wanted, 2 * ceil(size.rows / full))
     ranged = df.repartitionByRange(chunks, *part, *order)
     return OrderedRows(checkpoint(ranged.withColumn("_chunk", F.spark_partition_id())),
                        part, order, chunks)

@@ -88,3 +88,11 @@ def test_superseded_checkpoints_are_deleted(spark):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     assert after.count() == 6
+
+
+def test_ranges_do_not_follow_the_rows(spark):
+    rows = spark.range(6000).withColumn("part", F.lit("a"))
+    scan = ordered.ordered_rows(rows, ("part",), ("id",), max_rows=5)
+    assert 4 < scan.chunks <= ordered.RANGES_PER_PARTITION * 4
+    got = scan.row_number("pos").lag("_prev", "id").result().where("pos <> id + 1 OR coalesce(_prev.id, -1) <> id - 1")
+    assert got.isEmpty()

@@ -95,3 +95,26 @@ def stack(vectors) -> np.ndarray:
         out[at, left:left + size] = rows / np.where(norms > 0, norms, np.nan)[:, None]
         left += size
     return out
+
+
+def laid(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, as in `stack` but of their own length, and their lengths; unknown or
+    zero ones have length NaN."""
+    sizes = np.array([0 if v is None else len(v) for v in vectors], dtype=int)
+    kinds = [int(n) for n in np.unique(sizes) if n]
+    out, norms = np.zeros((len(vectors), max(sum(kinds), 1))), np.full(len(vectors), np.nan)
+    left = 0
+    for size in kinds:
+        at = np.flatnonzero(sizes == size)
+        rows = np.array([vectors[i] for i in at], dtype=np.float64)
+        out[at, left:left + size] = rows
+        norms[at] = np.sqrt((rows * rows).sum(axis=1))
+        left += size
+    return out, np.where(norms > 0, norms, np.nan)
+
+
+def similarities(rows: np.ndarray, norms: np.ndarray, row: np.ndarray, norm: float) -> np.ndarray:
+    """Cosine similarity of each of `rows` to one more, 0 where unknown. Equal vectors have
+    equal ones to the last bit wherever they lie, as a matrix product doesn't grant, so that
+    ties go by the order and not by the place in a batch."""
+    return np.nan_to_num((rows * row).sum(axis=1) / (norms * norm), nan=0.0)

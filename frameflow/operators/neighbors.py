@@ -24,6 +24,9 @@ from ..runtime import checkpoint, join_same, shuffle_partitions
 from .local import each, map_groups, stack
 
 TILE_ROWS = 1024
+#: A row is copied once per tile that its own one meets, so a search over many rows takes
+#: larger tiles; a task compares so many rows of one with the other at a time.
+SEARCH_TILES, SEARCH_TILE_ROWS, SEARCH_BLOCK = 32, 8192, 512
 #: Up to so many tiles are compared without a look at the angles.
 FEW_TILES = 8
 PIVOTS = 16
@@ -168,9 +171,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1.0 - np.nan_to_num(a @ b.T, nan=0.0)
 
 
-def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int = TILE_ROWS) -> DataFrame:
+def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int | None = None) -> DataFrame:
     """(part, key, neighbor, distance, rank): the k nearest by (distance, key).
 
+    Tiles have `tile_rows` rows, by default TILE_ROWS up to SEARCH_TILES tiles of a part, then
+    more, SEARCH_TILE_ROWS at most.
+
     Every tile is searched by itself first; how far its rows then still look is the
     farthest of their k-th best.
     """
@@ -184,24 +190,29 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int =
         ids, units = pdf[key].to_numpy(), stack(pdf["_vec"].tolist())
         out = []
         for left, right in sides(pdf):
-            dist = distances(units[left], units[right])
-            own = ids[left][:, None] == ids[right][None, :]
-            dist[own] = np.inf
-            out += _take(ids[left], ids[right], dist)
-        found = pd.DataFrame(out, columns=[key, "neighbor", "distance"])
+            there, others = units[right], ids[right]
+            for at in np.split(np.flatnonzero(left), range(SEARCH_BLOCK, int(left.sum()), SEARCH_BLOCK)):
+                dist = distances(units[at], there)
+                dist[ids[at][:, None] == others[None, :]] = np.inf
+                out.append(_take(ids[at], others, dist))
+        found = pd.concat(out, ignore_index=True)
         for column in part:
             found.insert(0, column, pdf[column].iloc[0])
         return found[[*part, key, "neighbor", "distance"]]
 
-    def _take(ids, others, dist):
-        found = []
-        for a, row in zip(ids, dist):
-            near = np.flatnonzero(np.isfinite(row))
-            if len(near) > k:
-                near = near[row[near] <= np.partition(row[near], k - 1)[k - 1]]
-            near = near[np.lexsort((others[near], row[near]))][:k]
-            found += [(a, others[n], row[n]) for n in near]
-        return found
+    def _take(own, others, dist):
+        near = np.isfinite(dist)
+        if dist.shape[1] > k:
+            near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+        row, col = np.nonzero(near)
+        order = np.lexsort((others[col], dist[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
+        return pd.DataFrame({key: own[row], "neighbor": others[col], "distance": dist[row, col]})
+    if tile_rows is None:
+        of_part = rows.groupBy(*part).count().agg(F.max("count")).first()[0] or 0
+        tile_rows = min(SEARCH_TILE_ROWS, max(TILE_ROWS, math.ceil(of_part / SEARCH_TILES)))
     placed, angled = tiled(rows, part, key, "_vec", tile_rows)
     order = W.partitionBy(*part, key).orderBy("distance", "neighbor")
 
@@ -222,7 +233,7 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int =
 
 
 def neighbor_jaccard(df: DataFrame, key: str, vec_a: str, vec_b: str, k: int = 5, *,
-                     part=(), tile_rows: int = TILE_ROWS) -> DataFrame:
+                     part=(), tile_rows: int | None = None) -> DataFrame:
     """Mean Jaccard overlap of each row's k nearest under two embeddings.
 
     Only rows with both vectors take part; NULL when fewer than k + 2.

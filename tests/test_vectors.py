@@ -277,3 +277,20 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     got = {r.k: r.component for r in clusters.connected_components(nodes, "k", spark.createDataFrame(star + chain, "src long, dst long")).collect()}
     assert {got[i] for i in [*range(400), 701]} == {0} and {got[i] for i in [*range(400, 701), 702]} == {400}
     assert {got[i] for i in range(800, 831)} == {800} and got[835] == 835
+
+
+def test_knn_takes_larger_tiles_for_more_rows(spark, monkeypatch):
+    """Copies of a row follow the tiles, which don't follow the rows."""
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 16)
+    monkeypatch.setattr(neighbors, "SEARCH_TILES", 4)
+    monkeypatch.setattr(neighbors, "SEARCH_BLOCK", 7)
+    asked, tiled = [], neighbors.tiled
+    monkeypatch.setattr(neighbors, "tiled", lambda *a: asked.append(a[-1]) or tiled(*a))
+    df, data = clustered(spark, 300, 6)
+    got = {}
+    for r in neighbors.knn(df, "id", "vec", 3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor))
+    assert asked == [75]
+    for i in range(0, 300, 17):
+        order = sorted((cos_dist(data[i], data[j]), j) for j in range(300) if j != i)
+        assert [n for _, n in sorted(got[i])] == [j for _, j in order[:3]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..runtime import BROADCAST_ROWS, checkpoint, forget, join_same
 from .local import each, map_groups, stack
-from .neighbors import TILE_ROWS, all_paired, angle_limit, close_tiles, distances, paired, sides, tile_bounds, tiled
+from .neighbors import (SEARCH_BLOCK, SEARCH_TILE_ROWS, SEARCH_TILES, TILE, TILE_ROWS, all_paired, angle_limit, close_tiles, distances,
+                        paired, sides, tile_bounds, tiled)
 from .ordered import row_numbers
 
 
+#: Rows of the sample that every tile meets first, or a tile's if those are fewer.
+HUB_ROWS = 4096
 #: Nodes with more neighbours than this meet their smallest one by a broadcast.
 HOT_DEGREE = 50_000
 
@@ -30,39 +35,77 @@ def tile_groups(rows: DataFrame, part, key: str, limit: float, tile_rows: int) -
     return paired(placed, part, close_tiles(tile_bounds(placed, part, reach), part))
 
 
+def _links(names: np.ndarray, units: np.ndarray, left: np.ndarray, right: np.ndarray, limit: float) -> pd.DataFrame:
+    """Edges between names that connect what close pairs of a left and a right row connect;
+    rows of one name are connected already. A block of left rows is compared at a time."""
+    known, at = np.unique(names, return_inverse=True)
+    group, edges = np.arange(len(known)), []
+    there = at[right]
+    for block in np.split(left, range(SEARCH_BLOCK, len(left), SEARCH_BLOCK)):
+        for i, close in zip(block, distances(units[block], units[right]) <= limit):
+            met = group[there[close]]
+            met = met[met != group[at[i]]]
+            if not len(met):
+                continue
+            both = np.unique(np.append(met, group[at[i]]))
+            edges += [(known[both[0]], known[x]) for x in both[1:]]
+            group[np.isin(group, both)] = both[0]
+    return pd.DataFrame(edges, columns=["src", "dst"])
+
+
 def spanning_edges(df: DataFrame, key: str, vec: str, limit: float, *, part=(),
-                   tile_rows: int = TILE_ROWS) -> DataFrame:
+                   tile_rows: int | None = None) -> DataFrame:
     """Edges (src < dst) that connect the same rows as all pairs within `limit`.
 
-    Each pair of tiles returns a spanning forest, fewer edges than rows, however
-    dense the pile; tiles too far apart for any edge don't meet.
+    Up to FEW_TILES tiles all pairs of tiles meet. Of more, each first meets itself and a
+    sample of its part only, which joins most rows of a dense table; then the rows outside
+    the largest component of their part meet all rows, as its own rows needn't meet each
+    other again. A pair of tiles returns a forest, fewer edges than rows, however dense the
+    pile. Tiles grow with the rows as in a search, unless `tile_rows` is given.
     """
     part = list(part)
     rows = df.select(*part, key, F.col(vec).alias("_vec"))
+    if limit < 1.0:
+        rows = rows.where(F.size("_vec") > 0)
     kind = dict(rows.dtypes)[key]
-    pairs = tile_groups(rows, part, key, limit, tile_rows).select(*part, key, "_vec", "_pair", "_tile")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, units = pdf[key].to_numpy(), stack(pdf["_vec"].tolist())
-        close = distances(units, units) <= limit
-        tile = pdf["_tile"].to_numpy()
-        if len(sides(pdf)) > 1:
-            close &= tile[:, None] != tile[None, :]
-        left = np.ones(len(ids), dtype=bool)
-        edges = []
-        for start in range(len(ids)):
-            if not left[start]:
-                continue
-            left[start] = False
-            frontier = [start]
-            while frontier:
-                at = frontier.pop()
-                new = np.flatnonzero(close[at] & left)
-                left[new] = False
-                edges += [(min(ids[at], ids[n]), max(ids[at], ids[n])) for n in new]
-                frontier.extend(new)
-        return pd.DataFrame(edges, columns=["src", "dst"])
-    return map_groups(pairs, [*part, "_pair"], [key], each(forest), f"src {kind}, dst {kind}")
+    if tile_rows is None:
+        of_part = rows.groupBy(*part).count().agg(F.max("count")).first()[0] or 0
+        tile_rows = min(SEARCH_TILE_ROWS, max(TILE_ROWS, math.ceil(of_part / SEARCH_TILES)))
+
+    def forests(pairs: DataFrame, name: str) -> DataFrame:
+        def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+            left, right = (np.flatnonzero(side) for side in sides(pdf)[0])
+            return _links(pdf[name].to_numpy(), stack(pdf["_vec"].tolist()), left, right, limit)
+        return map_groups(pairs.select(*part, name, "_vec", "_pair", "_tile"), [*part, "_pair"], [name], each(forest),
+                          f"src {kind}, dst {kind}")
+    placed, angled = tiled(rows, part, key, "_vec", tile_rows)
+    if not angled:
+        return forests(all_paired(placed), key)
+
+    # every tile and the sample, which is called "hubs" in the place of a tile
+    tile = F.concat_ws("/", *TILE)
+    own = placed.select(*part, key, "_vec", tile.alias("_tile"))
+    sizes = own.groupBy(*part).agg(F.ceil(F.count(F.lit(1)) / min(HUB_ROWS, tile_rows)).alias("_share"))
+    hubs = join_same(rows, sizes, part).where(F.pmod(F.xxhash64(key, F.lit(2)), F.col("_share")) == 0).drop("_share")
+    tiles = own.select(*part, F.concat("_tile", F.lit(" "), "_tile").alias("_pair"), "_tile").distinct()
+    met = tiles.select(*part, F.concat("_tile", F.lit(" hubs")).alias("_pair"))
+    pairs = (join_same(own, tiles, [*part, "_tile"])
+             .unionByName(own.withColumn("_pair", F.concat("_tile", F.lit(" hubs"))))
+             .unionByName(join_same(met, hubs, part).withColumn("_tile", F.lit("hubs"))))
+    named = checkpoint(connected_components(rows, key, forests(pairs, key)))
+
+    of = join_same(rows, named, [key])
+    top = of.groupBy(*part, "component").agg(F.count(F.lit(1)).alias("_n")).groupBy(*part).agg(
+        F.max_by("component", F.struct("_n", "component")).alias("_top"))
+    rest = checkpoint(join_same(of, top, part).withColumn("_rest", F.col("component") != F.col("_top")).drop("_top"))
+    stars = named.where(F.col("component") != F.col(key)).select(F.col("component").alias("src"), F.col(key).alias("dst"))
+    if rest.where("_rest").isEmpty():
+        return stars
+    placed, _ = tiled(rest, [*part, "_rest"], key, "_vec", tile_rows)
+    placed = checkpoint(placed.withColumn("_sub", F.col("_sub") * 2 + F.col("_rest").cast("int")))
+    looks = F.when(F.bool_or("_rest"), F.lit(angle_limit(limit) if limit < 1.0 else np.pi)).otherwise(F.lit(-1.0))
+    near = close_tiles(tile_bounds(placed, part, placed.groupBy(*part, *TILE).agg(looks.alias("_reach"))), part)
+    return stars.unionByName(forests(paired(placed, part, near), "component"))
 
 
 def _with_lowest(rows: DataFrame, lowest: DataFrame, node: str, degree: str, edges: int) -> DataFrame:
@@ -109,7 +152,7 @@ def connected_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFr
 
 
 def cluster_components(df: DataFrame, key: str, vec: str, limit: float = P.CLUSTER_DIST, *,
-                       part=(), tile_rows: int = TILE_ROWS) -> DataFrame:
+                       part=(), tile_rows: int | None = None) -> DataFrame:
     """Single linkage at `limit`: rows joined by any chain of close pairs."""
     edges = spanning_edges(df, key, vec, limit, part=part, tile_rows=tile_rows)
     return connected_components(df, key, edges)

@@ -294,3 +294,33 @@ def test_knn_takes_larger_tiles_for_more_rows(spark, monkeypatch):
     for i in range(0, 300, 17):
         order = sorted((cos_dist(data[i], data[j]), j) for j in range(300) if j != i)
         assert [n for _, n in sorted(got[i])] == [j for _, j in order[:3]]
+
+
+@pytest.mark.parametrize("part", [[], ["g"]])
+def test_components_beside_the_largest_meet_all_rows(spark, part):
+    """A dense pile, pairs far from it and from each other, and odd vectors."""
+    rnd = np.random.default_rng(8)
+    pile = rnd.normal(size=16) + rnd.normal(scale=.05, size=(500, 16))
+    pairs = np.repeat(rnd.normal(size=(40, 16)), 2, axis=0) + rnd.normal(scale=.01, size=(80, 16))
+    data = np.concatenate([pile, pairs])[rnd.permutation(580)]
+    rows = [(i, i % 2, [float(x) for x in v]) for i, v in enumerate(data)]
+    odd = [(1000, 0, None), (1001, 1, [0.0] * 16), (1002, 0, [1.0, 2.0]), (1003, 0, [2.0, 4.0]), (1004, 1, [])]
+    df = spark.createDataFrame(rows + odd, "id long, g long, vec array<double>")
+    units = data / np.linalg.norm(data, axis=1)[:, None]
+    near = 1 - units @ units.T <= .02
+    label = np.arange(580)
+    for _ in range(20):
+        for i in range(580):
+            close = near[i] & ((np.arange(580) % 2 == i % 2) if part else True)
+            label[close] = label[close].min()
+    got = {r.id: r.component for r in clusters.cluster_components(df, "id", "vec", .02, part=part, tile_rows=16).collect()}
+    assert got == {i: int(x) for i, x in enumerate(label)} | {i: i for i, *_ in odd} | {1003: 1002}
+
+
+def test_tiles_of_one_component_meet_once(spark, monkeypatch):
+    """What a sample of the rows joins is not compared pair by pair of tiles."""
+    df, data = vectors(spark, n=400, dim=3, groups=1)
+    met = []
+    monkeypatch.setattr(clusters, "close_tiles", lambda *a: met.append(a))
+    got = clusters.cluster_components(df, "id", "vec", 1.2, tile_rows=32).collect()
+    assert {r.component for r in got} == {0} and len(got) == 400 and not met

@@ -16,8 +16,8 @@ TILE_SCHEMA = ("tiles array<array<double>>, sharpness_max double, sharpness_mean
                "clipped_hi double, clipped_lo double")
 
 
-#: Pixels whose gradients are taken at once.
-STACK_PIXELS = 1 << 20
+#: Pixels whose gradients are taken at once, and planes whose tiles leave together.
+STACK_PIXELS, AT_ONCE = 1 << 20, 4000
 
 
 def gradient_energy(pixels: np.ndarray) -> np.ndarray:
@@ -103,17 +103,23 @@ def plane_of(width: int, height: int, pixels: pa.Scalar) -> np.ndarray:
     return flat.reshape((height, width) if len(flat) == width * height else (height, width, 3))
 
 
-def measure_planes(planes: list[np.ndarray]) -> list[tuple]:
-    """tiles, sharpness_max, sharpness_mean, clipped_hi, clipped_lo of each plane; those of
-    equal size go through the convolution together."""
-    out: list[tuple] = [()] * len(planes)
+def measured(planes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(tiles, shares of clipped pixels: high, low; NaN where unknown) of each plane; those
+    of equal size go through the convolution together."""
+    tiles, clipped = np.zeros((len(planes), GRID, GRID)), np.full((len(planes), 2), np.nan)
     sizes: dict[tuple, list[int]] = {}
     for i, plane in enumerate(planes):
         sizes.setdefault(plane.shape, []).append(i)
+        clipped[i] = [np.nan if x is None else x for x in clipped_shares(plane)]
     for at in sizes.values():
-        for i, tiles in zip(at, tile_maps([planes[i] for i in at]), strict=True):
-            out[i] = (tiles.tolist(), float(tiles.max()), float(tiles.mean()), *clipped_shares(planes[i]))
-    return out
+        tiles[at] = tile_maps([planes[i] for i in at])
+    return tiles, clipped
+
+
+def measure_planes(planes: list[np.ndarray]) -> list[tuple]:
+    """tiles, sharpness_max, sharpness_mean, clipped_hi, clipped_lo of each plane."""
+    return [(t.tolist(), float(t.max()), float(t.mean()), *(None if np.isnan(x) else float(x) for x in c))
+            for t, c in zip(*measured(planes), strict=True)]
 
 
 def measure_frames(planes: DataFrame, key: str = "photo_id") -> DataFrame:
@@ -121,23 +127,28 @@ def measure_frames(planes: DataFrame, key: str = "photo_id") -> DataFrame:
 
     `pixels` holds width*height luma bytes or three times as many RGB bytes. Spark ends
     an Arrow batch at 64 MB, whatever the number of rows, and planes are read where
-    they lie in it, so memory follows neither the number nor the size of planes. A plane
+    they lie in it, AT_ONCE at a time, so memory follows neither the number nor the size of planes. A plane
     whose pixels, width or height are unknown has unknown measurements.
     """
     kind = planes.schema[key].dataType
     names = ["tiles", "sharpness_max", "sharpness_mean", "clipped_hi", "clipped_lo"]
-    types = [pa.list_(pa.list_(pa.float64())), *[pa.float64()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, AT_ONCE) for whole in batches for lo in range(0, len(whole), AT_ONCE)):
             width, height = (batch.column(c).to_pylist() for c in ("width", "height"))
             pixels = batch.column("pixels")
             known = [i for i in range(len(batch)) if None not in (width[i], height[i]) and pixels[i].is_valid]
-            rows: list[tuple] = [(None,) * len(names)] * len(batch)
-            for i, row in zip(known, measure_planes([plane_of(width[i], height[i], pixels[i]) for i in known]), strict=True):
-                rows[i] = row
-            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, *names])
+            tiles, clipped = measured([plane_of(width[i], height[i], pixels[i]) for i in known])
+            place = np.full(len(batch), -1)
+            place[known] = np.arange(len(known))
+            # rows of the measured planes, null for the others
+            rows = pa.array(place, mask=place < 0)
+            lists = pa.array(tiles.reshape(-1))
+            for _ in range(2):
+                lists = pa.ListArray.from_arrays(np.arange(0, len(lists) + 1, GRID, dtype=np.int32), lists)
+            means = tiles.reshape(len(known), GRID * GRID)
+            columns = [lists, pa.array(means.max(axis=1)), pa.array(means.mean(axis=1)), *(pa.array(c, mask=np.isnan(c)) for c in clipped.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(c.take(rows) for c in columns)], names=[key, *names])
     return planes.select(key, "width", "height", "pixels").mapInArrow(run, f"`{key}` {kind.simpleString()}, {TILE_SCHEMA}")
 
 

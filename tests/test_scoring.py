@@ -230,3 +230,23 @@ def test_planes_that_are_unknown(spark):
                                "photo_id long, width int, height int, pixels binary")
     got = {r.photo_id: (r.sharpness_max, r.clipped_hi) for r in measure.measure_frames(df).collect()}
     assert got == {1: (None, None), 2: (None, None), 3: (0.0, .5)}
+
+
+def test_tiles_leave_the_worker_as_numbers(spark, monkeypatch):
+    """Tiles of many planes are no lists of Python numbers, at so many planes a time; planes
+    without pixels keep their places."""
+    monkeypatch.setattr(measure, "AT_ONCE", 7)
+    monkeypatch.setattr(measure, "measure_planes", None)
+    rnd = np.random.default_rng(3)
+    planes = [rnd.integers(0, 256, (48 + 16 * (i % 3), 64), dtype=np.uint8) for i in range(40)]
+    rows = [(i, 64, p.shape[0], None if i % 6 == 5 else p.tobytes()) for i, p in enumerate(planes)] + [(40, 0, 0, b"")]
+    df = spark.createDataFrame(rows, "photo_id long, width int, height int, pixels binary").coalesce(1)
+    got = {r.photo_id: r for r in measure.measure_frames(df).collect()}
+    assert len(got) == 41 and (got[40].sharpness_max, got[40].clipped_hi) == (0.0, None)
+    for i, plane in enumerate(planes):
+        if i % 6 == 5:
+            assert got[i].tiles is None and got[i].sharpness_mean is None and got[i].clipped_lo is None
+            continue
+        tiles = measure.tile_maps([plane])[0]
+        assert got[i].tiles == tiles.tolist() and got[i].sharpness_mean == tiles.mean() and got[i].sharpness_max == tiles.max()
+        assert got[i].clipped_hi == (plane >= measure.CLIP_HIGH).mean()

@@ -2,15 +2,17 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frameflow.llm import contexts, curve, lines, packing, quality, templates, tokens, wavelet
+from frameflow.llm import contexts, curve, lines, packing, quality, templates, tokens, wavelet, worker
 from frameflow.llm.words import texts_of
 
 CLASH = "doc_id long, text string, _g int, key string, shard int, length int, curve int"
@@ -531,3 +533,30 @@ def test_line_numbers_and_hashes():
     found = lines.line_table(texts_of(pa.array(["a b c\n\nA, b-c!\nx", None, "", "a  b c"])))
     assert found["text"].tolist() == [0, 0, 3][:len(found["text"])] or found["line"].tolist()[0] == 0
     assert found["hash"][0] == found["hash"][-1]
+
+
+def test_judging_takes_portions_and_drops_encoders(monkeypatch):
+    """A batch is judged in parts, and the words that an encoder kept go first."""
+    monkeypatch.setattr(quality, "AT_ONCE", 3)
+    worker.kept("byte_encoder test", dict)
+    batch = pa.RecordBatch.from_pydict({"text": [str(i) for i in range(8)]})
+    assert [p["text"].to_pylist() for p in quality.portions(iter([batch]))] == [["0", "1", "2"], ["3", "4", "5"], ["6", "7"]]
+    made = []
+    worker.kept("byte_encoder test", lambda: made.append(1))
+    assert made == [1]
+
+
+def test_grams_of_lines_take_bounded_memory():
+    """Grams of many lines are looked at in parts, with the same values."""
+    rnd = np.random.default_rng(5)
+    size = rnd.integers(60, 400, 9000)
+    data = rnd.integers(97, 123, int(size.sum()), dtype=np.uint8)
+    start = np.cumsum(size) - size
+    tracemalloc.start()
+    least, places = lines.least_grams(data, start, size, lines.LONG_GRAM)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(start) * lines.MINIMA * 4 and least.shape == (9000, lines.MINIMA)
+    for i in (0, 1, 4321, 8999):
+        one = lines.least_grams(data[start[i]:start[i] + size[i]], np.zeros(1, np.int64), size[i:i + 1], lines.LONG_GRAM)
+        assert (one[0][0] == least[i]).all() and (one[1][0] == places[i]).all()

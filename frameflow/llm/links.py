@@ -37,11 +37,14 @@ def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], C
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select("key", *[F.col(c).alias(f"{prefix}_{c}") for c in [*columns, "component"]])
     edges = components = tested = None
+    old: list[DataFrame] = []
     for step in range(star_rounds + 1):
         if components is None:
             rows = postings.withColumn("component", F.col("id"))
         else:
-            rows = postings.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            rows = checkpoint(postings.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")))
+            forget(*old)
+            old = [rows]
         # another hub in each round, the same one in all lists that hold it
         rank = F.struct(F.xxhash64("id", F.lit(step)).alias("r"), *columns, "component")
         hubs = rows.groupBy("key").agg(F.min(rank).alias("hub"), F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -72,7 +75,10 @@ def linked_components(postings: DataFrame, may_link: Callable[[Callable[[str], C
             after = checkpoint(connected_components(nodes, "id", edges))
             forget(components)
             components = after
-        forget(hubs)
+        if step:  # components only grow, so that a list never opens again
+            postings = open_rows.select("key", *columns)
+        old.append(hubs)
         if last:
             break
+    forget(*old)
     return components

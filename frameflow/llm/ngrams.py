@@ -120,6 +120,18 @@ def light_keys(elements: np.ndarray, light: int, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
+def member_keys(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A key for each entry of lists sorted by key: equal for lists of the same members. The
+    last bit tells lists of subsets from those of elements."""
+    if not len(keys):
+        return keys
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    subset = places < 0
+    members = np.add.reduceat(mix(mix(ids.view(U64)) + subset.astype(U64)), first)
+    named = (mix(members) & ~U64(1)) | np.logical_or.reduceat(subset, first).astype(U64)
+    return np.repeat(named, np.diff(np.append(first, len(keys)))).view(np.int64)
+
+
 def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", *, k: int = SHINGLE,
                    percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id of every row.
@@ -211,7 +223,7 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         post, "_slice int, keys binary, ids binary, sizes binary, places binary"))
 
     def lists(table: pa.Table) -> pa.Table:
-        """Entries of the lists that hold two classes or more."""
+        """Entries of the lists that hold two classes or more, a list being named by its members."""
         keys, ids, size, place = (np.concatenate([unpack_ints(x) for x in table[c].to_pylist()]) for c in ("keys", "ids", "sizes", "places"))
         order = np.lexsort((ids, keys))
         keys, ids, size, place = keys[order], ids[order], size[order], place[order]
@@ -220,7 +232,7 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         keys, ids, size, place = keys[new], ids[new], size[new], place[new]
         _, inverse, many = np.unique(keys, return_inverse=True, return_counts=True)
         keep = many[inverse] > 1
-        return pa.table({"key": keys[keep], "id": ids[keep], "size": size[keep], "place": place[keep]})
+        return pa.table({"key": member_keys(keys[keep], ids[keep], place[keep]), "id": ids[keep], "size": size[keep], "place": place[keep]})
 
     def unpack_rows(batches):
         for batch in batches:
@@ -246,6 +258,8 @@ def jaccard_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
         unpack_sets, "id long, elements array<long>, " + ", ".join(f"{m} long" for m in map_names)))
     maps = sets.drop("elements").dropDuplicates(["id"])
     postings = posted.where("_slice >= 0").groupBy("_slice").applyInArrow(lists, "key long, id long, size long, place long")
+    # lists of the same members are one, each member at its least place, which allows all that any of them does
+    postings = postings.groupBy("key", "id", "size").agg(F.min("place").alias("place"))
     postings = checkpoint(postings.join(maps, "id"))
     # only sets of classes that share a list are ever tested
     sets = checkpoint(sets.select("id", "elements").join(postings.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))

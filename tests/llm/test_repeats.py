@@ -49,6 +49,26 @@ def test_small_sets_meet_by_subsets(spark, monkeypatch):
         assert {r[0]: r[1:] for r in got} == corpus.jaccard_components(rows)
 
 
+def test_lists_of_the_same_members_are_one(spark, monkeypatch):
+    """Copies of a long text, some words apart, share most of their rare shingles."""
+    rng = random.Random(8)
+    text = [f"w{i}" for i in range(400)]
+    rows = [(10 * i + j, " ".join(f"t{i}{w}" if rng.random() > 0.01 * j else f"x{i}{j}{w}" for w in text)) for i in range(6) for j in range(3)]
+    seen = []
+
+    def linked(postings, may_link, verify):
+        seen.extend(postings.select("key", "id").collect())
+        return ngrams_linked(postings, may_link, verify)
+    ngrams_linked = ngrams.linked_components
+    monkeypatch.setattr(ngrams, "linked_components", linked)
+    got = rows_of(ngrams.jaccard_groups(corpus.frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert {r[0]: r[1:] for r in got} == corpus.jaccard_components(rows)
+    members = {}
+    for key, doc in seen:
+        members.setdefault(key, set()).add(doc)
+    assert members and len(members) == len({frozenset(m) for m in members.values()})
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text), (5, text), (5, text), (None, None)]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -400,6 +401,51 @@ def alike(a: str, b: str, percent: int = 90) -> bool:
     return before[-1] <= most
 
 
+def test_rounds_leave_the_same_lines(spark, monkeypatch):
+    """Entries, texts and pairs in rounds, against all at once."""
+    docs = corpus.frame(spark, corpus.given() + [(10**6 + i, t) for i, t in corpus.odd_texts(4)])
+    wanted = sorted(str(tuple(r)) for r in lines.dedup_lines(docs, removed="gone").collect())
+    met = []
+
+    def group_count(*_):
+        return 3
+
+    def linked(postings, may_link, verify, *, pairs):
+        met.append(pairs.count())
+        return linked_components(postings, may_link, verify, pairs=pairs)
+    linked_components = lines.linked_components
+    for name, value in (("group_count", group_count), ("linked_components", linked), ("MOST_BROADCAST", 0), ("MOVED_PART", 1 << 50), ("GROUP_BYTES", 1 << 16)):
+        monkeypatch.setattr(lines, name, value)
+    assert sorted(str(tuple(r)) for r in lines.dedup_lines(docs, removed="gone").collect()) == wanted
+    assert met[0] > 0
+
+
+def test_entries_of_all_rounds_are_all_entries():
+    both = [x.encode() for pair in changed_pairs("replaced", 15, 20) for x in (*pair, pair[0][:15], pair[0][:40])]
+    size = np.array([len(x) for x in both])
+    marks = lines.band_marks(np.frombuffer(b"".join(both), np.uint8), np.cumsum(size) - size, size, 90)
+    whole = sorted(zip(*(x.tolist() for x in lines.band_entries(marks)), strict=True))
+    parts = [list(zip(*(x.tolist() for x in lines.band_entries(marks, step, 5)), strict=True)) for step in range(5)]
+    assert sorted(x for p in parts for x in p) == whole
+    assert max(len(p) for p in parts) < 0.3 * len(whole)
+
+
+def test_checkpoint_leaves_no_shuffle_files(spark):
+    from frameflow.runtime import checkpoint
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return sum("shuffle_" in x for x in manager.getAllFiles().mkString("\n").split("\n"))
+    before = files()
+    kept = checkpoint(spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).count())
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert kept.count() == 5_000 and kept.where("count <> 4").count() == 0
+
+
 def test_blocks_catch_few_differing_bits():
     rng = np.random.default_rng(4)
     bits = rng.integers(0, 256, (200, lines.WIDTH // 8), dtype=np.uint8)

@@ -27,6 +27,9 @@ TILE_ROWS = 1024
 #: A row is copied once per tile that its own one meets, so a search over many rows takes
 #: larger tiles; a task compares so many rows of one with the other at a time.
 SEARCH_TILES, SEARCH_TILE_ROWS, SEARCH_BLOCK = 32, 8192, 512
+#: A search for nearest rows, which looks at few numbers of its products, takes tiles of up to
+#: so many bytes of vectors and rows.
+NEAREST_TILE_BYTES, NEAREST_TILE_ROWS = 16 << 20, 32768
 #: Up to so many tiles are compared without a look at the angles.
 FEW_TILES = 8
 PIVOTS = 16
@@ -175,10 +178,12 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int |
     """(part, key, neighbor, distance, rank): the k nearest by (distance, key).
 
     Tiles have `tile_rows` rows, by default TILE_ROWS up to SEARCH_TILES tiles of a part, then
-    more, SEARCH_TILE_ROWS at most.
+    more, up to NEAREST_TILE_BYTES and NEAREST_TILE_ROWS.
 
     Every tile is searched by itself first; how far its rows then still look is the
-    farthest of their k-th best.
+    farthest of their k-th best, and a row takes from other tiles only what is as near as its
+    own k-th best. Products of half the digits tell which rows may be, with room for their
+    rounding; distances are computed anew for those.
     """
     part = list(part)
     rows = df.select(*part, key, F.col(vec).alias("_vec"))
@@ -187,32 +192,45 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int |
         f", neighbor {types[key]}, distance double")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, units = pdf[key].to_numpy(), stack(pdf["_vec"].tolist())
-        out = []
+        ids, units = pdf[key].to_numpy(), np.nan_to_num(stack(pdf["_vec"].tolist()), nan=0.0)
+        far = pdf["_far"].to_numpy(np.float64) if "_far" in pdf else np.full(len(pdf), np.inf)
+        short, room = units.astype(np.float32), (units.shape[1] + 8) * 2.0 ** -23
+        block = max(1, min(SEARCH_BLOCK, SEARCH_BLOCK * SEARCH_TILE_ROWS // max(len(pdf), 1)))
+        out = [_take(ids[:0], ids[:0], np.zeros((0, 2), np.int64), np.zeros(0))]
         for left, right in sides(pdf):
-            there, others = units[right], ids[right]
-            for at in np.split(np.flatnonzero(left), range(SEARCH_BLOCK, int(left.sum()), SEARCH_BLOCK)):
-                dist = distances(units[at], there)
-                dist[ids[at][:, None] == others[None, :]] = np.inf
-                out.append(_take(ids[at], others, dist))
-        found = pd.concat(out, ignore_index=True)
+            there, others = np.flatnonzero(right), ids[right]
+            near = short[there].T
+            for at in np.split(np.flatnonzero(left), range(block, int(left.sum()), block)):
+                close = short[at] @ near
+                if np.isfinite(far[at]).all():
+                    least = (1.0 - far[at] - 2 * room)[:, None]
+                else:
+                    close[ids[at][:, None] == others[None, :]] = -np.inf
+                    least = np.full((len(at), 1), -2.0)
+                    if close.shape[1] > k:
+                        least = np.partition(close, close.shape[1] - k, axis=1)[:, -k, None].astype(np.float64) - 2 * room
+                row, col = np.divmod(np.flatnonzero(close >= np.maximum(least, -2.0).astype(np.float32)), max(close.shape[1], 1))
+                pairs = np.stack([row, col], 1)[ids[at][row] != others[col]]
+                dist = np.concatenate([1.0 - (units[at[p[:, 0]]] * units[there[p[:, 1]]]).sum(axis=1)
+                                       for p in np.split(pairs, range(NEAREST_TILE_ROWS, len(pairs), NEAREST_TILE_ROWS))])
+                reach = dist <= far[at][pairs[:, 0]]
+                out.append(_take(ids[at], others, pairs[reach], dist[reach]))
+        found = pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
         for column in part:
             found.insert(0, column, pdf[column].iloc[0])
         return found[[*part, key, "neighbor", "distance"]]
 
-    def _take(own, others, dist):
-        near = np.isfinite(dist)
-        if dist.shape[1] > k:
-            near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1:k]
-        row, col = np.nonzero(near)
-        order = np.lexsort((others[col], dist[row, col], row))
-        row, col = row[order], col[order]
+    def _take(own, others, pairs, dist):
+        row, col = pairs.T
+        order = np.lexsort((others[col], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
         first = np.arange(len(row)) - np.searchsorted(row, row) < k
         row, col = row[first], col[first]
-        return pd.DataFrame({key: own[row], "neighbor": others[col], "distance": dist[row, col]})
+        return pd.DataFrame({key: own[row], "neighbor": others[col], "distance": dist[first]})
     if tile_rows is None:
-        of_part = rows.groupBy(*part).count().agg(F.max("count")).first()[0] or 0
-        tile_rows = min(SEARCH_TILE_ROWS, max(TILE_ROWS, math.ceil(of_part / SEARCH_TILES)))
+        sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("size")).agg(F.max("n"), F.max("size")).first()
+        most = min(NEAREST_TILE_ROWS, max(TILE_ROWS, NEAREST_TILE_BYTES // (8 * max(sizes[1] or 1, 1))))
+        tile_rows = min(most, max(TILE_ROWS, math.ceil((sizes[0] or 0) / SEARCH_TILES)))
     placed, angled = tiled(rows, part, key, "_vec", tile_rows)
     order = W.partitionBy(*part, key).orderBy("distance", "neighbor")
 
@@ -224,11 +242,13 @@ def knn(df: DataFrame, key: str, vec: str, k: int, *, part=(), tile_rows: int |
     alone = alone.withColumn("_tile", F.concat_ws("/", *TILE))
     first = checkpoint(map_groups(alone.select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema))
     kth = first.groupBy(*part, key).agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_found"))
-    looks = join_same(placed.select(*part, key, *TILE), kth, [*part, key], "left")
-    far = F.when(F.coalesce(F.col("_found"), F.lit(0)) >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("_far"))))).otherwise(math.pi)
-    reach = looks.groupBy(*part, *TILE).agg(F.max(far).alias("_reach"))
+    known = F.coalesce(F.col("_found"), F.lit(0)) >= k
+    placed = join_same(placed, kth, [*part, key], "left").withColumn("_far", F.when(known, F.col("_far")).otherwise(F.lit(float("inf")))).drop("_found")
+    placed = checkpoint(placed)
+    far = F.when(F.col("_far") < 2.0, F.acos(F.greatest(F.lit(-1.0), 1 - F.col("_far")))).otherwise(math.pi)
+    reach = placed.groupBy(*part, *TILE).agg(F.max(far).alias("_reach"))
     pairs = close_tiles(tile_bounds(placed, part, reach), part, own=False)
-    more = map_groups(paired(placed, part, pairs).select(*part, key, "_vec", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema)
+    more = map_groups(paired(placed, part, pairs).select(*part, key, "_vec", "_far", "_pair", "_tile"), [*part, "_pair"], [key], each(best), schema)
     return nearest(first.unionByName(more))
 
 

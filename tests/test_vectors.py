@@ -296,6 +296,31 @@ def test_knn_takes_larger_tiles_for_more_rows(spark, monkeypatch):
         assert [n for _, n in sorted(got[i])] == [j for _, j in order[:3]]
 
 
+def test_knn_takes_from_other_tiles_only_what_is_nearer(spark, monkeypatch):
+    """Among them ties of equal vectors, and vectors that are unknown, of length zero or short."""
+    made, map_groups = [], neighbors.map_groups
+    monkeypatch.setattr(neighbors, "map_groups", lambda *a: made.append(map_groups(*a)) or made[-1])
+    monkeypatch.setattr(neighbors, "SEARCH_BLOCK", 7)
+    _, data = clustered(spark, 240, 6)
+    vecs = [[float(x) for x in v] for v in data] + [[float(x) for x in data[3]]] * 9 + [None, [0.0] * len(data[0]), [1.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(vecs)), "id long, vec array<double>")
+    got = {}
+    for r in neighbors.knn(df, "id", "vec", 3, tile_rows=16).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbor))
+
+    def dist(a, b):
+        known = a is not None and b is not None and len(a) == len(b) and any(a) and any(b)
+        return round(cos_dist(np.array(a), np.array(b)), 12) if known else 1.0
+    for i, v in enumerate(vecs):
+        order = sorted((dist(v, w), j) for j, w in enumerate(vecs) if j != i)
+        assert [n for _, n in sorted(got[i])] == [j for _, j in order[:3]], i
+    first, more = made[0].collect(), made[-1].collect()
+    kth, sizes = {}, {}
+    for r in first:
+        kth[r.id], sizes[r.id] = max(r.distance, kth.get(r.id, -1.0)), sizes.get(r.id, 0) + 1
+    assert more and all(r.distance <= kth[r.id] for r in more if sizes.get(r.id) == 3)
+
+
 @pytest.mark.parametrize("part", [[], ["g"]])
 def test_components_beside_the_largest_meet_all_rows(spark, part):
     """A dense pile, pairs far from it and from each other, and odd vectors."""
